@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe
 from .common import read
 from .pii import pii_scan
 from .secrets import secret_scan
 
 
+#: Where the public tokenizers' files lie; the rank file itself is a parameter of the operator.
+RANK_FILE = "byte_bpe_50k.tiktoken"
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe(read(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read(spark, sf_dir, "documents")).drop("redacted")
 
