@@ -57,12 +57,42 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark) -> None:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set (as in tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir("/tmp/checkpoints")
+class Workspace:
+    """Written tables in the cluster's shared checkpoint folder; they cut lineage and survive lost executors."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        set_in = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        import uuid
+
+        self.root = f"{(set_in or '/tmp/checkpoints').rstrip('/')}/attestor-{uuid.uuid4().hex}"
+        self.n = 0
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        self.fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.fs.deleteOnExit(path)
+        self.path = jvm.org.apache.hadoop.fs.Path
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as Parquet and return the written table."""
+        at = f"{self.root}/{self.n}"
+        self.n += 1
+        df.write.parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        out._attestor_path = at
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete written tables that nothing reads any longer."""
+        for df in frames:
+            self.fs.delete(self.path(df._attestor_path), True)
+
+
+def few_rows(df: DataFrame, most: int) -> bool:
+    """Whether ``df`` has at most ``most`` rows; reads no more than it must."""
+    return df.limit(most + 1).count() <= most
+
+
+def broadcast_if_few(df: DataFrame, most: int) -> DataFrame:
+    """A broadcast hint only where the size was checked; otherwise the join shuffles."""
+    return F.broadcast(df) if few_rows(df, most) else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe
 from .common import read
+from .minhash import near_duplicates
 from .pii import pii_scan
 from .secrets import secret_scan
 
@@ -15,6 +16,10 @@ from .secrets import secret_scan
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
