@@ -10,6 +10,7 @@ from .common import read
 from .minhash import near_duplicates
 from .pii import pii_scan
 from .secrets import secret_scan
+from .toxicity import fit_toxicity, toxicity_scores
 
 
 #: Where the public tokenizers' files lie; the rank file itself is a parameter of the operator.
@@ -34,6 +35,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
