@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe
 from .common import read
+from .decontaminate import contaminated
 from .minhash import near_duplicates
 from .pii import pii_scan
 from .secrets import secret_scan
@@ -40,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
