@@ -29,25 +29,29 @@ LONG_PIECE = 200
 #: Bytes of new pieces in one recursive query.
 QUERY_BYTES = 300_000
 #: Pieces remembered in a task; beyond this the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 #: Ids decoded by one query.
 DECODE_IDS = 400_000
 SLICE_ROWS = 256
 
+# A position is counted over all pieces of a query, with a gap after each piece, so that stop = next pos holds only
+# inside a piece. A pair is one integer: rank (17 bits), position (22), bytes of its left and right token (8 each).
 _ENCODE = """
 WITH RECURSIVE step(piece, pos, id, stop, live) AS (
     SELECT piece, pos, id, pos + 1, true FROM start
     UNION ALL
     SELECT piece, pos, id, stop, live FROM (
         WITH pair AS (
-            SELECT s.piece, m.id::BIGINT * 4294967296 + s.pos AS rank_pos, s.stop AS gone, n.stop AS far
-            FROM step s JOIN step n ON n.pos = s.stop AND n.piece = s.piece JOIN merges m ON m.a = s.id AND m.b = n.id
+            SELECT s.piece, ((m.id::BIGINT * 4194304 + s.pos) * 256 + (s.stop - s.pos)) * 256 + (n.stop - n.pos) AS packed
+            FROM step s JOIN step n ON n.pos = s.stop JOIN merges m ON m.ab = s.id * 65536::BIGINT + n.id
             WHERE s.live AND n.live
         ), best AS (
-            SELECT piece, min(rank_pos) AS least, arg_min(gone, rank_pos) AS gone, arg_min(far, rank_pos) AS far FROM pair GROUP BY piece
+            SELECT piece, packed // 274877906944 AS id, (packed // 65536) % 4194304 AS pos,
+                   (packed // 65536) % 4194304 + (packed // 256) % 256 AS gone, packed % 256 AS right_bytes
+            FROM (SELECT piece, min(packed) AS packed FROM pair GROUP BY piece)
         )
-        SELECT s.piece, s.pos, CASE WHEN s.pos = b.least % 4294967296 THEN (b.least // 4294967296)::INTEGER ELSE s.id END AS id,
-               CASE WHEN s.pos = b.least % 4294967296 THEN b.far ELSE s.stop END AS stop, b.piece IS NOT NULL AS live
+        SELECT s.piece, s.pos, CASE WHEN s.pos = b.pos THEN b.id::INTEGER ELSE s.id END AS id,
+               CASE WHEN s.pos = b.pos THEN (b.gone + b.right_bytes)::INTEGER ELSE s.stop END AS stop, b.piece IS NOT NULL AS live
         FROM step s LEFT JOIN best b ON b.piece = s.piece
         WHERE s.live AND (b.piece IS NULL OR s.pos <> b.gone)
     )
@@ -106,9 +110,8 @@ class Codec:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
         self.pa = pa
         triples = [(self.ranks[w[:k]], self.ranks[w[k:]], i) for w, i in ranks for k in range(1, len(w)) if w[:k] in self.ranks and w[k:] in self.ranks]
-        a, b, i = (pa.array(c, pa.int32()) for c in zip(*triples, strict=True))
         words = pa.table({"id": pa.array([i for _, i in ranks], pa.int32()), "text": [w.decode("latin-1") for w, _ in ranks]})
-        for name, table in (("merges", pa.table({"a": a, "b": b, "id": i})), ("vocabulary", words)):
+        for name, table in (("merges", pa.table({"ab": pa.array([a * 65536 + b for a, b, _ in triples], pa.int64()), "id": pa.array([i for _, _, i in triples], pa.int32())})), ("vocabulary", words)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
@@ -126,7 +129,7 @@ class Codec:
         coded = [p.encode() for p in pieces]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         ids = np.asarray(self.byte_ids, np.int32)[np.frombuffer(b"".join(coded), np.uint8)]
-        got = self._query(_ENCODE, "start", self.pa.table({"piece": np.repeat(np.arange(len(coded), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+        got = self._query(_ENCODE, "start", self.pa.table({"piece": np.repeat(np.arange(len(coded), dtype=np.int32), sizes), "pos": (np.arange(len(ids)) + np.repeat(np.arange(len(coded)), sizes)).astype(np.int32), "id": ids}))
         flat = got["ids"].combine_chunks()
         offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy().astype("<u4")
         for k, piece in enumerate(pieces):
