@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe
 from .common import read
 from .decontaminate import contaminated
+from .html_extract import main_text
 from .minhash import near_duplicates
 from .pii import pii_scan
 from .secrets import secret_scan
@@ -45,6 +46,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
