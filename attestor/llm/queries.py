@@ -9,6 +9,7 @@ from .bpe import bpe
 from .common import read
 from .decontaminate import contaminated
 from .html_extract import main_text
+from .media import encode_texts, media_digests
 from .minhash import near_duplicates
 from .pii import pii_scan
 from .secrets import secret_scan
@@ -33,6 +34,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op5_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(encode_texts(read(spark, sf_dir, "documents")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan(read(spark, sf_dir, "documents"))
 
