@@ -12,6 +12,7 @@ from .html_extract import main_text
 from .media import encode_texts, media_digests
 from .minhash import near_duplicates
 from .pii import pii_scan
+from .quality import fit_quality, quality_posteriors
 from .secrets import secret_scan
 from .toxicity import fit_toxicity, toxicity_scores
 
@@ -47,6 +48,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_posteriors(docs, *fit_quality(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
