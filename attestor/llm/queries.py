@@ -14,6 +14,7 @@ from .minhash import near_duplicates
 from .pii import pii_scan
 from .quality import fit_quality, quality_posteriors
 from .secrets import secret_scan
+from .suffix_dedup import repeated_passages
 from .toxicity import fit_toxicity, toxicity_scores
 
 
@@ -35,6 +36,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op5_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(encode_texts(read(spark, sf_dir, "documents")))
 
