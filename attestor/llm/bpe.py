@@ -205,13 +205,15 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     shipped = spark.sparkContext.broadcast(read_ranks(vocabulary))
 
     def make():
+        import numpy as np
+
         codec = Codec(shipped.value, pattern)
 
         def fn(ids, texts):
             encoded = codec.encode(texts)
             for i, coded, decoded in zip(ids, encoded, codec.decode(encoded), strict=True):
                 row = (i, len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                yield (*row, list(array("I", coded))) if with_ids else row
+                yield (*row, np.frombuffer(coded, "<u4").astype(np.int32)) if with_ids else row
 
         return fn
 

@@ -47,6 +47,36 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]
     return df.mapInArrow(run, struct)
 
 
+def filter_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list[bool]]], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The rows of ``df``, with all their columns, for which ``make()`` (once in each task) of their texts is true."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(start, slice_rows)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def replace_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[str | None], str | None]], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` with ``make()`` (once in each task) applied to each text; the other columns stay as they are."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(start, slice_rows)
+                field = part.schema.field(at)
+                texts = pa.array([change(t) for t in part.column(at).to_pylist()], type=field.type)
+                yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(part.columns)], schema=part.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def text_rows(df: DataFrame, id_col: str, text_col: str, null_as: str | None = "") -> DataFrame:
     """(doc_id long, text string) and nothing else, so that columns with clashing names cannot interfere."""
     text = F.col(text_col).cast("string")

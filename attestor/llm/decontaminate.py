@@ -21,7 +21,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_columns, text_rows
+from .common import filter_rows, map_columns, text_rows
 
 Q = 12
 WINDOW, STRIDE, EDIT_RATE = 100, 50, 0.06
@@ -234,3 +234,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     found = [one(items) for items in chunks(benchmark, item_id_col, item_text_col)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts hold no window of any benchmark item, with all their columns."""
+    spark = docs.sparkSession
+
+    def without(rows: DataFrame, items) -> DataFrame:
+        shipped = spark.sparkContext.broadcast(Index(items))
+
+        def make():
+            index = shipped.value
+            table = index.table()
+
+            def keep(texts):
+                found = {t for t, *_ in search([normal(x or "") for x in texts], index, table)}
+                return [k not in found for k in range(len(texts))]
+
+            return keep
+
+        return filter_rows(rows, text_col, make, 256)
+
+    return reduce(without, chunks(benchmark, item_id_col, item_text_col), docs)

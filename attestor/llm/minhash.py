@@ -8,8 +8,9 @@ similarity as probability, with concentration as for independent minima, in near
 Equal sets collapse first (by digest, an aggregation with map-side combine). Representatives are banded; in each
 bucket every member is paired with one leader: the member that shares most buckets over all, so that the centre of a
 group of near copies leads it. Pairs are verified on full shingle sets of whole texts. Where the verified links leave
-a bucket with several components, pairs between these components are verified too: directly in small buckets, and in
-large ones after a split by second shared bands, so that no bucket is expanded into all of its pairs.
+a bucket with several components, pairs between these components are verified too; the join that finds them drops pairs
+whose finer sketches (2048 one-bit coordinates) are 4.75 standard deviations too far apart and repeats of a pair in
+further buckets, so that no bucket is expanded into all of its pairs.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are kept; a null id is
 its own component (null) and is kept; repeated rows of one id are one document each with the same values; an empty
@@ -30,14 +31,15 @@ from .components import components
 COORDINATES = 256
 #: Chance that banding misses a pair exactly at the threshold.
 MISS = 1e-5
-#: Members above which a bucket with several components is split by second bands.
-LARGE_BUCKET = 40
 #: Ids (8 bytes each) that may be broadcast to thin out the text side of the verification join.
 BROADCAST_IDS = 1_000_000
 
+#: Coordinates of the finer sketch that thins out the pairs between components, one bit each, and how many standard
+#: deviations below the threshold a pair may look before it is dropped unverified.
+FINE, FINE_DEVIATIONS = 2048, 4.75
+
 _U = np.uint64
 _C1, _C2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
-_LOW, _47, _56 = _U((1 << 47) - 1), _U(47), _U(56)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,7 +49,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * _GOLD)
+_SEEDS = mix(np.arange(1, 2 * FINE + 1, dtype=np.uint64) * _GOLD)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -71,28 +73,42 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """256 coordinates of a non-empty set, each (round << 47 | value)."""
-    out = np.zeros(COORDINATES, np.uint64)
-    empty = np.ones(COORDINATES, bool)
+def sketch(hashes: np.ndarray, size: int = COORDINATES) -> np.ndarray:
+    """``size`` (a power of two) coordinates of a non-empty set, each a round and, below it, a value."""
+    bits = size.bit_length() - 1
+    value_bits = 63 - 2 * bits
+    low, at_round, at_bin = _U((1 << value_bits) - 1), _U(value_bits), _U(64 - bits)
+    out = np.zeros(size, np.uint64)
+    empty = np.ones(size, bool)
     start, n = 0, len(hashes)
-    while start < COORDINATES and empty.any():
-        rounds = min(COORDINATES - start, max(1, 2 * COORDINATES // n))
+    while start < size and empty.any():
+        rounds = min(size - start, max(1, 2 * size // n))
         x = mix(hashes[None, :] ^ _SEEDS[start : start + rounds, None])
-        at = np.arange(start, start + rounds, dtype=np.uint64)[:, None] << _47
-        packed = np.sort(((x >> _56) << _56 | at | (x & _LOW)).ravel())
-        bins = (packed >> _56).astype(np.int64)
+        number = np.arange(start, start + rounds, dtype=np.uint64)[:, None] << at_round
+        packed = np.sort(((x >> at_bin) << at_bin | number | (x & low)).ravel())
+        bins = (packed >> at_bin).astype(np.int64)
         first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
         bins, packed = bins[first], packed[first]
         new = empty[bins]
-        out[bins[new]] = packed[new] & _U((1 << 56) - 1)
+        out[bins[new]] = packed[new] & _U((1 << (64 - bits)) - 1)
         empty[bins] = False
         start += rounds
     for j in np.flatnonzero(empty):
-        out[j] = _U(COORDINATES + j) << _47 | (mix(hashes ^ _SEEDS[COORDINATES + j]) & _LOW).min()
+        out[j] = _U(size + j) << at_round | (mix(hashes ^ _SEEDS[size + j]) & low).min()
     return out
 
 
+def fine_code(hashes: np.ndarray) -> np.ndarray:
+    """One scrambled bit of each coordinate of the finer sketch, packed into 64-bit words."""
+    return np.packbits((mix(sketch(hashes, FINE)) & _U(1)).astype(np.uint8)).view(np.int64)
+
+
+def fine_distance(percent: int) -> int:
+    """Differing bits up to which two codes may belong to a pair at the threshold."""
+    differ = (1 - percent / 100) / 2
+    return int(FINE * differ + FINE_DEVIATIONS * (FINE * differ * (1 - differ)) ** 0.5)
+
+
 def rows_per_band(threshold: float) -> int:
     """The most rows a band may have for a pair at the threshold to be missed with a chance below MISS."""
     return max(r for r in range(1, 33) if (1 - threshold**r) ** (COORDINATES // r) <= MISS or r == 1)
@@ -132,6 +148,21 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return map_columns(docs, make, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
+def _codes(named: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    rows = rows_per_band(percent / 100)
+    texts = docs.join(broadcast_if_few(named, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def make():
+        def fn(ids, texts):
+            for i, text in zip(ids, texts, strict=True):
+                s = shingle_set(text, width)
+                yield i, fine_code(s), band_keys(sketch(s), rows)
+
+        return fn
+
+    return map_columns(texts, make, "doc_id long, code array<long>, bands array<long>", 64)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets are similar. Only texts that a pair names are shuffled."""
     named = broadcast_if_few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), BROADCAST_IDS)
@@ -175,19 +206,18 @@ def links(reps: DataFrame, docs: DataFrame, width: int, percent: int, work: Work
     # What the leaders leave open: buckets that still hold several components.
     named = led.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = work.keep(named.where("n > 2 and doc_id <> leader").join(split, "key").select("key", "doc_id", "component", "n"))
-
-    def crossed(members: DataFrame, by: list[str]) -> DataFrame:
-        left = members.select(*by, F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-        right = members.select(*by, F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-        return left.join(right, by).where("a > b and ca <> cb").select("a", "b")
-
-    small = crossed(open_rows.where(F.col("n") <= LARGE_BUCKET), ["key"])
-    large = open_rows.where(F.col("n") > LARGE_BUCKET)
-    finer = large.join(rows.select("doc_id", F.col("key").alias("second")), "doc_id").where("key < second")
-    several = finer.groupBy("key", "second").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "second")
-    finer = finer.join(several, ["key", "second"])
-    more = work.keep(small.unionByName(crossed(finer, ["key", "second"])).distinct().join(first, ["a", "b"], "left_anti"))
+    open_rows = work.keep(named.where("n > 2 and doc_id <> leader").join(split, "key").select("key", "doc_id", "component"))
+
+    codes = work.keep(_codes(open_rows.select("doc_id").distinct(), docs, width, percent))
+    distance = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(FINE // 64))
+
+    # Pairs between components whose codes are close, each in the first bucket that they share; the join itself drops
+    # all others, so neither the pairs of a bucket nor a pair's further buckets become rows.
+    members = open_rows.join(codes, "doc_id")
+    left = members.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("code").alias("x"), F.col("bands").alias("p"))
+    right = members.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("code").alias("y"), F.col("bands").alias("q"))
+    close = left.join(right, "key").where("a > b and ca <> cb").where(f"{distance} <= {fine_distance(percent)}").where("array_intersect(p, q)[0] = key")
+    more = work.keep(close.select("a", "b").join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         edges = work.keep(edges.unionByName(_verified(more, docs, width, percent)))
         labels = components(edges, work)
@@ -206,3 +236,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     out = sets.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all columns; rows without id or words all stay."""
+    found = Workspace(docs.sparkSession).keep(near_duplicates(docs, width, percent, id_col, text_col))
+    gone = broadcast_if_few(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), BROADCAST_IDS)
+    out = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))

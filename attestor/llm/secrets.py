@@ -18,7 +18,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
-from .common import map_columns, text_rows
+from .common import map_columns, replace_texts, text_rows
 
 # The base grammar of the contract. All three are ASCII; only the keywords of `assign` ignore case.
 ASSIGN = r"""(?a:(?i:(?:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -127,3 +127,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return fn
 
     return map_columns(text_rows(docs, id_col, text_col), make, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
+
+
+def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with each secret in their texts replaced by a mark; null texts stay null."""
+    return replace_texts(docs, text_col, lambda: lambda text: redact(text, scan(text)) if text else text)

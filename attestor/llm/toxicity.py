@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, text_rows
+from .common import filter_rows, map_columns, text_rows
 from .linear import fit_logistic, sigmoid
 
 TRAIN_ROWS = 6000
@@ -208,3 +208,13 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     scored = map_columns(text_rows(docs, id_col, text_col), make, "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not call toxic, with all their columns."""
+
+    def make():
+        scorer = Scorer(model)
+        return lambda texts: [scorer(t) < 0.5 for t in texts]
+
+    return filter_rows(docs, text_col, make)
