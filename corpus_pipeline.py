@@ -2,9 +2,61 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestor.llm.bpe import bpe
+from attestor.llm.common import Workspace, read
+from attestor.llm.decontaminate import without_contaminated
+from attestor.llm.minhash import without_near_duplicates
+from attestor.llm.queries import RANK_FILE
+from attestor.llm.secrets import without_secrets
+from attestor.llm.toxicity import fit_toxicity, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised classifier rejects go."""
+    return without_toxic(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: shingles of five words, similarity 0.8 or more."""
+    return without_near_duplicates(docs, width=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return without_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; n_chars follows the text."""
+    return without_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, their number, and digests of the ids and of the bytes decoded from them."""
+    import public_tokenizers
+
+    return bpe(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("encoding", encoding),
+]
+#: Near duplicates, alignments and merges by rank go beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark)
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = work.keep(docs)
+    return docs
