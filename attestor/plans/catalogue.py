@@ -1,13 +1,645 @@
-"""Registry of the library's own queries and their oracle SQL."""
+"""Registry of the library's queries on the driver's tables, each with the SQL it must agree with where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import parse, scalar
+from ..operators import audit, calibrate, families, folds, metrics, predictors, resample, selective, stacking, validate
+from ..sources import adapters
+from ..sources.adapters import FLAGS, MODELS, NOISE, table
+
 FLAGSHIP = "system_summary"
+SEED = 20260811
+VOTES = ["v1", "v2", "v3"]
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
 
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- pieces of SQL
+
+
+def h(text: str) -> str:
+    return f"('0x' || substr(sha256({text}), 1, 8))::BIGINT"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"CASE WHEN ({b}) = 0 THEN 0.0::DOUBLE ELSE ({a})::DOUBLE / ({b}) END"
+
+
+def _votes_sql(key: str) -> str:
+    return ", ".join(f"(CASE WHEN {h(f'concat_ws($${chr(124)}$$, $${m}$$, {key}, label)')} < {NOISE[m]} THEN 1 - truth ELSE truth END)::INTEGER AS v{k + 1}" for k, m in enumerate(MODELS))
+
+
+DEC = f"""flags AS (SELECT l_orderkey AS k, {", ".join(f"max(CASE WHEN l_returnflag = '{f}' THEN 1 ELSE 0 END) AS f_{f}" for f in FLAGS)} FROM lineitem GROUP BY 1),
+lab AS ({" UNION ALL ".join(f"SELECT o_orderkey AS record_key, '{f}' AS label, coalesce(f_{f}, 0)::INTEGER AS truth FROM orders LEFT JOIN flags ON o_orderkey = k" for f in FLAGS)}),
+voted AS (SELECT *, {_votes_sql("record_key::VARCHAR")} FROM lab),
+dec AS (SELECT 'orders' AS dataset, *, concat(v1, v2, v3) AS pattern FROM voted)"""
+SYSTEMS = {"model_1": "v1", "model_2": "v2", "model_3": "v3", "or": "(CASE WHEN v1 + v2 + v3 >= 1 THEN 1 ELSE 0 END)", "majority": "(CASE WHEN v1 + v2 + v3 >= 2 THEN 1 ELSE 0 END)", "and": "(CASE WHEN v1 + v2 + v3 = 3 THEN 1 ELSE 0 END)"}
+SYS = f"""{DEC},
+sys AS ({" UNION ALL ".join(f"SELECT dataset, record_key, label, truth, '{s}' AS system, {c} AS pred FROM dec" for s, c in SYSTEMS.items())})"""
+COUNTS = "count(*) FILTER (WHERE truth = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE truth = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE truth = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE truth = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE truth = 1) AS support, count(*) AS n"
+PRECISION, RECALL, F1 = ratio("tp", "tp + fp"), ratio("tp", "tp + fn"), ratio("2 * tp", "2 * tp + fp + fn")
+SPECIFICITY, FPR, ACCURACY = ratio("tn", "tn + fp"), ratio("fp", "fp + tn"), ratio("tp + tn", "tp + tn + fp + fn")
+BALANCED = f"(({RECALL}) + ({SPECIFICITY})) / 2.0::DOUBLE"
+MCC = ratio("tp::DOUBLE * tn - fp::DOUBLE * fn", "sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn))")
+METRICS = f"{PRECISION} AS precision, {RECALL} AS recall, {F1} AS f1, {SPECIFICITY} AS specificity, {FPR} AS false_positive_rate, {ACCURACY} AS accuracy, {BALANCED} AS balanced_accuracy, {MCC} AS mcc"
+FOLDS = f"""{DEC},
+rec AS (SELECT record_key, coalesce(string_agg(label, '|' ORDER BY label) FILTER (WHERE truth = 1), 'clean') AS stratum FROM dec GROUP BY 1),
+fo AS (SELECT record_key, stratum, ((row_number() OVER (PARTITION BY stratum ORDER BY sha256(concat_ws('|', '{SEED}', record_key))) - 1 + {h(f"concat_ws('|', '{SEED}', stratum)")}) % 5)::INTEGER AS fold FROM rec)"""
+DENSE_OUTER = """cel AS (SELECT fold, label, pattern, count(*) AS n, sum(truth) AS p FROM dec JOIN fo USING (record_key) GROUP BY ALL),
+pairs AS (SELECT DISTINCT label, pattern FROM cel), fs AS (SELECT DISTINCT fold FROM cel),
+dn AS (SELECT fold, label, pattern, coalesce(n, 0) AS n, coalesce(p, 0) AS p FROM fs CROSS JOIN pairs LEFT JOIN cel USING (fold, label, pattern)),
+tr AS (SELECT *, sum(n) OVER (PARTITION BY label, pattern) - n AS train_n, sum(p) OVER (PARTITION BY label, pattern) - p AS train_p,
+       (sum(p) OVER (PARTITION BY label) - sum(p) OVER (PARTITION BY fold, label) + 1)::DOUBLE / (sum(n) OVER (PARTITION BY label) - sum(n) OVER (PARTITION BY fold, label) + 2)::DOUBLE AS prior FROM dn)"""
+
+
+def score(lam: str) -> str:
+    return f"(train_p::DOUBLE + {lam} * prior) / (train_n::DOUBLE + {lam})"
+
+
+SCORED = f"{FOLDS}, {DENSE_OUTER}, sc AS (SELECT *, {score('8.0::DOUBLE')} AS score FROM tr)"
+INNER = f"""{FOLDS},
+ex AS (SELECT o.o AS outer_fold, ({h(f"concat_ws('|', '{SEED}', o.o, record_key)")} % 3)::INTEGER AS fold, label, pattern, truth FROM dec JOIN fo USING (record_key) JOIN (SELECT unnest(range(5))::INTEGER AS o) o ON o.o <> fo.fold),
+icel AS (SELECT outer_fold, fold, label, pattern, count(*) AS n, sum(truth) AS p FROM ex GROUP BY ALL),
+ipairs AS (SELECT DISTINCT label, pattern FROM icel), ifs AS (SELECT DISTINCT outer_fold, fold FROM icel),
+idn AS (SELECT outer_fold, fold, label, pattern, coalesce(n, 0) AS n, coalesce(p, 0) AS p FROM ifs CROSS JOIN ipairs LEFT JOIN icel USING (outer_fold, fold, label, pattern)),
+itr AS (SELECT *, sum(n) OVER (PARTITION BY outer_fold, label, pattern) - n AS train_n, sum(p) OVER (PARTITION BY outer_fold, label, pattern) - p AS train_p,
+       (sum(p) OVER (PARTITION BY outer_fold, label) - sum(p) OVER (PARTITION BY outer_fold, fold, label) + 1)::DOUBLE / (sum(n) OVER (PARTITION BY outer_fold, label) - sum(n) OVER (PARTITION BY outer_fold, fold, label) + 2)::DOUBLE AS prior FROM idn),
+isc AS (SELECT *, {score('8.0::DOUBLE')} AS score FROM itr),
+grid AS (SELECT outer_fold, k::DOUBLE / 20 AS threshold, sum(CASE WHEN score >= k::DOUBLE / 20 THEN p ELSE 0 END) AS tp, sum(CASE WHEN score >= k::DOUBLE / 20 THEN n - p ELSE 0 END) AS fp, sum(CASE WHEN score < k::DOUBLE / 20 THEN p ELSE 0 END) AS fn, sum(CASE WHEN score < k::DOUBLE / 20 THEN n - p ELSE 0 END) AS tn FROM isc, (SELECT unnest(range(1, 20)) AS k) GROUP BY 1, 2)"""
+
+
+def chosen(value: str) -> str:
+    return f"""{INNER}, ranked AS (SELECT outer_fold, threshold, round({value}, 12) AS objective, row_number() OVER (PARTITION BY outer_fold ORDER BY round({value}, 12) DESC, threshold DESC) AS rn FROM grid),
+ch AS (SELECT outer_fold, threshold, objective FROM ranked WHERE rn = 1)"""
+
+
+def crossfit_sql(value: str) -> str:
+    return f"""WITH {chosen(value)}, {DENSE_OUTER}, sc AS (SELECT *, {score('8.0::DOUBLE')} AS score FROM tr)
+SELECT fold, ch.threshold, sum(CASE WHEN score >= ch.threshold THEN p ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN score >= ch.threshold THEN n - p ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN score < ch.threshold THEN p ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN score < ch.threshold THEN n - p ELSE 0 END)::BIGINT AS tn
+FROM sc JOIN ch ON ch.outer_fold = sc.fold GROUP BY fold, ch.threshold"""
+
+
+# ---- scalar functions
+
+_PHRASES = ("Reentrancy Attack", "Re-entrancy", "Integer Overflow", "tx.origin", "DoS", "dos attack", "Timestamp dependency", "timestamp ordering", "Unprotected Ether Withdrawal", "arithmetic access control", "others", "other", "Front-Running", "Unchecked External Call", "short address", "Weak Randomness", "LOCKED ETHER")
+_PHRASES_SQL = "[" + ", ".join(f"'{p}'" for p in _PHRASES) + "][(event_id % " + str(len(_PHRASES)) + ")::INTEGER + 1]"
+
+
+def _phrases(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("event_id") % len(_PHRASES) + 1).cast("int")).alias("category"))
+
+
+def _canonical_sql(ruleset: str) -> str:
+    text = "trim(regexp_replace(lower(category), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+    cases = []
+    for name, exact, phrases in scalar.RULESETS[ruleset]:
+        tests = [f"t = '{e}'" for e in exact] + [f"contains(t, '{p}')" for p in phrases]
+        cases.append(f"WHEN {' OR '.join(tests)} THEN '{name}'")
+    return f"SELECT event_id, category, CASE {' '.join(cases)} END AS canonical FROM (SELECT *, {text} AS t FROM (SELECT event_id, {_PHRASES_SQL} AS category FROM events))"
+
+
+@query(f"SELECT c_custkey, {ratio('c_acctbal', 'c_nationkey')} AS ratio FROM customer")
+def safe_divide(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", scalar.safe_divide(F.col("c_acctbal"), F.col("c_nationkey")).alias("ratio"))
+
+
+@query("SELECT doc_id, sha256(replace(text, chr(13) || chr(10), chr(10))) AS digest FROM documents")
+def code_digest(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalar.code_digest(F.col("text")).alias("digest"))
+
+
+@query(_canonical_sql("A"))
+def canonical_category_a(spark, sf_dir):
+    return _phrases(spark, sf_dir).withColumn("canonical", scalar.canonical_category(F.col("category"), "A"))
+
+
+@query(_canonical_sql("B"))
+def canonical_category_b(spark, sf_dir):
+    return _phrases(spark, sf_dir).withColumn("canonical", scalar.canonical_category(F.col("category"), "B"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM part")
+def normalize_category(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", scalar.normalize_category(F.col("p_type")).alias("name"))
+
+
+@query("SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS key_digest FROM documents")
+def dedupe_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(scalar.dedupe_key(F.col("text")), 256).alias("key_digest"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS file_name FROM pages")
+def safe_filename(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", scalar.safe_filename(F.col("url")).alias("file_name"))
+
+
+@query("SELECT doc_id, concat_ws('::', doc_id, substr(sha256(replace(text, chr(13) || chr(10), chr(10))), 1, 16), lpad(doc_id::VARCHAR, 8, '0')) AS stable_id FROM documents")
+def stable_id(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalar.stable_id(F.col("doc_id"), F.col("text"), F.col("doc_id")).alias("stable_id"))
+
+
+@query("""SELECT c_custkey, sha256('{"id":' || c_custkey || ',"name":"' || c_name || '"}') AS json_hash FROM customer""")
+def json_hash(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", scalar.json_hash({"name": F.col("c_name"), "id": F.col("c_custkey")}).alias("json_hash"))
+
+
+@query(f"SELECT c_custkey, (2026 + {h('concat_ws($$|$$, c_mktsegment, c_name)')}) % 4294967296 AS seed FROM customer")
+def stable_seed(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", scalar.stable_seed(2026, F.col("c_mktsegment"), F.col("c_name")).alias("seed"))
+
+
+_EXACT_SQL = r"sha256(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^[\s\v]+|[\s\v]+$', '', 'g'), '[ \t\v\f\r]+\n', chr(10), 'g'))"
+_LEXICAL_SQL = "replace(text, chr(13) || chr(10), chr(10))"
+for _p, _by in scalar.LEXICAL_STEPS:
+    _LEXICAL_SQL = f"regexp_replace({_LEXICAL_SQL}, $${_p}$$, '{_by}', 'g')"
+_LEXICAL_SQL = f"sha256(array_to_string(regexp_extract_all(lower({_LEXICAL_SQL}), $${scalar.LEXICAL_TOKENS}$$), ' '))".replace("[A-Za-z_$][A-Za-z0-9_$]*", r"[A-Za-z_\x24][A-Za-z0-9_\x24]*")
+
+
+@query(f"SELECT doc_id, {_EXACT_SQL} AS family FROM documents")
+def exact_family(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalar.exact_family(F.col("text")).alias("family"))
+
+
+@query(f"SELECT doc_id, {_LEXICAL_SQL} AS family FROM documents")
+def lexical_family(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalar.lexical_family(F.col("text")).alias("family"))
+
+
+@query(f"WITH {DEC} SELECT label, pattern, count(*) AS decisions, sum(truth)::BIGINT AS positives FROM dec GROUP BY 1, 2")
+def agreement_pattern(spark, sf_dir):
+    return adapters.orders_multilabel(spark, sf_dir).groupBy("label", "pattern").agg(F.count("*").alias("decisions"), F.sum("truth").cast("long").alias("positives"))
+
+
+def _records(decisions: DataFrame) -> DataFrame:
+    labels = F.collect_set(F.when(F.col("truth") == 1, F.col("label")))
+    return decisions.groupBy("record_key").agg(scalar.record_stratum(labels).alias("stratum"))
+
+
+@query(f"WITH {FOLDS} SELECT stratum, count(*) AS records FROM rec GROUP BY 1")
+def stratum(spark, sf_dir):
+    return _records(adapters.orders_multilabel(spark, sf_dir)).groupBy("stratum").agg(F.count("*").alias("records"))
+
+
+@query("""SELECT event_id, CASE WHEN d > 0 THEN d || 'd ' || lpad(hh::VARCHAR, 2, '0') || 'h ' || lpad(mm::VARCHAR, 2, '0') || 'm' WHEN hh > 0 THEN hh || 'h ' || lpad(mm::VARCHAR, 2, '0') || 'm ' || lpad(ss::VARCHAR, 2, '0') || 's' WHEN mm > 0 THEN mm || 'm ' || lpad(ss::VARCHAR, 2, '0') || 's' ELSE ss || 's' END AS duration
+FROM (SELECT event_id, w // 86400 AS d, w % 86400 // 3600 AS hh, w % 3600 // 60 AS mm, w % 60 AS ss FROM (SELECT event_id, round_even(event_id * 37.25::DOUBLE, 0)::BIGINT AS w FROM events))""")
+def format_duration(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalar.format_duration(F.col("event_id") * F.lit(37.25)).alias("duration"))
+
+
+_ATTEMPTS = """att AS (SELECT conv_id, turn, CASE WHEN length(text) % 5 = 0 THEN 'valid_with_rejected_items' WHEN length(text) % 3 = 0 THEN 'valid' ELSE 'parse_or_validation_error' END AS parse_status,
+CASE WHEN length(text) % 7 = 0 THEN 'missing vulnerabilities' WHEN length(text) % 11 = 0 THEN 'CUDA out of memory' WHEN length(text) % 13 = 0 THEN 'category outside the taxonomy' WHEN length(text) % 2 = 0 THEN 'Expecting value' ELSE '' END AS error FROM conversations WHERE role = 'assistant'),
+outc AS (SELECT *, CASE WHEN parse_status = 'valid' THEN 'valid' WHEN contains(lower(error), 'cuda') THEN 'runtime_failure' WHEN contains(error, 'outside the taxonomy') THEN 'taxonomy_violation' WHEN contains(error, 'missing vulnerabilities') THEN 'schema_violation' WHEN contains(lower(error), 'expecting value') THEN 'json_syntax_or_missing_result' WHEN contains(parse_status, 'valid_with_rejected_items') THEN 'other_validation_failure' ELSE 'other_failure' END AS outcome FROM att),
+path AS (SELECT conv_id, count(*) AS attempts, arg_min(outcome, turn) AS first_outcome, count(*) - 1 AS retries, arg_min(outcome, turn) = 'valid' AS native_valid, arg_min(outcome, turn) <> 'valid' AND bool_or(outcome = 'valid') AS recovered, arg_min(outcome, turn) <> 'valid' OR count(*) > 1 AS exposed FROM outc GROUP BY 1)"""
+
+
+@query(f"WITH {_ATTEMPTS} SELECT conv_id, turn, outcome FROM outc")
+def classify_attempt(spark, sf_dir):
+    return predictors.outcome_of(adapters.attempts(spark, sf_dir)).select("conv_id", "turn", "outcome")
+
+
+_CHOICES = ["access_control", "arithmetic", "reentrancy"]
+
+
+def _marked(spark, sf_dir):
+    """Responses with each of the three markers for the set bits of ``event_id % 8``; every ninth one contradicts itself."""
+    bits = [(F.floor(F.col("event_id") / (1 << k)) % 2 == 1) for k in range(3)]
+    names = F.array_compact(F.array(*[F.when(b, F.lit(c)) for b, c in zip(bits, _CHOICES, strict=True)]))
+    ids = F.array_compact(F.array(*[F.when(b, F.lit(str(k + 1))) for k, b in enumerate(bits)]))
+    flags = F.concat_ws(", ", *[b.cast("int").cast("string") for b in bits])
+    none = F.size(names) == 0
+    extra = F.when(F.col("event_id") % 9 == 0, F.lit("\nCATEGORIES=bogus\nLABEL_IDS=7\nBITVECTOR=0,1")).otherwise("")
+    text = F.concat(F.lit("Answer:\nCATEGORIES= "), F.when(none, "NONE").otherwise(F.array_join(names, ", ")), F.lit("\nLABEL_IDS = "), F.when(none, "NONE").otherwise(F.array_join(ids, ",")), F.lit("\nBITVECTOR="), flags, extra)
+    return table(spark, sf_dir, "events").select("event_id", text.alias("response"))
+
+
+_MARKED_SQL = "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE " + "array_to_string(list_filter([" + ", ".join(f"CASE WHEN event_id // {1 << k} % 2 = 1 THEN '{c}' END" for k, c in enumerate(_CHOICES)) + "], lambda x: x IS NOT NULL), ';') END AS categories FROM events"
+
+
+@query(_MARKED_SQL)
+def marker_categories(spark, sf_dir):
+    return _marked(spark, sf_dir).select("event_id", F.array_join(parse.marker_categories(F.col("response"), _CHOICES), ";").alias("categories"))
+
+
+@query(_MARKED_SQL)
+def marker_ids(spark, sf_dir):
+    return _marked(spark, sf_dir).select("event_id", F.array_join(parse.marker_ids(F.col("response"), _CHOICES), ";").alias("categories"))
+
+
+@query(_MARKED_SQL)
+def marker_bits(spark, sf_dir):
+    return _marked(spark, sf_dir).select("event_id", F.array_join(parse.marker_bits(F.col("response"), _CHOICES), ";").alias("categories"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'taxonomy_violation' WHEN 2 THEN 'missing_result' ELSE 'schema_violation' END AS outcome, CASE WHEN event_id % 4 = 0 THEN 'arithmetic;reentrancy' END AS categories FROM events""")
+def extract_json(spark, sf_dir):
+    fence = "```"
+    bodies = (
+        f'Here it is:\n{fence}json\n{{"vulnerabilities": [{{"category": "Reentrancy"}}, {{"category": "arithmetic"}}]}}\n{fence}\nDone.',
+        'note {"x": 1} then {"vulnerabilities": [{"category": "imaginary bug"}]} tail',
+        "no result at all {broken",
+        '{"vulnerabilities": "none"}',
+    )
+    text = F.element_at(F.array(*[F.lit(b) for b in bodies]), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", parse.response_outcome(text, _CHOICES).alias("outcome"), F.array_join(parse.result_categories(text, _CHOICES), ";").alias("categories")).withColumn("categories", F.when(F.col("outcome") == "valid", F.col("categories")))
+
+
+@query("""SELECT doc_id, len(s) AS windows, least(100, n - s[-1]) AS last_length FROM (SELECT doc_id, n, CASE WHEN n <= 100 THEN [0] ELSE range(0, n, 90) END AS s FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents))""")
+def split_windows(spark, sf_dir):
+    windows = scalar.split_windows(F.split("text", " "), 100, 10)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(windows).cast("long").alias("windows"), F.size(F.element_at(windows, -1)).cast("long").alias("last_length"))
+
+
+# ---- metrics
+
+
+def _counts(spark, sf_dir) -> DataFrame:
+    return metrics.system_counts(adapters.orders_multilabel(spark, sf_dir), VOTES)
+
+
+@query(f"WITH {SYS}, c AS (SELECT system, label, {COUNTS} FROM sys GROUP BY 1, 2) SELECT system, label, tp, fp, fn, tn, support, n, {PRECISION} AS precision, {RECALL} AS recall, {F1} AS f1 FROM c")
+def multilabel_per_class(spark, sf_dir):
+    return metrics.with_metrics(_counts(spark, sf_dir).drop("dataset"), "precision", "recall", "f1")
+
+
+@query(f"""WITH {SYS}, c AS (SELECT dataset, system, label, {COUNTS} FROM sys GROUP BY 1, 2, 3), g AS (SELECT dataset, system, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, sum(support)::BIGINT AS support, sum(n)::BIGINT AS n,
+coalesce(round(avg(CASE WHEN support > 0 THEN {F1} END), 12), 0) AS macro_f1, count(*) FILTER (WHERE support > 0) AS supported_classes FROM c GROUP BY 1, 2) SELECT dataset, system, tp, fp, fn, tn, support, n, {METRICS}, macro_f1, supported_classes FROM g""")
+def system_summary(spark, sf_dir):
+    return metrics.system_summary(_counts(spark, sf_dir), ["dataset", "system"])
+
+
+@query(f"WITH {SYS}, c AS (SELECT system, label, {COUNTS} FROM sys GROUP BY 1, 2) SELECT system, coalesce(round(avg(CASE WHEN support > 0 THEN {F1} END), 12), 0) AS macro_f1, count(*) FILTER (WHERE support > 0) AS supported_classes FROM c GROUP BY 1")
+def supported_macro(spark, sf_dir):
+    return metrics.macro(metrics.with_metrics(_counts(spark, sf_dir), "f1"), ["system"], "f1", True)
+
+
+@query(f"WITH {SYS}, c AS (SELECT system, label, {COUNTS} FROM sys WHERE NOT (label = 'R' AND truth = 1) GROUP BY 1, 2) SELECT system, label, tp, fp, fn, tn, support, n, support > 0 AS metric_defined, CASE WHEN support > 0 THEN {PRECISION} END AS precision_report, CASE WHEN support > 0 THEN {RECALL} END AS recall_report, CASE WHEN support > 0 THEN {F1} END AS f1_report, CASE WHEN support > 0 THEN 0 ELSE fp END AS zero_support_false_positives FROM c")
+def support_aware(spark, sf_dir):
+    """Label R without its positives: a class without support."""
+    decisions = adapters.orders_multilabel(spark, sf_dir).where("not (label = 'R' and truth = 1)")
+    return metrics.support_report(metrics.system_counts(decisions, VOTES).drop("dataset"))
+
+
+def _sample_sql(empty: str) -> str:
+    return f"""WITH {SYS}, r AS (SELECT system, record_key, {COUNTS} FROM sys GROUP BY 1, 2), s AS (SELECT system, CASE WHEN tp + fp + fn = 0 THEN {empty} ELSE {F1} END AS score, fp + fn = 0 AS exact FROM r), t AS (SELECT system, score, count(*) AS m, count(*) FILTER (WHERE exact) AS e FROM s GROUP BY 1, 2)
+SELECT system, round(sum(score * m) / sum(m), 9) AS sample_f1, {ratio('sum(e)', 'sum(m)')} AS exact_match_ratio, sum(m)::BIGINT AS records FROM t GROUP BY 1"""
+
+
+@query(_sample_sql("1.0::DOUBLE"))
+def sample_f1(spark, sf_dir):
+    long = metrics.long_systems(adapters.orders_multilabel(spark, sf_dir), metrics.vote_systems(VOTES))
+    return metrics.sample_scores(metrics.record_counts(long, ["system"]), ["system"], 1.0)
+
+
+@query(_sample_sql("0.0::DOUBLE"))
+def sample_f1_empty_zero(spark, sf_dir):
+    long = metrics.long_systems(adapters.orders_multilabel(spark, sf_dir), metrics.vote_systems(VOTES))
+    return metrics.sample_scores(metrics.record_counts(long, ["system"]), ["system"], 0.0)
+
+
+_LINES = f"""lab AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS record_key, 'returned' AS label, (CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::INTEGER AS truth FROM lineitem),
+dec AS (SELECT 'lineitem' AS dataset, *, {_votes_sql("record_key")} FROM lab)"""
+
+
+@query(f"""WITH {_LINES}, sys AS ({" UNION ALL ".join(f"SELECT truth, '{s}' AS system, {c} AS pred FROM dec" for s, c in SYSTEMS.items())}), c AS (SELECT system, {COUNTS} FROM sys GROUP BY 1) SELECT system, tp, fp, fn, tn, support, n, {METRICS} FROM c""")
+def binary_confusion(spark, sf_dir):
+    counts = metrics.system_counts(adapters.lineitem_binary(spark, sf_dir), VOTES)
+    return metrics.with_metrics(metrics.pooled(counts, ["system"]), *metrics.ALL)
+
+
+# ---- audits
+
+
+@query(f"WITH {_ATTEMPTS} SELECT * FROM path")
+def recovery_path(spark, sf_dir):
+    return audit.recovery_path(predictors.outcome_of(adapters.attempts(spark, sf_dir)), "conv_id", "turn")
+
+
+@query(f"""WITH {_ATTEMPTS} SELECT count(*) AS records, count(*) FILTER (WHERE native_valid) AS native_valid, count(*) FILTER (WHERE recovered) AS recovered, count(*) FILTER (WHERE exposed) AS exposed, sum(retries)::BIGINT AS retries, {ratio('count(*) FILTER (WHERE native_valid)', 'count(*)')} AS native_valid_rate, {ratio('count(*) FILTER (WHERE exposed)', 'count(*)')} AS exposure_rate, {", ".join(f"count(*) FILTER (WHERE first_outcome = '{o}') AS first_{o}" for o in audit.OUTCOMES)} FROM path""")
+def repair_exposure(spark, sf_dir):
+    return audit.exposure_summary(audit.recovery_path(predictors.outcome_of(adapters.attempts(spark, sf_dir)), "conv_id", "turn"))
+
+
+def _sensitive(spark, sf_dir) -> DataFrame:
+    native = [(scalar.hash32(F.concat_ws("|", F.lit(f"native{k}"), F.col("record_key").cast("string"))) % 10 < 8 - k).alias(f"v{k}_native") for k in (1, 2, 3)]
+    return adapters.orders_multilabel(spark, sf_dir).select("*", *native)
+
+
+_NATIVE = ", ".join(f"""{h(f"concat_ws('|', 'native{k}', record_key)")} % 10 < {8 - k} AS v{k}_native""" for k in (1, 2, 3))
+_EVERY = "v1_native AND v2_native AND v3_native"
+_SENSITIVE = f"""{DEC}, nat AS (SELECT *, {_NATIVE} FROM dec), pol AS ({" UNION ALL ".join(f"SELECT 'v{k}' AS model, {k} AS ord, '{p}' AS policy, truth, {e} AS pred FROM nat WHERE {w}" for k in (1, 2, 3) for p, e, w in (("final_all", f"v{k}", "true"), ("first_attempt_strict_all", f"CASE WHEN v{k}_native THEN v{k} ELSE 0 END", "true"), ("all_recovery_as_empty", f"CASE WHEN v{k}_native THEN v{k} ELSE 0 END", "true"), ("common_native_valid", f"v{k}", _EVERY)))}),
+pc AS (SELECT model, ord, policy, {COUNTS} FROM pol GROUP BY 1, 2, 3), pv AS (SELECT *, {F1} AS primary_value FROM pc),
+sens AS (SELECT model, policy, n, tp, fp, fn, primary_value, primary_value - max(CASE WHEN policy = 'final_all' THEN primary_value END) OVER (PARTITION BY model) AS delta_primary_vs_final_all, (row_number() OVER (PARTITION BY policy ORDER BY primary_value DESC, ord))::INTEGER AS ranking FROM pv)"""
+
+
+@query(f"WITH {_SENSITIVE} SELECT * FROM sens")
+def sensitivity_policies(spark, sf_dir):
+    return audit.sensitivity(_sensitive(spark, sf_dir), VOTES)
+
+
+@query(f"""WITH {_SENSITIVE}, m AS (SELECT model, count(DISTINCT ranking) AS ranks, max(CASE WHEN policy IN ('first_attempt_strict_all', 'all_recovery_as_empty') THEN abs(delta_primary_vs_final_all) END) AS delta FROM sens GROUP BY 1) SELECT round(max(delta), 12) AS max_absolute_primary_delta, max(ranks) = 1 AS ranking_stable, max(ranks) = 1 AND max(delta) <= 0.01::DOUBLE AS passed FROM m""")
+def sensitivity_ranking(spark, sf_dir):
+    return audit.sensitivity_assessment(audit.sensitivity(_sensitive(spark, sf_dir), VOTES))
+
+
+# ---- folds and calibration
+
+
+def _folded(spark, sf_dir) -> DataFrame:
+    decisions = adapters.orders_multilabel(spark, sf_dir)
+    return decisions.join(folds.stratified_folds(_records(decisions), 5, SEED), "record_key")
+
+
+@query(f"WITH {FOLDS} SELECT record_key, stratum, fold FROM fo")
+def fold_assignment(spark, sf_dir):
+    return folds.stratified_folds(_records(adapters.orders_multilabel(spark, sf_dir)), 5, SEED).select("record_key", "stratum", "fold")
+
+
+@query(f"WITH {DEC}, c AS (SELECT label, pattern, count(*) AS n, sum(truth)::BIGINT AS p FROM dec GROUP BY 1, 2) SELECT *, (sum(p) OVER (PARTITION BY label) + 1)::DOUBLE / (sum(n) OVER (PARTITION BY label) + 2)::DOUBLE AS prior FROM c")
+def calibration_table(spark, sf_dir):
+    return calibrate.calibration_table(calibrate.cells(adapters.orders_multilabel(spark, sf_dir), []), [])
+
+
+def _scored(spark, sf_dir, shrinkage=(8.0,)) -> DataFrame:
+    return calibrate.held_out_scores(calibrate.dense(calibrate.cells(_folded(spark, sf_dir), ["fold"]), ["fold"]), list(shrinkage))
+
+
+@query(f"WITH {SCORED} SELECT fold, label, pattern, n, p::BIGINT AS p, round(score, 12) AS score FROM sc")
+def oof_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("fold", "label", "pattern", "n", "p", F.round("score", 12).alias("score"))
+
+
+@query(f"WITH {chosen(F1)} SELECT * FROM ch")
+def threshold_selection(spark, sf_dir):
+    return calibrate.crossfit(_folded(spark, sf_dir), seed=SEED)[0]
+
+
+@query(crossfit_sql(F1))
+def crossfit_summary(spark, sf_dir):
+    return calibrate.crossfit(_folded(spark, sf_dir), seed=SEED)[1]
+
+
+@query(crossfit_sql(BALANCED))
+def crossfit_balanced(spark, sf_dir):
+    return calibrate.crossfit(_folded(spark, sf_dir), seed=SEED, objective_name="balanced_accuracy")[1]
+
+
+@query(f"""WITH {FOLDS}, {DENSE_OUTER}, l AS (SELECT unnest([2.0, 4.0, 8.0, 16.0, 32.0])::DOUBLE AS shrinkage), g AS (SELECT shrinkage, sum(CASE WHEN {score('shrinkage')} >= 0.5::DOUBLE THEN p ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN {score('shrinkage')} >= 0.5::DOUBLE THEN n - p ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN {score('shrinkage')} < 0.5::DOUBLE THEN p ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN {score('shrinkage')} < 0.5::DOUBLE THEN n - p ELSE 0 END)::BIGINT AS tn FROM tr, l GROUP BY 1), v AS (SELECT *, {F1} AS f1 FROM g)
+SELECT *, f1 - (SELECT f1 FROM v WHERE shrinkage = 8) AS delta FROM v""")
+def shrinkage_sweep(spark, sf_dir):
+    grid = calibrate.threshold_grid(_scored(spark, sf_dir, (2.0, 4.0, 8.0, 16.0, 32.0)), ["shrinkage"], [0.5]).drop("threshold")
+    rows = metrics.with_metrics(grid, "f1")
+    base = rows.where("shrinkage = 8").select(F.col("f1").alias("base"))
+    return rows.crossJoin(F.broadcast(base)).select("shrinkage", "tp", "fp", "fn", "tn", "f1", (F.col("f1") - F.col("base")).alias("delta"))  # one row
+
+
+_BIN = "CASE " + " ".join(f"WHEN score >= {k}::DOUBLE / 10 THEN {k}" for k in range(9, 0, -1)) + " ELSE 0 END"
+
+
+@query(f"""WITH {SCORED}, b AS (SELECT {_BIN} AS bin_index, sum(n) AS n, sum(p) AS p, sum(score * n) AS s FROM sc GROUP BY 1), f AS (SELECT unnest(range(10))::INTEGER AS bin_index)
+SELECT bin_index, bin_index / 10.0::DOUBLE AS lower, (bin_index + 1) / 10.0::DOUBLE AS upper, coalesce(n, 0)::BIGINT AS decisions, round(coalesce(s / n, 0), 9) AS mean_posterior, round(coalesce(p::DOUBLE / n, 0), 9) AS empirical_positive_rate, round(coalesce(abs(s / n - p::DOUBLE / n), 0), 9) AS absolute_gap FROM f LEFT JOIN b USING (bin_index)""")
+def reliability_bins(spark, sf_dir):
+    return selective.reliability_bins(_scored(spark, sf_dir), [])
+
+
+@query(f"""WITH {SCORED}, b AS (SELECT label, {_BIN} AS bin_index, sum(n) AS n, sum(p) AS p, sum(score * n) AS s, sum(p * (1 - score) ** 2 + (n - p) * score ** 2) AS q FROM sc GROUP BY 1, 2)
+SELECT label, round(sum(q) / sum(n), 9) AS brier_score, round(sum(abs(s - p)) / sum(n), 9) AS ece, sum(n)::BIGINT AS class_decisions, {ratio('sum(p)', 'sum(n)')} AS prevalence, count(*) FILTER (WHERE n > 0) AS nonempty_bins FROM b GROUP BY 1""")
+def class_calibration(spark, sf_dir):
+    return selective.calibration_summary(_scored(spark, sf_dir), ["label"])
+
+
+@query(f"""WITH {SCORED}, q AS (SELECT unnest([0.8, 0.9, 0.95])::DOUBLE AS confidence), e AS (SELECT confidence, n, p, score, score >= confidence AS up, score <= 1.0::DOUBLE - confidence AND score < confidence AS down FROM sc, q),
+g AS (SELECT confidence, sum(n)::BIGINT AS total, sum(CASE WHEN up OR down THEN n ELSE 0 END)::BIGINT AS accepted, sum(CASE WHEN up THEN n ELSE 0 END)::BIGINT AS alerts, sum(CASE WHEN up THEN p ELSE 0 END)::BIGINT AS alert_tp, sum(CASE WHEN down THEN n ELSE 0 END)::BIGINT AS negatives, sum(CASE WHEN down THEN p ELSE 0 END)::BIGINT AS negative_fn, sum(p)::BIGINT AS positives, sum(CASE WHEN score >= 0.5 THEN n ELSE 0 END)::BIGINT AS candidates FROM e GROUP BY 1)
+SELECT confidence, total AS class_decisions_total, accepted AS accepted_decisions, total - accepted AS abstained_decisions, {ratio('accepted', 'total')} AS decision_coverage, {ratio('alerts - alert_tp + negative_fn', 'accepted')} AS accepted_decision_risk, alerts AS accepted_positive_alerts, {ratio('alert_tp', 'alerts')} AS accepted_positive_precision, {ratio('alerts', 'candidates')} AS accepted_positive_alert_coverage, {ratio('alert_tp', 'positives')} AS ground_truth_positive_recall, negatives AS accepted_negative_decisions, {ratio('negative_fn', 'negatives')} AS accepted_negative_error_risk FROM g""")
+def selective_curve(spark, sf_dir):
+    return selective.selective_curve(_scored(spark, sf_dir), [0.80, 0.90, 0.95], [])
+
+
+@query(f"""WITH {SCORED}, t AS (SELECT label, round(score, 12) AS score, sum(n) AS n, sum(p) AS p FROM sc GROUP BY 1, 2), r AS (SELECT *, p * (2 * coalesce(sum(n - p) OVER (PARTITION BY label ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n - p) AS twice FROM t)
+SELECT label, round(CASE WHEN sum(p) > 0 AND sum(n - p) > 0 THEN sum(twice)::DOUBLE / (2.0::DOUBLE * sum(p) * sum(n - p)) END, 12) AS auc, sum(p)::BIGINT AS positives, sum(n - p)::BIGINT AS negatives FROM r GROUP BY 1""")
+def auc(spark, sf_dir):
+    return selective.auc(_scored(spark, sf_dir).withColumn("score", F.round("score", 12)), ["label"])
+
+
+_MECHANISM = f"{DEC}, s AS (SELECT label, pattern, truth, {SYSTEMS['majority']} AS majority, {SYSTEMS['or']} AS any_vote, v1 FROM dec)"
+
+
+def _mechanism(spark, sf_dir):
+    total = F.col("v1") + F.col("v2") + F.col("v3")
+    decisions = adapters.orders_multilabel(spark, sf_dir).select("label", "pattern", "truth", (total >= 2).cast("int").alias("majority"), (total >= 1).cast("int").alias("any_vote"), "v1")
+    return audit.mechanism(decisions, ["majority", "any_vote", "v1"], "majority")
+
+
+@query(f"WITH {_MECHANISM} SELECT label, pattern, count(*) AS decisions, sum(truth)::BIGINT AS truth_positive, {', '.join(f'sum({x})::BIGINT AS {x}_positive, sum({x} * truth)::BIGINT AS {x}_tp' for x in ('majority', 'any_vote', 'v1'))} FROM s GROUP BY 1, 2")
+def pattern_diagnostics(spark, sf_dir):
+    return _mechanism(spark, sf_dir)[0]
+
+
+@query(f"WITH {_MECHANISM} SELECT count(*) AS class_decisions, sum(majority)::BIGINT AS positive_decisions, sum(CASE WHEN pattern = '000' THEN majority ELSE 0 END)::BIGINT AS positive_from_all_zero, {ratio('sum(CASE WHEN pattern = $$000$$ THEN majority ELSE 0 END)', 'sum(majority)')} AS fraction_from_all_zero, count(*) FILTER (WHERE majority <> any_vote) AS disagreement_any_vote, count(*) FILTER (WHERE majority <> v1) AS disagreement_v1 FROM s")
+def mechanism_summary(spark, sf_dir):
+    return _mechanism(spark, sf_dir)[1]
+
+
+@query(f"WITH {FOLDS}, {DENSE_OUTER} SELECT fold, label, (sum(train_p) + 1)::DOUBLE / (sum(train_n) + 2)::DOUBLE AS score FROM tr GROUP BY 1, 2")
+def prevalence_baseline(spark, sf_dir):
+    return stacking.prevalence_scores(_scored(spark, sf_dir).select("fold", "label", F.col("train_n").alias("n"), F.col("train_p").alias("p")), ["fold"])
+
+
+@query()
+def logistic_stacker(spark, sf_dir):
+    """Scores of the stacker at the C and threshold that suit each outer fold's training cells best."""
+    train = _scored(spark, sf_dir).select("fold", "label", "pattern", "train_n", "train_p")
+    scores = stacking.logistic_scores(train, ["fold"])
+    at = scores.join(train, ["fold", "label", "pattern"]).select("fold", "c", "score", F.col("train_n").alias("n"), F.col("train_p").alias("p"))
+    return stacking.select_joint(calibrate.threshold_grid(at, ["fold", "c"]), ["fold"], calibrate.objective("micro_f1"))
+
+
+# ---- statistics
+
+
+def _paired(spark, sf_dir) -> DataFrame:
+    """Contributions of each record for each pair of models."""
+    t = F.col("truth") == 1
+    per_model = [F.sum((cond & (F.col(v) == p)).cast("int")).alias(f"{name}{k}") for k, v in enumerate(VOTES) for name, cond, p in (("tp", t, 1), ("fp", ~t, 1), ("fn", t, 0))]
+    records = adapters.orders_multilabel(spark, sf_dir).groupBy("record_key").agg(*per_model)
+    pairs = [F.struct(F.lit(MODELS[a]).alias("model_a"), F.lit(MODELS[b]).alias("model_b"), *[F.col(f"{n}{k}").alias(f"{n}_{s}") for k, s in ((a, "a"), (b, "b")) for n in ("tp", "fp", "fn")]) for a, b in ((0, 1), (0, 2), (1, 2))]
+    return records.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
+
+@query()
+def paired_bootstrap(spark, sf_dir):
+    by = ["model_a", "model_b"]
+    tests = resample.paired_tests(resample.contribution_histogram(_paired(spark, sf_dir), by), by, repetitions=2000)
+    return resample.holm(tests.withColumn("family", F.lit("micro_f1")), ["family"], "permutation_p", "model_a")
+
+
+_STEPS = resample.poisson_steps()
+_POISSON = " + ".join(f"(CASE WHEN hv >= {s} THEN 1 ELSE 0 END)" for s in _STEPS)
+
+
+@query(f"""WITH {DEC}, r AS (SELECT record_key, sum(truth * v1) AS tp, sum((1 - truth) * v1) AS fp, sum(truth * (1 - v1)) AS fn FROM dec GROUP BY 1), e AS (SELECT rep, tp, fp, fn, {h("concat_ws('|', '2026', rep, record_key)")} AS hv FROM r, (SELECT unnest(range(20)) AS rep)), w AS (SELECT rep, sum(tp * ({_POISSON})) AS tp, sum(fp * ({_POISSON})) AS fp, sum(fn * ({_POISSON})) AS fn FROM e GROUP BY 1), v AS (SELECT {F1} AS f FROM w)
+SELECT round(quantile_cont(f, 0.025), 9) AS ci_low, round(quantile_cont(f, 0.975), 9) AS ci_high, count(*) AS repetitions FROM v""")
+def bootstrap_ci_hash(spark, sf_dir):
+    t = F.col("truth")
+    records = adapters.orders_multilabel(spark, sf_dir).groupBy("record_key").agg(F.sum(t * F.col("v1")).alias("tp"), F.sum((1 - t) * F.col("v1")).alias("fp"), F.sum(t * (1 - F.col("v1"))).alias("fn"))
+    return resample.hashed_bootstrap(records, [], 20, 2026)
+
+
+@query(f"""WITH t AS (SELECT s_nationkey AS family, s_suppkey AS test, ({h("s_name")} % 1000)::DOUBLE / 10000 AS p_value FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p_value, test) AS k, count(*) OVER (PARTITION BY family) AS m FROM t), a AS (SELECT family, test, p_value, max(least(1.0::DOUBLE, (m - k + 1) * p_value)) OVER (PARTITION BY family ORDER BY k) AS holm_p FROM r) SELECT *, holm_p < 0.05::DOUBLE AS significant FROM a""")
+def holm(spark, sf_dir):
+    tests = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("family"), F.col("s_suppkey").alias("test"), ((scalar.hash32(F.col("s_name")) % 1000).cast("double") / 10000).alias("p_value"))
+    return resample.holm(tests, ["family"], "p_value", "test")
+
+
+# ---- families
+
+_FAMILIES = f"""d AS (SELECT lang AS dataset, {_LEXICAL_SQL} AS family, toxic AS truth FROM documents LEFT JOIN labels USING (doc_id)), ft AS (SELECT dataset, family, count(*) AS records, count(DISTINCT truth) AS truths FROM d GROUP BY 1, 2)"""
+
+
+def _family_table(spark, sf_dir) -> DataFrame:
+    return families.family_table(adapters.families(spark, sf_dir), scalar.lexical_family(F.col("text")))
+
+
+@query(f"WITH {_FAMILIES} SELECT dataset, sum(records)::BIGINT AS records, count(*) AS families, count(*) FILTER (WHERE records > 1) AS multi_record_families, sum(CASE WHEN records > 1 THEN records ELSE 0 END)::BIGINT AS records_in_multi, max(records) AS largest_family, count(*) FILTER (WHERE truths > 1) AS conflicting_families FROM ft GROUP BY 1")
+def family_audit(spark, sf_dir):
+    return families.family_audit(_family_table(spark, sf_dir))
+
+
+def _halves(spark, sf_dir) -> DataFrame:
+    """Families of two halves of the documents, by parity of the id, as two datasets."""
+    records = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("dataset"), "text", F.lit(None).cast("int").alias("truth"))
+    return families.family_table(records, scalar.lexical_family(F.col("text")))
+
+
+@query(f"WITH f AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, {_LEXICAL_SQL} AS family, count(*) AS records FROM documents GROUP BY 1, 2) SELECT a.dataset AS dataset_a, b.dataset AS dataset_b, count(*) AS shared_families, sum(a.records)::BIGINT AS records_a, sum(b.records)::BIGINT AS records_b FROM f a JOIN f b ON a.family = b.family AND a.dataset < b.dataset GROUP BY 1, 2")
+def cross_overlap(spark, sf_dir):
+    return families.cross_overlap(_halves(spark, sf_dir))
+
+
+def _family_folds(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    records = adapters.families(spark, sf_dir).select("dataset", "record_key", scalar.lexical_family(F.col("text")).alias("family"), F.coalesce(F.col("truth").cast("string"), F.lit("none")).alias("stratum"), "truth")
+    summary = records.groupBy("dataset", "family", "stratum").agg(F.count("*").alias("n"))
+    return records, folds.grouped_folds(summary, 5, SEED)
+
+
+@query()
+def grouped_folds(spark, sf_dir):
+    return _family_folds(spark, sf_dir)[1]
+
+
+@query()
+def grouped_crossfit(spark, sf_dir):
+    """Cross-fitted toxicity votes with every family whole in one fold."""
+    records, fold = _family_folds(spark, sf_dir)
+    labelled = adapters.with_votes(records.where("truth is not null").withColumn("label", F.lit("toxic"))).join(records.select("record_key", "family"), "record_key")
+    decisions = labelled.join(fold, ["dataset", "family"])
+    return calibrate.crossfit(decisions, seed=SEED)[1]
+
+
+# ---- integrity, samples, progress
+
+
+def _run(spark, sf_dir) -> DataFrame:
+    """Events as prediction rows; every tenth manifest entry was not written."""
+    return table(spark, sf_dir, "events").where("event_id % 10 <> 3").select("event_id", "user_id", F.when(F.col("value") > 50, F.array("event_type")).otherwise(F.array().cast("array<string>")).alias("findings"))
+
+
+@query(f"SELECT user_id, count(*) AS records_expected, count(*) FILTER (WHERE event_id % 10 <> 3) AS records_written, count(*) FILTER (WHERE event_id % 10 = 3) AS records_missing, count(*) FILTER (WHERE event_id % 10 <> 3 AND value > 50) AS records_with_findings, (count(*) FILTER (WHERE event_id % 10 <> 3 AND value > 50))::BIGINT AS total_findings FROM events GROUP BY 1")
+def coverage(spark, sf_dir):
+    manifest = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return validate.coverage(validate.manifest_join(manifest, _run(spark, sf_dir), "event_id", "findings"), ["user_id"], F.size("findings"))
+
+
+@query("SELECT event_id, user_id, event_id % 10 <> 3 AS written, (CASE WHEN event_id % 10 <> 3 AND value > 50 THEN 1 ELSE 0 END)::INTEGER AS findings FROM events")
+def manifest_left_join(spark, sf_dir):
+    joined = validate.manifest_join(table(spark, sf_dir, "events").select("event_id", "user_id"), _run(spark, sf_dir), "event_id", "findings")
+    return joined.select("event_id", "user_id", "written", F.size("findings").alias("findings"))
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS view, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type NOT IN ('view', 'click')) AS other FROM events GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return validate.status_counts(table(spark, sf_dir, "events"), ["user_id"], "event_type", ("view", "click"))
+
+
+@query("""SELECT 'duplicate_key' AS problem, count(*) AS violations FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT 'unknown_order', count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL SELECT 'order_without_lines', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def validation_report(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    sides = validate.key_set_difference(lines, orders, ["l_orderkey"])
+    parts = [(validate.duplicate_keys(lines, ["l_orderkey", "l_linenumber"]), "duplicate_key"), (sides.where("side = 'a'"), "unknown_order"), (sides.where("side = 'b'"), "order_without_lines")]
+    out = [df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("problem"), "violations") for df, name in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("SELECT l_partkey, count(DISTINCT l_returnflag) AS \"values\" FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
+def conflicting_labels(spark, sf_dir):
+    return validate.conflicting_values(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_returnflag")
+
+
+@query("SELECT n_nationkey, c_mktsegment FROM (SELECT DISTINCT n_nationkey FROM nation), (SELECT DISTINCT c_mktsegment FROM customer) EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9000")
+def missing_matrix(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    expected = table(spark, sf_dir, "nation").select("n_nationkey").distinct().crossJoin(F.broadcast(customers.select("c_mktsegment").distinct()))  # two small dimensions
+    return validate.missing(expected, customers.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment"), ["n_nationkey", "c_mktsegment"])
+
+
+@query("""SELECT user_id, completed, expected, percent, mean_runtime, eta_seconds, CASE WHEN w // 3600 > 0 THEN (w // 3600) || 'h ' || lpad((w % 3600 // 60)::VARCHAR, 2, '0') || 'm ' || lpad((w % 60)::VARCHAR, 2, '0') || 's' WHEN w // 60 > 0 THEN (w // 60) || 'm ' || lpad((w % 60)::VARCHAR, 2, '0') || 's' ELSE w || 's' END AS eta
+FROM (SELECT *, round_even(eta_seconds, 0)::BIGINT AS w FROM (SELECT *, 100.0::DOUBLE * (completed::DOUBLE / expected) AS percent, round(mean_runtime * greatest(0, expected - completed), 3) AS eta_seconds FROM (SELECT user_id, count(*) AS completed, 200 AS expected, round(avg(value), 6) AS mean_runtime FROM events GROUP BY 1)))""")
+def progress_eta(spark, sf_dir):
+    return validate.progress(table(spark, sf_dir, "events"), ["user_id"], F.lit(200), "value")
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
+def dedupe_first(spark, sf_dir):
+    return folds.dedupe_first(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"])
+
+
+@query("SELECT doc_id, toxic FROM (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY sha256(concat_ws('|', '2026', doc_id))) AS r FROM labels) WHERE r <= CASE toxic WHEN 1 THEN 13 ELSE 12 END")
+def balanced_sample(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return folds.balanced_sample(labels, "toxic", folds.balanced_targets(1 << 40, 1 << 40, 25), 2026, "doc_id")
+
+
+@query("SELECT (o_orderkey % 3)::INTEGER AS shard, count(*) AS records, min(o_orderkey) AS first_key FROM orders GROUP BY 1")
+def shards(spark, sf_dir):
+    return folds.shards(table(spark, sf_dir, "orders"), "o_orderkey", 3).groupBy("shard").agg(F.count("*").alias("records"), F.min("o_orderkey").alias("first_key"))
+
+
+@query("SELECT o_custkey, count(*) AS rows, count(DISTINCT o_orderstatus) AS versions FROM orders GROUP BY 1")
+def consistent_duplicates(spark, sf_dir):
+    return validate.consistent_duplicates(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"), ["o_custkey"])
+
+
+@query("SELECT c_mktsegment, arg_max(c_nationkey, n * 1000 + c_nationkey) AS modal_value, max(n) AS frequency FROM (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1")
+def modal_count(spark, sf_dir):
+    return validate.modal_count(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_nationkey")
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN contains(p_type, 'STEEL') THEN 'arithmetic' END, CASE WHEN contains(p_type, 'TIN') THEN 'reentrancy' END], lambda x: x IS NOT NULL))), ';') AS categories, 'CATEGORIES' AS protocol FROM (SELECT p_partkey, upper(p_type) AS p_type FROM part)")
+def closed_choice(spark, sf_dir):
+    predictor = predictors.keyword_predictor({"steel": "arithmetic", "tin": "reentrancy"})
+    out = predictors.closed_choice(table(spark, sf_dir, "part"), "p_partkey", "p_type", predictor, ["arithmetic", "reentrancy"])
+    return out.select("p_partkey", F.array_join(F.array_sort("categories"), ";").alias("categories"), "protocol")
