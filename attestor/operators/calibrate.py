@@ -6,7 +6,7 @@ records are read once for the counts and once more only where rows for each reco
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_divide
@@ -39,13 +39,14 @@ def held_out_scores(cell_counts: DataFrame, shrinkage: list[float], fold: str =
     ``cell_counts`` has n and p by ``by``, fold, label and pattern. Training counts are totals less the fold's own.
     """
     by = by or []
-    totals = cell_counts.groupBy(*by, "label", "pattern").agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
-    label_totals = cell_counts.groupBy(*by, "label").agg(F.sum("n").alias("label_n"), F.sum("p").alias("label_p"))
-    own = cell_counts.groupBy(*by, fold, "label").agg(F.sum("n").alias("own_n"), F.sum("p").alias("own_p"))
-    joined = cell_counts.join(totals, [*by, "label", "pattern"]).join(label_totals, [*by, "label"]).join(own, [*by, fold, "label"])
-    prior = (F.col("label_p") - F.col("own_p") + 1.0) / (F.col("label_n") - F.col("own_n") + 2.0)
+
+    def total(value: str, *columns: str) -> Column:  # windows over cells: folds times patterns, never records
+        return F.sum(value).over(Window.partitionBy(*by, *columns))
+
+    others_p, others_n = (total(v, "label") - total(v, fold, "label") for v in ("p", "n"))
+    joined = cell_counts.select("*", (total("n", "label", "pattern") - F.col("n")).alias("train_n"), (total("p", "label", "pattern") - F.col("p")).alias("train_p"), ((others_p + 1.0) / (others_n + 2.0)).alias("prior"))
     lam = F.explode(F.array(*[F.lit(float(x)) for x in shrinkage]))
-    out = joined.select(*by, fold, "label", "pattern", "n", "p", (F.col("all_n") - F.col("n")).alias("train_n"), (F.col("all_p") - F.col("p")).alias("train_p"), prior.alias("prior"), lam.alias("shrinkage"))
+    out = joined.select(*by, fold, "label", "pattern", "n", "p", "train_n", "train_p", "prior", lam.alias("shrinkage"))
     return out.withColumn("score", calibrated(F.col("train_n"), F.col("train_p"), F.col("prior"), F.col("shrinkage")))
 
 
@@ -88,12 +89,23 @@ def inner_frames(decisions: DataFrame, folds: int, inner_folds: int, seed: int)
     return cells(expanded.withColumn("fold", inner), ["outer_fold", "fold"])
 
 
-def dense(cell_counts: DataFrame, by: list[str]) -> DataFrame:
-    """``cell_counts`` with zero rows for label-pattern pairs that a group lacks (labels and patterns are few)."""
-    groups = cell_counts.select(*by).distinct()
-    pairs = cell_counts.select("label", "pattern").distinct()
-    frame = groups.crossJoin(F.broadcast(pairs))  # folds by at most 8 patterns of each declared label
-    return frame.join(cell_counts, [*by, "label", "pattern"], "left").select(*by, "label", "pattern", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("p", F.lit(0)).alias("p"))
+def dense(cell_counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """``cell_counts`` with a row for every value (0 up to its size) of the fold columns in ``sizes``, zeros where a
+    label-pattern pair has no count. A pair's few cells are gathered once and looked up; nothing is joined.
+    """
+    by = list(sizes)
+    frame = cell_counts.groupBy("label", "pattern").agg(F.collect_list(F.struct(*by, "n", "p")).alias("found"))
+    for c, size in sizes.items():
+        frame = frame.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(c))
+
+    def here(cell: Column) -> Column:
+        out = F.lit(True)
+        for c in by:
+            out = out & (cell[c] == F.col(c))
+        return out
+
+    hit = F.try_element_at(F.filter("found", here), F.lit(1))
+    return frame.select(*by, "label", "pattern", F.coalesce(hit["n"], F.lit(0)).alias("n"), F.coalesce(hit["p"], F.lit(0)).alias("p"))
 
 
 def crossfit(decisions: DataFrame, folds: int = 5, inner_folds: int = 3, shrinkage: float = 8.0, seed: int = 20260811, objective_name: str = "micro_f1") -> tuple[DataFrame, DataFrame]:
@@ -101,10 +113,10 @@ def crossfit(decisions: DataFrame, folds: int = 5, inner_folds: int = 3, shrinka
 
     ``decisions`` has record_key, label, pattern, truth and fold.
     """
-    inner = dense(inner_frames(decisions, folds, inner_folds, seed), ["outer_fold", "fold"])
+    inner = dense(inner_frames(decisions, folds, inner_folds, seed), {"outer_fold": folds, "fold": inner_folds})
     scored = held_out_scores(inner, [shrinkage], by=["outer_fold"])
     chosen = select_threshold(threshold_grid(scored, ["outer_fold"]), ["outer_fold"], objective(objective_name))
-    outer = held_out_scores(dense(cells(decisions, ["fold"]), ["fold"]), [shrinkage])
+    outer = held_out_scores(dense(cells(decisions, ["fold"]), {"fold": folds}), [shrinkage])
     at = outer.join(F.broadcast(chosen.select(F.col("outer_fold").alias("fold"), "threshold")), "fold")
     positive = F.col("score") >= F.col("threshold")
     counts = at.groupBy("fold", "threshold").agg(

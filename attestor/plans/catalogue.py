@@ -384,7 +384,7 @@ def calibration_table(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, shrinkage=(8.0,)) -> DataFrame:
-    return calibrate.held_out_scores(calibrate.dense(calibrate.cells(_folded(spark, sf_dir), ["fold"]), ["fold"]), list(shrinkage))
+    return calibrate.held_out_scores(calibrate.dense(calibrate.cells(_folded(spark, sf_dir), ["fold"]), {"fold": 5}), list(shrinkage))
 
 
 @query(f"WITH {SCORED} SELECT fold, label, pattern, n, p::BIGINT AS p, round(score, 12) AS score FROM sc")
