@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import safe_divide
 
 OUTCOMES = ("valid", "runtime_failure", "taxonomy_violation", "schema_violation", "json_syntax_or_missing_result", "other_validation_failure", "other_failure")
-POLICIES = ("final_all", "first_attempt_strict_all", "all_recovery_as_empty", "common_native_valid")
+FLAGS = ("native", "exposed", "touched")
 
 
 def recovery_path(attempts: DataFrame, record: str, order: str, outcome: str = "outcome") -> DataFrame:
@@ -35,22 +35,35 @@ def exposure_summary(paths: DataFrame) -> DataFrame:
     )
 
 
-def sensitivity(decisions: DataFrame, models: list[str], native: str = "native_valid") -> DataFrame:
-    """Micro F1 of each model under each policy, its difference from final_all, and the models' ranking.
+def sensitivity(decisions: DataFrame, models: list[str]) -> DataFrame:
+    """Micro F1 of each model under six policies, its difference from final_all, and the models' ranking.
 
-    ``decisions`` has record_key, label, truth, a final vote column a model, and for each model ``{model}_native``: whether
-    the record's first attempt was valid. Recovered predictions count as empty, as they are, or their records go where
-    not every model was valid. Rows collapse to distinct cells before policies multiply them.
+    ``decisions`` has record_key, label, truth, a final vote column a model, and for each model three booleans of the
+    record: ``{model}_native`` (first attempt valid), ``{model}_exposed`` (any recovery) and ``{model}_touched``
+    (selective repair). A policy keeps predictions, counts some as empty, or keeps only records that all models share.
+    Rows collapse to distinct cells before policies multiply them.
     """
-    natives = [f"{m}_native" for m in models]
-    cells = decisions.groupBy("truth", *models, *natives).agg(F.count("*").alias("m"))
-    everyone = F.col(natives[0])
-    for c in natives[1:]:
-        everyone = everyone & F.col(c)
+    flags = [f"{m}_{f}" for m in models for f in FLAGS]
+    cells = decisions.groupBy("truth", *models, *flags).agg(F.count("*").alias("m"))
+
+    def every(flag: str, value: bool):
+        out = F.lit(True)
+        for m in models:
+            out = out & (F.col(f"{m}_{flag}") == value)
+        return out
+
     rows = []
     for k, m in enumerate(models):
-        final, clean = F.col(m), F.when(F.col(f"{m}_native"), F.col(m)).otherwise(0)
-        for policy, pred, kept in (("final_all", final, F.lit(True)), ("first_attempt_strict_all", clean, F.lit(True)), ("all_recovery_as_empty", clean, F.lit(True)), ("common_native_valid", final, everyone)):
+        final = F.col(m)
+        policies = (
+            ("final_all", final, F.lit(True)),
+            ("first_attempt_strict_all", F.when(F.col(f"{m}_native"), final).otherwise(0), F.lit(True)),
+            ("all_recovery_as_empty", F.when(~F.col(f"{m}_exposed"), final).otherwise(0), F.lit(True)),
+            ("common_native_valid", final, every("native", True)),
+            ("selective_repair_as_empty_legacy", F.when(~F.col(f"{m}_touched"), final).otherwise(0), F.lit(True)),
+            ("common_selective_untouched_legacy", final, every("touched", False)),
+        )
+        for policy, pred, kept in policies:
             rows.append(F.struct(F.lit(m).alias("model"), F.lit(k).alias("model_order"), F.lit(policy).alias("policy"), pred.cast("int").alias("pred"), kept.alias("kept")))
     long = cells.select("truth", "m", F.explode(F.array(*rows)).alias("r")).select("truth", "m", "r.*").where("kept")
 
@@ -66,7 +79,9 @@ def sensitivity(decisions: DataFrame, models: list[str], native: str = "native_v
 
 
 def sensitivity_assessment(rows: DataFrame, margin: float = 0.01) -> DataFrame:
-    """Whether the ranking stays over the policies and the full-record differences stay within the margin."""
+    """Whether the ranking stays over final_all and the three main policies, and the full-record differences stay
+    within the margin."""
+    rows = rows.where(~F.endswith(F.col("policy"), F.lit("_legacy")))
     full = F.col("policy").isin("first_attempt_strict_all", "all_recovery_as_empty")
     by_model = rows.groupBy("model").agg(F.count_distinct("ranking").alias("ranks"), F.max(F.when(full, F.abs("delta_primary_vs_final_all"))).alias("delta"))
     g = by_model.agg(F.max("ranks").alias("ranks"), F.max("delta").alias("delta"))

@@ -343,14 +343,35 @@ def repair_exposure(spark, sf_dir):
     return audit.exposure_summary(audit.recovery_path(predictors.outcome_of(adapters.attempts(spark, sf_dir)), "conv_id", "turn"))
 
 
+_FLAG_BOUNDS = {"native": lambda k: f"< {8 - k}", "exposed": lambda k: f">= {7 - k}", "touched": lambda k: f">= {9 - k}"}
+
+
 def _sensitive(spark, sf_dir) -> DataFrame:
-    native = [(scalar.hash32(F.concat_ws("|", F.lit(f"native{k}"), F.col("record_key").cast("string"))) % 10 < 8 - k).alias(f"v{k}_native") for k in (1, 2, 3)]
-    return adapters.orders_multilabel(spark, sf_dir).select("*", *native)
+    flags = []
+    for k in (1, 2, 3):
+        draw = scalar.hash32(F.concat_ws("|", F.lit(f"native{k}"), F.col("record_key").cast("string"))) % 10
+        flags += [(draw < 8 - k).alias(f"v{k}_native"), (draw >= 7 - k).alias(f"v{k}_exposed"), (draw >= 9 - k).alias(f"v{k}_touched")]
+    return adapters.orders_multilabel(spark, sf_dir).select("*", *flags)
 
 
-_NATIVE = ", ".join(f"""{h(f"concat_ws('|', 'native{k}', record_key)")} % 10 < {8 - k} AS v{k}_native""" for k in (1, 2, 3))
+_DRAW = {k: h(f"concat_ws('|', 'native{k}', record_key)") + " % 10" for k in (1, 2, 3)}
+_NATIVE = ", ".join(f"{_DRAW[k]} {bound(k)} AS v{k}_{flag}" for k in (1, 2, 3) for flag, bound in _FLAG_BOUNDS.items())
 _EVERY = "v1_native AND v2_native AND v3_native"
-_SENSITIVE = f"""{DEC}, nat AS (SELECT *, {_NATIVE} FROM dec), pol AS ({" UNION ALL ".join(f"SELECT 'v{k}' AS model, {k} AS ord, '{p}' AS policy, truth, {e} AS pred FROM nat WHERE {w}" for k in (1, 2, 3) for p, e, w in (("final_all", f"v{k}", "true"), ("first_attempt_strict_all", f"CASE WHEN v{k}_native THEN v{k} ELSE 0 END", "true"), ("all_recovery_as_empty", f"CASE WHEN v{k}_native THEN v{k} ELSE 0 END", "true"), ("common_native_valid", f"v{k}", _EVERY)))}),
+_NONE = "NOT v1_touched AND NOT v2_touched AND NOT v3_touched"
+
+
+def _policies_sql(k: int):
+    return (
+        ("final_all", f"v{k}", "true"),
+        ("first_attempt_strict_all", f"CASE WHEN v{k}_native THEN v{k} ELSE 0 END", "true"),
+        ("all_recovery_as_empty", f"CASE WHEN v{k}_exposed THEN 0 ELSE v{k} END", "true"),
+        ("common_native_valid", f"v{k}", _EVERY),
+        ("selective_repair_as_empty_legacy", f"CASE WHEN v{k}_touched THEN 0 ELSE v{k} END", "true"),
+        ("common_selective_untouched_legacy", f"v{k}", _NONE),
+    )
+
+
+_SENSITIVE = f"""{DEC}, nat AS (SELECT *, {_NATIVE} FROM dec), pol AS ({" UNION ALL ".join(f"SELECT 'v{k}' AS model, {k} AS ord, '{p}' AS policy, truth, {e} AS pred FROM nat WHERE {w}" for k in (1, 2, 3) for p, e, w in _policies_sql(k))}),
 pc AS (SELECT model, ord, policy, {COUNTS} FROM pol GROUP BY 1, 2, 3), pv AS (SELECT *, {F1} AS primary_value FROM pc),
 sens AS (SELECT model, policy, n, tp, fp, fn, primary_value, primary_value - max(CASE WHEN policy = 'final_all' THEN primary_value END) OVER (PARTITION BY model) AS delta_primary_vs_final_all, (row_number() OVER (PARTITION BY policy ORDER BY primary_value DESC, ord))::INTEGER AS ranking FROM pv)"""
 
@@ -360,7 +381,7 @@ def sensitivity_policies(spark, sf_dir):
     return audit.sensitivity(_sensitive(spark, sf_dir), VOTES)
 
 
-@query(f"""WITH {_SENSITIVE}, m AS (SELECT model, count(DISTINCT ranking) AS ranks, max(CASE WHEN policy IN ('first_attempt_strict_all', 'all_recovery_as_empty') THEN abs(delta_primary_vs_final_all) END) AS delta FROM sens GROUP BY 1) SELECT round(max(delta), 12) AS max_absolute_primary_delta, max(ranks) = 1 AS ranking_stable, max(ranks) = 1 AND max(delta) <= 0.01::DOUBLE AS passed FROM m""")
+@query(f"""WITH {_SENSITIVE}, m AS (SELECT model, count(DISTINCT ranking) AS ranks, max(CASE WHEN policy IN ('first_attempt_strict_all', 'all_recovery_as_empty') THEN abs(delta_primary_vs_final_all) END) AS delta FROM sens WHERE policy NOT LIKE '%_legacy' GROUP BY 1) SELECT round(max(delta), 12) AS max_absolute_primary_delta, max(ranks) = 1 AS ranking_stable, max(ranks) = 1 AND max(delta) <= 0.01::DOUBLE AS passed FROM m""")
 def sensitivity_ranking(spark, sf_dir):
     return audit.sensitivity_assessment(audit.sensitivity(_sensitive(spark, sf_dir), VOTES))
 
