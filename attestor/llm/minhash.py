@@ -38,6 +38,9 @@ BROADCAST_IDS = 1_000_000
 #: deviations below the threshold a pair may look before it is dropped unverified.
 FINE, FINE_DEVIATIONS = 2048, 4.75
 
+#: Members of a bucket that are compared as one matrix side.
+BLOCK = 256
+
 _U = np.uint64
 _C1, _C2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
 
@@ -103,10 +106,10 @@ def fine_code(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((mix(sketch(hashes, FINE)) & _U(1)).astype(np.uint8)).view(np.int64)
 
 
-def fine_distance(percent: int) -> int:
-    """Differing bits up to which two codes may belong to a pair at the threshold."""
+def fine_distance(percent: int, bits: int = FINE) -> int:
+    """Differing bits, of so many, up to which two codes may belong to a pair at the threshold."""
     differ = (1 - percent / 100) / 2
-    return int(FINE * differ + FINE_DEVIATIONS * (FINE * differ * (1 - differ)) ** 0.5)
+    return int(bits * differ + FINE_DEVIATIONS * (bits * differ * (1 - differ)) ** 0.5)
 
 
 def rows_per_band(threshold: float) -> int:
@@ -150,23 +153,65 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def _codes(named: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = rows_per_band(percent / 100)
-    texts = docs.join(broadcast_if_few(named, BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.join(broadcast_if_few(named, BROADCAST_IDS), "doc_id", "left_semi")
 
     def make():
         def fn(ids, texts):
             for i, text in zip(ids, texts, strict=True):
                 s = shingle_set(text, width)
-                yield i, fine_code(s), band_keys(sketch(s), rows)
+                yield i, band_keys(sketch(s), rows).tobytes(), fine_code(s).tobytes()
 
         return fn
 
-    return map_columns(texts, make, "doc_id long, code array<long>, bands array<long>", 64)
+    return map_columns(texts, make, "doc_id long, bands binary, code binary", 64)
+
 
+def _close_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a > b) of one bucket but two components whose codes are close, each in the first bucket it shares.
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar. Only texts that a pair names are shuffled."""
-    named = broadcast_if_few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), BROADCAST_IDS)
-    texts = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    Buckets are cut into blocks of about ``BLOCK`` members; a task compares two blocks as matrices, so a large bucket
+    is many tasks of bounded size and no pair becomes a row before it has passed.
+    """
+    number = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    blocks = members.groupBy("key", number.alias("block")).agg(F.collect_list(F.struct("doc_id", "component", "bands", "code")).alias("m"))
+    left, right = (blocks.select("key", F.col("block").alias(f"{s}_block"), *[F.col(f"m.{c}").alias(f"{s}_{c}") for c in ("doc_id", "component", "bands", "code")]) for s in "ab")
+    pairs = left.join(right, "key").where("a_block <= b_block")
+
+    def make():
+        most = fine_distance(percent)
+
+        def words(coded, kind="<u8"):  # bitwise_count would take the absolute value of signed numbers
+            return np.frombuffer(b"".join(coded), kind).reshape(len(coded), -1)
+
+        def fn(keys, a_blocks, a_ids, a_of, a_bands, a_codes, b_blocks, b_ids, b_of, b_bands, b_codes):
+            for k, key in enumerate(keys):
+                i, j = np.array(a_ids[k]), np.array(b_ids[k])
+                x, y = words(a_codes[k]), words(b_codes[k])
+                p, q = words(a_bands[k], "<i8"), words(b_bands[k], "<i8")
+                for at in range(0, len(i), 128):
+                    part = slice(at, at + 128)
+                    differ = np.bitwise_count(x[part, None, :] ^ y[None, :, :]).sum(2, dtype=np.int32)
+                    near = (differ <= most) & (np.array(a_of[k])[part, None] != np.array(b_of[k])[None, :])
+                    if a_blocks[k] == b_blocks[k]:
+                        near &= i[part, None] > j[None, :]
+                    for u, v in zip(*np.nonzero(near), strict=True):
+                        same = p[at + u] == q[v]
+                        if p[at + u][same.argmax()] == key:
+                            yield int(max(i[at + u], j[v])), int(min(i[at + u], j[v]))
+
+        return fn
+
+    return map_columns(pairs, make, "a long, b long", 8)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, work: Workspace) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets are similar. Only texts that a pair names are shuffled.
+
+    Both joins read plain shuffles (``docs`` has a row an id), so adaptive execution can split a leader's many pairs.
+    """
+    ids = [pairs.select(F.col(c).alias("doc_id")).distinct() for c in ("a", "b")]
+    named = broadcast_if_few(work.keep(ids[0].unionByName(ids[1]).distinct()), BROADCAST_IDS)
+    texts = docs.join(named, "doc_id", "left_semi")
 
     def make():
         last: dict = {}
@@ -193,33 +238,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 def links(reps: DataFrame, docs: DataFrame, width: int, percent: int, work: Workspace) -> DataFrame:
     """(node, component) of the representatives (doc_id, bands) that have a verified link."""
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = work.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     rows = work.keep(rows.join(shared, "key"))
     weight = rows.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     weighted = rows.join(weight, "doc_id")
     leaders = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
-    led = work.keep(rows.join(leaders, "key"))
+    led = work.keep(rows.join(work.keep(leaders), "key"))
     first = work.keep(led.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct())
-    edges = work.keep(_verified(first, docs, width, percent))
+    edges = work.keep(_verified(first, docs, width, percent, work))
     labels = components(edges, work)
 
     # What the leaders leave open: buckets that still hold several components.
     named = led.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = work.keep(named.where("n > 2 and doc_id <> leader").join(split, "key").select("key", "doc_id", "component"))
-
-    codes = work.keep(_codes(open_rows.select("doc_id").distinct(), docs, width, percent))
-    distance = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(FINE // 64))
-
-    # Pairs between components whose codes are close, each in the first bucket that they share; the join itself drops
-    # all others, so neither the pairs of a bucket nor a pair's further buckets become rows.
-    members = open_rows.join(codes, "doc_id")
-    left = members.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("code").alias("x"), F.col("bands").alias("p"))
-    right = members.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("code").alias("y"), F.col("bands").alias("q"))
-    close = left.join(right, "key").where("a > b and ca <> cb").where(f"{distance} <= {fine_distance(percent)}").where("array_intersect(p, q)[0] = key")
-    more = work.keep(close.select("a", "b").join(first, ["a", "b"], "left_anti"))
+    open_rows = work.keep(named.where("n > 2 and doc_id <> leader").join(split, "key").select("key", "doc_id", "component", "n"))
+
+    codes = work.keep(_codes(work.keep(open_rows.select("doc_id").distinct()), docs, width, percent))
+    close = _close_pairs(open_rows.join(codes, "doc_id"), percent)
+    more = work.keep(close.join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        edges = work.keep(edges.unionByName(_verified(more, docs, width, percent)))
+        edges = work.keep(edges.unionByName(_verified(more, docs, width, percent, work)))
         labels = components(edges, work)
     return labels
 
@@ -231,7 +269,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sets = work.keep(_sets(texts, width, percent))
     classes = work.keep(sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("bands is not null").select("doc_id", "bands").dropDuplicates(["doc_id"])
-    labels = links(reps, texts, width, percent, work)
+    unique = texts.where("doc_id is not null and text is not null")
+    if not sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        unique = unique.dropDuplicates(["doc_id"])
+    labels = links(reps, unique, width, percent, work)
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
