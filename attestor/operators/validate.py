@@ -111,3 +111,20 @@ class EvaluationConfig:
         wrong = [k for k, ok in checks.items() if not ok]
         if wrong:
             raise ValueError(f"out of range: {', '.join(wrong)}")
+
+
+def differences(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float = 1e-12) -> DataFrame:
+    """Keys whose values differ by more than the tolerance, or that one side lacks."""
+    joined = a.select(*keys, F.col(value).alias("value_a")).join(b.select(*keys, F.col(value).alias("value_b")), keys, "full_outer")
+    return joined.where(F.col("value_a").isNull() | F.col("value_b").isNull() | (F.abs(F.col("value_a") - F.col("value_b")) > tolerance))
+
+
+def model_alignment(runs: DataFrame, models: list[str], key: str, truth: str) -> DataFrame:
+    """Problems of runs to be compared: models missing or unknown, records that not all models have, unequal truths."""
+    observed = runs.select("model").distinct()
+    expected = runs.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    model = key_set_difference(observed, expected, ["model"]).select(F.lit("model").alias("problem"), F.col("model").alias("item"))
+    g = runs.groupBy(key).agg(F.count_distinct("model").alias("models"), F.count_distinct(truth).alias("truths"))
+    records = g.where(F.col("models") != len(models)).select(F.lit("record").alias("problem"), F.col(key).cast("string").alias("item"))
+    truths = g.where("truths > 1").select(F.lit("truth").alias("problem"), F.col(key).cast("string").alias("item"))
+    return model.unionByName(records).unionByName(truths)

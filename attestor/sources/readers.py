@@ -90,3 +90,32 @@ def address_truth(corpus: DataFrame, labels: dict[str, str] = ADDRESS_LABELS) ->
 def binary_truth(vulnerable: DataFrame, secure: DataFrame) -> DataFrame:
     """record_key and a 0/1 label of the two files together (the source spells its column "vulnerablility")."""
     return vulnerable.unionByName(secure).select(F.col("address").alias("record_key"), "code", F.col("vulnerablility").alias("truth"))
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str:
+    """The first path that exists in its file system; an error that names all of them otherwise."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).exists(path):
+            return p
+    raise FileNotFoundError(f"none of these exists: {', '.join(paths)}")
+
+
+def import_folds(folds: DataFrame, records: DataFrame, n: int, keys: tuple[str, ...] = ("dataset", "record_key")) -> DataFrame:
+    """A fold table made elsewhere, checked: every record once, folds 0 to n - 1, nothing unknown."""
+    from ..operators.validate import duplicate_keys, key_set_difference, require_empty
+
+    keys = list(keys)
+    require_empty(duplicate_keys(folds, keys), "records with several folds")
+    require_empty(key_set_difference(folds, records, keys), "fold table and records differ")
+    require_empty(folds.where(~F.col("fold").between(0, n - 1) | F.col("fold").isNull()), "folds out of range")
+    return folds.select(*keys, F.col("fold").cast("int").alias("fold"))
+
+
+def reference_rows(rows: DataFrame, system_types: list[str], keys: list[str], order: list[str]) -> DataFrame:
+    """Published rows of the given kinds, the first of each key."""
+    from ..operators.folds import dedupe_first
+
+    return dedupe_first(rows.where(F.col("system_type").isin(*system_types)), keys, order)

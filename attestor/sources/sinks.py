@@ -54,3 +54,11 @@ def replace_verified(df: DataFrame, path: str) -> int:
     if not fs.rename(source, target):
         raise OSError(f"{beside} could not be renamed")
     return written
+
+
+def union_rows(frames: list[DataFrame]) -> DataFrame:
+    """All rows with the union of the columns, nulls where a frame lacks one; columns in first-seen order."""
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out

@@ -76,3 +76,22 @@ def test_windowed_progress(spark, tmp_path):
     stream = ingest.windowed_progress(ingest.stream_of(spark, str(tmp_path / "in"), rows.schema), "ts", "1 minute", "1 minute", ["user"])
     stream.writeStream.format("memory").queryName("progress").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("progress").first().rows == 1
+
+
+def test_imports_are_checked(spark, tmp_path):
+    (tmp_path / "b").write_text("x")
+    assert readers.first_existing(spark, [str(tmp_path / "a"), str(tmp_path / "b")]) == str(tmp_path / "b")
+    with pytest.raises(FileNotFoundError):
+        readers.first_existing(spark, [str(tmp_path / "a")])
+    records = spark.createDataFrame([("d", "1"), ("d", "2")], "dataset string, record_key string")
+    folds = records.withColumn("fold", F.col("record_key").cast("int") - 1)
+    assert readers.import_folds(folds, records, 2).count() == 2
+    with pytest.raises(ValueError, match="range"):
+        readers.import_folds(folds, records, 1)
+    with pytest.raises(ValueError, match="differ"):
+        readers.import_folds(folds.where("fold = 0"), records, 2)
+    with pytest.raises(ValueError, match="several"):
+        readers.import_folds(folds.unionByName(folds), records, 2)
+    rows = spark.createDataFrame([("static", "s", 2), ("static", "s", 1), ("llm", "s", 0)], "system_type string, system string, n int")
+    assert [r.n for r in readers.reference_rows(rows, ["static"], ["system"], ["n"]).collect()] == [1]
+    assert sinks.union_rows([records, folds]).columns == ["dataset", "record_key", "fold"]

@@ -151,3 +151,19 @@ def test_no_shuffle_of_records_for_systems(spark):
     plan = metrics.system_counts(rows, ["v1", "v2", "v3"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.rindex("Aggregate")
     assert math.isclose(metrics.system_counts(rows, ["v1", "v2", "v3"]).where("system = 'or'").first().tp, 1)
+
+
+def test_differences_and_alignment(spark):
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "k string, v double")
+    b = spark.createDataFrame([("x", 1.0 + 1e-13), ("z", 2.0)], "k string, v double")
+    assert sorted(r.k for r in validate.differences(a, b, ["k"], "v").collect()) == ["y", "z"]
+    runs = spark.createDataFrame([("m1", 1, "t"), ("m2", 1, "u"), ("m1", 2, "t"), ("m9", 3, "t")], "model string, r int, truth string")
+    found = {(r.problem, r.item) for r in validate.model_alignment(runs, ["m1", "m2"], "r", "truth").collect()}
+    assert found == {("model", "m9"), ("record", "2"), ("record", "3"), ("truth", "1")}
+
+
+def test_published_identities(spark):
+    """Ratios from counts: a published line of each task."""
+    row = metrics.with_metrics(spark.createDataFrame([(138, 8, 8, 1276)], "tp long, fp long, fn long, tn long"), "f1", "balanced_accuracy").first()
+    assert row.f1 == pytest.approx(2 * 138 / (2 * 138 + 16))
+    assert row.balanced_accuracy == pytest.approx((138 / 146 + 1276 / 1284) / 2)
