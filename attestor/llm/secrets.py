@@ -33,7 +33,7 @@ THRESHOLD = 1.0
 
 _assign, _access, _hex = re.compile(ASSIGN), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{%d,}" % HEX_MIN)
 _string = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
-_pair = re.compile(r"""(?<![A-Za-z0-9_.$-])([A-Za-z_$][A-Za-z0-9_.$-]*+)["'\])]*+[ \t]*+(?:=>|:=|[:=])(?![=/])[ \t]*+(?:(%s(?:[ \t]*+\+[ \t]*+%s)*+)|([A-Za-z0-9+/_.=$-]++))""" % (_string, _string))
+_pair = re.compile(r"""(?<![A-Za-z0-9_.$-])([A-Za-z_$][A-Za-z0-9_.$-]*+)["'\])]*+[ \t]*+(?:=>|:=|[:=])(?![=/])[ \t]*+(?:(%s(?:[ \t]*+\+[ \t]*+%s)*+)|([A-Za-z0-9+/_.$-]++(?:={1,2}(?![A-Za-z0-9+/_.=$-]))?))""" % (_string, _string))
 _one_string = re.compile(_string)
 _split = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
@@ -69,7 +69,7 @@ def lex_pairs(text: str):
             word = m[3]
             bare = re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_.$]*", word) is not None
             yield m[1], word, word if bare else None, m.start(3), m.end(3)
-            if "=" in word:  # a bare word may itself hold the next pair, as in query strings
+            if text[m.end() : m.end() + 1] in ("=", ":"):  # the word is the name of the next pair, as in a=b=c
                 at = m.start(3)
 
 
