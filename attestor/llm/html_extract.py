@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +53,14 @@ def name_words(value: str) -> list[str]:
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "parent", "text", "linked", "blocks", "hint")
+    """An open element; ``home`` is the nearest container, the element itself if it is one."""
+
+    __slots__ = ("tag", "path", "noise", "parent", "linked", "hint", "home")
 
     def __init__(self, tag, path, noise, parent, hint):
         self.tag, self.path, self.noise, self.parent, self.hint = tag, path, noise, parent, hint
-        self.text = self.linked = self.blocks = 0
+        self.linked = 0
+        self.home = self if tag in CONTAINERS else parent.home if parent is not None else None
 
 
 def parse(page: str):
@@ -68,8 +72,8 @@ def parse(page: str):
     stack: list[Node] = [root]
     nodes: list[Node] = []
     blocks: list[list[tuple[Node, str]]] = [[]]
-    links = 0
-    at, raw_until = 0, None
+    links = at = 0
+    opened: Counter[str] = Counter()  # by tag, so that an end tag without a start costs nothing
 
     def put(text):
         if text and not stack[-1].noise:
@@ -84,6 +88,7 @@ def parse(page: str):
     def close(k):
         nonlocal links
         for node in stack[k:]:
+            opened[node.tag] -= 1
             if node.tag == "a":
                 links -= 1
         del stack[k:]
@@ -101,7 +106,7 @@ def parse(page: str):
         if m[1]:
             if tag in BLOCK:
                 cut()
-            k = len(stack) - 1
+            k = len(stack) - 1 if opened[tag] else 0
             while k and stack[k].tag != tag:
                 if stack[k].tag in CONTAINERS and tag not in BLOCK:
                     k = 0
@@ -112,14 +117,14 @@ def parse(page: str):
             continue
         if tag in BLOCK:
             cut()
-            if tag in CLOSES_P or tag == "p":
+            if opened["p"] and (tag in CLOSES_P or tag == "p"):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
                         close(k)
                         break
                     if stack[k].tag in BLOCK:
                         break
-            elif tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
+            elif opened[tag] and tag in ("li", "td", "th", "tr", "dt", "dd"):
                 ends = {"li": ("ul", "ol", "menu"), "tr": ("table", "tbody", "thead", "tfoot")}.get(tag, ("dl", "tr", "table"))
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
@@ -145,7 +150,7 @@ def parse(page: str):
                 words += found
                 if a[1].lower() == "class":
                     classes = ".".join(sorted(set(found)))
-        noise = stack[-1].noise or (tag in NOISE_TAGS and not (tag == "header" and any(n.tag == "article" for n in stack))) or (tag not in ("body", "html", "article", "main") and not NOISE_WORDS.isdisjoint(words))
+        noise = stack[-1].noise or (tag in NOISE_TAGS and not (tag == "header" and opened["article"])) or (tag not in ("body", "html", "article", "main") and not NOISE_WORDS.isdisjoint(words))
         if tag == "a":
             links += 1
         path = f"{stack[-1].path}/{tag}.{classes}" if classes else f"{stack[-1].path}/{tag}"
@@ -156,36 +161,31 @@ def parse(page: str):
         if tag in CONTAINERS and not noise:
             nodes.append(node)
         stack.append(node)
+        opened[tag] += 1
         if m[3].endswith("/") and tag not in BLOCK:
             close(len(stack) - 1)
     return nodes, blocks
 
 
-def container(node: Node | None) -> Node | None:
-    while node is not None and node.tag not in CONTAINERS:
-        node = node.parent
-    return node
-
-
 def scored(nodes: list[Node], blocks) -> list[tuple[float, Node]]:
     """Each container's score: its text with that of its inner containers at a discount, less what is linked."""
     own: dict[int, float] = {id(n): 0.0 for n in nodes}
     for block in blocks:
         for node, text in block:
-            home = container(node)
+            home = node.home
             if home is not None and id(home) in own:
                 own[id(home)] += len(text.strip())
     linked: dict[int, float] = {}
     for block in blocks:
         for node, _ in block:
             if node.linked:
-                home = container(node)
+                home = node.home
                 linked[id(home)] = linked.get(id(home), 0.0) + node.linked
                 node.linked = 0
     total = {k: max(0.0, v - 2 * linked.get(k, 0.0)) for k, v in own.items()}
     # Inner containers come after outer ones in page order: add them up from the end.
     for n in reversed(nodes):
-        outer = container(n.parent)
+        outer = n.parent.home
         if outer is not None and id(outer) in total:
             total[id(outer)] += 0.8 * total[id(n)]
     return [(total[id(n)] * (1.5 if n.hint else 1.0), n) for n in nodes]
