@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Rows handed to a batch function at once. Texts stay on the Arrow side until their slice is due.
 SLICE_ROWS = 512
+#: Output rows that are Python objects at once.
+OUT_ROWS = 8192
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -23,6 +26,18 @@ def as_struct(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, and others need the room."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str | T.StructType, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Apply a batch function to Arrow slices of ``df``.
 
@@ -39,10 +54,12 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)
-                rows = list(fn(*(c.to_pylist() for c in part.columns)))
-                if rows:
+                found = iter(fn(*(c.to_pylist() for c in part.columns)))
+                while rows := list(itertools.islice(found, OUT_ROWS)):
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=out_schema.field(k).type) for k, c in enumerate(cols)], names=names)
+        fn = None
+        release_memory()
 
     return df.mapInArrow(run, struct)
 
@@ -57,6 +74,8 @@ def filter_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list]
             for start in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(start, slice_rows)
                 yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+        keep = None
+        release_memory()
 
     return df.mapInArrow(run, df.schema)
 
@@ -73,6 +92,8 @@ def replace_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[str
                 field = part.schema.field(at)
                 texts = pa.array([change(t) for t in part.column(at).to_pylist()], type=field.type)
                 yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(part.columns)], schema=part.schema)
+        change = None
+        release_memory()
 
     return df.mapInArrow(run, df.schema)
 

@@ -101,6 +101,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("digest is not null").dropDuplicates(["doc_id"])
     suffixes = reps.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("s")).select(F.col("s.keys").alias("key"), "doc_id", F.col("s.places").alias("place"))
     shared = suffixes.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
+    shared = work.keep(shared)  # a plain table: adaptive execution can then split a hot key's suffixes
     open_places = work.keep(suffixes.join(shared, "key").groupBy("doc_id").agg(F.collect_set("place").alias("places")))
 
     def extending():
@@ -111,14 +112,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 at = np.flatnonzero(np.isin(owner, found))
                 whole = stretch_hashes(hashes, PASSAGE)[at].view(np.int64)
                 starts, ends = word_bounds(text)
-                yield from zip(whole.tolist(), [i] * len(at), at.tolist(), starts[at].tolist(), ends[at + PASSAGE - 1].tolist(), strict=True)
+                yield from ((int(w), i, int(p), int(a), int(b)) for w, p, a, b in zip(whole, at, starts[at], ends[at + PASSAGE - 1], strict=True))
 
         return fn
 
     ids = broadcast_if_few(open_places.select("doc_id"), BROADCAST_IDS)
     open_texts = texts.where("text is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    stretches = work.keep(map_columns(open_texts.join(open_places, "doc_id"), extending, "whole long, doc_id long, place int, start int, stop int", 64))
+    stretches = work.keep(map_columns(open_texts.join(open_places, "doc_id"), extending, "whole long, doc_id long, place int, start int, stop int", 16))
     equal = stretches.groupBy("whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("whole", "first")
+    equal = work.keep(equal)
     marked = stretches.join(equal, "whole").groupBy("doc_id").agg(F.min("first").alias("first"), F.collect_list(F.struct("place", "start", "stop")).alias("found"))
 
     def merging():
