@@ -27,11 +27,11 @@ from .common import map_columns, text_rows
 #: Bytes above which a piece is contracted with a heap.
 LONG_PIECE = 200
 #: Bytes of new pieces in one recursive query.
-QUERY_BYTES = 300_000
+QUERY_BYTES = 100_000
 #: Pieces remembered in a task; beyond this the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Ids decoded by one query.
-DECODE_IDS = 400_000
+DECODE_IDS = 150_000
 SLICE_ROWS = 256
 
 # A position is counted over all pieces of a query, with a gap after each piece, so that stop = next pos holds only
@@ -107,7 +107,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
         self.known: dict[str, bytes] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.pa = pa
         triples = [(self.ranks[w[:k]], self.ranks[w[k:]], i) for w, i in ranks for k in range(1, len(w)) if w[:k] in self.ranks and w[k:] in self.ranks]
         words = pa.table({"id": pa.array([i for _, i in ranks], pa.int32()), "text": [w.decode("latin-1") for w, _ in ranks]})

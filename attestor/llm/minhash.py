@@ -39,7 +39,7 @@ BROADCAST_IDS = 1_000_000
 FINE, FINE_DEVIATIONS = 2048, 4.75
 
 #: Members of a bucket that are compared as one matrix side.
-BLOCK = 256
+BLOCK = 128
 
 _U = np.uint64
 _C1, _C2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)

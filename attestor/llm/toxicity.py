@@ -30,7 +30,7 @@ TRAIN_ROWS = 6000
 MINED_MOST = 400
 MINED_GAIN = 30.0
 PREFIXES = (4, 5, 6, 7)
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 # The seed lexicon.
 SEEDS = ("idiot", "moron", "stupid", "loser", "worthless", "clown", "scum", "trash", "pathetic", "disgusting", "dumb", "imbecile", "filthy", "vermin", "bastard", "retard", "freak", "garbage", "ugly", "kill")
