@@ -5,8 +5,9 @@ share at least m + 1 - q(e + 1) q-grams, on diagonals no more than 2e apart. Sha
 diagonal bands (each as wide as two steps of 2e + 1), bands under the bound are dropped, and the regions of the others
 are verified by a banded alignment.
 
-Texts are compared as UTF-8 with A-Z in lower case and each ASCII white space or control byte as one space, so offsets
-stay those of the text. The q-gram index is built on the driver from one chunk of the benchmark at a time; a chunk's
+Texts are compared as UTF-8 with their case folded over Unicode and each ASCII white space or control byte as one space.
+A fold can change the length of a text ("ß" and "SS" are both "ss"), so offsets of found places are mapped back to those
+of the text (``char_offsets``). The q-gram index is built on the driver from one chunk of the benchmark at a time; a chunk's
 size is bounded (``CHUNK_BYTES``), and a larger benchmark takes more passes over the texts.
 
 Defined results: null and empty texts match nothing; null ids and texts of items match nothing; items shorter than
@@ -35,9 +36,20 @@ _SPACES = bytes([*[32] * 33, *range(33, 256)])
 
 
 def normal(text: str) -> bytes:
+    """The bytes that are compared. Upper case first: letters whose capitals are equal ("ı" and "i") are equal too."""
+    if not text.isascii():
+        text = text.upper().casefold()
     return text.encode("utf-8", "surrogatepass").lower().translate(_SPACES)
 
 
+def char_offsets(text: str, at: list[int]) -> list[int]:
+    """The code points of ``text`` that end at or before each of the offsets ``at`` in ``normal(text)``."""
+    if text.isascii():
+        return list(at)
+    ends = np.cumsum([len(normal(c)) for c in text])  # the fold of a letter does not depend on its neighbours
+    return np.searchsorted(ends, at, side="right").tolist()
+
+
 def budget(m: int) -> int:
     """Edits allowed in a window of m bytes: the rate, but never so many that the lemma's bound falls below 1."""
     return max(0, min(int(EDIT_RATE * m), (m - Q) // Q))
@@ -223,9 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     item_id, _, of, _ = index.windows[w]
                     by_item.setdefault((t, item_id), []).append((edits, s, e, of))
                 for (t, item_id), found in sorted(by_item.items()):
-                    raw = texts[t].encode("utf-8", "surrogatepass")
-                    lo, hi = min(x[1] for x in found), max(x[2] for x in found)
-                    chars = [len(raw[:x].decode("utf-8", "ignore")) for x in (lo, hi)]
+                    chars = char_offsets(texts[t], [min(x[1] for x in found), max(x[2] for x in found)])
                     yield ids[t], item_id, len(found), found[0][3], min(x[0] for x in found), max(x[0] for x in found), *chars
 
             return fn

@@ -94,3 +94,30 @@ def test_large_benchmarks_come_in_chunks(spark, monkeypatch):
 @pytest.mark.parametrize("m", range(D.MIN_ITEM, 200))
 def test_the_bound_is_never_empty(m):
     assert m + 1 - D.Q * (D.budget(m) + 1) >= 1
+
+
+ACCENTED = [
+    "Élève étonné, l'été dernier à Orléans où la forêt brûlée a été replantée près de la rivière gelée, même là-bas, très tôt",
+    "El niño pequeño soñó mañana con una cigüeña; después llamó a su compañía, pidió además más café, y también llegó José aquí",
+    "Größere Straßen führen über schöne Flüsse; Mädchen müssen täglich öfter grüßen, während süße Äpfel am höchsten Ast hängen",
+]
+
+
+def test_upper_case_of_accented_letters(spark):
+    bench = spark.createDataFrame(list(enumerate(ACCENTED)), "item_id long, text string")
+    before = "ẞİŉ Straße: "  # folds that change the length
+    df = spark.createDataFrame([(k, before + x.upper() + " ... é") for k, x in enumerate(ACCENTED)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in D.contaminated(df, bench).collect()}
+    assert set(found) == {(k, k) for k in range(3)}
+    for k, x in enumerate(ACCENTED):
+        r = found[k, k]
+        assert r.windows == r.item_windows and r.max_edits == 0
+        assert (r.start_char, r.end_char) == (len(before), len(before) + len(x.upper()))
+    assert D.without_contaminated(df, bench).count() == 0
+
+
+def test_offsets_are_those_of_the_text():
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]):
+        assert D.normal(c.upper()) == D.normal(c)
+    text = "aẞéßİ\U0001d400z"
+    assert D.char_offsets(text, [len(D.normal(text[:k])) for k in range(len(text) + 1)]) == list(range(len(text) + 1))
