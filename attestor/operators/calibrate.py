@@ -77,12 +77,16 @@ def select_threshold(grid: DataFrame, by: list[str], value: Column) -> DataFrame
     return best.select(*by, F.col("best.threshold").alias("threshold"), F.col("best.value").alias("objective"))
 
 
-def inner_frames(decisions: DataFrame, folds: int, inner_folds: int, seed: int) -> DataFrame:
+def inner_frames(decisions: DataFrame, folds: int, inner_folds: int, seed: int, inner: DataFrame | None = None) -> DataFrame:
     """Counts by outer fold, inner fold, label and pattern: each record once for each outer fold it trains in.
 
-    The inner fold of a record depends on the outer fold, by a hash of seed, outer fold and key. Counting comes right
-    after the expansion, with map-side combine, so the expanded rows are never shuffled.
+    The inner fold of a record depends on the outer fold: it is the one of ``inner`` (outer_fold and inner_fold beside
+    the columns to join by, such as the record's key or its family), or else by a hash of seed, outer fold and key.
+    Counting comes right after the expansion, with map-side combine; by hash, the expanded rows are never shuffled.
     """
+    if inner is not None:
+        dealt = decisions.join(inner, [c for c in inner.columns if c not in ("outer_fold", "inner_fold")])
+        return cells(dealt.select("outer_fold", F.col("inner_fold").alias("fold"), "label", "pattern", "truth"), ["outer_fold", "fold"])
     outer = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("outer_fold")
     expanded = decisions.select("record_key", "label", "pattern", "truth", "fold", outer).where("outer_fold <> fold")
     inner = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("outer_fold").cast("string"), F.col("record_key").cast("string")), 256), 1, 8), 16, 10).cast("long"), F.lit(inner_folds)).cast("int")

@@ -33,6 +33,16 @@ def stratified_folds(records: DataFrame, folds: int, seed: int, stratum: str = "
     return hashed_rank(records, [stratum], salted).withColumn("fold", F.pmod(F.col("rank") - 1 + start, F.lit(folds)).cast("int")).drop("rank")
 
 
+def inner_stratified_folds(records: DataFrame, folds: int, inner_folds: int, seed: int, stratum: str = "stratum", key: str = "record_key") -> DataFrame:
+    """``outer_fold`` and ``inner_fold`` of each record for each outer fold it trains in (all but its own ``fold``):
+    the training records of an outer fold are dealt by stratum as in ``stratified_folds``, from a hash of their own."""
+    outer = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("outer_fold")
+    training = records.select(key, stratum, "fold", outer).where("outer_fold <> fold").drop("fold")
+    prefixed = [F.concat_ws("|", F.col("outer_fold").cast("string"), F.col(c).cast("string")).alias(f"_{c}") for c in (stratum, key)]
+    dealt = stratified_folds(training.select(key, "outer_fold", *prefixed), inner_folds, seed, f"_{stratum}", f"_{key}")
+    return dealt.select(key, "outer_fold", F.col("fold").alias("inner_fold"))
+
+
 def balanced_sample(records: DataFrame, label: str, per_class: dict[int, int], seed: int, key: str = "record_key") -> DataFrame:
     """At most ``per_class[value]`` records of each label value, in hash order."""
     ranked = hashed_rank(records, [label], F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))

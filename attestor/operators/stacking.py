@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import calibrate
+
 PENALTIES = (0.01, 0.1, 1.0, 10.0)
 
 
@@ -57,3 +59,33 @@ def select_joint(grid: DataFrame, by: list[str], value) -> DataFrame:
     """(C, threshold) of the best value; of equal ones the higher threshold, then the smaller C."""
     best = grid.groupBy(*by).agg(F.max(F.struct(F.round(value, 12).alias("value"), F.col("threshold").alias("threshold"), (-F.col("c")).alias("minus_c"))).alias("b"))
     return best.select(*by, (-F.col("b.minus_c")).alias("c"), F.col("b.threshold").alias("threshold"), F.col("b.value").alias("objective"))
+
+
+def prevalence_crossfit(inner_cells: DataFrame, outer_cells: DataFrame, value) -> DataFrame:
+    """Each outer fold's cells with their prevalence score and prediction.
+
+    Both tables are of ``calibrate.held_out_scores``. The threshold is the best one for the scores of the inner folds,
+    each from the records of the other inner folds; the outer fold's score is from all of its training records.
+    """
+    grid = calibrate.threshold_grid(inner_cells.withColumn("score", F.col("prior")), ["outer_fold"])
+    chosen = calibrate.select_threshold(grid, ["outer_fold"], value).withColumnRenamed("outer_fold", "fold")
+    return _predicted(outer_cells.select("fold", "label", "pattern", "n", "p", F.col("prior").alias("score")).join(F.broadcast(chosen), "fold"))
+
+
+def logistic_crossfit(inner_cells: DataFrame, outer_cells: DataFrame, value, penalties=PENALTIES) -> DataFrame:
+    """Each outer fold's cells with the stacker's score and prediction, at the C and threshold chosen inside the fold.
+
+    A stacker is fitted for each outer fold, inner fold, label and C on the records of the other inner folds and scores
+    the inner fold; C and threshold are chosen jointly on these held-out scores. With them the stacker fitted on all
+    training records scores the outer fold. Both tables are of ``calibrate.held_out_scores``.
+    """
+    inner = logistic_scores(inner_cells.select("outer_fold", "fold", "label", "pattern", "train_n", "train_p"), ["outer_fold", "fold"], penalties)
+    held_out = inner.join(inner_cells.select("outer_fold", "fold", "label", "pattern", "n", "p"), ["outer_fold", "fold", "label", "pattern"])
+    chosen = select_joint(calibrate.threshold_grid(held_out, ["outer_fold", "c"]), ["outer_fold"], value).withColumnRenamed("outer_fold", "fold")
+    outer = logistic_scores(outer_cells.select("fold", "label", "pattern", "train_n", "train_p"), ["fold"], penalties)
+    at = outer.join(F.broadcast(chosen), ["fold", "c"])  # one row a fold
+    return _predicted(at.join(outer_cells.select("fold", "label", "pattern", "n", "p"), ["fold", "label", "pattern"]))
+
+
+def _predicted(scored: DataFrame) -> DataFrame:
+    return scored.where("n > 0").withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))

@@ -489,13 +489,24 @@ def prevalence_baseline(spark, sf_dir):
     return stacking.prevalence_scores(_scored(spark, sf_dir).select("fold", "label", F.col("train_n").alias("n"), F.col("train_p").alias("p")), ["fold"])
 
 
+def _stacked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Held-out cells of the inner folds (three, stratified, in each outer fold's training records) and of the outer."""
+    decisions = _folded(spark, sf_dir)
+    inner = folds.inner_stratified_folds(decisions.select("record_key", "stratum", "fold").distinct(), 5, 3, SEED)
+    counted = calibrate.dense(calibrate.inner_frames(decisions, 5, 3, SEED, inner), {"outer_fold": 5, "fold": 3})
+    return calibrate.held_out_scores(counted, [8.0], by=["outer_fold"]), _scored(spark, sf_dir)
+
+
+@query()
+def prevalence_crossfit(spark, sf_dir):
+    """Held-out prevalence scores and predictions at the threshold chosen on the inner folds."""
+    return stacking.prevalence_crossfit(*_stacked(spark, sf_dir), calibrate.objective("micro_f1"))
+
+
 @query()
 def logistic_stacker(spark, sf_dir):
-    """Scores of the stacker at the C and threshold that suit each outer fold's training cells best."""
-    train = _scored(spark, sf_dir).select("fold", "label", "pattern", "train_n", "train_p")
-    scores = stacking.logistic_scores(train, ["fold"])
-    at = scores.join(train, ["fold", "label", "pattern"]).select("fold", "c", "score", F.col("train_n").alias("n"), F.col("train_p").alias("p"))
-    return stacking.select_joint(calibrate.threshold_grid(at, ["fold", "c"]), ["fold"], calibrate.objective("micro_f1"))
+    """Held-out stacker scores and predictions at the C and threshold chosen on the inner folds."""
+    return stacking.logistic_crossfit(*_stacked(spark, sf_dir), calibrate.objective("micro_f1"))
 
 
 # ---- statistics
