@@ -524,10 +524,15 @@ def _paired(spark, sf_dir) -> DataFrame:
 @query()
 def paired_bootstrap(spark, sf_dir):
     by = ["model_a", "model_b"]
-    tests = resample.paired_tests(resample.contribution_histogram(_paired(spark, sf_dir), by), by, repetitions=2000)
+    tests = resample.paired_tests(resample.contribution_histogram(_paired(spark, sf_dir), by), by)
     return resample.holm(tests.withColumn("family", F.lit("micro_f1")), ["family"], "permutation_p", "model_a")
 
 
+def _first_model(spark, sf_dir) -> DataFrame:
+    t = F.col("truth")
+    return adapters.orders_multilabel(spark, sf_dir).groupBy("record_key").agg(F.sum(t * F.col("v1")).alias("tp"), F.sum((1 - t) * F.col("v1")).alias("fp"), F.sum(t * (1 - F.col("v1"))).alias("fn"))
+
+
 _STEPS = resample.poisson_steps()
 _POISSON = " + ".join(f"(CASE WHEN hv >= {s} THEN 1 ELSE 0 END)" for s in _STEPS)
 
@@ -535,9 +540,13 @@ _POISSON = " + ".join(f"(CASE WHEN hv >= {s} THEN 1 ELSE 0 END)" for s in _STEPS
 @query(f"""WITH {DEC}, r AS (SELECT record_key, sum(truth * v1) AS tp, sum((1 - truth) * v1) AS fp, sum(truth * (1 - v1)) AS fn FROM dec GROUP BY 1), e AS (SELECT rep, tp, fp, fn, {h("concat_ws('|', '2026', rep, record_key)")} AS hv FROM r, (SELECT unnest(range(20)) AS rep)), w AS (SELECT rep, sum(tp * ({_POISSON})) AS tp, sum(fp * ({_POISSON})) AS fp, sum(fn * ({_POISSON})) AS fn FROM e GROUP BY 1), v AS (SELECT {F1} AS f FROM w)
 SELECT round(quantile_cont(f, 0.025), 9) AS ci_low, round(quantile_cont(f, 0.975), 9) AS ci_high, count(*) AS repetitions FROM v""")
 def bootstrap_ci_hash(spark, sf_dir):
-    t = F.col("truth")
-    records = adapters.orders_multilabel(spark, sf_dir).groupBy("record_key").agg(F.sum(t * F.col("v1")).alias("tp"), F.sum((1 - t) * F.col("v1")).alias("fp"), F.sum(t * (1 - F.col("v1"))).alias("fn"))
-    return resample.hashed_bootstrap(records, [], 20, 2026)
+    return resample.hashed_bootstrap(_first_model(spark, sf_dir), [], 20, 2026)
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    """The interval of ``bootstrap_ci_hash`` from 1000 draws; its SQL would hash each record 1000 times."""
+    return resample.hashed_bootstrap(_first_model(spark, sf_dir), [], 1000, 2026)
 
 
 @query(f"""WITH t AS (SELECT s_nationkey AS family, s_suppkey AS test, ({h("s_name")} % 1000)::DOUBLE / 10000 AS p_value FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p_value, test) AS k, count(*) OVER (PARTITION BY family) AS m FROM t), a AS (SELECT family, test, p_value, max(least(1.0::DOUBLE, (m - k + 1) * p_value)) OVER (PARTITION BY family ORDER BY k) AS holm_p FROM r) SELECT *, holm_p < 0.05::DOUBLE AS significant FROM a""")
