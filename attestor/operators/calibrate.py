@@ -112,12 +112,12 @@ def dense(cell_counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return frame.select(*by, "label", "pattern", F.coalesce(hit["n"], F.lit(0)).alias("n"), F.coalesce(hit["p"], F.lit(0)).alias("p"))
 
 
-def crossfit(decisions: DataFrame, folds: int = 5, inner_folds: int = 3, shrinkage: float = 8.0, seed: int = 20260811, objective_name: str = "micro_f1") -> tuple[DataFrame, DataFrame]:
+def crossfit(decisions: DataFrame, folds: int = 5, inner_folds: int = 3, shrinkage: float = 8.0, seed: int = 20260811, objective_name: str = "micro_f1", inner: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(threshold by outer fold, counts by outer fold at its threshold), nested and without a loop over folds.
 
-    ``decisions`` has record_key, label, pattern, truth and fold.
+    ``decisions`` has record_key, label, pattern, truth and fold; ``inner`` is that of ``inner_frames``.
     """
-    inner = dense(inner_frames(decisions, folds, inner_folds, seed), {"outer_fold": folds, "fold": inner_folds})
+    inner = dense(inner_frames(decisions, folds, inner_folds, seed, inner), {"outer_fold": folds, "fold": inner_folds})
     scored = held_out_scores(inner, [shrinkage], by=["outer_fold"])
     chosen = select_threshold(threshold_grid(scored, ["outer_fold"]), ["outer_fold"], objective(objective_name))
     outer = held_out_scores(dense(cells(decisions, ["fold"]), {"fold": folds}), [shrinkage])

@@ -100,3 +100,17 @@ def grouped_folds(groups: DataFrame, folds: int, seed: int) -> DataFrame:
         return pd.DataFrame(out, columns=["dataset", "family", "fold"])
 
     return groups.groupBy("dataset").applyInPandas(deal, "dataset string, family string, fold int")
+
+
+def inner_grouped_folds(groups: DataFrame, dealt: DataFrame, folds: int, inner_folds: int, seed: int) -> DataFrame:
+    """``inner_fold`` of each dataset's family for each ``outer_fold`` it trains in, each family whole in one fold.
+
+    ``groups`` is the summary that ``grouped_folds`` dealt as ``dealt``; the training families of an outer fold are
+    dealt anew, each outer fold's as a dataset of its own and by hashes of their own.
+    """
+    outer = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("outer_fold")
+    training = groups.join(dealt, ["dataset", "family"]).select("dataset", "family", "stratum", "n", "fold", outer).where("outer_fold <> fold")
+    prefixed = [F.concat_ws("|", F.col("outer_fold").cast("string"), F.col(c)).alias(c) for c in ("dataset", "family")]
+    found = grouped_folds(training.select(*prefixed, "stratum", "n"), inner_folds, seed)
+    own = [F.regexp_replace(c, r"^\d+\|", "").alias(c) for c in ("dataset", "family")]
+    return found.select(*own, F.substring_index("dataset", "|", 1).cast("int").alias("outer_fold"), F.col("fold").alias("inner_fold"))

@@ -580,24 +580,24 @@ def cross_overlap(spark, sf_dir):
     return families.cross_overlap(_halves(spark, sf_dir))
 
 
-def _family_folds(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _family_folds(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     records = adapters.families(spark, sf_dir).select("dataset", "record_key", scalar.lexical_family(F.col("text")).alias("family"), F.coalesce(F.col("truth").cast("string"), F.lit("none")).alias("stratum"), "truth")
     summary = records.groupBy("dataset", "family", "stratum").agg(F.count("*").alias("n"))
-    return records, folds.grouped_folds(summary, 5, SEED)
+    return records, summary, folds.grouped_folds(summary, 5, SEED)
 
 
 @query()
 def grouped_folds(spark, sf_dir):
-    return _family_folds(spark, sf_dir)[1]
+    return _family_folds(spark, sf_dir)[2]
 
 
 @query()
 def grouped_crossfit(spark, sf_dir):
-    """Cross-fitted toxicity votes with every family whole in one fold."""
-    records, fold = _family_folds(spark, sf_dir)
+    """Cross-fitted toxicity votes with every family whole in one fold, outer and inner."""
+    records, summary, fold = _family_folds(spark, sf_dir)
     labelled = adapters.with_votes(records.where("truth is not null").withColumn("label", F.lit("toxic"))).join(records.select("record_key", "family"), "record_key")
     decisions = labelled.join(fold, ["dataset", "family"])
-    return calibrate.crossfit(decisions, seed=SEED)[1]
+    return calibrate.crossfit(decisions, seed=SEED, inner=folds.inner_grouped_folds(summary, fold, 5, 3, SEED))[1]
 
 
 # ---- integrity, samples, progress

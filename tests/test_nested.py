@@ -90,3 +90,23 @@ def test_stacker_and_prevalence_select_on_inner_folds(spark):
                     assert r.score == pytest.approx(model(r.pattern), abs=1e-7)
                     assert (r.objective, r.threshold) == (pytest.approx(at[0]), at[1]) and r.predicted == (r.score >= r.threshold)
         assert {r.c for r in stacked if r.fold == fold} == {-minus_c}
+
+
+def test_families_stay_whole_in_inner_folds(spark):
+    rng = random.Random(9)
+    families = [(d, f"f{k}", rng.choice([1, 1, 2, 30])) for d in ("p", "q") for k in range(40)]
+    summary = spark.createDataFrame([(d, f, str(rng.randrange(2)), n) for d, f, n in families], "dataset string, family string, stratum string, n long")
+    dealt = folds.grouped_folds(summary, 5, 7)
+    outer = {(r.dataset, r.family): r.fold for r in dealt.collect()}
+    inner = folds.inner_grouped_folds(summary, dealt, 5, 3, 7)
+    found = inner.collect()
+    assert len({(r.dataset, r.family, r.outer_fold) for r in found}) == len(found) == 4 * len(families)
+    assert all(outer[r.dataset, r.family] != r.outer_fold for r in found)
+    for d in ("p", "q"):
+        for k in range(5):
+            assert {r.inner_fold for r in found if (r.dataset, r.outer_fold) == (d, k)} == {0, 1, 2}
+    # Every copy is a record of its own; the cells of a family's label show the inner folds that it is in.
+    records = [(i, d, f, f"{d}|{f}", "111", 1, outer[d, f]) for i, (d, f, n) in enumerate((d, f, n) for d, f, n in families for _ in range(n))]
+    decisions = spark.createDataFrame(records, "record_key long, dataset string, family string, label string, pattern string, truth int, fold int")
+    seen = calibrate.inner_frames(decisions, 5, 3, 7, inner).groupBy("outer_fold", "label").agg(F.count("*").alias("folds"), F.sum("n").alias("n")).collect()
+    assert all(r.folds == 1 for r in seen) and sum(r.n for r in seen) == 4 * len(records)
