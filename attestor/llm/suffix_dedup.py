@@ -1,34 +1,43 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat, by sparse suffix arrays.
 
 A text is its sequence of words (separated by ASCII white space, A-Z in lower case). A suffix is retained only where
-its first ``KEY`` words have the least hash among the word positions of some stretch of ``PASSAGE`` words, so equal
-stretches retain the same place. The retained suffixes are put in order of their first words (a hash aggregation with
-map-side combine; only equality of neighbours matters), and those without an equal neighbour are dropped. For each of
-the others, every stretch of ``PASSAGE`` words that chose it is compared with the equal-headed ones in the same way,
-which extends a match up to the full length to the left and right of the retained place; adjoining stretches then
-merge into maximal passages. One order of suffixes alone would not do: the neighbour with the longest common right
-side need not be the one that shares the left side, and a passage could be lost.
-
-Documents with equal word sequences collapse into one before, and each of their copies is one passage from end to end.
-
-Defined results: one row a document id; null texts and texts under ``PASSAGE`` words have no passages; a null id has
-none either; repeated rows of one id count as one document (one of the rows); repeats inside one document alone do not
-count; an empty table gives an empty table; only the id and text columns are read.
+its first ``KEY`` words (its head) have the least hash among the word positions of some stretch of ``PASSAGE`` words,
+so equal stretches retain the same place. Heads that occur once are dropped by an aggregation. The other suffixes carry
+as many words to the right and to the left as their stretches reach; they are dealt to ranges of heads and put in the
+order of their words. Neighbours are compared word by word: the lengths they share to the right cut the order into
+runs, and matches extend to the left by ordering the members of a run by the words before them, one more at a time. One
+order alone would not do: the neighbour with the longest common right side need not share the left side.
+
+A head that spans ranges, or more suffixes than ``CHUNK``, may be a common passage of a third of all rows. Its stretches
+are matched by their 128-bit digests in an aggregation with map-side combine instead, so that no task holds the head.
+
+Equal texts collapse into one before, and each copy is one passage from end to end.
+
+Defined results: one row for each row of the table; null texts and texts under ``PASSAGE`` words have no passages; a null
+id has none either; rows of one id are one document, for which its text of least digest stands; a passage counts in
+``n_spans`` if another document has it, in ``n_inner`` if its own document has it at two places (they may overlap); an
+empty table gives an empty table; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Workspace, broadcast_if_few, map_columns, text_rows
+from .common import Workspace, arrow_schema, as_struct, broadcast_if_few, map_columns, release_memory, text_rows
 from .minhash import mix, words_of
 
 PASSAGE, KEY = 50, 16
 BROADCAST_IDS = 1_000_000
+#: Suffixes whose words are compared at once; larger heads are matched by digests.
+CHUNK = 32_768
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -75,9 +84,180 @@ def word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
     return chars[np.flatnonzero(edge == -1)], chars[np.flatnonzero(edge == 1)]
 
 
+def word_table(rows: list[bytes], width: int, numbers: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word of each row, -1 beyond its end; words a row). Equal words have equal numbers."""
+    split = [r.split() for r in rows]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    table = np.full((len(rows), width), -1, np.int64)
+    table[np.arange(width) < sizes[:, None]] = np.fromiter((numbers[w] for r in split for w in r), np.int64, int(sizes.sum()))
+    return table, sizes
+
+
+class Suffixes:
+    """Suffixes in the order of their words: ``right`` begins with the suffix's own first word, ``left`` with the word
+    before it. Stretches that start ``least`` to ``most`` words before the suffix retain it."""
+
+    def __init__(self, right: list[bytes], left: list[bytes], least: np.ndarray, most: np.ndarray, doc: np.ndarray):
+        numbers: dict = defaultdict()
+        numbers.default_factory = numbers.__len__
+        self.right, self.sizes = word_table(right, PASSAGE, numbers)
+        self.left, _ = word_table(left, PASSAGE - KEY, numbers)
+        self.least, self.most, self.doc = least, most, doc
+
+    def common(self) -> np.ndarray:
+        """Words that each suffix shares with its predecessor."""
+        same = self.right[1:] == self.right[:-1]
+        words = np.where(same.all(1), PASSAGE, same.argmin(1)) if len(same) else np.empty(0, np.int64)
+        return np.concatenate([[0], np.minimum(words, np.minimum(self.sizes[1:], self.sizes[:-1]))])
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By suffix and words to the left: whether the stretch is in another document, in its own one at another
+        place, and the least document that has it."""
+        n, lefts = len(self.doc), PASSAGE - KEY + 1
+        shared, inner = np.zeros((n, lefts), bool), np.zeros((n, lefts), bool)
+        first = np.full((n, lefts), np.iinfo(np.int64).max)
+        common = self.common()
+        rows = np.flatnonzero(np.maximum(common, np.append(common[1:], 0)) >= KEY)  # the others have no such neighbour
+        if not len(rows):
+            return shared, inner, first
+        common, doc, least, most = common[rows], self.doc[rows], self.least[rows], self.most[rows]
+        base = int(max(self.left.max(), 0)) + 2
+        before = np.zeros(len(rows), np.int64)  # equal numbers: equal words to the left, as far as looked at
+        for k in range(lefts):
+            if k:
+                before = np.unique(before * base + self.left[rows, k - 1] + 1, return_inverse=True)[1]
+            at = np.flatnonzero((least <= k) & (k <= most))
+            if not len(at):
+                continue
+            run = np.cumsum(common < PASSAGE - k)[at]
+            match = run * (int(before.max()) + 1) + before[at]
+            order = np.lexsort((doc[at], match))
+            match, at = match[order], at[order]
+            edge = np.flatnonzero(np.r_[True, match[1:] != match[:-1]])
+            size = np.diff(np.append(edge, len(at)))
+            low, high = doc[at[edge]], doc[at[edge + size - 1]]
+            twice = np.r_[False, (match[1:] == match[:-1]) & (doc[at[1:]] == doc[at[:-1]])]
+            twice |= np.append(twice[1:], False)
+            shared[rows[at], k] = np.repeat(low < high, size)
+            inner[rows[at], k] = twice
+            first[rows[at], k] = np.repeat(low, size)
+        return shared, inner, first
+
+
+_MATCHES = "doc_id long, inner boolean, first long, word int, words int, start int, stop int, digest binary"
+
+
+def _matches(batches: Iterator[pa.RecordBatch], struct: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Passages of suffixes that come in the order of head and words; stretches of heads that are not whole here have a
+    digest instead and are not decided."""
+    schema = arrow_schema(struct)
+
+    def batch(doc, inner, first, word, words, start, stop, digest):
+        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((doc, inner, first, word, words, start, stop, digest), schema, strict=True)], schema=schema)
+
+    def passages(table: pa.Table):
+        column = {c: table[c].to_numpy() for c in ("doc_id", "place", "least", "most")}
+        shared, inner, first = Suffixes(table["right"].to_pylist(), table["left"].to_pylist(), column["least"], column["most"], column["doc_id"]).repeats()
+        starts, stops = (table[c].combine_chunks() for c in ("starts", "stops"))
+        begin, starts, stops = starts.offsets.to_numpy(), starts.values.to_numpy(), stops.values.to_numpy()
+        for kind, found in ((False, shared), (True, inner)):
+            # Runs of stretches, from the one that reaches farthest to the left.
+            step = np.diff(np.pad(found[:, ::-1].astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            row, a = np.nonzero(step == 1)
+            _, b = np.nonzero(step == -1)
+            if not len(row):
+                continue
+            farthest = found.shape[1] - 1 - a  # words to the left of the first stretch
+            at = begin[row] + column["most"][row] - farthest
+            least = [int(first[r, found.shape[1] - y : found.shape[1] - x].min()) for r, x, y in zip(row, a, b, strict=True)]
+            yield batch(column["doc_id"][row], np.full(len(row), kind), least, column["place"][row] - farthest, b - a - 1 + PASSAGE, starts[at], stops[at + b - a - 1], [None] * len(row))
+
+    def undecided(table: pa.Table):
+        rows = []
+        for r in table.to_pylist():
+            words = r["left"].split()[::-1] + r["right"].split()
+            for k, (start, stop) in enumerate(zip(r["starts"], r["stops"], strict=True)):
+                digest = hashlib.blake2b(b" ".join(words[k : k + PASSAGE]), digest_size=16).digest()
+                rows.append((r["doc_id"], False, None, r["place"] - r["most"] + k, PASSAGE, start, stop, digest))
+        if rows:
+            yield batch(*zip(*rows, strict=True))
+
+    def pieces(table: pa.Table, first_open: bool, last_open: bool):
+        """The heads of ``table``; its first and last one may go on elsewhere."""
+        keys = table["key"].to_numpy()
+        lo = int(np.searchsorted(keys, keys[0], "right")) if first_open else 0
+        hi = int(np.searchsorted(keys, keys[-1], "left")) if last_open else len(keys)
+        if lo < hi:
+            yield from passages(table.slice(lo, hi - lo).combine_chunks())
+        for part in (table.slice(0, lo), table.slice(max(lo, hi))):
+            for at in range(0, part.num_rows, 1024):
+                yield from undecided(part.slice(at, 1024))
+
+    held: list[pa.RecordBatch] = []
+    size, opened = 0, True
+    for given in batches:
+        held.append(given)
+        size += given.num_rows
+        if size < CHUNK:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table["key"].to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1], "left"))
+        if cut:
+            yield from pieces(table.slice(0, cut), opened, False)
+            held, size, opened = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut, False
+        else:
+            yield from pieces(table, True, True)
+            held, size, opened = [], 0, True
+    if size:
+        yield from pieces(pa.Table.from_batches(held), opened, True)
+    release_memory()
+
+
+def _contexts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The words around each of the suffixes (doc_id, digest, places), and where their stretches start and stop."""
+
+    def make():
+        def fn(ids, texts, digests, places):
+            for i, text, digest, found in zip(ids, texts, digests, places, strict=True):
+                if text_digest(text) != digest:  # another text of the same id
+                    continue
+                words = words_of(text)
+                owner, keys = owners(word_hashes(text))
+                starts, ends = word_bounds(text)
+                found = np.sort(np.asarray(found))
+                for p, lo, hi in zip(found.tolist(), np.searchsorted(owner, found).tolist(), np.searchsorted(owner, found, "right").tolist(), strict=True):
+                    right, left = b" ".join(words[p : hi - 1 + PASSAGE]), b" ".join(words[lo:p][::-1])
+                    yield int(keys[p].view(np.int64)), right, i, p, p - hi + 1, p - lo, left, starts[lo:hi].tolist(), ends[lo + PASSAGE - 1 : hi + PASSAGE - 1].tolist()
+
+        return fn
+
+    return map_columns(texts.join(chosen, "doc_id"), make, "key long, right binary, doc_id long, place int, least int, most int, left binary, starts array<int>, stops array<int>", 16)
+
+
+def text_digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass").lower(), digest_size=16).digest()
+
+
+def merged(found) -> tuple[int, int, str]:
+    """(number, words and ``start:end`` list) of passages that overlap or adjoin no other one."""
+    spans: list[list[int]] = []
+    words, word_end = 0, -1
+    for x in sorted(found, key=lambda x: (x["word"], x["words"])):
+        end = x["word"] + x["words"]
+        words += max(0, end - max(x["word"], word_end))
+        if x["word"] <= word_end:
+            if end > word_end:
+                spans[-1][1] = x["stop"]
+        else:
+            spans.append([x["start"], x["stop"]])
+        word_end = max(word_end, end)
+    return len(spans), words, ",".join(f"{a}:{b}" for a, b in spans)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_spans, repeated_words, first_doc_id (least id that shares one of the passages) and spans
-    (``start:end`` in code points, comma-joined)."""
+    """doc_id, n_words, n_spans, repeated_words, first_doc_id (least id that shares one of the passages), spans
+    (``start:end`` in code points, comma-joined), and n_inner and inner_spans of repeats inside the document."""
     work = Workspace(docs.sparkSession)
     texts = text_rows(docs, id_col, text_col, null_as=None)
 
@@ -92,63 +272,57 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 owner, keys = owners(hashes)
                 places = np.unique(owner)
                 starts, ends = word_bounds(text)
-                yield i, n, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), int(starts[0]), int(ends[-1]), keys[places].view(np.int64), places.astype(np.int32)
+                yield i, n, text_digest(text), int(starts[0]), int(ends[-1]), keys[places].view(np.int64), places.astype(np.int32)
 
         return fn
 
     sets = work.keep(map_columns(texts, retaining, "doc_id long, n_words long, digest binary, lo long, hi long, keys array<long>, places array<int>"))
-    classes = work.keep(sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("digest is not null").dropDuplicates(["doc_id"])
-    suffixes = reps.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("s")).select(F.col("s.keys").alias("key"), "doc_id", F.col("s.places").alias("place"))
-    shared = suffixes.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
-    shared = work.keep(shared)  # a plain table: adaptive execution can then split a hot key's suffixes
-    open_places = work.keep(suffixes.join(shared, "key").groupBy("doc_id").agg(F.collect_set("place").alias("places")))
-
-    def extending():
-        def fn(ids, texts, places):
-            for i, text, found in zip(ids, texts, places, strict=True):
-                hashes = word_hashes(text)
-                owner, _ = owners(hashes)
-                at = np.flatnonzero(np.isin(owner, found))
-                whole = stretch_hashes(hashes, PASSAGE)[at].view(np.int64)
-                starts, ends = word_bounds(text)
-                yield from ((int(w), i, int(p), int(a), int(b)) for w, p, a, b in zip(whole, at, starts[at], ends[at + PASSAGE - 1], strict=True))
+    rows, some_text = sets, texts.where("text is not null")
+    long_texts = sets.where("digest is not null")
+    repeated = not sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        standing = long_texts.groupBy("doc_id").agg(F.min("digest").alias("digest"))
+        long_texts = work.keep(long_texts.join(standing, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]))
+        rows = sets.select("doc_id", F.col("n_words").alias("own_words")).join(long_texts, "doc_id", "left").withColumn("n_words", F.coalesce("n_words", "own_words"))
+        some_text = some_text.dropDuplicates(["doc_id", "text"])
 
-        return fn
+    classes = work.keep(long_texts.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
+    reps = long_texts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    suffixes = reps.select("doc_id", "digest", F.explode(F.arrays_zip("keys", "places")).alias("s")).select(F.col("s.keys").alias("key"), "doc_id", "digest", F.col("s.places").alias("place"))
+    shared = work.keep(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))  # a plain table: adaptive execution can then split a hot key's suffixes
+    chosen = work.keep(suffixes.join(shared, "key").groupBy("doc_id", "digest").agg(F.collect_list("place").alias("places")))
+    ids = broadcast_if_few(chosen.select("doc_id"), BROADCAST_IDS)
+    contexts = work.keep(_contexts(some_text.join(ids, "doc_id", "left_semi"), chosen))
+    ordered = contexts.repartitionByRange("key", "doc_id", "place").sortWithinPartitions("key", "right", "doc_id", "place")
+    struct = as_struct(_MATCHES)
+    matches = work.keep(ordered.mapInArrow(lambda batches: _matches(batches, struct), struct))
 
-    ids = broadcast_if_few(open_places.select("doc_id"), BROADCAST_IDS)
-    open_texts = texts.where("text is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    stretches = work.keep(map_columns(open_texts.join(open_places, "doc_id"), extending, "whole long, doc_id long, place int, start int, stop int", 16))
-    equal = stretches.groupBy("whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("whole", "first")
-    equal = work.keep(equal)
-    marked = stretches.join(equal, "whole").groupBy("doc_id").agg(F.min("first").alias("first"), F.collect_list(F.struct("place", "start", "stop")).alias("found"))
+    by_doc = matches.where("digest is not null").groupBy("digest", "doc_id").agg(F.collect_list(F.struct("word", "words", "start", "stop")).alias("at"))
+    by_doc = work.keep(by_doc)
+    equal = by_doc.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum(F.size("at")).alias("n")).where("n > 1")
+    more = by_doc.join(work.keep(equal), "digest").select("doc_id", F.explode(F.array(F.struct(F.lit(False).alias("inner"), (F.col("first") < F.col("last")).alias("holds")), F.struct(F.lit(True).alias("inner"), (F.size("at") > 1).alias("holds")))).alias("kind"), "first", "at")
+    more = more.where("kind.holds").select("doc_id", F.col("kind.inner").alias("inner"), "first", F.explode("at").alias("p")).select("doc_id", "inner", "first", "p.*")
+    found = matches.where("digest is null").drop("digest").unionByName(more)
+    by_rep = found.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.when(~F.col("inner"), F.col("first"))).alias("first"), *[F.collect_list(F.when(F.col("inner") == kind, F.struct("word", "words", "start", "stop"))).alias(name) for name, kind in (("across", False), ("within", True))])
 
     def merging():
-        def fn(ids, firsts, lists):
-            for i, first, found in zip(ids, firsts, lists, strict=True):
-                spans: list[list[int]] = []
-                words, word_end = 0, -1
-                for x in sorted(found, key=lambda x: x["place"]):
-                    words += x["place"] + PASSAGE - max(x["place"], word_end)
-                    if x["place"] <= word_end:
-                        spans[-1][1] = x["stop"]
-                    else:
-                        spans.append([x["start"], x["stop"]])
-                    word_end = x["place"] + PASSAGE
-                yield i, first, len(spans), words, ",".join(f"{a}:{b}" for a, b in spans)
+        def fn(ids, firsts, across, within):
+            for i, first, a, b in zip(ids, firsts, across, within, strict=True):
+                yield i, first, *merged(a), *merged(b)
 
         return fn
 
-    merged = map_columns(marked, merging, "rep long, first long, spans_n long, words long, list string")
-    per_class = classes.join(merged, "rep", "left")
-    out = sets.select("doc_id", "n_words", "digest", "lo", "hi").join(per_class, "digest", "left")
+    per_rep = map_columns(by_rep, merging, "rep long, first long, n long, words long, list string, n_inner long, inner_words long, inner_list string")
+    out = rows.join(classes.join(per_rep, "rep", "left"), "digest", "left")
     copied = F.coalesce(F.col("rep") < F.col("last"), F.lit(False))
     none = F.lit(0).cast("long")
     return out.select(
         "doc_id",
         "n_words",
-        F.when(copied, 1).otherwise(F.coalesce("spans_n", none)).cast("long").alias("n_spans"),
+        F.when(copied, 1).otherwise(F.coalesce("n", none)).cast("long").alias("n_spans"),
         F.when(copied, F.col("n_words")).otherwise(F.coalesce("words", none)).alias("repeated_words"),
         F.when(copied, F.least("rep", "first")).otherwise(F.col("first")).alias("first_doc_id"),
         F.when(copied, F.concat_ws(":", "lo", "hi")).otherwise(F.coalesce("list", F.lit(""))).alias("spans"),
+        F.coalesce("n_inner", none).alias("n_inner"),
+        F.coalesce("inner_list", F.lit("")).alias("inner_spans"),
     )
