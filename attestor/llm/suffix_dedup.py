@@ -3,13 +3,14 @@
 A text is its sequence of words (separated by ASCII white space, A-Z in lower case). A suffix is retained only where
 its first ``KEY`` words (its head) have the least hash among the word positions of some stretch of ``PASSAGE`` words,
 so equal stretches retain the same place. Heads that occur once are dropped by an aggregation. The other suffixes carry
-as many words to the right and to the left as their stretches reach; they are dealt to ranges of heads and put in the
-order of their words. Neighbours are compared word by word: the lengths they share to the right cut the order into
-runs, and matches extend to the left by ordering the members of a run by the words before them, one more at a time. One
-order alone would not do: the neighbour with the longest common right side need not share the left side.
+as many words to the right and to the left as their stretches reach; they are dealt by head and put in the order of
+their words. Neighbours are compared word by word: the lengths they share to the right cut the order into runs, and
+matches extend to the left by ordering the members of a run by the words before them, one more at a time. One order
+alone would not do: the neighbour with the longest common right side need not share the left side.
 
-A head that spans ranges, or more suffixes than ``CHUNK``, may be a common passage of a third of all rows. Its stretches
-are matched by their 128-bit digests in an aggregation with map-side combine instead, so that no task holds the head.
+A head of more than ``HOT`` suffixes may be a common passage of a third of all rows. Its stretches are matched by their
+128-bit digests in an aggregation with map-side combine instead, so that no task holds the head. Repeats inside a
+document are found while its text is read.
 
 Equal texts collapse into one before, and each copy is one passage from end to end.
 
@@ -36,8 +37,12 @@ from .minhash import mix, words_of
 
 PASSAGE, KEY = 50, 16
 BROADCAST_IDS = 1_000_000
-#: Suffixes whose words are compared at once; larger heads are matched by digests.
-CHUNK = 32_768
+#: Suffixes of one head that are compared in one task; larger heads are matched by digests, in lists of about ``PART``.
+HOT, PART = 4096, 512
+#: Suffixes, in whole heads, whose words are compared at once.
+CHUNK = 16_384
+#: Lists of passages that may be broadcast to the texts in which their places are looked up.
+BROADCAST_SPANS = 200_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -110,16 +115,14 @@ class Suffixes:
         words = np.where(same.all(1), PASSAGE, same.argmin(1)) if len(same) else np.empty(0, np.int64)
         return np.concatenate([[0], np.minimum(words, np.minimum(self.sizes[1:], self.sizes[:-1]))])
 
-    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By suffix and words to the left: whether the stretch is in another document, in its own one at another
-        place, and the least document that has it."""
+    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
+        """By suffix and words to the left: whether another document has the stretch, and the least one that has it."""
         n, lefts = len(self.doc), PASSAGE - KEY + 1
-        shared, inner = np.zeros((n, lefts), bool), np.zeros((n, lefts), bool)
-        first = np.full((n, lefts), np.iinfo(np.int64).max)
+        shared, first = np.zeros((n, lefts), bool), np.full((n, lefts), np.iinfo(np.int64).max)
         common = self.common()
         rows = np.flatnonzero(np.maximum(common, np.append(common[1:], 0)) >= KEY)  # the others have no such neighbour
         if not len(rows):
-            return shared, inner, first
+            return shared, first
         common, doc, least, most = common[rows], self.doc[rows], self.least[rows], self.most[rows]
         base = int(max(self.left.max(), 0)) + 2
         before = np.zeros(len(rows), np.int64)  # equal numbers: equal words to the left, as far as looked at
@@ -129,72 +132,37 @@ class Suffixes:
             at = np.flatnonzero((least <= k) & (k <= most))
             if not len(at):
                 continue
-            run = np.cumsum(common < PASSAGE - k)[at]
-            match = run * (int(before.max()) + 1) + before[at]
-            order = np.lexsort((doc[at], match))
+            match = np.cumsum(common < PASSAGE - k)[at] * (int(before.max()) + 1) + before[at]
+            order = np.argsort(match, kind="stable")
             match, at = match[order], at[order]
             edge = np.flatnonzero(np.r_[True, match[1:] != match[:-1]])
             size = np.diff(np.append(edge, len(at)))
-            low, high = doc[at[edge]], doc[at[edge + size - 1]]
-            twice = np.r_[False, (match[1:] == match[:-1]) & (doc[at[1:]] == doc[at[:-1]])]
-            twice |= np.append(twice[1:], False)
+            low, high = np.minimum.reduceat(doc[at], edge), np.maximum.reduceat(doc[at], edge)
             shared[rows[at], k] = np.repeat(low < high, size)
-            inner[rows[at], k] = twice
             first[rows[at], k] = np.repeat(low, size)
-        return shared, inner, first
+        return shared, first
 
 
-_MATCHES = "doc_id long, inner boolean, first long, word int, words int, start int, stop int, digest binary"
+_MATCHES = "doc_id long, first long, word int, words int"
 
 
 def _matches(batches: Iterator[pa.RecordBatch], struct: T.StructType) -> Iterator[pa.RecordBatch]:
-    """Passages of suffixes that come in the order of head and words; stretches of heads that are not whole here have a
-    digest instead and are not decided."""
+    """Passages of suffixes that come in the order of head and words; every head is whole."""
     schema = arrow_schema(struct)
 
-    def batch(doc, inner, first, word, words, start, stop, digest):
-        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((doc, inner, first, word, words, start, stop, digest), schema, strict=True)], schema=schema)
-
-    def passages(table: pa.Table):
+    def passages(table: pa.Table) -> pa.RecordBatch:
         column = {c: table[c].to_numpy() for c in ("doc_id", "place", "least", "most")}
-        shared, inner, first = Suffixes(table["right"].to_pylist(), table["left"].to_pylist(), column["least"], column["most"], column["doc_id"]).repeats()
-        starts, stops = (table[c].combine_chunks() for c in ("starts", "stops"))
-        begin, starts, stops = starts.offsets.to_numpy(), starts.values.to_numpy(), stops.values.to_numpy()
-        for kind, found in ((False, shared), (True, inner)):
-            # Runs of stretches, from the one that reaches farthest to the left.
-            step = np.diff(np.pad(found[:, ::-1].astype(np.int8), ((0, 0), (1, 1))), axis=1)
-            row, a = np.nonzero(step == 1)
-            _, b = np.nonzero(step == -1)
-            if not len(row):
-                continue
-            farthest = found.shape[1] - 1 - a  # words to the left of the first stretch
-            at = begin[row] + column["most"][row] - farthest
-            least = [int(first[r, found.shape[1] - y : found.shape[1] - x].min()) for r, x, y in zip(row, a, b, strict=True)]
-            yield batch(column["doc_id"][row], np.full(len(row), kind), least, column["place"][row] - farthest, b - a - 1 + PASSAGE, starts[at], stops[at + b - a - 1], [None] * len(row))
-
-    def undecided(table: pa.Table):
-        rows = []
-        for r in table.to_pylist():
-            words = r["left"].split()[::-1] + r["right"].split()
-            for k, (start, stop) in enumerate(zip(r["starts"], r["stops"], strict=True)):
-                digest = hashlib.blake2b(b" ".join(words[k : k + PASSAGE]), digest_size=16).digest()
-                rows.append((r["doc_id"], False, None, r["place"] - r["most"] + k, PASSAGE, start, stop, digest))
-        if rows:
-            yield batch(*zip(*rows, strict=True))
-
-    def pieces(table: pa.Table, first_open: bool, last_open: bool):
-        """The heads of ``table``; its first and last one may go on elsewhere."""
-        keys = table["key"].to_numpy()
-        lo = int(np.searchsorted(keys, keys[0], "right")) if first_open else 0
-        hi = int(np.searchsorted(keys, keys[-1], "left")) if last_open else len(keys)
-        if lo < hi:
-            yield from passages(table.slice(lo, hi - lo).combine_chunks())
-        for part in (table.slice(0, lo), table.slice(max(lo, hi))):
-            for at in range(0, part.num_rows, 1024):
-                yield from undecided(part.slice(at, 1024))
+        shared, first = Suffixes(table["right"].to_pylist(), table["left"].to_pylist(), column["least"], column["most"], column["doc_id"]).repeats()
+        # Runs of stretches, from the one that reaches farthest to the left.
+        step = np.diff(np.pad(shared[:, ::-1].astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, a = np.nonzero(step == 1)
+        _, b = np.nonzero(step == -1)
+        first = np.where(shared, first, np.iinfo(np.int64).max).min(1)
+        columns = column["doc_id"][row], first[row], column["place"][row] - (shared.shape[1] - 1 - a), b - a - 1 + PASSAGE
+        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
     held: list[pa.RecordBatch] = []
-    size, opened = 0, True
+    size = 0
     for given in batches:
         held.append(given)
         size += given.num_rows
@@ -202,20 +170,16 @@ def _matches(batches: Iterator[pa.RecordBatch], struct: T.StructType) -> Iterato
             continue
         table = pa.Table.from_batches(held)
         keys = table["key"].to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], "left"))
-        if cut:
-            yield from pieces(table.slice(0, cut), opened, False)
-            held, size, opened = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut, False
-        else:
-            yield from pieces(table, True, True)
-            held, size, opened = [], 0, True
+        if cut := int(np.searchsorted(keys, keys[-1], "left")):  # the last head may go on
+            yield passages(table.slice(0, cut).combine_chunks())
+            held, size = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
     if size:
-        yield from pieces(pa.Table.from_batches(held), opened, True)
+        yield passages(pa.Table.from_batches(held).combine_chunks())
     release_memory()
 
 
-def _contexts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The words around each of the suffixes (doc_id, digest, places), and where their stretches start and stop."""
+def _suffixes(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The words around each of the suffixes (doc_id, digest, places)."""
 
     def make():
         def fn(ids, texts, digests, places):
@@ -224,35 +188,64 @@ def _contexts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
                     continue
                 words = words_of(text)
                 owner, keys = owners(word_hashes(text))
-                starts, ends = word_bounds(text)
                 found = np.sort(np.asarray(found))
                 for p, lo, hi in zip(found.tolist(), np.searchsorted(owner, found).tolist(), np.searchsorted(owner, found, "right").tolist(), strict=True):
-                    right, left = b" ".join(words[p : hi - 1 + PASSAGE]), b" ".join(words[lo:p][::-1])
-                    yield int(keys[p].view(np.int64)), right, i, p, p - hi + 1, p - lo, left, starts[lo:hi].tolist(), ends[lo + PASSAGE - 1 : hi + PASSAGE - 1].tolist()
+                    yield int(keys[p].view(np.int64)), b" ".join(words[p : hi - 1 + PASSAGE]), i, p, p - hi + 1, p - lo, b" ".join(words[lo:p][::-1])
 
         return fn
 
-    return map_columns(texts.join(chosen, "doc_id"), make, "key long, right binary, doc_id long, place int, least int, most int, left binary, starts array<int>, stops array<int>", 16)
+    return map_columns(texts.join(chosen, "doc_id"), make, "key long, right binary, doc_id long, place int, least int, most int, left binary", 16)
+
+
+def _hot_matches(texts: DataFrame, chosen: DataFrame, work: Workspace) -> DataFrame:
+    """Passages of suffixes (doc_id, digest, at: place and number of lists) of heads that no task may hold."""
+
+    def make():
+        def fn(ids, texts, digests, at):
+            for i, text, digest, found in zip(ids, texts, digests, at, strict=True):
+                if text_digest(text) != digest:
+                    continue
+                words = words_of(text)
+                owner, _ = owners(word_hashes(text))
+                for x in found:
+                    for s in np.flatnonzero(owner == x["place"]).tolist():
+                        yield hashlib.blake2b(b" ".join(words[s : s + PASSAGE]), digest_size=16).digest(), i % x["parts"], i, s
+
+        return fn
+
+    stretches = work.keep(map_columns(texts.join(chosen, "doc_id"), make, "stretch binary, part long, doc_id long, word int", 16))
+    equal = stretches.groupBy("stretch").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("stretch", "first")
+    lists = stretches.groupBy("stretch", "part").agg(F.collect_list(F.struct("doc_id", "word")).alias("at"))
+    found = lists.join(work.keep(equal), "stretch").select("first", F.explode("at").alias("s"))
+    return found.select("s.doc_id", "first", "s.word", F.lit(PASSAGE).alias("words"))
 
 
 def text_digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass").lower(), digest_size=16).digest()
 
 
-def merged(found) -> tuple[int, int, str]:
-    """(number, words and ``start:end`` list) of passages that overlap or adjoin no other one."""
+def inner_repeats(hashes: np.ndarray) -> list[dict]:
+    """Runs of stretches that the text has at two places, as word and words."""
+    whole = stretch_hashes(hashes, PASSAGE)
+    order = np.argsort(whole, kind="stable")
+    alike = np.flatnonzero(whole[order[1:]] == whole[order[:-1]])
+    hit = np.zeros(len(whole) + 2, np.int8)
+    for a, b in zip(order[alike].tolist(), order[alike + 1].tolist(), strict=True):
+        if (hashes[a : a + PASSAGE] == hashes[b : b + PASSAGE]).all():
+            hit[a + 1] = hit[b + 1] = 1
+    step = np.diff(hit)
+    return [{"word": a, "words": b - a - 1 + PASSAGE} for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)]
+
+
+def merged(found) -> list[list[int]]:
+    """Passages (word, words) as [first word, word after the last], those that overlap or adjoin in one."""
     spans: list[list[int]] = []
-    words, word_end = 0, -1
-    for x in sorted(found, key=lambda x: (x["word"], x["words"])):
-        end = x["word"] + x["words"]
-        words += max(0, end - max(x["word"], word_end))
-        if x["word"] <= word_end:
-            if end > word_end:
-                spans[-1][1] = x["stop"]
+    for word, words in sorted((x["word"], x["words"]) for x in found):
+        if spans and word <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], word + words)
         else:
-            spans.append([x["start"], x["stop"]])
-        word_end = max(word_end, end)
-    return len(spans), words, ",".join(f"{a}:{b}" for a, b in spans)
+            spans.append([word, word + words])
+    return spans
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,26 +254,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     work = Workspace(docs.sparkSession)
     texts = text_rows(docs, id_col, text_col, null_as=None)
 
+    def spelled(text, spans):
+        starts, ends = word_bounds(text)
+        return ",".join(f"{starts[a]}:{ends[b - 1]}" for a, b in spans)
+
     def retaining():
         def fn(ids, texts):
             for i, text in zip(ids, texts, strict=True):
                 hashes = word_hashes(text)
                 n = len(hashes)
                 if n < PASSAGE or i is None:
-                    yield i, n, None, None, None, None, None
+                    yield i, n, None, None, None, None, None, 0, ""
                     continue
                 owner, keys = owners(hashes)
                 places = np.unique(owner)
                 starts, ends = word_bounds(text)
-                yield i, n, text_digest(text), int(starts[0]), int(ends[-1]), keys[places].view(np.int64), places.astype(np.int32)
+                inner = merged(inner_repeats(hashes))
+                yield i, n, text_digest(text), int(starts[0]), int(ends[-1]), keys[places].view(np.int64), places.astype(np.int32), len(inner), spelled(text, inner) if inner else ""
 
         return fn
 
-    sets = work.keep(map_columns(texts, retaining, "doc_id long, n_words long, digest binary, lo long, hi long, keys array<long>, places array<int>"))
+    sets = work.keep(map_columns(texts, retaining, "doc_id long, n_words long, digest binary, lo long, hi long, keys array<long>, places array<int>, n_inner long, inner_spans string"))
     rows, some_text = sets, texts.where("text is not null")
     long_texts = sets.where("digest is not null")
-    repeated = not sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    if repeated:
+    if not sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         standing = long_texts.groupBy("doc_id").agg(F.min("digest").alias("digest"))
         long_texts = work.keep(long_texts.join(standing, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]))
         rows = sets.select("doc_id", F.col("n_words").alias("own_words")).join(long_texts, "doc_id", "left").withColumn("n_words", F.coalesce("n_words", "own_words"))
@@ -289,30 +286,34 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = work.keep(long_texts.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
     reps = long_texts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     suffixes = reps.select("doc_id", "digest", F.explode(F.arrays_zip("keys", "places")).alias("s")).select(F.col("s.keys").alias("key"), "doc_id", "digest", F.col("s.places").alias("place"))
-    shared = work.keep(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))  # a plain table: adaptive execution can then split a hot key's suffixes
-    chosen = work.keep(suffixes.join(shared, "key").groupBy("doc_id", "digest").agg(F.collect_list("place").alias("places")))
-    ids = broadcast_if_few(chosen.select("doc_id"), BROADCAST_IDS)
-    contexts = work.keep(_contexts(some_text.join(ids, "doc_id", "left_semi"), chosen))
-    ordered = contexts.repartitionByRange("key", "doc_id", "place").sortWithinPartitions("key", "right", "doc_id", "place")
-    struct = as_struct(_MATCHES)
-    matches = work.keep(ordered.mapInArrow(lambda batches: _matches(batches, struct), struct))
+    shared = suffixes.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "n")
+    shared = work.keep(shared)  # a plain table: adaptive execution can then split a hot key's suffixes
+    open_suffixes = suffixes.join(shared, "key")
+    chosen = work.keep(open_suffixes.where(f"n <= {HOT}").groupBy("doc_id", "digest").agg(F.collect_list("place").alias("places")))
 
-    by_doc = matches.where("digest is not null").groupBy("digest", "doc_id").agg(F.collect_list(F.struct("word", "words", "start", "stop")).alias("at"))
-    by_doc = work.keep(by_doc)
-    equal = by_doc.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum(F.size("at")).alias("n")).where("n > 1")
-    more = by_doc.join(work.keep(equal), "digest").select("doc_id", F.explode(F.array(F.struct(F.lit(False).alias("inner"), (F.col("first") < F.col("last")).alias("holds")), F.struct(F.lit(True).alias("inner"), (F.size("at") > 1).alias("holds")))).alias("kind"), "first", "at")
-    more = more.where("kind.holds").select("doc_id", F.col("kind.inner").alias("inner"), "first", F.explode("at").alias("p")).select("doc_id", "inner", "first", "p.*")
-    found = matches.where("digest is null").drop("digest").unionByName(more)
-    by_rep = found.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.when(~F.col("inner"), F.col("first"))).alias("first"), *[F.collect_list(F.when(F.col("inner") == kind, F.struct("word", "words", "start", "stop"))).alias(name) for name, kind in (("across", False), ("within", True))])
+    def those_of(chosen):
+        return some_text.join(broadcast_if_few(chosen.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
 
-    def merging():
-        def fn(ids, firsts, across, within):
-            for i, first, a, b in zip(ids, firsts, across, within, strict=True):
-                yield i, first, *merged(a), *merged(b)
+    ordered = _suffixes(those_of(chosen), chosen).repartition("key").sortWithinPartitions("key", "right", "doc_id", "place")
+    struct = as_struct(_MATCHES)
+    matches = work.keep(ordered.mapInArrow(lambda batches: _matches(batches, struct), struct))
+    if not shared.where(f"n > {HOT}").isEmpty():
+        parts = F.ceil(F.col("n") / PART).alias("parts")
+        hot = work.keep(open_suffixes.where(f"n > {HOT}").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("place", parts)).alias("at")))
+        matches = work.keep(matches.unionByName(_hot_matches(those_of(hot), hot, work)))
+    by_rep = work.keep(matches.groupBy("doc_id").agg(F.min("first").alias("first"), F.collect_list(F.struct("word", "words")).alias("found")))
+
+    def placing():
+        def fn(ids, texts, digests, firsts, found):
+            for i, text, digest, first, x in zip(ids, texts, digests, firsts, found, strict=True):
+                if text_digest(text) == digest:
+                    spans = merged(x)
+                    yield i, first, len(spans), sum(b - a for a, b in spans), spelled(text, spans)
 
         return fn
 
-    per_rep = map_columns(by_rep, merging, "rep long, first long, n long, words long, list string, n_inner long, inner_words long, inner_list string")
+    found = by_rep.join(long_texts.select("doc_id", "digest"), "doc_id")
+    per_rep = map_columns(some_text.join(broadcast_if_few(found, BROADCAST_SPANS), "doc_id").select("doc_id", "text", "digest", "first", "found"), placing, "rep long, first long, n long, words long, list string", 64)
     out = rows.join(classes.join(per_rep, "rep", "left"), "digest", "left")
     copied = F.coalesce(F.col("rep") < F.col("last"), F.lit(False))
     none = F.lit(0).cast("long")
@@ -324,5 +325,5 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.when(copied, F.least("rep", "first")).otherwise(F.col("first")).alias("first_doc_id"),
         F.when(copied, F.concat_ws(":", "lo", "hi")).otherwise(F.coalesce("list", F.lit(""))).alias("spans"),
         F.coalesce("n_inner", none).alias("n_inner"),
-        F.coalesce("inner_list", F.lit("")).alias("inner_spans"),
+        F.coalesce("inner_spans", F.lit("")).alias("inner_spans"),
     )

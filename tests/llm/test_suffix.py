@@ -74,10 +74,11 @@ def corpus():
     return {k: rng.choice([" ", "\n", " \t "]).join(x) for k, x in enumerate(docs)}
 
 
-@pytest.mark.parametrize("chunk", [X.CHUNK, 40, 1])
-def test_equals_brute_force(spark, monkeypatch, chunk):
-    """Also with chunks so small that heads do not fit and are matched by digests."""
-    monkeypatch.setattr(X, "CHUNK", chunk)
+@pytest.mark.parametrize("hot, part", [(X.HOT, X.PART), (10, 3), (1, 1)])
+def test_equals_brute_force(spark, monkeypatch, hot, part):
+    """Also with some or all heads too large for a task."""
+    monkeypatch.setattr(X, "HOT", hot)
+    monkeypatch.setattr(X, "PART", part)
     texts = corpus()
     expected, inner = brute(texts), brute_inner(texts)
     assert sum(map(bool, inner.values())) >= 4
