@@ -2,8 +2,8 @@
 
 A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are the samples of an RGB picture 64 pixels
 wide (192 bytes a row), cut into tiles of at most 64 rows; the stored form is the tiles' WebP files one after the
-other. The encoder writes prefix-coded literals (predictors, palettes and back-references do not pay for prose); the
-decoder reads any lossless stream, and many literal-only ones in step.
+other. A tile is written with back-references, and with the colour cache, palette, predictor, cross-colour or
+subtract-green transform where they are likely to save bits; the decoder reads any lossless stream, many in step.
 
 Defined results: a null text counts as an empty one, one row of spaces; repeated rows and equal texts give equal
 values; texts longer than a tile give several; an empty table gives an empty table; only the id and text columns are
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_columns, text_rows
-from .webp import decode_literals, encode_literals, riff, unriff
+from .webp import riff, unriff
+from .webp_tiles import decode_tiles, encode_tiles
 
 WIDTH, TILE_ROWS = 64, 64
 ROW_BYTES = 3 * WIDTH
-SLICE_ROWS = 256
+SLICE_ROWS = 512
 
 
 def payload(text: str) -> bytes:
@@ -47,7 +48,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             payloads = [payload(t) for t in texts]
             step = ROW_BYTES * TILE_ROWS
             tiles = [p[k : k + step] for p in payloads for k in range(0, len(p), step)]
-            coded = iter(encode_literals(tiles, WIDTH))
+            coded = iter(encode_tiles(tiles, WIDTH))
             for i, t, p in zip(ids, texts, payloads, strict=True):
                 yield i, len(t.encode("utf-8", "surrogatepass")), b"".join(riff(next(coded)) for _ in range(0, len(p), step))
 
@@ -59,7 +60,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _decoded(media: list[bytes | None]):
     """The samples of each stored picture, its tiles one below the other."""
     streams = [unriff(m) if m else [] for m in media]
-    tiles = iter(decode_literals([s for x in streams for s in x]))
+    tiles = iter(decode_tiles([s for x in streams for s in x]))
     for x in streams:
         rows = [next(tiles) for _ in x]
         yield np.concatenate(rows) if rows else np.zeros((0, WIDTH, 3), np.uint8)

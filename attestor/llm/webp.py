@@ -2,10 +2,8 @@
 
 Pixels are (height, width, 4) arrays of 8-bit samples in the order red, green, blue, alpha. ``decode`` reads prefix
 codes (simple and normal), meta prefix groups, back-references with the two-dimensional distance map and the colour
-cache, and inverts predictor, cross-colour, subtract-green and palette transforms. ``decode_literals`` decodes many
-streams at once, one pixel of each stream a step, where the streams use neither back-references, cache, groups nor
-transforms; other streams go through ``decode``. ``encode_literals`` writes such streams for many images at once and
-``encode`` writes one image with any of the other tools.
+cache, and inverts predictor, cross-colour, subtract-green and palette transforms. ``encode`` writes one image with any
+of these tools. ``webp_tiles`` does both for many small images at once.
 """
 
 from __future__ import annotations
@@ -22,9 +20,6 @@ LENGTH_CODES, DISTANCE_CODES = 24, 40
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 OPAQUE = 0xFF000000
 
-#: Longest code that the batch encoder writes and the batch decoder has tables for.
-TABLE_BITS = 11
-
 
 @lru_cache
 def distance_map() -> list[tuple[int, int]]:
@@ -41,6 +36,10 @@ class Reader:
         at = self.pos >> 3
         return int.from_bytes(self.data[at : at + 8], "little") >> (self.pos & 7)
 
+    def peek_at(self, pos: int, n: int) -> int:
+        """``n`` bits from ``pos`` on, however many."""
+        return int.from_bytes(self.data[pos >> 3 : (pos + n + 7) >> 3], "little") >> (pos & 7) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         value = self.peek() & ((1 << n) - 1)
         self.pos += n
@@ -69,14 +68,6 @@ def reverse(value: int, n: int) -> int:
     return int(f"{value:0{n}b}"[::-1], 2) if n else 0
 
 
-@lru_cache
-def reversal(bits: int) -> np.ndarray:
-    out = np.zeros(1, np.int64)
-    for k in range(bits):
-        out = np.concatenate([out, out + (1 << (bits - 1 - k))])
-    return out
-
-
 def canonical(lengths) -> dict[int, tuple[int, int]]:
     """symbol -> (bits as read, length); one used symbol takes no bits."""
     used = sorted((n, s) for s, n in enumerate(lengths) if n)
@@ -334,6 +325,13 @@ def _neighbours(flat, k, width):
 def predict(rgba: np.ndarray, modes: np.ndarray, bits: int, inverse: bool) -> np.ndarray:
     """Residuals of a picture, or the picture of residuals."""
     height, width = rgba.shape[:2]
+    if not inverse and modes.min() == modes.max() and modes.flat[0] in (1, 2):
+        full = rgba.astype(np.int64)
+        guess = np.empty_like(full)
+        guess[:, 1:], guess[1:, 0], guess[0, 0] = full[:, :-1], full[:-1, 0], (0, 0, 0, 255)
+        if modes.flat[0] == 2:
+            guess[1:] = full[:-1]
+        return (full - guess & 255).astype(np.uint8)
     given = rgba.reshape(-1, 4).astype(np.int64)
     out = given.copy()
     full = out if inverse else given
@@ -352,6 +350,21 @@ def predict(rgba: np.ndarray, modes: np.ndarray, bits: int, inverse: bool) -> np
     return out.reshape(height, width, 4).astype(np.uint8)
 
 
+def unpredict(residuals: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
+    """The picture of residuals. Where one mode looks only to the left or only up, residuals add up along that way."""
+    if modes.min() != modes.max() or modes.flat[0] not in (1, 2):
+        return predict(residuals, modes, bits, True)
+    out = residuals.astype(np.int64)
+    out[0, 0, 3] += 255
+    if modes.flat[0] == 1:
+        out[:, 0] = np.cumsum(out[:, 0], 0)
+        out = np.cumsum(out, 1)
+    else:
+        out[0] = np.cumsum(out[0], 0)
+        out = np.cumsum(out, 0)
+    return (out & 255).astype(np.uint8)
+
+
 def cross_colour(rgba: np.ndarray, elements: np.ndarray, bits: int, inverse: bool) -> np.ndarray:
     height, width = rgba.shape[:2]
     e = np.repeat(np.repeat(elements, 1 << bits, 0), 1 << bits, 1)[:height, :width].astype(np.int8).astype(np.int64)
@@ -366,9 +379,9 @@ def cross_colour(rgba: np.ndarray, elements: np.ndarray, bits: int, inverse: boo
     return out.astype(np.uint8)
 
 
-def decode(stream: bytes) -> np.ndarray:
-    """The pixels of a VP8L stream."""
-    r = Reader(stream)
+def read_head(r: Reader) -> tuple[int, int, int, list]:
+    """(width, height, width as coded, transforms) of a stream, up to its main image. A transform is its kind, block or
+    packing bits, data and the width before it."""
     if r.read(8) != 0x2F:
         raise ValueError("not a VP8L stream")
     width, height = r.read(14) + 1, r.read(14) + 1
@@ -392,10 +405,15 @@ def decode(stream: bytes) -> np.ndarray:
             coded = (coded + (1 << bits) - 1) >> bits
         else:
             done.append((kind, 0, None, coded))
-    rgba = _pixels(read_image(r, coded, height, True)).reshape(height, coded, 4)
-    for kind, bits, data, before in reversed(done):
+    return width, height, coded, done
+
+
+def invert(rgba: np.ndarray, transforms: list) -> np.ndarray:
+    """The picture before its transforms."""
+    height = len(rgba)
+    for kind, bits, data, before in reversed(transforms):
         if kind == PREDICTOR:
-            rgba = predict(rgba, data[..., 1], bits, True)
+            rgba = unpredict(rgba, data[..., 1], bits)
         elif kind == CROSS_COLOUR:
             rgba = cross_colour(rgba, data, bits, True)
         elif kind == SUBTRACT_GREEN:
@@ -415,6 +433,13 @@ def decode(stream: bytes) -> np.ndarray:
     return rgba
 
 
+def decode(stream: bytes) -> np.ndarray:
+    """The pixels of a VP8L stream."""
+    r = Reader(stream)
+    _, height, coded, transforms = read_head(r)
+    return invert(_pixels(read_image(r, coded, height, True)).reshape(height, coded, 4), transforms)
+
+
 def write_image(w: Writer, argb: list[int], width: int, cache_bits: int = 0, back_references: bool = False, group_bits: int | None = None) -> None:
     """Entropy-code an image. ``group_bits`` is None for an inner image, 0 for one group, else blocks of that size."""
     w.put(int(cache_bits > 0), 1)
@@ -499,22 +524,20 @@ def header(w: Writer, width: int, height: int, alpha: bool) -> None:
     w.put(0, 3)
 
 
-def encode(rgba: np.ndarray, predictor: int | None = None, cross: tuple[int, int, int] | None = None, subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, back_references: bool = True, group_bits: int = 0, block_bits: int = 3) -> bytes:
-    """A VP8L stream with the given tools. ``predictor`` is a mode, or -1 for another mode in each block."""
+def write_transforms(w: Writer, rgba: np.ndarray, predictor: int | None = None, cross: tuple[int, int, int] | None = None, subtract_green: bool = False, palette: bool = False, block_bits: int = 3) -> np.ndarray:
+    """Write the transforms of a picture and return it transformed. ``predictor`` is a mode, or -1 for another mode in
+    each block; ``cross`` is red to blue, green to blue, green to red."""
     height, width = rgba.shape[:2]
-    w = Writer()
-    header(w, width, height, bool((rgba[..., 3] != 255).any()))
     down, across = (height + (1 << block_bits) - 1) >> block_bits, (width + (1 << block_bits) - 1) >> block_bits
     if palette:
-        colours = np.unique(rgba.reshape(-1, 4), axis=0)
+        colours, index = np.unique(_argb(rgba), return_inverse=True)
         if len(colours) > 256:
             raise ValueError("more than 256 colours")
-        where = {tuple(c): k for k, c in enumerate(colours.tolist())}
-        index = np.array([where[tuple(p)] for p in rgba.reshape(-1, 4).tolist()]).reshape(height, width)
+        index = index.reshape(height, width)
         w.put(1, 1)
         w.put(PALETTE, 2)
         w.put(len(colours) - 1, 8)
-        steps = np.diff(np.vstack([np.zeros((1, 4), np.int64), colours.astype(np.int64)]), axis=0) & 255
+        steps = np.diff(np.vstack([np.zeros((1, 4), np.int64), _pixels(colours).astype(np.int64)]), axis=0) & 255
         write_image(w, _argb(steps.astype(np.uint8)).tolist(), len(colours))
         n = len(colours)
         bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
@@ -523,8 +546,7 @@ def encode(rgba: np.ndarray, predictor: int | None = None, cross: tuple[int, int
             packed[:, x >> bits] |= index[:, x] << ((x & ((1 << bits) - 1)) * (8 >> bits) if bits else 0)
         rgba = np.zeros((*packed.shape, 4), np.uint8)
         rgba[..., 1], rgba[..., 3] = packed, 255
-        width = packed.shape[1]
-        across = (width + (1 << block_bits) - 1) >> block_bits
+        across = (packed.shape[1] + (1 << block_bits) - 1) >> block_bits
     if predictor is not None:
         modes = np.full((down, across), predictor) if predictor >= 0 else np.arange(down * across).reshape(down, across) % 14
         w.put(1, 1)
@@ -547,142 +569,16 @@ def encode(rgba: np.ndarray, predictor: int | None = None, cross: tuple[int, int
         rgba[..., 0] -= rgba[..., 1]
         rgba[..., 2] -= rgba[..., 1]
     w.put(0, 1)
-    write_image(w, _argb(rgba).ravel().tolist(), width, cache_bits, back_references, group_bits)
-    return w.to_bytes()
-
-
-def encode_literals(images: list[bytes], width: int) -> list[bytes]:
-    """Streams of RGB images of the given width (bytes in rows), literals only, one code for the three channels."""
-    heads, tables, sizes, bits_each = [], [], [], []
-    arrays = [np.frombuffer(im, np.uint8) for im in images]
-    for a in arrays:
-        lengths = huffman_lengths(np.bincount(a, minlength=256).tolist(), TABLE_BITS)
-        w = Writer()
-        header(w, width, len(a) // (3 * width), False)
-        w.put(0, 3)  # no transform, no cache, no groups
-        one = Writer()
-        write_lengths(one, lengths)
-        for _ in range(3):
-            w.put(one.value, one.n)
-        w.put(0b11111111101, 11)  # alpha: the one symbol 255
-        w.put(0b0001, 4)  # distance: the one symbol 0
-        table = np.zeros(256, np.int64)
-        for s, (b, n) in canonical(lengths).items():
-            table[s] = n << 16 | b
-        heads.append(w)
-        tables.append(table)
-        sizes.append(len(a))
-    which = np.repeat(np.arange(len(arrays)), sizes)
-    planes = np.concatenate(arrays).reshape(-1, 3)[:, [1, 0, 2]].ravel()
-    coded = np.concatenate(tables)[which * 256 + planes]
-    n = coded >> 16
-    ends = np.cumsum(n)
-    last = np.cumsum(sizes) - 1
-    bits_each = np.diff(np.append(0, ends[last]))
-    head_bits = np.array([w.n for w in heads])
-    words = (head_bits + bits_each + 31) // 32 + 1
-    first_word = np.cumsum(words) - words
-    place = ends - n + np.repeat(first_word * 32 + head_bits - (ends[last] - bits_each), sizes)
-    word = place >> 5
-    # Codes do not overlap, and a word with its overhang has under 53 bits: sums of doubles are exact.
-    sums = np.bincount(word, weights=((coded & 0xFFFF) << (place & 31)).astype(np.float64), minlength=int(words.sum())).astype(np.uint64)
-    packed = (sums & np.uint64(0xFFFFFFFF)).astype("<u4")
-    packed[1:] |= (sums[:-1] >> np.uint64(32)).astype("<u4")
-    flat = packed.view(np.uint8)
-    out = []
-    for k, w in enumerate(heads):
-        head = np.frombuffer(w.to_bytes(), np.uint8)
-        at = int(first_word[k]) * 4
-        flat[at : at + len(head)] |= head
-        out.append(flat[at : at + (int(head_bits[k] + bits_each[k]) + 7) // 8].tobytes())
-    return out
-
-
-def _literal_tables(r: Reader, known: dict) -> list[np.ndarray] | None:
-    """Lookup tables of the three colour codes (length << 8 | symbol), or None where the fast decoder does not apply."""
-    out = []
-    for c, alphabet in enumerate((256 + LENGTH_CODES, 256, 256, 256, DISTANCE_CODES)):
-        if c in (1, 2) and out:  # most encoders here repeat one code; equal bits with an explicit count mean an equal code
-            n = known["bits"]
-            if known["explicit"] and int.from_bytes(r.data[r.pos >> 3 : (r.pos + n + 7 >> 3) + 1], "little") >> (r.pos & 7) & ((1 << n) - 1) == known["value"]:
-                r.pos += n
-                out.append(out[0])
-                continue
-        start = r.pos
-        lengths = read_lengths(r, alphabet)
-        if c == 0:
-            n = r.pos - start
-            value = int.from_bytes(r.data[start >> 3 : (start + n + 7 >> 3) + 1], "little") >> (start & 7) & ((1 << n) - 1)
-            if any(lengths[256:]):
-                return None
-            known |= {"bits": n, "value": value, "explicit": bool(value & 1) or _has_count(value)}
-        if c == 3 and lengths.count(0) != 255:
-            return None
-        if c >= 3:
-            continue
-        used = [(n, s) for s, n in enumerate(lengths[:256]) if n]
-        if not used:
-            return None
-        if len(used) == 1:
-            out.append(np.full(1 << TABLE_BITS, used[0][1], np.int32))
-            continue
-        used.sort()
-        longest = used[-1][0]
-        if longest > TABLE_BITS:
-            return None
-        n = np.array([u[0] for u in used])
-        entries = np.repeat(n << 8 | np.array([u[1] for u in used]), 1 << (TABLE_BITS - n))
-        table = np.zeros(1 << TABLE_BITS, np.int32)
-        if len(entries) != len(table):
-            return None
-        table[reversal(TABLE_BITS)] = entries
-        out.append(table)
-    return out
+    return rgba
 
 
-def _has_count(value: int) -> bool:
-    """Whether a normal code's bits give the number of its symbols."""
-    return bool(value >> (5 + 3 * (4 + (value >> 1 & 15))) & 1)
-
-
-def decode_literals(streams: list[bytes]) -> list[np.ndarray]:
-    """The RGB samples (height, width, 3) of each stream: all streams step by step together, or one by one."""
-    out: list[np.ndarray | None] = [None] * len(streams)
-    lanes = []
-    for k, s in enumerate(streams):
-        r = Reader(s)
-        if r.read(8) == 0x2F:
-            width, height = r.read(14) + 1, r.read(14) + 1
-            if r.read(1 + 3 + 3) in (0, 1) and (tables := _literal_tables(r, {})):
-                lanes.append((width * height, k, r.pos, tables, width, height))
-                continue
-        out[k] = decode(s)[..., :3]
-    if lanes:
-        lanes.sort(key=lambda x: -x[0])
-        pixels = np.array([x[0] for x in lanes])
-        data = b"".join(streams[x[1]] + b"\0" * 8 for x in lanes)
-        starts = np.cumsum([0, *(len(streams[x[1]]) + 8 for x in lanes[:-1])])
-        windows = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-        table = np.concatenate([t for x in lanes for t in x[3]])
-        base = np.arange(len(lanes)) * (3 << TABLE_BITS)
-        pos = starts * 8 + np.array([x[2] for x in lanes])
-        found = np.zeros((int(pixels[0]), 3, len(lanes)), np.uint8)
-        active = len(lanes) - np.searchsorted(pixels[::-1], np.arange(int(pixels[0])), side="right")
-        mask, size, eight = np.uint64((1 << TABLE_BITS) - 1), 1 << TABLE_BITS, np.int64(7)
-        for step in range(int(pixels[0])):
-            n = int(active[step])
-            p = pos[:n]
-            ahead = windows[p >> 3] >> (p & eight).view(np.uint64)
-            b = base[:n]
-            for c, channel in ((0, 1), (1, 0), (2, 2)):
-                entry = table[b + ((ahead & mask).view(np.int64) + c * size)]
-                found[step, channel, :n] = entry
-                used = (entry >> 8).astype(np.int64)
-                ahead = ahead >> used.view(np.uint64)
-                p += used
-        for lane, (n, k, _, _, width, height) in enumerate(lanes):
-            out[k] = np.ascontiguousarray(found[:n, :, lane]).reshape(height, width, 3)
-    return out
+def encode(rgba: np.ndarray, cache_bits: int = 0, back_references: bool = True, group_bits: int = 0, **transforms) -> bytes:
+    """A VP8L stream with the given tools; ``transforms`` are those of ``write_transforms``."""
+    w = Writer()
+    header(w, rgba.shape[1], rgba.shape[0], bool((rgba[..., 3] != 255).any()))
+    rgba = write_transforms(w, rgba, **transforms)
+    write_image(w, _argb(rgba).ravel().tolist(), rgba.shape[1], cache_bits, back_references, group_bits)
+    return w.to_bytes()
 
 
 def riff(stream: bytes) -> bytes:

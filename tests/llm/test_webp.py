@@ -6,6 +6,7 @@ import pytest
 
 from attestor.llm import media as P
 from attestor.llm import webp as W
+from attestor.llm import webp_tiles as B
 
 
 def pictures():
@@ -26,14 +27,14 @@ def test_every_tool_round_trips():
         for kw in tools:
             stream = W.encode(im, **kw)
             assert (W.decode(stream) == im).all(), kw
-            assert (W.decode_literals([stream])[0] == im[..., :3]).all(), kw
+            assert (B.decode_tiles([stream])[0] == im[..., :3]).all(), kw
 
 
 def test_batches_equal_single_streams():
     rng = np.random.default_rng(4)
     images = [b" " * 192, b"ab" * 96, bytes(range(192)), bytes(range(256)) * 3, *(bytes(rng.choice(list(b"theaner .,"), 192 * int(n)).tolist()) for n in rng.integers(1, 64, 20))]
-    streams = W.encode_literals(images, 64)
-    for stream, image, found in zip(streams, images, W.decode_literals(streams), strict=True):
+    streams = B.encode_tiles(images, 64)
+    for stream, image, found in zip(streams, images, B.decode_tiles(streams), strict=True):
         assert found.tobytes() == image
         assert W.decode(stream)[..., :3].tobytes() == image
 
@@ -49,7 +50,7 @@ def test_bad_streams():
     with pytest.raises(ValueError):
         P.unriff(b"RIFFxxxxJUNK")
     with pytest.raises(ValueError):
-        W.decode(W.encode_literals([b"abc" * 64], 64)[0][:8])
+        W.decode(B.encode_tiles([b"abc" * 64], 64)[0][:8])
 
 
 def test_frame(spark):
@@ -67,3 +68,42 @@ def test_frame(spark):
     samples = {r.doc_id: r for r in P.decode_media(stored).collect()}
     assert (samples[None].width, samples[None].height) == (64, 1) and bytes(samples[3].samples).startswith(long.encode())
     assert P.media_digests(P.encode_texts(df.where("false"))).count() == 0
+
+
+def test_query_streams_use_every_tool(spark):
+    """The streams of the operator itself, by the tools that their texts call for."""
+    rng = np.random.default_rng(8)
+    letters = [chr(c) for c in range(33, 127)]
+    texts = {
+        "predictor": "".join(chr(33 + (k // 3 + k * k // 9000) % 94) for k in range(6000)),
+        "cross": "".join(a + b + a for a, b in zip(rng.choice(letters, 1500), rng.choice(letters, 1500), strict=True)),
+        "green": "".join(a * 3 for a in rng.choice(letters, 1500)),
+        "palette": "".join(rng.choice(["abc", "dpe", "xyz", "m8k"], 1500)),
+        "copies": "the same line again and again\n" * 100,
+        "cache": " ".join(rng.choice(["".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(2, 9)))) for _ in range(150)], 6000)),
+    }
+    stored = P.encode_texts(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string"))
+    used: dict = {}
+    for r in stored.collect():
+        streams = W.unriff(bytes(r.media))
+        found = B.decode_tiles(streams)
+        assert b"".join(x.tobytes() for x in found) == P.payload(list(texts.values())[r.doc_id])
+        assert all((W.decode(s)[..., :3] == x).all() for s, x in zip(streams, found, strict=True))
+        for s in streams:
+            lane = B._Lane(s)
+            assert lane.ready
+            tools = {t[0] for t in lane.transforms} | ({"cache"} if lane.cache_bits else set()) | ({"copies"} if len(set(lane.tables[3] & 0xFFFF)) > 1 else set())
+            used.setdefault(list(texts)[r.doc_id], set()).update(tools)
+    assert W.PREDICTOR in used["predictor"] and W.CROSS_COLOUR in used["cross"] and W.SUBTRACT_GREEN in used["green"]
+    assert W.PALETTE in used["palette"] and "cache" in used["cache"]
+    assert any("copies" in tools for tools in used.values())
+
+
+def test_prose_takes_copies_and_cache():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), int(rng.integers(2, 9)))) for _ in range(150)]
+    text = " ".join(rng.choice(words, 6000))
+    tiles = [P.payload(text)[k : k + 12288] for k in range(0, len(text), 12288)]
+    streams = B.encode_tiles(tiles, 64)
+    assert sum(map(len, streams)) < 0.9 * sum(len(W.encode(np.dstack([np.frombuffer(t, np.uint8).reshape(-1, 64, 3), np.full((len(t) // 192, 64), 255, np.uint8)]), back_references=False)) for t in tiles)
+    assert any(B._Lane(s).cache_bits for s in streams)
