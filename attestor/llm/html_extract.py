@@ -7,7 +7,9 @@ of the page's own best container where that path is absent.
 
 Text rules: character references are decoded; white space inside a block is one space; blocks are trimmed and joined
 in page order by one space. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out by tag and by the words in class, id and role.
+comments are left out by tag and by the names in class, id and role. Markup is scanned in linear time as HTML parsers
+read it: unquoted values end at white space or ">", and quotes elsewhere are letters like others. Elements without
+markup (but for scripts and styles) that are never closed end with the element around them.
 
 Defined results: null and empty html give an empty text; a null url, or one without a host, votes for the host "";
 repeated rows vote and are extracted each on its own; ties of votes go to the lesser path; an empty table gives an
@@ -16,6 +18,7 @@ empty table; only id, url and html columns are read.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from collections import Counter
@@ -27,7 +30,7 @@ from .common import Workspace, broadcast_if_few, map_columns
 
 #: Winning paths (about 200 bytes each) that may be broadcast.
 BROADCAST_HOSTS = 100_000
-#: Steps of a generalised path.
+#: Steps of a generalised path before those above them are told by a digest.
 PATH_STEPS = 12
 
 # The HTML standard's void and raw-text elements and block-level elements.
@@ -41,8 +44,16 @@ NOISE_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs heade
 CONTAINERS = frozenset("article main section div body td blockquote".split())
 HINTS = frozenset("article content main post entry story body text".split())
 
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)(?:>|\Z)", re.S)
-_attribute = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Words that do not change what a name stands for: the "list" of "comment-list".
+NEUTRAL = frozenset("site page global primary secondary top bottom left right main box bar block list wrap wrapper container section area inner outer item items link links button buttons icon icons form panel column col row group slot unit media posts articles stories".split())
+# Words of noise that articles have for parts of their own, such as "post-header".
+PARTS = frozenset("header footer side aside banner notice notices search".split())
+
+_tag_name = re.compile(r"[A-Za-z][A-Za-z0-9:_-]*")
+# Attributes as nearly all pages write them; their values hold no angle brackets, so a miss costs no more than the tag.
+_plain_attributes = re.compile(r"""((?:\s++[^\s"'<>/=]++(?:=(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=/]++))?+)*+)\s*+(/?)>""")
+_named = re.compile(r"""\s(class|id|role)=(?:"([^"]*)"|'([^']*)'|(\S+))""", re.I)
+_gap, _attribute_name, _equals, _unquoted = re.compile(r"[\s/]*+"), re.compile(r"=?[^\s/>=]*+"), re.compile(r"\s*+=\s*+"), re.compile(r"[^\s>]*+")
 _name_words = re.compile(r"[A-Za-z]+")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)"
 
@@ -52,6 +63,92 @@ def name_words(value: str) -> list[str]:
     return [w.lower() for w in _name_words.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))]
 
 
+def is_noise(value: str, in_article: bool) -> bool:
+    """Whether a name in a class, id or role says that the element is no main text: its last word that is not neutral
+    decides ("post-comments", not "sharing-economy"); parts of articles are none."""
+    for name in value.split():
+        words = name_words(name)
+        heads = [w for w in words if w not in NEUTRAL]
+        if heads and heads[-1] in NOISE_WORDS and not (heads[-1] in PARTS and (in_article or not HINTS.isdisjoint(words[:-1]))):
+            return True
+    return False
+
+
+class Tags:
+    """Scans a page's markup once, from left to right: no part of it is looked at more than a few times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.never: set[str] = set()  # what is known not to come any more
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.never:
+            return -1
+        if (k := self.page.find(what, at)) < 0:
+            self.never.add(what)
+        return k
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+        """(class, id and role with their values, the place after the tag, whether it closes itself). A quote that is
+        never closed is part of an unquoted value; quotes elsewhere are letters like others."""
+        if m := _plain_attributes.match(self.page, at):
+            found = [(x[1].lower(), x[2] or x[3] or x[4] or "") for x in _named.finditer(m[1])] if m[1] else []
+            return found, m.end(), bool(m[2])
+        page, n, found = self.page, len(self.page), []
+        while True:
+            at = _gap.match(page, at).end()
+            if at >= n:
+                return found, n, False
+            if page[at] == ">":
+                return found, at + 1, page[at - 1] == "/"
+            m = _attribute_name.match(page, at)
+            name, at, value = m[0].lower(), m.end(), ""
+            if m := _equals.match(page, at):
+                at = m.end()
+                quote = page[at : at + 1]
+                if quote in ('"', "'") and quote and (end := self.find(quote, at + 1)) >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    m = _unquoted.match(page, at)
+                    value, at = m[0], m.end()
+            if name in ("class", "id", "role"):
+                found.append((name, value))
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """The place after the end tag of an element whose content is no markup, or -1."""
+        if (end := "</" + tag) in self.never:
+            return -1
+        m = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(self.page, at)
+        if not m:
+            self.never.add(end)
+            return -1
+        return m.end()
+
+    def next(self, at: int) -> tuple[int, int, str, bool]:
+        """(start, end of what is known to be markup, tag name in lower case or "", whether it is an end tag) of the
+        next markup; for a tag, the end is where its attributes begin."""
+        page, n = self.page, len(self.page)
+        while True:
+            start = page.find("<", at)
+            if start < 0 or start + 1 >= n:
+                return n, n, "", False
+            c = page[start + 1]
+            if c == "!":
+                if page.startswith("<!--", start):
+                    k = self.find("-->", start + 2)
+                    return start, n if k < 0 else k + 3, "", False
+                if page.startswith("<![CDATA[", start):
+                    k = self.find("]]>", start)
+                    return start, n if k < 0 else k + 3, "", False
+            if c in "!?":
+                k = self.find(">", start)
+                return start, n if k < 0 else k + 1, "", False
+            closing = c == "/"
+            if m := _tag_name.match(page, start + 1 + closing):
+                return start, m.end(), m[0].lower(), closing
+            at = start + 1
+
+
 class Node:
     """An open element; ``home`` is the nearest container, the element itself if it is one."""
 
@@ -93,17 +190,17 @@ def parse(page: str):
                 links -= 1
         del stack[k:]
 
+    scanner = Tags(page)
     while True:
-        m = _tag.search(page, at)
-        if not m:
-            put(page[at:])
+        start, end, tag, closing = scanner.next(at)
+        put(page[at:start])
+        if start >= len(page):
             break
-        put(page[at : m.start()])
-        at = m.end()
-        tag = m[2].lower() if m[2] else ""
+        at = end
         if not tag:
             continue
-        if m[1]:
+        named, at, closed = scanner.attributes(at)
+        if closing:
             if tag in BLOCK:
                 cut()
             k = len(stack) - 1 if opened[tag] else 0
@@ -137,32 +234,32 @@ def parse(page: str):
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if tag in BLOCK:
-                cut()
-            continue
+            after = scanner.raw_end(tag, at)
+            if after >= 0 or tag in ("script", "style"):
+                at = after if after >= 0 else len(page)
+                continue
         words: list[str] = []
         classes = ""
-        if m[3]:
-            for a in _attribute.finditer(m[3]):
-                found = name_words(a[2] or a[3] or a[4] or "")
-                words += found
-                if a[1].lower() == "class":
-                    classes = ".".join(sorted(set(found)))
-        noise = stack[-1].noise or (tag in NOISE_TAGS and not (tag == "header" and opened["article"])) or (tag not in ("body", "html", "article", "main") and not NOISE_WORDS.isdisjoint(words))
+        noise = stack[-1].noise or (tag in NOISE_TAGS and not (tag == "header" and opened["article"]))
+        for name, value in named:
+            found = name_words(value)
+            words += found
+            if name == "class":
+                classes = ".".join(sorted(set(found)))
+            if not noise and tag not in ("body", "html", "article", "main"):
+                noise = is_noise(value, bool(opened["article"]))
         if tag == "a":
             links += 1
         path = f"{stack[-1].path}/{tag}.{classes}" if classes else f"{stack[-1].path}/{tag}"
-        if path.count("/") > PATH_STEPS:  # generalised again: the last steps only, so that deep pages stay small
-            path = path[path.index("/", 1) :]
+        if tag in CONTAINERS and path.count("/") > PATH_STEPS:  # the steps above as a digest, so that deep pages stay small
+            path = f"#{hashlib.blake2b(stack[-1].path.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}{path[path.rindex('/'):]}"
         # Generalised: inside a container only containers count, so that paragraphs and inline tags share its path.
         node = Node(tag, path if tag in CONTAINERS or tag == "html" else stack[-1].path, noise, stack[-1], tag in ("article", "main") or not HINTS.isdisjoint(words))
         if tag in CONTAINERS and not noise:
             nodes.append(node)
         stack.append(node)
         opened[tag] += 1
-        if m[3].endswith("/") and tag not in BLOCK:
+        if closed and tag not in BLOCK:
             close(len(stack) - 1)
     return nodes, blocks
 

@@ -1,3 +1,7 @@
+import os
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from attestor.llm import html_extract as H
@@ -47,3 +51,71 @@ def test_hosts_agree(spark):
     assert by[6].text == "short story"  # its own best container would be the deals
     assert (by[7].text, by[8].text, by[8].n_chars, by[None].text) == ("", "", 0, "x")
     assert H.main_text(df.where("false")).count() == 0
+
+
+class Article(HTMLParser):
+    """The text of the article elements, by the standard library's parser: blocks joined by one space."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if self.inside and tag in ("p", "h1", "br", "article"):
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("p", "h1"):
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_whole_table_equals_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    expected = {}
+    for r in pages.collect():
+        parser = Article()
+        parser.feed(r.html or "")
+        parser.close()
+        expected[r.page_id] = " ".join("".join(parser.parts).split())
+    found = H.main_text(pages).collect()
+    assert {r.page_id: r.text for r in found} == expected and sum(map(bool, expected.values())) > 100
+    assert all(r.n_chars == len(r.text) for r in found)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><article><p>One.<p><a href=x title=it's>Two</a> there.<p>Three.</article></body>", "One. Two there. Three."),
+        ('<article><p>a<p class="x>b<p>c</article>', "a b c"),
+        ("<article><p data-x='1' data-y=a/b>a</p><img src=x.png alt=\"<p>no</p>\"><p>b</p></article>", "a b"),
+        ("<body><article><div class='sharing-economy'><p>kept</p></div><div class='post-header'>Head</div><div class='share-buttons'>no</div><div class='post-comments'>no</div></article></body>", "kept Head"),
+        ("<body><div id=headerWrap>no</div><div class='entry'><p>yes, all of it</p><svg><path d='M0'><p>after</div></body>", "yes, all of it"),
+        ("<article><p>x<script>var a='</p>';", "x"),
+    ],
+)
+def test_markup_of_the_wild(page, text):
+    assert H.extract(page, None) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a href="', "<p title=it's>x</p>", "<svg>", "<a =", " =", "<", "</", "<!", "<![CDATA[", "<!--", "<div>", "<p>", "<a b='"])
+def test_long_pages_take_linear_time(piece):
+    def seconds(n):
+        start = time.process_time()
+        H.extract("<body>" + piece * (n // len(piece)) + '"', None)
+        return time.process_time() - start
+
+    seconds(100_000)
+    assert seconds(2_000_000) < 40 * max(seconds(200_000), 0.02)
+
+
+def test_deep_containers_keep_their_own_path():
+    page = "<div class=a>" * 20 + "one" + "</div>" * 20 + "<div class=b>" + "<div class=a>" * 19 + "two" + "</div>" * 20
+    nodes, _ = H.parse(page)
+    assert len({n.path for n in nodes}) == len(nodes) == 40
