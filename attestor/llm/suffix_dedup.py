@@ -2,15 +2,15 @@
 
 A text is its sequence of words (separated by ASCII white space, A-Z in lower case). A suffix is retained only where
 its first ``KEY`` words (its head) have the least hash among the word positions of some stretch of ``PASSAGE`` words,
-so equal stretches retain the same place. Heads that occur once are dropped by an aggregation. The other suffixes carry
-as many words to the right and to the left as their stretches reach; they are dealt by head and put in the order of
-their words. Neighbours are compared word by word: the lengths they share to the right cut the order into runs, and
-matches extend to the left by ordering the members of a run by the words before them, one more at a time. One order
-alone would not do: the neighbour with the longest common right side need not share the left side.
+so equal stretches retain the same place. Heads that one document alone has are dropped by an aggregation. The context
+of a suffix is as many words to the right and to the left as its stretches reach; equal contexts (128-bit digests)
+collapse, so that a repeated line or a common passage is one of them. The words of the contexts of a head meet in one
+task and are put in order. Neighbours are compared word by word: the lengths they share to the right cut the order into
+runs, and matches extend to the left by ordering the members of a run by the words before them, one more at a time. One
+order alone would not do: the neighbour with the longest common right side need not share the left side.
 
-A head of more than ``HOT`` suffixes may be a common passage of a third of all rows. Its stretches are matched by their
-128-bit digests in an aggregation with map-side combine instead, so that no task holds the head. Repeats inside a
-document are found while its text is read.
+A head of more than ``HOT`` contexts is held by no task: its stretches are matched by 128-bit digests in an aggregation
+with map-side combine. Repeats inside a document are found while its text is read.
 
 Equal texts collapse into one before, and each copy is one passage from end to end.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,12 @@ from .minhash import mix, words_of
 
 PASSAGE, KEY = 50, 16
 BROADCAST_IDS = 1_000_000
-#: Suffixes of one head that are compared in one task; larger heads are matched by digests, in lists of about ``PART``.
-HOT, PART = 4096, 512
-#: Suffixes, in whole heads, whose words are compared at once.
+#: Contexts of one head that are compared in one task; larger heads are matched by digests, in lists of about ``PART``.
+HOT, PART = 512, 256
+#: Contexts, in whole heads, whose words are compared at once.
 CHUNK = 16_384
-#: Lists of passages that may be broadcast to the texts in which their places are looked up.
-BROADCAST_SPANS = 200_000
+#: Heads (8 bytes each) that may be broadcast to the suffixes, and lists of passages to the texts.
+BROADCAST_HEADS, BROADCAST_SPANS = 1_000_000, 20_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -56,19 +57,24 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+@lru_cache(maxsize=64)
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, _U(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def segment_hashes(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of the words from each start up to each stop, by differences of a running polynomial."""
+    size = 1 << len(hashes).bit_length()
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * _powers(_BASE, size)[: len(hashes)], dtype=np.uint64)])
+    return mix((sums[stops] - sums[starts]) * _powers(_INVERSE, size)[starts])
+
+
 def stretch_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` words from each position on, by differences of a running polynomial."""
-    n = len(hashes)
-    if n < size:
-        return np.empty(0, np.uint64)
-    powers = np.ones(n, np.uint64)
-    powers[1:] = _U(_BASE)
-    powers = np.cumprod(powers, dtype=np.uint64)
-    back = np.ones(n - size + 1, np.uint64)
-    back[1:] = _U(_INVERSE)
-    back = np.cumprod(back, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * powers, dtype=np.uint64)])
-    return mix((sums[size:] - sums[: n - size + 1]) * back)
+    """A hash of the ``size`` words from each position on."""
+    at = np.arange(max(0, len(hashes) - size + 1))
+    return segment_hashes(hashes, at, at + size)
 
 
 def owners(hashes: np.ndarray, passage: int = PASSAGE, key: int = KEY) -> tuple[np.ndarray, np.ndarray]:
@@ -100,14 +106,15 @@ def word_table(rows: list[bytes], width: int, numbers: dict) -> tuple[np.ndarray
 
 class Suffixes:
     """Suffixes in the order of their words: ``right`` begins with the suffix's own first word, ``left`` with the word
-    before it. Stretches that start ``least`` to ``most`` words before the suffix retain it."""
+    before it. Stretches that start ``least`` to ``most`` words before the suffix retain it. ``low`` and ``high`` are the
+    least and greatest documents that have the suffix with these words."""
 
-    def __init__(self, right: list[bytes], left: list[bytes], least: np.ndarray, most: np.ndarray, doc: np.ndarray):
+    def __init__(self, right: list[bytes], left: list[bytes], least: np.ndarray, most: np.ndarray, low: np.ndarray, high: np.ndarray):
         numbers: dict = defaultdict()
         numbers.default_factory = numbers.__len__
         self.right, self.sizes = word_table(right, PASSAGE, numbers)
         self.left, _ = word_table(left, PASSAGE - KEY, numbers)
-        self.least, self.most, self.doc = least, most, doc
+        self.least, self.most, self.low, self.high = least, most, low, high
 
     def common(self) -> np.ndarray:
         """Words that each suffix shares with its predecessor."""
@@ -116,20 +123,17 @@ class Suffixes:
         return np.concatenate([[0], np.minimum(words, np.minimum(self.sizes[1:], self.sizes[:-1]))])
 
     def repeats(self) -> tuple[np.ndarray, np.ndarray]:
-        """By suffix and words to the left: whether another document has the stretch, and the least one that has it."""
-        n, lefts = len(self.doc), PASSAGE - KEY + 1
-        shared, first = np.zeros((n, lefts), bool), np.full((n, lefts), np.iinfo(np.int64).max)
+        """By suffix: the stretches that two documents have, as bits by words to the left, and the least document that
+        has one of them."""
+        n = len(self.low)
+        mask, first = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
         common = self.common()
-        rows = np.flatnonzero(np.maximum(common, np.append(common[1:], 0)) >= KEY)  # the others have no such neighbour
-        if not len(rows):
-            return shared, first
-        common, doc, least, most = common[rows], self.doc[rows], self.least[rows], self.most[rows]
-        base = int(max(self.left.max(), 0)) + 2
-        before = np.zeros(len(rows), np.int64)  # equal numbers: equal words to the left, as far as looked at
-        for k in range(lefts):
+        before = np.zeros(n, np.int64)  # equal numbers: equal words to the left, as far as looked at
+        base = int(max(self.left.max(initial=0), 0)) + 2
+        for k in range(PASSAGE - KEY + 1):
             if k:
-                before = np.unique(before * base + self.left[rows, k - 1] + 1, return_inverse=True)[1]
-            at = np.flatnonzero((least <= k) & (k <= most))
+                before = np.unique(before * base + self.left[:, k - 1] + 1, return_inverse=True)[1]
+            at = np.flatnonzero((self.least <= k) & (k <= self.most))
             if not len(at):
                 continue
             match = np.cumsum(common < PASSAGE - k)[at] * (int(before.max()) + 1) + before[at]
@@ -137,29 +141,25 @@ class Suffixes:
             match, at = match[order], at[order]
             edge = np.flatnonzero(np.r_[True, match[1:] != match[:-1]])
             size = np.diff(np.append(edge, len(at)))
-            low, high = np.minimum.reduceat(doc[at], edge), np.maximum.reduceat(doc[at], edge)
-            shared[rows[at], k] = np.repeat(low < high, size)
-            first[rows[at], k] = np.repeat(low, size)
-        return shared, first
+            low, high = np.minimum.reduceat(self.low[at], edge), np.maximum.reduceat(self.high[at], edge)
+            shared = np.repeat(low < high, size)
+            mask[at[shared]] |= 1 << k
+            first[at[shared]] = np.minimum(first[at[shared]], np.repeat(low, size)[shared])
+        return mask, first
 
 
-_MATCHES = "doc_id long, first long, word int, words int"
+_MATCHES = "c1 long, c2 long, mask long, first long"
 
 
 def _matches(batches: Iterator[pa.RecordBatch], struct: T.StructType) -> Iterator[pa.RecordBatch]:
-    """Passages of suffixes that come in the order of head and words; every head is whole."""
+    """Shared stretches of contexts that come in the order of head and words; every head is whole."""
     schema = arrow_schema(struct)
 
-    def passages(table: pa.Table) -> pa.RecordBatch:
-        column = {c: table[c].to_numpy() for c in ("doc_id", "place", "least", "most")}
-        shared, first = Suffixes(table["right"].to_pylist(), table["left"].to_pylist(), column["least"], column["most"], column["doc_id"]).repeats()
-        # Runs of stretches, from the one that reaches farthest to the left.
-        step = np.diff(np.pad(shared[:, ::-1].astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        row, a = np.nonzero(step == 1)
-        _, b = np.nonzero(step == -1)
-        first = np.where(shared, first, np.iinfo(np.int64).max).min(1)
-        columns = column["doc_id"][row], first[row], column["place"][row] - (shared.shape[1] - 1 - a), b - a - 1 + PASSAGE
-        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        c = {c: table[c].to_numpy() for c in ("c1", "c2", "least", "most", "low", "high")}
+        mask, first = Suffixes(table["right"].to_pylist(), table["left"].to_pylist(), c["least"], c["most"], c["low"], c["high"]).repeats()
+        some = mask > 0
+        return pa.RecordBatch.from_arrays([pa.array(x[some], type=f.type) for x, f in zip((c["c1"], c["c2"], mask, first), schema, strict=True)], schema=schema)
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -171,53 +171,49 @@ def _matches(batches: Iterator[pa.RecordBatch], struct: T.StructType) -> Iterato
         table = pa.Table.from_batches(held)
         keys = table["key"].to_numpy()
         if cut := int(np.searchsorted(keys, keys[-1], "left")):  # the last head may go on
-            yield passages(table.slice(0, cut).combine_chunks())
+            yield compared(table.slice(0, cut).combine_chunks())
             held, size = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
     if size:
-        yield passages(pa.Table.from_batches(held).combine_chunks())
+        yield compared(pa.Table.from_batches(held).combine_chunks())
     release_memory()
 
 
-def _suffixes(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The words around each of the suffixes (doc_id, digest, places)."""
+def _words_of_contexts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The words of contexts, looked up in one of the texts that have them (doc_id, digest, at)."""
 
     def make():
-        def fn(ids, texts, digests, places):
-            for i, text, digest, found in zip(ids, texts, digests, places, strict=True):
-                if text_digest(text) != digest:  # another text of the same id
-                    continue
-                words = words_of(text)
-                owner, keys = owners(word_hashes(text))
-                found = np.sort(np.asarray(found))
-                for p, lo, hi in zip(found.tolist(), np.searchsorted(owner, found).tolist(), np.searchsorted(owner, found, "right").tolist(), strict=True):
-                    yield int(keys[p].view(np.int64)), b" ".join(words[p : hi - 1 + PASSAGE]), i, p, p - hi + 1, p - lo, b" ".join(words[lo:p][::-1])
+        def fn(ids, texts, digests, at):
+            for i, text, digest, found in zip(ids, texts, digests, at, strict=True):
+                if text_digest(text) == digest:  # else another text of the same id
+                    words = words_of(text)
+                    for x in found:
+                        p, lo = x["place"], x["place"] - x["most"]
+                        yield x["key"], b" ".join(words[p : p - x["least"] + PASSAGE]), b" ".join(words[lo:p][::-1]), x["least"], x["most"], x["low"], x["high"], x["c1"], x["c2"], x["n"]
 
         return fn
 
-    return map_columns(texts.join(chosen, "doc_id"), make, "key long, right binary, doc_id long, place int, least int, most int, left binary", 16)
+    return map_columns(texts.join(chosen, "doc_id"), make, "key long, right binary, left binary, least int, most int, low long, high long, c1 long, c2 long, n long", 16)
 
 
-def _hot_matches(texts: DataFrame, chosen: DataFrame, work: Workspace) -> DataFrame:
-    """Passages of suffixes (doc_id, digest, at: place and number of lists) of heads that no task may hold."""
+def _hot_matches(contexts: DataFrame, work: Workspace) -> DataFrame:
+    """Shared stretches of the contexts of heads that no task may hold."""
 
     def make():
-        def fn(ids, texts, digests, at):
-            for i, text, digest, found in zip(ids, texts, digests, at, strict=True):
-                if text_digest(text) != digest:
-                    continue
-                words = words_of(text)
-                owner, _ = owners(word_hashes(text))
-                for x in found:
-                    for s in np.flatnonzero(owner == x["place"]).tolist():
-                        yield hashlib.blake2b(b" ".join(words[s : s + PASSAGE]), digest_size=16).digest(), i % x["parts"], i, s
+        def fn(rights, lefts, leasts, mosts, lows, highs, c1s, c2s, ns):
+            for right, left, least, most, low, high, c1, c2, n in zip(rights, lefts, leasts, mosts, lows, highs, c1s, c2s, ns, strict=True):
+                words = left.split()[::-1] + right.split()
+                for k in range(least, most + 1):
+                    stretch = hashlib.blake2b(b" ".join(words[most - k : most - k + PASSAGE]), digest_size=16).digest()
+                    yield stretch, c1 % -(-n // PART), c1, c2, low, high, k
 
         return fn
 
-    stretches = work.keep(map_columns(texts.join(chosen, "doc_id"), make, "stretch binary, part long, doc_id long, word int", 16))
-    equal = stretches.groupBy("stretch").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("stretch", "first")
-    lists = stretches.groupBy("stretch", "part").agg(F.collect_list(F.struct("doc_id", "word")).alias("at"))
+    given = contexts.select("right", "left", "least", "most", "low", "high", "c1", "c2", "n")
+    stretches = work.keep(map_columns(given, make, "stretch binary, part long, c1 long, c2 long, low long, high long, k int"))
+    equal = stretches.groupBy("stretch").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").select("stretch", "first")
+    lists = stretches.groupBy("stretch", "part").agg(F.collect_list(F.struct("c1", "c2", "k")).alias("at"))
     found = lists.join(work.keep(equal), "stretch").select("first", F.explode("at").alias("s"))
-    return found.select("s.doc_id", "first", "s.word", F.lit(PASSAGE).alias("words"))
+    return found.groupBy("s.c1", "s.c2").agg(F.bit_or(F.expr("shiftleft(1L, s.k)")).alias("mask"), F.min("first").alias("first"))
 
 
 def text_digest(text: str) -> bytes:
@@ -264,17 +260,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 hashes = word_hashes(text)
                 n = len(hashes)
                 if n < PASSAGE or i is None:
-                    yield i, n, None, None, None, None, None, 0, ""
+                    yield i, n, None, None, None, None, None, None, None, None, None, 0, ""
                     continue
                 owner, keys = owners(hashes)
-                places = np.unique(owner)
+                places, lo, count = np.unique(owner, return_index=True, return_counts=True)
+                least, most = places - lo - count + 1, places - lo
+                # Two hashes of the context's words; the second one also tells where in it the suffix lies.
+                c1, c2 = (segment_hashes(hashes ^ _U(salt), lo, lo + count - 1 + PASSAGE) for salt in (1, 2))
+                c2 = mix(c2 + (most * 64 + least).astype(np.uint64))
                 starts, ends = word_bounds(text)
                 inner = merged(inner_repeats(hashes))
-                yield i, n, text_digest(text), int(starts[0]), int(ends[-1]), keys[places].view(np.int64), places.astype(np.int32), len(inner), spelled(text, inner) if inner else ""
+                yield i, n, text_digest(text), int(starts[0]), int(ends[-1]), keys[places].view(np.int64), places.astype(np.int32), c1.view(np.int64), c2.view(np.int64), least.astype(np.int32), most.astype(np.int32), len(inner), spelled(text, inner) if inner else ""
 
         return fn
 
-    sets = work.keep(map_columns(texts, retaining, "doc_id long, n_words long, digest binary, lo long, hi long, keys array<long>, places array<int>, n_inner long, inner_spans string"))
+    sets = work.keep(map_columns(texts, retaining, "doc_id long, n_words long, digest binary, lo long, hi long, keys array<long>, places array<int>, c1 array<long>, c2 array<long>, least array<int>, most array<int>, n_inner long, inner_spans string"))
     rows, some_text = sets, texts.where("text is not null")
     long_texts = sets.where("digest is not null")
     if not sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -285,29 +285,37 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     classes = work.keep(long_texts.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
     reps = long_texts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    suffixes = reps.select("doc_id", "digest", F.explode(F.arrays_zip("keys", "places")).alias("s")).select(F.col("s.keys").alias("key"), "doc_id", "digest", F.col("s.places").alias("place"))
-    shared = suffixes.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "n")
-    shared = work.keep(shared)  # a plain table: adaptive execution can then split a hot key's suffixes
-    open_suffixes = suffixes.join(shared, "key")
-    chosen = work.keep(open_suffixes.where(f"n <= {HOT}").groupBy("doc_id", "digest").agg(F.collect_list("place").alias("places")))
-
-    def those_of(chosen):
-        return some_text.join(broadcast_if_few(chosen.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
-
-    ordered = _suffixes(those_of(chosen), chosen).repartition("key").sortWithinPartitions("key", "right", "doc_id", "place")
+    columns = ("keys", "places", "c1", "c2", "least", "most")
+    suffixes = reps.select("doc_id", F.explode(F.arrays_zip(*columns)).alias("s")).select("doc_id", F.col("s.keys").alias("key"), F.col("s.places").alias("place"), *[f"s.{c}" for c in columns[2:]])
+    heads = suffixes.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
+    shared = work.keep(heads)  # a plain table: adaptive execution can then split a hot head's suffixes
+    suffixes = work.keep(suffixes.join(broadcast_if_few(shared, BROADCAST_HEADS), "key"))
+    contexts = suffixes.groupBy("c1", "c2").agg(F.first("key").alias("key"), F.first("least").alias("least"), F.first("most").alias("most"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "place")).alias("at"))
+    contexts = work.keep(contexts.select("*", "at.doc_id", "at.place").drop("at"))
+    several = work.keep(contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+
+    # The one context of a head is shared as a whole; several ones are compared.
+    whole = F.expr("shiftleft(1L, most + 1) - shiftleft(1L, least)")
+    matches = contexts.join(several.select("key"), "key", "left_anti").select("c1", "c2", whole.alias("mask"), F.col("low").alias("first"))
+    wanted = contexts.join(several, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "least", "most", "low", "high", "c1", "c2", "n")).alias("at"))
+    wanted = work.keep(wanted.join(long_texts.select("doc_id", "digest"), "doc_id").select("doc_id", "digest", "at"))
+    words = _words_of_contexts(some_text.join(broadcast_if_few(wanted.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi"), wanted)
+    hot = not several.where(f"n > {HOT}").isEmpty()
+    if hot:
+        words = work.keep(words)
+        matches = matches.unionByName(_hot_matches(words.where(f"n > {HOT}"), work))
+        words = words.where(f"n <= {HOT}")
     struct = as_struct(_MATCHES)
-    matches = work.keep(ordered.mapInArrow(lambda batches: _matches(batches, struct), struct))
-    if not shared.where(f"n > {HOT}").isEmpty():
-        parts = F.ceil(F.col("n") / PART).alias("parts")
-        hot = work.keep(open_suffixes.where(f"n > {HOT}").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("place", parts)).alias("at")))
-        matches = work.keep(matches.unionByName(_hot_matches(those_of(hot), hot, work)))
-    by_rep = work.keep(matches.groupBy("doc_id").agg(F.min("first").alias("first"), F.collect_list(F.struct("word", "words")).alias("found")))
+    ordered = words.drop("n").repartition("key").sortWithinPartitions("key", "right")
+    matches = work.keep(matches.unionByName(ordered.mapInArrow(lambda batches: _matches(batches, struct), struct)))
+    placed = suffixes.select("doc_id", "place", "c1", "c2").join(matches, ["c1", "c2"])
+    by_rep = work.keep(placed.groupBy("doc_id").agg(F.min("first").alias("first"), F.collect_list(F.struct("place", "mask")).alias("found")))
 
     def placing():
         def fn(ids, texts, digests, firsts, found):
             for i, text, digest, first, x in zip(ids, texts, digests, firsts, found, strict=True):
                 if text_digest(text) == digest:
-                    spans = merged(x)
+                    spans = merged([{"word": y["place"] - k, "words": PASSAGE} for y in x for k in range(PASSAGE - KEY + 1) if y["mask"] >> k & 1])
                     yield i, first, len(spans), sum(b - a for a, b in spans), spelled(text, spans)
 
         return fn
