@@ -13,8 +13,8 @@ whose finer sketches (2048 one-bit coordinates) are 4.75 standard deviations too
 further buckets, so that no bucket is expanded into all of its pairs.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are kept; a null id is
-its own component (null) and is kept; repeated rows of one id are one document each with the same values; an empty
-table gives an empty table; only the id and text columns are read.
+its own component (null) and is kept; rows of one id are one document, whose text is the least of theirs, and each of
+them has its values; an empty table gives an empty table; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -166,16 +166,21 @@ def _codes(named: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return map_columns(texts, make, "doc_id long, bands binary, code binary", 64)
 
 
-def _close_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _close_pairs(members: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """Pairs (a > b) of one bucket but two components whose codes are close, each in the first bucket it shares.
 
-    Buckets are cut into blocks of about ``BLOCK`` members; a task compares two blocks as matrices, so a large bucket
-    is many tasks of bounded size and no pair becomes a row before it has passed.
+    Buckets are cut into blocks of about ``BLOCK`` members; each two blocks of a bucket are one row, made from the
+    bucket's size and joined by bucket and block, and are compared as matrices: no task holds a large bucket, and no
+    pair becomes a row before it has passed.
     """
-    number = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    blocks = members.groupBy("key", number.alias("block")).agg(F.collect_list(F.struct("doc_id", "component", "bands", "code")).alias("m"))
+    sizes = work.keep(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")))
+    number = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int")
+    blocks = members.join(sizes, "key").groupBy("key", number.alias("block")).agg(F.collect_list(F.struct("doc_id", "component", "bands", "code")).alias("m"))
+    blocks = work.keep(blocks)
+    two = sizes.select("key", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("b_block")).select("key", F.explode(F.sequence(F.lit(0), "b_block")).alias("a_block"), "b_block")
     left, right = (blocks.select("key", F.col("block").alias(f"{s}_block"), *[F.col(f"m.{c}").alias(f"{s}_{c}") for c in ("doc_id", "component", "bands", "code")]) for s in "ab")
-    pairs = left.join(right, "key").where("a_block <= b_block")
+    pairs = two.join(left, ["key", "a_block"]).join(right, ["key", "b_block"])
+    pairs = pairs.select("key", *[f"a_{c}" for c in ("block", "doc_id", "component", "bands", "code")], *[f"b_{c}" for c in ("block", "doc_id", "component", "bands", "code")])
 
     def make():
         most = fine_distance(percent)
@@ -250,11 +255,13 @@ def links(reps: DataFrame, docs: DataFrame, width: int, percent: int, work: Work
 
     # What the leaders leave open: buckets that still hold several components.
     named = led.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = work.keep(named.where("n > 2 and doc_id <> leader").join(split, "key").select("key", "doc_id", "component", "n"))
+    named = work.keep(named)
+    split = work.keep(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
+    # Both sides are plain tables: adaptive execution can split a hot bucket.
+    open_rows = work.keep(named.where("n > 2 and doc_id <> leader").join(split, "key").select("key", "doc_id", "component"))
 
     codes = work.keep(_codes(work.keep(open_rows.select("doc_id").distinct()), docs, width, percent))
-    close = _close_pairs(open_rows.join(codes, "doc_id"), percent)
+    close = _close_pairs(work.keep(open_rows.join(codes, "doc_id")), percent, work)
     more = work.keep(close.join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         edges = work.keep(edges.unionByName(_verified(more, docs, width, percent, work)))
@@ -265,18 +272,25 @@ def links(reps: DataFrame, docs: DataFrame, width: int, percent: int, work: Work
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
     work = Workspace(docs.sparkSession)
-    texts = text_rows(docs, id_col, text_col, null_as=None)
-    sets = work.keep(_sets(texts, width, percent))
+    rows = text_rows(docs, id_col, text_col, null_as=None)
+    sets = work.keep(_sets(rows, width, percent))
+    texts = rows.where("doc_id is not null and text is not null")
+    repeated = not sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        one = work.keep(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")))
+        texts = one.where("text is not null")
+        sets = work.keep(_sets(one.unionByName(rows.where("doc_id is null")), width, percent))
     classes = work.keep(sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("bands is not null").select("doc_id", "bands").dropDuplicates(["doc_id"])
-    unique = texts.where("doc_id is not null and text is not null")
-    if not sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        unique = unique.dropDuplicates(["doc_id"])
-    labels = links(reps, unique, width, percent, work)
+    reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("bands is not null").select("doc_id", "bands")
+    labels = links(reps, texts, width, percent, work)
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    if repeated:
+        again = rows.where("doc_id is not null").select("doc_id").join(out, "doc_id")
+        out = again.unionByName(out.where("doc_id is null"))
+    return out
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,4 +300,7 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
     out = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return out
-    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+    # Of the rows of one id the one of least text stays, as the others do not count above.
+    first = F.struct(F.col(text_col).isNull().alias("none"), F.col(text_col).alias("text"), F.xxhash64(*docs.columns).alias("hash"))
+    one = out.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min_by(F.struct(*docs.columns), first).alias("row"))
+    return one.select("row.*").unionByName(out.where(F.col(id_col).isNull()))

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -102,12 +103,47 @@ def test_close_pairs_between_components(spark):
         sets[k] = np.unique(s)
         rows.append((7, k, k, 1000, np.concatenate([[7], [100 + k]]).astype("<i8").tobytes(), M.fine_code(sets[k]).tobytes()))
     df = spark.createDataFrame([(a, b, c, d, bytearray(e), bytearray(f)) for a, b, c, d, e, f in rows], "key long, doc_id long, component long, n long, bands binary, code binary")
-    found = [(r.a, r.b) for r in M._close_pairs(df, 85).collect()]
+    found = [(r.a, r.b) for r in M._close_pairs(df, 85, Workspace(spark)).collect()]
     assert len(found) == len(set(found))
     must = {(a, b) for a in range(40) for b in range(a) if M.similar(sets[a], sets[b], 85)}
     assert must and must <= set(found)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_recall_on_a_whole_table(spark, width, percent):
+    """Every pair of the table against its components: no link is lost, and none is made up."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: M.shingle_set(r.text, width) for r in docs.collect()}
+    ids = sorted((i for i in sets if len(sets[i])), key=lambda i: len(sets[i]))
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            if 100 * len(sets[i]) < percent * len(sets[j]):
+                break
+            if M.similar(sets[i], sets[j], percent):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    found = {r.doc_id: r.component_id for r in M.near_duplicates(docs, width, percent).collect()}
+    assert found == {i: root(i) for i in sets}
+    assert sum(i != c for i, c in found.items()) > 20
+
+
+def test_texts_of_one_id(spark):
+    """The least text stands for an id, whatever the order of the rows."""
+    rows = [(5, "b " + "x y z " * 9), (5, "a b c d e f"), (6, "a b c d e f"), (7, "b " + "x y z " * 9)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        assert sorted((r.doc_id, r.component_id) for r in M.near_duplicates(df, 3, 85).collect()) == [(5, 5), (5, 5), (6, 5), (7, 7)]
+        assert sorted((r.doc_id, r.text[0]) for r in M.without_near_duplicates(df, 3, 85).collect()) == [(5, "a"), (7, "b")]
+
+
 def test_components_of_paths(spark):
     edges = [(k, k + 1) for k in range(60)] + [(200, 100), (300, 200)]
     df = spark.createDataFrame(edges, "a long, b long")

@@ -1,0 +1,23 @@
+import os
+
+import pytest
+
+import __spark_entry__
+from attestor.llm import oracles
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", sorted(oracles.SQL))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for table in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    found = db.execute(oracles.SQL[name])
+    columns = [c[0] for c in found.description]
+    df = __spark_entry__.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, found.fetchall()))
