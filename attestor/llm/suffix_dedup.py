@@ -42,9 +42,7 @@ BROADCAST_IDS = 1_000_000
 HOT, PART = 512, 256
 #: Contexts, in whole heads, whose words are compared at once.
 CHUNK = 16_384
-#: Heads (8 bytes each) that may be broadcast to the suffixes, and lists of passages to the texts.
-BROADCAST_HEADS, BROADCAST_SPANS = 1_000_000, 20_000
-
+_SPACES = " \t\n\v\f\r"
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -192,7 +190,7 @@ def _words_of_contexts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
 
         return fn
 
-    return map_columns(texts.join(chosen, "doc_id"), make, "key long, right binary, left binary, least int, most int, low long, high long, c1 long, c2 long, n long", 16)
+    return map_columns(texts.join(chosen.hint("merge"), "doc_id"), make, "key long, right binary, left binary, least int, most int, low long, high long, c1 long, c2 long, n long", 16)
 
 
 def _hot_matches(contexts: DataFrame, work: Workspace) -> DataFrame:
@@ -268,9 +266,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 # Two hashes of the context's words; the second one also tells where in it the suffix lies.
                 c1, c2 = (segment_hashes(hashes ^ _U(salt), lo, lo + count - 1 + PASSAGE) for salt in (1, 2))
                 c2 = mix(c2 + (most * 64 + least).astype(np.uint64))
-                starts, ends = word_bounds(text)
                 inner = merged(inner_repeats(hashes))
-                yield i, n, text_digest(text), int(starts[0]), int(ends[-1]), keys[places].view(np.int64), places.astype(np.int32), c1.view(np.int64), c2.view(np.int64), least.astype(np.int32), most.astype(np.int32), len(inner), spelled(text, inner) if inner else ""
+                yield i, n, text_digest(text), len(text) - len(text.lstrip(_SPACES)), len(text.rstrip(_SPACES)), keys[places].view(np.int64), places.astype(np.int32), c1.view(np.int64), c2.view(np.int64), least.astype(np.int32), most.astype(np.int32), len(inner), spelled(text, inner) if inner else ""
 
         return fn
 
@@ -289,17 +286,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     suffixes = reps.select("doc_id", F.explode(F.arrays_zip(*columns)).alias("s")).select("doc_id", F.col("s.keys").alias("key"), F.col("s.places").alias("place"), *[f"s.{c}" for c in columns[2:]])
     heads = suffixes.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
     shared = work.keep(heads)  # a plain table: adaptive execution can then split a hot head's suffixes
-    suffixes = work.keep(suffixes.join(broadcast_if_few(shared, BROADCAST_HEADS), "key"))
+    suffixes = work.keep(suffixes.join(shared.hint("merge"), "key"))
     contexts = suffixes.groupBy("c1", "c2").agg(F.first("key").alias("key"), F.first("least").alias("least"), F.first("most").alias("most"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "place")).alias("at"))
     contexts = work.keep(contexts.select("*", "at.doc_id", "at.place").drop("at"))
     several = work.keep(contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
 
+    def of(table: DataFrame) -> DataFrame:
+        """The texts of the documents in ``table``: no other text is shuffled."""
+        return some_text.join(broadcast_if_few(table.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
+
     # The one context of a head is shared as a whole; several ones are compared.
     whole = F.expr("shiftleft(1L, most + 1) - shiftleft(1L, least)")
     matches = contexts.join(several.select("key"), "key", "left_anti").select("c1", "c2", whole.alias("mask"), F.col("low").alias("first"))
     wanted = contexts.join(several, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "least", "most", "low", "high", "c1", "c2", "n")).alias("at"))
     wanted = work.keep(wanted.join(long_texts.select("doc_id", "digest"), "doc_id").select("doc_id", "digest", "at"))
-    words = _words_of_contexts(some_text.join(broadcast_if_few(wanted.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi"), wanted)
+    words = _words_of_contexts(of(wanted), wanted)
     hot = not several.where(f"n > {HOT}").isEmpty()
     if hot:
         words = work.keep(words)
@@ -321,7 +322,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return fn
 
     found = by_rep.join(long_texts.select("doc_id", "digest"), "doc_id")
-    per_rep = map_columns(some_text.join(broadcast_if_few(found, BROADCAST_SPANS), "doc_id").select("doc_id", "text", "digest", "first", "found"), placing, "rep long, first long, n long, words long, list string", 64)
+    per_rep = map_columns(of(by_rep).join(found.hint("merge"), "doc_id").select("doc_id", "text", "digest", "first", "found"), placing, "rep long, first long, n long, words long, list string", 64)
     out = rows.join(classes.join(per_rep, "rep", "left"), "digest", "left")
     copied = F.coalesce(F.col("rep") < F.col("last"), F.lit(False))
     none = F.lit(0).cast("long")
