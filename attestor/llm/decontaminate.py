@@ -5,48 +5,56 @@ share at least m + 1 - q(e + 1) q-grams, on diagonals no more than 2e apart. Sha
 diagonal bands (each as wide as two steps of 2e + 1), bands under the bound are dropped, and the regions of the others
 are verified by a banded alignment.
 
-Texts are compared as UTF-8 with their case folded over Unicode and each ASCII white space or control byte as one space.
-A fold can change the length of a text ("ß" and "SS" are both "ss"), so offsets of found places are mapped back to those
-of the text (``char_offsets``). The q-gram index is built on the driver from one chunk of the benchmark at a time; a chunk's
-size is bounded (``CHUNK_BYTES``), and a larger benchmark takes more passes over the texts.
-
-Defined results: null and empty texts match nothing; null ids and texts of items match nothing; items shorter than
-``MIN_ITEM`` bytes cannot be told from chance and are not searched; repeated rows are reported each on its own; an
-empty table on either side gives an empty table; only the id and text columns are read.
+Texts are compared as UTF-8 with their case folded over Unicode and each run of ASCII white space and control bytes as
+one space. Either can change the length of a text ("ß" and "SS" are both "ss"), so offsets of found places are mapped
+back to those of the text (``char_offsets``). Equal windows, as of repeated items, are searched once. The q-gram index is
+built on the driver from one chunk of the benchmark at a time; a chunk's size is bounded (``CHUNK_BYTES``), and a larger
+benchmark takes more passes over the texts, each written before the next one's index is built.
+
+Items under ``SHORT`` bytes leave no room for edits: an Aho-Corasick automaton finds them where they stand exactly and
+as whole words.
+
+Defined results: null and empty texts match nothing; null ids and texts of items match nothing, nor do items without
+letters or digits; repeated rows are reported each on its own; an empty table on either side gives an empty table; only
+the id and text columns are read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import filter_rows, map_columns, text_rows
+from .common import Workspace, filter_rows, map_columns, text_rows
 
 Q = 12
 WINDOW, STRIDE, EDIT_RATE = 100, 50, 0.06
-MIN_ITEM = 24
+SHORT = 24
 CHUNK_BYTES = 4_000_000
+#: Shared q-grams, by window, that are counted at once.
+COUNTED = 4_000_000
 TABLE_BITS = 21
 
 _U = np.uint64
 _K1, _K2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 _SPACES = bytes([*[32] * 33, *range(33, 256)])
+_run, _letter = re.compile(rb"  +"), re.compile(rb"[0-9a-z\x80-\xff]")
 
 
 def normal(text: str) -> bytes:
     """The bytes that are compared. Upper case first: letters whose capitals are equal ("ı" and "i") are equal too."""
     if not text.isascii():
         text = text.upper().casefold()
-    return text.encode("utf-8", "surrogatepass").lower().translate(_SPACES)
+    return _run.sub(b" ", text.encode("utf-8", "surrogatepass").lower().translate(_SPACES))
 
 
 def char_offsets(text: str, at: list[int]) -> list[int]:
     """The code points of ``text`` that end at or before each of the offsets ``at`` in ``normal(text)``."""
-    if text.isascii():
+    if text.isascii() and len(normal(text)) == len(text):
         return list(at)
-    ends = np.cumsum([len(normal(c)) for c in text])  # the fold of a letter does not depend on its neighbours
+    parts = [normal(c) for c in text]  # the fold of a letter does not depend on its neighbours
+    ends = np.cumsum([0 if c == before == b" " else len(c) for c, before in zip(parts, [b"", *parts])])
     return np.searchsorted(ends, at, side="right").tolist()
 
 
@@ -80,33 +88,63 @@ class Index:
     """Windows of some items and a posting list by q-gram."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.windows: list[tuple[int, int, int, bytes]] = []  # item, start, number of the item's windows, bytes
+        self.windows: list[bytes] = []
+        self.items: list[list[tuple[int, int]]] = []  # by window: items that have it and the number of their windows
+        self.short: dict[bytes, list[int]] = {}  # short items by their bytes
+        number: dict[bytes, int] = {}
         hashes, owners, offsets = [], [], []
         for item_id, text in items:
             item = normal(text).strip()
-            if len(item) < MIN_ITEM:
+            if len(item) < SHORT:
+                if _letter.search(item):
+                    self.short.setdefault(item, []).append(item_id)
                 continue
-            cut = windows(item)
-            for s, e in cut:
-                h = gram_hashes(item[s:e])
-                hashes.append(h)
-                owners.append(np.full(len(h), len(self.windows), np.int32))
-                offsets.append(np.arange(len(h), dtype=np.int32))
-                self.windows.append((item_id, s, len(cut), item[s:e]))
+            cut = {item[s:e] for s, e in windows(item)}
+            for window in sorted(cut):
+                k = number.setdefault(window, len(self.windows))
+                if k == len(self.windows):
+                    h = gram_hashes(window)
+                    hashes.append(h)
+                    owners.append(np.full(len(h), k, np.int32))
+                    offsets.append(np.arange(len(h), dtype=np.int32))
+                    self.windows.append(window)
+                    self.items.append([])
+                self.items[k].append((item_id, len(cut)))
         all_hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         order = np.argsort(all_hashes, kind="stable")
         sorted_hashes = all_hashes[order]
         self.owner, self.offset = (np.concatenate(x)[order] if hashes else np.empty(0, np.int32) for x in (owners, offsets))
         self.grams, self.first = np.unique(sorted_hashes, return_index=True)
         self.count = np.diff(np.append(self.first, len(sorted_hashes)))
-        self.edits = np.array([budget(len(w[3])) for w in self.windows], np.int64)
-        self.needed = np.array([max(1, len(w[3]) + 1 - Q * (budget(len(w[3])) + 1)) for w in self.windows], np.int64)
+        self.edits = np.array([budget(len(w)) for w in self.windows], np.int64)
+        self.needed = np.array([max(1, len(w) + 1 - Q * (budget(len(w)) + 1)) for w in self.windows], np.int64)
 
     def table(self) -> np.ndarray:
         bits = np.zeros(1 << TABLE_BITS, np.uint8)
         bits[self.grams >> _U(64 - TABLE_BITS)] = 1
         return bits
 
+    def automaton(self):
+        """Finds the short items; None if there are none."""
+        if not self.short:
+            return None
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for item in self.short:
+            found.add_word(item.decode("latin-1"), item)
+        found.make_automaton()
+        return found
+
+
+def whole_words(text: bytes, automaton):
+    """(short item, start, end) of each place where one stands with no letter or digit of its own word around it."""
+    for last, item in automaton.iter(text.decode("latin-1")):
+        start, end = last + 1 - len(item), last + 1
+        inside = _letter.match(item, 0) and start and _letter.match(text, start - 1)
+        if not inside and not (_letter.match(item, len(item) - 1) and _letter.match(text, end)):
+            yield item, start, end
+
 
 def aligned(pattern: bytes, region: bytes, most: int, center: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of ``pattern`` in ``region`` within ``most`` edits, inside a band of
@@ -161,6 +199,9 @@ def search(texts: list[bytes], index: Index, table: np.ndarray) -> list[tuple[in
     if not len(at):
         return []
     n = index.count[k]
+    if len(texts) > 1 and n.sum() > COUNTED:
+        half = len(texts) // 2
+        return search(texts[:half], index, table) + [(t + half, *x) for t, *x in search(texts[half:], index, table)]
     posting = np.repeat(index.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
     window, offset, place = index.owner[posting].astype(np.int64), index.offset[posting].astype(np.int64), np.repeat(at, n)
     text = np.searchsorted(starts, place, side="right") - 1
@@ -186,7 +227,7 @@ def search(texts: list[bytes], index: Index, table: np.ndarray) -> list[tuple[in
     for g in np.flatnonzero(shared >= index.needed[window[first]]):
         f = first[g]
         w, most, t = int(window[f]), int(index.edits[window[f]]), int(pair[f] // len(index.windows))
-        pattern = index.windows[w][3]
+        pattern = index.windows[w]
         if out.get((t, w), (1,))[0] == 0:
             continue
         lo = max(0, int(band[f] * step[f] - starts[t]) - most)
@@ -221,48 +262,77 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = "doc_id long, item_id long, windows int, item_windows int, min_edits int, max_edits int, start_char long, end_char long"
     rows = text_rows(docs, id_col, text_col)
 
+    def make(shipped):
+        index = shipped.value
+        table, automaton = index.table(), index.automaton()
+
+        def fn(ids, texts):
+            coded = [normal(t) for t in texts]
+            by_item: dict = {}
+            for t, w, edits, s, e in search(coded, index, table):
+                for item_id, of in index.items[w]:
+                    by_item.setdefault((t, item_id), {})[w] = (edits, s, e, of)
+            if automaton is not None:
+                for t, text in enumerate(coded):
+                    for item, s, e in whole_words(text, automaton):
+                        for item_id in index.short[item]:
+                            by_item.setdefault((t, item_id), {}).setdefault(item, (0, s, e, 1))
+            for (t, item_id), windows in sorted(by_item.items()):
+                found = list(windows.values())
+                chars = char_offsets(texts[t], [min(x[1] for x in found), max(x[2] for x in found)])
+                yield ids[t], item_id, len(found), found[0][3], min(x[0] for x in found), max(x[0] for x in found), *chars
+
+        return fn
+
     def one(items):
         shipped = spark.sparkContext.broadcast(Index(items))
+        return map_columns(rows, lambda: make(shipped), schema, 256), shipped
 
-        def make():
-            index = shipped.value
-            table = index.table()
+    return _by_chunk(chunks(benchmark, item_id_col, item_text_col), one, lambda parts: _union(parts, spark, schema), Workspace(spark))
 
-            def fn(ids, texts):
-                coded = [normal(t) for t in texts]
-                by_item: dict = {}
-                for t, w, edits, s, e in search(coded, index, table):
-                    item_id, _, of, _ = index.windows[w]
-                    by_item.setdefault((t, item_id), []).append((edits, s, e, of))
-                for (t, item_id), found in sorted(by_item.items()):
-                    chars = char_offsets(texts[t], [min(x[1] for x in found), max(x[2] for x in found)])
-                    yield ids[t], item_id, len(found), found[0][3], min(x[0] for x in found), max(x[0] for x in found), *chars
 
-            return fn
+def _union(parts: list[DataFrame], spark, schema: str) -> DataFrame:
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
-        return map_columns(rows, make, schema, 256)
 
-    found = [one(items) for items in chunks(benchmark, item_id_col, item_text_col)]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+def _by_chunk(items, one, join, work: Workspace) -> DataFrame:
+    """``join`` of the results of ``one`` (a table and its broadcast index). The result of one chunk stays a plan; of
+    more, each is written before the next one's index is built."""
+    parts, held = [], None
+    for chunk in items:
+        if held is not None:
+            parts.append(work.keep(held[0]))
+            held[1].destroy()
+        held = one(chunk)
+    if parts and held is not None:
+        held = (work.keep(held[0]), None)
+    return join([*parts, held[0]] if held else parts)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose texts hold no window of any benchmark item, with all their columns."""
     spark = docs.sparkSession
+    rows = docs
 
-    def without(rows: DataFrame, items) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(Index(items))
-
-        def make():
-            index = shipped.value
-            table = index.table()
+    def make(shipped):
+        index = shipped.value
+        table, automaton = index.table(), index.automaton()
 
-            def keep(texts):
-                found = {t for t, *_ in search([normal(x or "") for x in texts], index, table)}
-                return [k not in found for k in range(len(texts))]
+        def keep(texts):
+            coded = [normal(x or "") for x in texts]
+            found = {t for t, *_ in search(coded, index, table)}
+            return [k not in found and (automaton is None or next(whole_words(x, automaton), None) is None) for k, x in enumerate(coded)]
 
-            return keep
+        return keep
 
-        return filter_rows(rows, text_col, make, 256)
-
-    return reduce(without, chunks(benchmark, item_id_col, item_text_col), docs)
+    work, shipped = Workspace(spark), None
+    for items in chunks(benchmark, item_id_col, item_text_col):
+        if shipped is not None:  # a further chunk: what the last one left is written first
+            rows = work.keep(rows)
+            shipped.destroy()
+        shipped = spark.sparkContext.broadcast(Index(items))
+        rows = filter_rows(rows, text_col, lambda shipped=shipped: make(shipped), 256)
+    return rows
