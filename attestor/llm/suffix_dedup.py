@@ -272,7 +272,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return fn
 
     sets = work.keep(map_columns(texts, retaining, "doc_id long, n_words long, digest binary, lo long, hi long, keys array<long>, places array<int>, c1 array<long>, c2 array<long>, least array<int>, most array<int>, n_inner long, inner_spans string"))
-    rows, some_text = sets, texts.where("text is not null")
+    rows, some_text = sets.drop("keys", "places", "c1", "c2", "least", "most"), texts.where("text is not null")
     long_texts = sets.where("digest is not null")
     if not sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         standing = long_texts.groupBy("doc_id").agg(F.min("digest").alias("digest"))
@@ -281,7 +281,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         some_text = some_text.dropDuplicates(["doc_id", "text"])
 
     classes = work.keep(long_texts.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
-    reps = long_texts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = long_texts.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     columns = ("keys", "places", "c1", "c2", "least", "most")
     suffixes = reps.select("doc_id", F.explode(F.arrays_zip(*columns)).alias("s")).select("doc_id", F.col("s.keys").alias("key"), F.col("s.places").alias("place"), *[f"s.{c}" for c in columns[2:]])
     heads = suffixes.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
@@ -295,11 +295,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         """The texts of the documents in ``table``: no other text is shuffled."""
         return some_text.join(broadcast_if_few(table.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
 
+    # Joins of tables that grow are merges at every size: what a small run shuffles tells what a large one will.
     # The one context of a head is shared as a whole; several ones are compared.
     whole = F.expr("shiftleft(1L, most + 1) - shiftleft(1L, least)")
-    matches = contexts.join(several.select("key"), "key", "left_anti").select("c1", "c2", whole.alias("mask"), F.col("low").alias("first"))
-    wanted = contexts.join(several, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "least", "most", "low", "high", "c1", "c2", "n")).alias("at"))
-    wanted = work.keep(wanted.join(long_texts.select("doc_id", "digest"), "doc_id").select("doc_id", "digest", "at"))
+    matches = contexts.join(several.select("key").hint("merge"), "key", "left_anti").select("c1", "c2", whole.alias("mask"), F.col("low").alias("first"))
+    wanted = contexts.join(several.hint("merge"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "least", "most", "low", "high", "c1", "c2", "n")).alias("at"))
+    wanted = work.keep(wanted.join(long_texts.select("doc_id", "digest").hint("merge"), "doc_id").select("doc_id", "digest", "at"))
     words = _words_of_contexts(of(wanted), wanted)
     hot = not several.where(f"n > {HOT}").isEmpty()
     if hot:
@@ -309,7 +310,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     struct = as_struct(_MATCHES)
     ordered = words.drop("n").repartition("key").sortWithinPartitions("key", "right")
     matches = work.keep(matches.unionByName(ordered.mapInArrow(lambda batches: _matches(batches, struct), struct)))
-    placed = suffixes.select("doc_id", "place", "c1", "c2").join(matches, ["c1", "c2"])
+    placed = suffixes.select("doc_id", "place", "c1", "c2").join(matches.hint("merge"), ["c1", "c2"])
     by_rep = work.keep(placed.groupBy("doc_id").agg(F.min("first").alias("first"), F.collect_list(F.struct("place", "mask")).alias("found")))
 
     def placing():
@@ -321,9 +322,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         return fn
 
-    found = by_rep.join(long_texts.select("doc_id", "digest"), "doc_id")
+    found = by_rep.join(long_texts.select("doc_id", "digest").hint("merge"), "doc_id")
     per_rep = map_columns(of(by_rep).join(found.hint("merge"), "doc_id").select("doc_id", "text", "digest", "first", "found"), placing, "rep long, first long, n long, words long, list string", 64)
-    out = rows.join(classes.join(per_rep, "rep", "left"), "digest", "left")
+    out = rows.join(classes.join(per_rep.hint("merge"), "rep", "left").hint("merge"), "digest", "left")
     copied = F.coalesce(F.col("rep") < F.col("last"), F.lit(False))
     none = F.lit(0).cast("long")
     return out.select(
