@@ -1,9 +1,11 @@
 """Secret scans by assignment-aware lexing.
 
-Source and configuration text is lexed into name-literal pairs (``name = "literal"``, ``"name": literal``,
-``NAME=literal``, ``name := literal``, ``name => literal``). Literals are folded over ``+``, identifiers on the right
-hand side are resolved from earlier assignments, and each literal is scored by how sensitive its target name is and
-how random it looks. The three base kinds are grammar rules of the same scan.
+Source and configuration text is lexed into names, string literals (plain, with prefixes, triple-quoted), bare words and
+operators, and these into name-literal pairs (``name = "literal"``, ``"name": literal``, ``NAME=literal``, ``name: type =
+literal``, ``name := literal``, ``name => literal``). Values are folded over ``+`` and over adjacent strings; names in
+them stand for the constants last assigned to them in a scope that is still open (a line that is less indented than an
+assignment ends its scope). Each value is scored by how sensitive its target name is and how random it looks. The three
+base kinds are grammar rules of the same scan.
 
 Defined results: a null text counts as an empty one and has no spans; repeated rows are scanned each on its own; an
 empty table gives an empty table; only the id and text columns are read, so other columns cannot clash.
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -29,12 +32,27 @@ KINDS = ("assign", "access", "hex", "literal", "constant")
 NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "authkey": 1.0, "bearer": 0.8, "auth": 0.6, "signature": 0.5, "key": 0.4, "pass": 0.7}
 PLACEHOLDER = re.compile(r"(?i)(changeme|placeholder|example|your[_-]?\w*|null|none|true|false|undefined|x{3,}|\*{3,}|\.{3,}|<[^>]*>|\$\{?\w.*|\{\{.*)\Z")
 LITERAL_MIN = 8
+#: Characters above which a value that constants are folded into is no longer followed.
+FOLDED_MOST = 1024
 THRESHOLD = 1.0
 
 _assign, _access, _hex = re.compile(ASSIGN), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{%d,}" % HEX_MIN)
-_string = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
-_pair = re.compile(r"""(?<![A-Za-z0-9_.$-])([A-Za-z_$][A-Za-z0-9_.$-]*+)["'\])]*+[ \t]*+(?:=>|:=|[:=])(?![=/])[ \t]*+(?:(%s(?:[ \t]*+\+[ \t]*+%s)*+)|([A-Za-z0-9+/_.$-]++(?:={1,2}(?![A-Za-z0-9+/_.=$-]))?))""" % (_string, _string))
-_one_string = re.compile(_string)
+_token = re.compile(
+    r"""(?P<space>[ \t]++)
+    | (?P<line>\r?\n|\r)
+    | (?P<string>(?:\b[rRbBuUfF]{1,2}(?=["']))?(?P<q>\"{3}|'{3}|["']))
+    | (?P<assign>=>|:=|[:=](?![=/]))
+    | (?P<plus>\+)
+    | (?P<word>[A-Za-z0-9_$][A-Za-z0-9_.$/-]*+(?:\+[A-Za-z0-9_.$/-]++)*+(?:={1,2}(?![A-Za-z0-9+/_.=$"'-]))?)
+    | (?P<open>[\[({])
+    | (?P<close>[\])}])
+    | (?P<other>.)""",
+    re.X,
+)
+_string_end = {q: re.compile(rf"(?:[^\\{q[0]}\n]|\\.)*+{q}" if len(q) == 1 else rf"(?:[^\\{q[0]}]|\\[\s\S]|{q[0]}(?!{q[1:]}))*+{q}") for q in ('"', "'", '"' * 3, "'" * 3)}
+_bare_name = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*\Z")
+_sensitive = re.compile("|".join(sorted({re.escape(w[:4]) for w in NAME_WEIGHTS})) + "|api.?key", re.I)  # no name weighs anything without one
+_space = re.compile(r"\s")
 _split = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -54,23 +72,126 @@ def randomness(value: str) -> float:
     return min(1.0, bits / 4.0) * (0.4 + 0.2 * min(classes, 3))
 
 
+def tokens(text: str):
+    """(kind, value, start, end) of a text, from left to right: strings by their content, with the place of it. A quote
+    that nothing closes is a character like others."""
+    at, n = 0, len(text)
+    dead: dict[str, int] = {}  # where each kind of quote may open a string again, after one that nothing closes
+    while at < n:
+        m = _token.match(text, at)
+        kind = m.lastgroup if m.lastgroup != "q" else "string"
+        if m["q"]:
+            q = m["q"]
+            end = None
+            if m.end() > dead.get(q, -1):
+                end = _string_end[q].match(text, m.end())
+                if not end:
+                    line = text.find("\n", m.end()) if len(q) == 1 else n
+                    dead[q] = line if line >= 0 else n
+            if end:
+                yield "string", text[m.end() : end.end() - len(q)], m.end(), end.end() - len(q)
+                at = end.end()
+            else:
+                yield "other", m[0], m.start(), m.end()
+                at = m.end()
+            continue
+        at = m.end()
+        if kind != "space":
+            yield kind, m[0], m.start(), at
+
+
+class Constants:
+    """Values by name, in scopes by indentation."""
+
+    def __init__(self):
+        self.values: dict[str, list] = {}
+        self.order: list[tuple[int, str]] = []
+
+    def leave(self, indent: int) -> None:
+        while self.order and self.order[-1][0] > indent:
+            self.values[self.order.pop()[1]].pop()
+
+    def put(self, name: str, indent: int, value) -> None:
+        self.values.setdefault(name, []).append(value)
+        self.order.append((indent, name))
+
+    def get(self, name: str):
+        found = self.values.get(name)
+        return found[-1] if found else None
+
+
 def lex_pairs(text: str):
-    """(name, literal value or None, identifier or None, start, end) of each assignment, left to right.
+    """(name, value, whether the value is a bare name, spans, whether constants are part of it) of each assignment.
 
-    start and end delimit the literal without its outer quotes; folded strings reach from the first to the last.
+    A span delimits a literal without its quotes, for a constant where it was assigned; strings that are folded are one
+    span from the first to the last.
     """
-    at = 0
-    while m := _pair.search(text, at):
-        at = m.end()
-        if m[2] is not None:
-            parts = _one_string.findall(m[2])
-            yield m[1], "".join(p[1:-1] for p in parts), None, m.start(2) + 1, m.end(2) - 1
+    given = [*tokens(text), ("line", "", len(text), len(text))]
+    known = Constants()
+    indent = line_start = k = 0
+    fresh = True
+    while k < len(given):
+        kind, value, start, end = given[k]
+        if kind == "line":
+            line_start, fresh = end, True
+            k += 1
+            continue
+        if fresh:
+            indent, fresh = start - line_start, False
+            known.leave(indent)
+        if kind not in ("word", "string") or not (kind == "string" or _bare_name.match(value)) or not value or len(value) > 200:
+            k += 1
+            continue
+        name, j = value, k + 1
+        while given[j][0] == "close" and given[j][1] in "])":
+            j += 1
+        if given[j][0] != "assign":
+            k += 1
+            continue
+        j += 1
+        if given[j - 1][1] == ":" and given[j][0] == "word" and given[j + 1][0] == "assign" and given[j + 1][1] == "=":
+            j += 2  # name: type = value
+        parts, spans, folded, bare = [], [], False, False
+        while True:
+            kind, value, start, end = given[j]
+            if kind == "string":
+                parts.append(value)
+                if spans and not folded and spans[-1][2]:
+                    spans[-1] = (spans[-1][0], end, True)
+                else:
+                    spans.append((start, end, True))
+            elif kind == "word":
+                constant = known.get(value) if _bare_name.match(value) else None
+                if constant:
+                    parts.append(constant[0])
+                    spans += [(a, b, False) for a, b in constant[1]]
+                    folded = True
+                elif parts:
+                    break
+                else:
+                    parts, bare = [value], _bare_name.match(value) is not None
+                    spans = [(start, end, False)]
+                    j += 1
+                    break
+            else:
+                break
+            j += 1
+            if given[j][0] == "plus":
+                j += 1
+            elif given[j][0] != "string":
+                break
+        if not parts:
+            k += 1
+            continue
+        places = list(dict.fromkeys((a, b) for a, b, _ in spans))
+        if folded and sum(map(len, parts)) > FOLDED_MOST:  # k = k + k, again and again
+            known.put(name, indent, None)
         else:
-            word = m[3]
-            bare = re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_.$]*", word) is not None
-            yield m[1], word, word if bare else None, m.start(3), m.end(3)
-            if text[m.end() : m.end() + 1] in ("=", ":"):  # the word is the name of the next pair, as in a=b=c
-                at = m.start(3)
+            value = "".join(parts)
+            yield name, value, bare, places, folded
+            known.put(name, indent, (value, places))
+        # The last word may be the name of the next pair, as in a=b=c.
+        k = j - 1 if given[j][0] in ("assign", "close") and given[j - 1][0] in ("word", "string") and j - 1 > k else j
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -78,23 +199,21 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     found = [("assign", m.start(), m.end()) for m in _assign.finditer(text) if m.end(1) - m.start(1) >= ASSIGN_MIN]
     found += [("access", m.start(), m.end()) for m in _access.finditer(text) if m.end() - m.start() >= ACCESS_MIN]
     found += [("hex", m.start(), m.end()) for m in _hex.finditer(text)]
-    if "=" in text or ":" in text:
-        base = [(s, e) for k, s, e in found if k == "assign"]
-        known: dict[str, tuple[str, int, int]] = {}
+    if ("=" in text or ":" in text) and _sensitive.search(text):
+        base = [(s, e) for k, s, e in found if k == "assign"]  # in order and disjoint
+        starts = [s for s, _ in base]
         more = set()
-        for name, value, identifier, start, end in lex_pairs(text):
+        for name, value, bare, spans, constants in lex_pairs(text):
             weight = name_weight(name)
-            source = known.get(identifier) if identifier else None
-            if source:
-                value, s, e = source
-            else:
-                s, e = start, end
-            if weight and len(value) >= LITERAL_MIN and not PLACEHOLDER.match(value) and not re.search(r"\s", value) and (source or not identifier or weight >= 0.9) and weight + randomness(value) > THRESHOLD + (0.6 if identifier and not source else 0.4):
-                if source:
-                    more.add(("constant", s, e))
-                elif not any(a <= s and e <= b for a, b in base):
-                    more.add(("literal", s, e))
-            known[name] = source or (value, start, end)
+            if not weight or len(value) < LITERAL_MIN or PLACEHOLDER.match(value) or _space.search(value) or (bare and weight < 0.9):
+                continue
+            if weight + randomness(value) > THRESHOLD + (0.6 if bare else 0.4):
+                for s, e in spans:
+                    k = bisect_right(starts, s) - 1
+                    if constants:
+                        more.add(("constant", s, e))
+                    elif k < 0 or base[k][1] < e:
+                        more.add(("literal", s, e))
         found += more
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

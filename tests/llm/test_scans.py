@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -52,12 +53,47 @@ def test_base_spans_equal_the_rules():
         ('credential := "ab12" + "Cd34ef"', 'ab12" + "Cd34ef'),
         ('k = "a8Fzkq02ZZp1"\naccess_key = k', "a8Fzkq02ZZp1"),
         ("export AUTH_KEY=Zk81hsPq02LmnB", "Zk81hsPq02LmnB"),
+        ('pwd: str = r"Xk29sLq0PzT"', "Xk29sLq0PzT"),
+        ("passphrase = '''Xk29sLq0PzT'''", "Xk29sLq0PzT"),
+        ('auth_key = ("Zk81hsPq" "02LmnB")' .replace("(", "").replace(")", ""), 'Zk81hsPq" "02LmnB'),
+        ('head = "Zk81hsPq"\nauth_key = head + "02LmnB"', "Zk81hsPq"),
+        ("def f():\n    x = 'nothing at all'\nx = 'Zk81hsPq02LmnB'\ndef g():\n    credential = x", "Zk81hsPq02LmnB"),
+        ("# it's a comment\n<property name='dbPwd' value: 'Zk81hsPq02LmnB', authKey: 'Yk81hsPq02LmnB'>", "Yk81hsPq02LmnB"),
+        ("passphrase='Zk81hs\\'Pq02LmnB'", "Zk81hs\\'Pq02LmnB"),
     ],
 )
 def test_lexer_finds_literals(text, value):
     assert value in [text[s:e] for k, s, e in secrets.scan(text) if k in ("literal", "constant")]
 
 
+def test_constants_end_with_their_scope():
+    text = "def f():\n    k = 'Zk81hsPq02LmnB'\ndef g():\n    access_key = k"
+    assert [s for s in secrets.scan(text) if s[0] == "constant"] == []
+    text = "k = 'Zk81hsPq02LmnB'\ndef f():\n    k = 'short'\naccess_key = k"
+    assert [text[s:e] for k, s, e in secrets.scan(text) if k == "constant"] == ["Zk81hsPq02LmnB"]
+
+
+@pytest.mark.parametrize("piece", ["password = 'Zk81hsPq02LmnB'\n", "k = k + k\nsecret_key = k\n", "key='", "'\\'", '"""', "a=b=c=", "key: ", "pwd['a'] = x + y + ", "key = 'a' 'b' + "])
+def test_long_texts_take_linear_time(piece):
+    def seconds(n):
+        start = time.process_time()
+        secrets.scan("k = 'ab'\n" + piece * (n // len(piece)))
+        return time.process_time() - start
+
+    seconds(10_000)
+    assert seconds(400_000) < 40 * max(seconds(40_000), 0.02)
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("api_secret_phrase => Zk81hsPq02LmnB", "Zk81hsPq02LmnB"),
+    ],
+)
+def test_lexer_reads_bare_words(text, value):
+    assert value in [text[s:e] for k, s, e in secrets.scan(text)]
+
+
 @pytest.mark.parametrize("text", ["title: The pass over the mountain", 'private_key = "changeme"', "auth = ${SECRET_FROM_ENV}", "see http://host/path?x=1", "key: value"])
 def test_lexer_leaves_plain_text(text):
     assert [s for s in secrets.scan(text) if s[0] in ("literal", "constant")] == []
