@@ -116,7 +116,11 @@ class Workspace:
         set_in = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         import uuid
 
-        self.root = f"{(set_in or '/tmp/checkpoints').rstrip('/')}/attestor-{uuid.uuid4().hex}"
+        if not set_in:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            set_in = "/tmp/checkpoints"
+        self.root = f"{set_in.rstrip('/')}/attestor-{uuid.uuid4().hex}"
         self.n = 0
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)

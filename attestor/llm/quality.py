@@ -73,7 +73,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
         return fn
 
-    sample = map_columns(texts.join(F.broadcast(known), "doc_id").select("text", "quality"), make, "x array<double>, y int").collect()
+    one = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))  # a row an id
+    sample = map_columns(one.select("text", "quality"), make, "x array<double>, y int").collect()
     y = np.array([r.y for r in sample], float)
     if len(y) == 0 or y.min() == y.max():
         return FALLBACK, 0.5

@@ -1,12 +1,13 @@
 """Toxicity by weak supervision.
 
 Voters are a seed lexicon, words and word beginnings mined from labelled rows, and writing patterns. A generative
-label model estimates each voter's firing rate in either class by expectation maximisation, and correlations between
-voters given the class; correlated voters share their weight. A linear classifier over voters and writing features is
-then trained on the model's posterior labels, and scores whole texts.
+label model estimates the firing rates of all of them, and of the given labels, in either class by expectation
+maximisation, and correlations between voters given the class; correlated voters share their weight. A linear classifier
+over voters and writing features is then trained on the model's posterior labels, and scores whole texts.
 
 Labels are read only where crc32 of the id as text, mod 5, is not 0. The fit uses a bounded sample of them
-(``TRAIN_ROWS`` ids of least hash); what reaches the driver is voter counts and the sample's votes, never texts.
+(``TRAIN_ROWS`` ids of least hash), written once; of the words counted over it the best ``MINED_MOST`` become voters.
+What reaches the driver is voter counts and the sample's votes, one row an id, never texts.
 
 Defined results: null and empty texts get the classifier's score of a text without any voter; a null id is scored like
 any other row (held_out null); conflicting labels of one id count as toxic; no usable labels give the seed lexicon
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_columns, text_rows
+from .common import Workspace, filter_rows, map_columns, text_rows
 from .linear import fit_logistic, sigmoid
 
 TRAIN_ROWS = 6000
@@ -73,34 +74,37 @@ def held_out(id_col: str = "doc_id"):
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(text, toxic) of at most ``rows`` labelled ids, one row an id; of several texts of an id the least stands."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.join(F.broadcast(known), "doc_id")  # at most `rows` ids
+    return docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def _mine(sample: DataFrame) -> tuple[list[str], int]:
-    """Features that speak for the toxic class by log-likelihood gain, the best first."""
+    """Features that speak for the toxic class by log-likelihood gain, the best ``MINED_MOST`` first; rows sampled."""
 
     def make():
         def fn(texts, toxic):
-            pos, neg = Counter(), Counter()
+            pos, every = Counter(), Counter()
             for t, y in zip(texts, toxic, strict=True):
-                (pos if y else neg).update(features(t))
+                found = features(t)
+                every.update(found)
+                if y:
+                    pos.update(found)
             yield None, sum(toxic), len(toxic)
-            yield from ((f, n, n + neg[f]) for f, n in pos.items())
+            yield from ((f, pos[f], n) for f, n in every.items())
 
         return fn
 
     partial = map_columns(sample.select("text", "toxic"), make, "feature string, pos long, n long", 1024)
     counts = partial.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    # A feature's n lacks the slices where it was never toxic; the exact n of the few candidates comes with the votes.
-    total = [r for r in counts.where("feature is null").collect()]
-    n_pos, n = (int(total[0].pos), int(total[0].n)) if total else (0, 0)
+    total = counts.where("feature is null").first()
+    n_pos, n = (int(total.pos), int(total.n)) if total else (0, 0)
     if not n_pos or n_pos == n:
         return [], n
     base = n_pos / n
     gain = 2 * F.col("pos") * F.log(F.col("pos") / (F.col("n") * base))
-    best = counts.where("feature is not null").withColumn("gain", gain).where((F.col("gain") >= MINED_GAIN) & (F.col("pos") >= 0.9 * F.col("n"))).orderBy(F.desc("gain"), F.length("feature"), "feature").limit(MINED_MOST)
+    best = counts.where("feature is not null and pos >= 0.9 * n").withColumn("gain", gain).where(F.col("gain") >= MINED_GAIN).orderBy(F.desc("gain"), F.length("feature"), "feature").limit(MINED_MOST)
     return [r.feature for r in best.collect()], n
 
 
@@ -121,37 +125,42 @@ def _votes(sample: DataFrame, voters: list[str]) -> tuple[np.ndarray, np.ndarray
     return fires, np.array([r.writing for r in rows]).reshape(len(rows), WRITING), np.array([r.toxic for r in rows], float)
 
 
-def label_model(fires: np.ndarray, gold: np.ndarray, rounds: int = 8, gold_trust: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior, weight share of each voter) by EM over firing rates; the given labels are one more voter.
+def label_model(fires: np.ndarray, gold: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior, weight share of each voter) by EM over firing rates in either class.
 
-    Voters whose residuals given the class correlate above one half form a cluster and share one weight.
+    The given labels are one more voter: its rates are estimated like the others', from a prior of 19 right in 20.
+    Voters whose residuals given the class correlate above one half, as of the last round, share one weight.
     """
-    posterior = gold * gold_trust + (1 - gold) * (1 - gold_trust)
+    n = len(gold)
+    posterior = gold * 0.95 + (1 - gold) * 0.05
     share = np.ones(fires.shape[1])
     for step in range(rounds):
-        prior = (posterior.sum() + 1) / (len(posterior) + 2)
-        rate1 = (posterior @ fires + 0.5) / (posterior.sum() + 1)
-        rate0 = ((1 - posterior) @ fires + 0.5) / ((1 - posterior).sum() + 1)
-        if step == 1:
+        prior = (posterior.sum() + 1) / (n + 2)
+        toxic, clean = posterior.sum(), (1 - posterior).sum()
+        rate1, rate0 = (posterior @ fires + 0.5) / (toxic + 1), ((1 - posterior) @ fires + 0.5) / (clean + 1)
+        right1, right0 = (posterior @ gold + 19) / (toxic + 20), ((1 - posterior) @ (1 - gold) + 19) / (clean + 20)
+        if step:
             residual = fires - np.outer(posterior, rate1) - np.outer(1 - posterior, rate0)
             spread = np.sqrt((residual**2).sum(0)) + 1e-9
             close = (residual.T @ residual) / np.outer(spread, spread) > 0.5
             share = 1.0 / np.maximum(1, close.sum(1))
         on, off = np.log(rate1 / rate0) * share, np.log((1 - rate1) / (1 - rate0)) * share
         logit = np.log(prior / (1 - prior)) + fires @ on + (1 - fires) @ off
-        logit += np.where(gold > 0, 1, -1) * np.log(gold_trust / (1 - gold_trust))
+        logit += np.where(gold > 0, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
         posterior = sigmoid(logit)
     return posterior, share
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
-    sample = _sample(text_rows(docs, id_col, text_col), labels, rows)
+    work = Workspace(docs.sparkSession)
+    sample = work.keep(_sample(text_rows(docs, id_col, text_col), labels, rows))  # the texts are read once for the fit
     mined, n = _mine(sample)
     seeds = ["=" + w for w in SEEDS]
     voters = seeds + [v for v in mined if v not in set(seeds)]
     if not n:
         return Model()
     fires, pattern, gold = _votes(sample, voters)
+    work.drop(sample)
     seen: set[bytes] = set()
     useful = np.zeros(len(voters), bool)
     for k in range(len(voters)):  # of voters that fire on the same documents the first stays: the seed or the shorter beginning
@@ -161,7 +170,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     fires, voters = fires[:, useful], [v for v, u in zip(voters, useful, strict=True) if u]
     if gold.sum() < 3:
         return Model()
-    posterior, _ = label_model(fires, gold)
+    posterior, _ = label_model(np.column_stack([fires, pattern > 0.5]), gold)
     beta = fit_logistic(np.column_stack([fires, pattern]), posterior, penalty=0.05)
     logit = beta[0] + fires @ beta[1 : 1 + len(voters)] + pattern @ beta[1 + len(voters) :]
     shift, scale = fit_logistic(logit[:, None], gold, penalty=0.01)  # puts one half between the classes
