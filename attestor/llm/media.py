@@ -25,7 +25,7 @@ from .webp_tiles import decode_tiles, encode_tiles
 
 WIDTH, TILE_ROWS = 64, 64
 ROW_BYTES = 3 * WIDTH
-SLICE_ROWS = 512
+SLICE_ROWS = 1024
 
 
 def payload(text: str) -> bytes:

@@ -114,25 +114,45 @@ def read_lengths(r: Reader, alphabet: int) -> list[int]:
     meta = [0] * 19
     for k in range(4 + r.read(4)):
         meta[CODE_LENGTH_ORDER[k]] = r.read(3)
-    code = Code(meta)
+    table = _meta_table(tuple(meta))
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else alphabet
-    at, last = 0, 8
+    at, last, data, pos = 0, 8, r.data, r.pos
     while at < alphabet and left:
         left -= 1
-        s = code.read(r)
+        byte = pos >> 3
+        ahead = int.from_bytes(data[byte : byte + 4], "little") >> (pos & 7)
+        s, n = table[ahead & 127]
+        pos += n
         if s < 16:
             lengths[at] = s
             at += 1
             last = s or last
-        else:
-            n, value = (3 + r.read(2), last) if s == 16 else (3 + r.read(3), 0) if s == 17 else (11 + r.read(7), 0)
-            if at + n > alphabet:
-                raise ValueError("code lengths run over the alphabet")
-            lengths[at : at + n] = [value] * n
-            at += n
+            continue
+        extra = 2 if s == 16 else 3 if s == 17 else 7
+        n = (ahead >> n & (1 << extra) - 1) + (11 if s == 18 else 3)
+        pos += extra
+        if at + n > alphabet:
+            raise ValueError("code lengths run over the alphabet")
+        lengths[at : at + n] = [last if s == 16 else 0] * n
+        at += n
+    r.pos = pos
+    if pos > 8 * len(data):
+        raise ValueError("the stream ends too early")
     return lengths
 
 
+@lru_cache(maxsize=1024)
+def _meta_table(lengths: tuple[int, ...]) -> list[tuple[int, int]]:
+    """(symbol, bits) by the next seven bits."""
+    out: list = [None] * 128
+    for s, (bits, n) in canonical(lengths).items():
+        for rest in range(0, 128, 1 << n):
+            out[rest | bits] = (s, n)
+    if None in out:
+        raise ValueError("prefix code is not complete")
+    return out
+
+
 def huffman_lengths(counts, most: int) -> list[int]:
     """Code lengths of at most ``most`` bits by Huffman's method; counts are flattened until they fit."""
     used = [(c, s) for s, c in enumerate(counts) if c]

@@ -4,7 +4,7 @@
 transform and cache by the bits they are likely to take, and packs all codes together. ``decode_tiles`` decodes many
 streams in step, one pixel of each stream at a time, with prefix-code tables, copies and caches by stream; streams with
 meta prefix groups, long codes or an alpha channel go through ``webp.decode``. Work is done on groups of at most
-``LANES`` pictures, so that memory does not follow the number of pictures given.
+``LANES`` streams or ``PIXELS`` pixels, so that memory does not follow the number of pictures given.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from functools import lru_cache
 
 import numpy as np
 
-from .webp import CACHE_MULTIPLIER, DISTANCE_CODES, LENGTH_CODES, OPAQUE, Reader, Writer, canonical, decode, distance_map, header, huffman_lengths, invert, read_head, read_lengths, write_lengths, write_transforms
+from .webp import CACHE_MULTIPLIER, CODE_LENGTH_ORDER, DISTANCE_CODES, LENGTH_CODES, OPAQUE, Reader, Writer, canonical, decode, distance_map, header, invert, read_head, read_lengths, write_transforms
 
 #: Longest code that is written, and that the decoder has tables for.
 TABLE_BITS = 11
-LANES = 512
+LANES = 1024
+#: Pixels that are encoded at once, and the most that a picture may have.
+PIXELS, MOST = 1 << 19, 1 << 12
 CACHE_BITS = 8
 #: Pictures of up to so many colours get a palette.
 PALETTE_COLOURS = 16
@@ -77,12 +79,17 @@ def _likely(rgb: np.ndarray, which: np.ndarray, tiles: int) -> np.ndarray:
     return sum(_bits(rgb[:, c], which, tiles, 256) for c in range(3))
 
 
+#: Bits of a place among the pixels of a group.
+_PLACE = (PIXELS + MOST).bit_length()
+
+
 def _previous(keys: np.ndarray) -> np.ndarray:
-    """The last earlier place of an equal key, or -1."""
-    order = np.argsort(keys, kind="stable")
+    """The last earlier place of an equal key, or -1. Keys have at most 64 - ``_PLACE`` bits; places sort with them."""
+    packed = np.sort(keys.astype(np.uint64) << _U(_PLACE) | np.arange(len(keys), dtype=np.uint64))
+    key, place = packed >> _U(_PLACE), (packed & _U((1 << _PLACE) - 1)).astype(np.int64)
     out = np.full(len(keys), -1)
-    same = keys[order[1:]] == keys[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
+    same = key[1:] == key[:-1]
+    out[place[1:][same]] = place[:-1][same]
     return out
 
 
@@ -106,7 +113,7 @@ class _Tiles:
         if n < 4:
             return length, far
         three = c[:-2] | c[1:-1] << _U(24) | c[2:] << _U(48)
-        last = _previous((three ^ self.which[:-2].astype(np.uint64) * _U(0x9E3779B97F4A7C15)) * _U(0xBF58476D1CE4E5B9))
+        last = _previous((three ^ self.which[:-2].astype(np.uint64) * _U(0x9E3779B97F4A7C15)) * _U(0xBF58476D1CE4E5B9) >> _U(_PLACE))
         k = np.flatnonzero(last >= 0)
         j = last[k]
         good = (self.which[j] == self.which[k + 2]) & (three[j] == three[k]) & (c[j + 2] == c[k + 2])
@@ -125,14 +132,15 @@ class _Tiles:
     def hits(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(whether the colour cache holds each pixel's colour, its slot)."""
         slot = (CACHE_MULTIPLIER * (self.colour | OPAQUE) & 0xFFFFFFFF) >> (32 - bits)
-        last = _previous((self.which << bits | slot).astype(np.int32))
+        last = _previous(self.which << bits | slot)
         return (last >= 0) & (self.colour[last] == self.colour), slot
 
 
-def _chosen(t: _Tiles, covered: np.ndarray, width: int) -> list[dict]:
+def _chosen(t: _Tiles, width: int) -> list[dict]:
     """The transform of each tile: a palette for few colours, else what takes clearly fewer bits than none."""
     tiles = len(t.sizes)
-    kinds = np.bincount(np.unique(t.which << 24 | t.colour) >> 24, minlength=tiles)
+    colours = np.sort(t.which << 24 | t.colour)
+    kinds = np.bincount(colours[np.r_[True, colours[1:] != colours[:-1]]] >> 24, minlength=tiles)
     left = np.zeros_like(t.rgb)
     left[1:] = t.rgb[:-1]
     up = left.copy()
@@ -143,28 +151,33 @@ def _chosen(t: _Tiles, covered: np.ndarray, width: int) -> list[dict]:
     up[at < width] = left[at < width]
     left[starts] = up[starts] = 0
     red, green, blue = t.rgb.T
-    views = (t.rgb, np.stack([red - green, green, blue - green], 1), np.stack([red, green, blue - red], 1), t.rgb - left, t.rgb - up)
-    bits = np.stack([_likely(v & 255, t.which, tiles) for v in views]) + np.array([0, 0, *[GAIN] * 3])[:, None]
+    r, g, b, r_g, b_g, b_r = (_bits(x & 255, t.which, tiles, 256) for x in (red, green, blue, red - green, blue - green, blue - red))
+    bits = np.stack([r + g + b, r_g + g + b_g, r + g + b_r + GAIN, *(_likely(t.rgb - x & 255, t.which, tiles) + GAIN for x in (left, up))])
     best = np.where(bits.min(0) + GAIN < bits[0], bits.argmin(0), 0)
-    best[covered] = 0
     return [{"palette": True} if k <= PALETTE_COLOURS else TRANSFORMS[b] for k, b in zip(kinds.tolist(), best.tolist(), strict=True)]
 
 
 def encode_tiles(images: list[bytes], width: int) -> list[bytes]:
     """Streams of RGB images of the given width (bytes in rows)."""
     out: list[bytes] = []
-    for at in range(0, len(images), LANES):
-        out += _encode(images[at : at + LANES], width)
-    return out
+    group: list[bytes] = []
+    pixels = 0
+    for image in images:
+        if len(image) > 3 * MOST:
+            raise ValueError(f"a tile has over {MOST} pixels")
+        group.append(image)
+        pixels += len(image) // 3
+        if pixels >= PIXELS:
+            out += _encode(group, width)
+            group, pixels = [], 0
+    return out + (_encode(group, width) if group else [])
 
 
 def _encode(images: list[bytes], width: int) -> list[bytes]:
     pictures = [np.frombuffer(im, np.uint8).reshape(-1, width, 3) for im in images]
     t = _Tiles(pictures)
-    length, far = t.copies()
-    covered = np.bincount(t.which, weights=length != 0, minlength=len(pictures)) > t.sizes / 2
     heads, changed, widths = [], False, []
-    for k, transforms in enumerate(_chosen(t, covered, width)):
+    for k, transforms in enumerate(_chosen(t, width)):
         w = Writer()
         header(w, width, len(pictures[k]), False)
         if transforms:
@@ -177,7 +190,7 @@ def _encode(images: list[bytes], width: int) -> list[bytes]:
         widths.append(pictures[k].shape[1])
     if changed:
         t = _Tiles(pictures)
-        length, far = t.copies()
+    length, far = t.copies()
 
     # Tokens: literals, copies and cache hits, where the cache saves bits.
     tiles, keep = len(pictures), length >= 0
@@ -209,31 +222,25 @@ def _encode(images: list[bytes], width: int) -> list[bytes]:
     alphabet = _GREEN + (1 << CACHE_BITS)
     # Red and blue share a code, as their letters do.
     histograms = counts(green, which, alphabet), counts(red[literal], which[literal], 256) + counts(blue[literal], which[literal], 256), counts(dist_code, which[copied], DISTANCE_CODES)
-    tables = [np.zeros((tiles, h.shape[1]), np.int64) for h in histograms]
     for k, w in enumerate(heads):
         w.put(int(cached[k]), 1)
         if cached[k]:
             w.put(CACHE_BITS, 4)
         w.put(0, 1)  # no groups
-        for table, h, twice in zip(tables, histograms, (1, 2, 1), strict=True):
-            if table is tables[2]:
-                w.put(0b11111111101, 11)  # alpha: the one symbol 255
-            lengths = huffman_lengths(h[k].tolist(), TABLE_BITS)
-            one = Writer()
-            write_lengths(one, lengths)
-            for _ in range(twice):
-                w.put(one.value, one.n)
-            for s, (bits, n) in canonical(lengths).items():
-                table[k, s] = n << 16 | bits
+    # The alphabet that is written: without a cache, its symbols are no part of it.
+    sizes = np.where(cached, alphabet, _GREEN), np.full(tiles, 256), np.full(tiles, DISTANCE_CODES)
+    tables, texts = zip(*(_codes(h, n) for h, n in zip(histograms, sizes, strict=True)), strict=True)
+    alpha = np.arange(tiles), np.full(tiles, 11 << 16 | 0b11111111101)  # the one symbol 255
 
     # The fields of a token: its green code, then red and blue, or the copy's extra bits and distance.
     fields = np.zeros((len(token), 4), np.int64)
     fields[:, 0] = tables[0][which, green]
     fields[literal, 1], fields[literal, 2] = tables[1][which[literal], red[literal]], tables[1][which[literal], blue[literal]]
     fields[copied, 1], fields[copied, 2], fields[copied, 3] = size_bits << 16 | size_extra, tables[2][which[copied], dist_code], dist_bits << 16 | dist_extra
-    owner, fields = np.repeat(which, 4), fields.ravel()
-    used = fields >= 1 << 16
-    owner, fields = owner[used], fields[used]
+    owner, fields = (np.concatenate(x) for x in zip(texts[0], texts[1], texts[1], alpha, texts[2], (np.repeat(which, 4), fields.ravel()), strict=True))
+    order = np.argsort(owner.astype(np.uint16), kind="stable")
+    order = order[fields[order] >= 1 << 16]
+    owner, fields = owner[order], fields[order]
     n = fields >> 16
     bits_each = np.bincount(owner, weights=n, minlength=tiles).astype(np.int64)
     head_bits = np.array([w.n for w in heads])
@@ -254,14 +261,114 @@ def _encode(images: list[bytes], width: int) -> list[bytes]:
     return out
 
 
+def _lengths(counts: np.ndarray) -> np.ndarray:
+    """Code lengths of at most ``TABLE_BITS`` of each row's symbols: Shannon's, then the most frequent symbols are
+    shortened as long as the code allows, until it is complete. A single symbol has length 1."""
+    used = np.count_nonzero(counts, axis=1)
+    most = max(1, int(used.max()))
+    order = np.argsort(-counts, axis=1, kind="stable")[:, :most]
+    c = np.take_along_axis(counts, order, 1)
+    some = c > 0
+    n = np.where(some, np.clip(np.ceil(np.log2(np.maximum(c.sum(1, keepdims=True), 1) / np.maximum(c, 1))), 1, TABLE_BITS), 0).astype(np.int64)
+    whole = 1 << TABLE_BITS
+    total = np.where(some, whole >> n, 0).sum(1)
+    while (total > whole).any():
+        for j in range(most - 1, -1, -1):
+            longer = (total > whole) & some[:, j] & (n[:, j] < TABLE_BITS)
+            n[longer, j] += 1
+            total[longer] -= whole >> n[longer, j]
+    while (open_rows := (total < whole) & (used > 1)).any():
+        for j in range(most):
+            unit = whole >> n[:, j]
+            shorter = open_rows & some[:, j] & (total + unit <= whole)
+            n[shorter, j] -= 1
+            total[shorter] += unit[shorter]
+    out = np.zeros_like(counts)
+    np.put_along_axis(out, order, n, 1)
+    return out
+
+
+#: How code lengths are written: a fixed code of 3 bits for no code and for length 8, 4 bits for the others in use.
+_META = {s: 3 if s in (0, 8) else 4 for s in (*range(12), 17, 18)}
+_META_CODES = canonical([_META.get(s, 0) for s in range(19)])
+
+
+def _meta_head() -> list[int]:
+    w = Writer()
+    w.put(0, 1)
+    w.put(15 - 4, 4)
+    for s in CODE_LENGTH_ORDER[:15]:
+        w.put(_META.get(s, 0), 3)
+    w.put(0, 1)  # lengths of the whole alphabet follow
+    return [min(16, w.n - k) << 16 | w.value >> k & 0xFFFF for k in range(0, w.n, 16)]
+
+
+_META_HEAD = np.array(_meta_head())
+_META_FIELD = np.array([_META_CODES[s][1] << 16 | _META_CODES[s][0] if s in _META_CODES else 0 for s in range(19)])
+
+
+def _codes(counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(code of each row's symbols as bits << 16 | code, (row, field) of the text of each row's code); ``sizes`` are the
+    rows' alphabets."""
+    rows, alphabet = counts.shape
+    used = np.count_nonzero(counts, axis=1)
+    last = np.where(used > 0, alphabet - 1 - (counts[:, ::-1] > 0).argmax(1), 0)
+    lengths = _lengths(counts)
+    # Canonical codes: the share of the code that shorter and lesser symbols take, most significant bit first.
+    row, symbol = np.nonzero(lengths)
+    n = lengths[row, symbol]
+    order = np.lexsort((symbol, n, row))
+    row, symbol, n = row[order], symbol[order], n[order]
+    units = (1 << TABLE_BITS) >> n
+    before = np.cumsum(units) - units
+    first = np.searchsorted(row, np.arange(rows))
+    before -= np.append(before, 0)[np.minimum(first, len(before))][row]
+    table = np.zeros((rows, alphabet), np.int64)
+    table[row, symbol] = np.where(used[row] > 1, n << 16 | _reversal(TABLE_BITS)[before & ((1 << TABLE_BITS) - 1)], 0)
+
+    simple = (used <= 1) & (last < 256)
+    at = np.flatnonzero(simple)
+    owners, places, fields = [at], [np.zeros(len(at), np.int64)], [11 << 16 | 0b101 | last[at] << 3]
+    at = np.flatnonzero(~simple)
+    if len(at):
+        # Runs of equal lengths over the rows' alphabets; only runs of zeros are written as runs.
+        flat = lengths[at]
+        inside = np.arange(alphabet) < sizes[at, None]
+        row, symbol = np.nonzero(inside)
+        value = flat[row, symbol]
+        edge = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])])
+        size, value, row = np.diff(np.append(edge, len(value))), value[edge], row[edge]
+        alone = (value > 0) | (size < 3)
+        pieces = np.where(alone, size, (size + 137) // 138)
+        run = np.repeat(np.arange(len(size)), pieces)
+        nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        # Pieces of a long run are of 138 but for the last two, so that none is under 3.
+        rest = size[run] - 138 * nth
+        piece = np.where(rest > 138, np.where(rest < 141, 135, 138), rest)
+        after = (nth > 0) & (size[run] - 138 * (nth - 1) < 141) & (size[run] - 138 * (nth - 1) > 138)
+        piece = np.where(after, size[run] - 138 * (nth - 1) - 135, piece)
+        alone = alone[run]
+        first_field = np.where(alone, _META_FIELD[np.where(alone, value[run], 0)], _META_FIELD[np.where(piece >= 11, 18, 17)])
+        second = np.where(alone, 0, np.where(piece >= 11, 7 << 16 | piece - 11, 3 << 16 | piece - 3))
+        owner = at[row[run]]
+        owners += [np.repeat(at, len(_META_HEAD)), np.repeat(owner, 2)]
+        places += [np.tile(np.arange(len(_META_HEAD)), len(at)), 100 + np.arange(2 * len(run))]
+        fields += [np.tile(_META_HEAD, len(at)), np.stack([first_field, second], 1).ravel()]
+    owner, place, field = np.concatenate(owners), np.concatenate(places), np.concatenate(fields)
+    order = np.lexsort((place, owner))
+    return table, (owner[order], field[order])
+
+
 def _table(lengths: list[int]) -> np.ndarray | None:
     """Symbol and, above it, code length by the next bits; None if a code is too long."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if not used or used[-1][0] > TABLE_BITS:
+    lengths = np.array(lengths)
+    symbols = np.flatnonzero(lengths)
+    if not len(symbols) or lengths.max() > TABLE_BITS:
         return None
-    if len(used) == 1:
-        return np.full(1 << TABLE_BITS, used[0][1], np.int32)
-    n, symbols = np.array(used).T
+    if len(symbols) == 1:
+        return np.full(1 << TABLE_BITS, symbols[0], np.int32)
+    symbols = symbols[np.argsort(lengths[symbols], kind="stable")]
+    n = lengths[symbols]
     entries = np.repeat(n << 16 | symbols, 1 << (TABLE_BITS - n))
     if len(entries) != 1 << TABLE_BITS:
         raise ValueError("prefix code is not complete")
