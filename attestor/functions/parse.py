@@ -46,6 +46,31 @@ def response_outcome(text: Column, allowed: list[str]) -> Column:
     return F.when(body.isNull(), "missing_result").when(~F.startswith(F.trim(body), F.lit("[")), "schema_violation").when(good.isNull(), "taxonomy_violation").otherwise("valid")
 
 
+def validated_findings(text: Column, allowed: list[str], key: str = "vulnerabilities") -> Column:
+    """struct(findings, errors) of a response: its findings with five fields each, and an error text by index for each
+    item that is no object or has a category outside the taxonomy. Null where the field is no list."""
+    body = F.get_json_object(extract_result(text, key), f"$.{key}")
+    items = F.when(F.startswith(F.trim(body), F.lit("[")), F.from_json(body, "array<string>"))
+
+    def field(item: Column, name: str) -> Column:
+        return F.trim(F.coalesce(F.get_json_object(item, f"$.{name}"), F.lit("")))
+
+    def read(item: Column, k: Column) -> Column:
+        given = F.get_json_object(item, "$.category")
+        category = normalize_category(F.coalesce(given, F.lit("none")))
+        at = F.concat(F.lit("finding["), k.cast("string"), F.lit("]"))
+        error = F.when(~F.coalesce(F.startswith(F.trim(item), F.lit("{")), F.lit(False)), F.concat(at, F.lit(" is not an object"))).when(
+            ~category.isin(*allowed), F.concat(at, F.lit(" category "), F.coalesce(F.concat(F.lit("'"), given, F.lit("'")), F.lit("None")), F.lit(" is outside the allowed taxonomy"))
+        )
+        finding = F.struct(category.alias("category"), field(item, "function").alias("function"), F.lower(field(item, "severity")).alias("severity"), field(item, "description").alias("description"), field(item, "recommendation").alias("recommendation"))
+        return F.struct(error.alias("error"), finding.alias("finding"))
+
+    found = F.transform(items, read)
+    good = F.transform(F.filter(found, lambda x: x["error"].isNull()), lambda x: x["finding"])
+    bad = F.transform(F.filter(found, lambda x: x["error"].isNotNull()), lambda x: x["error"])
+    return F.when(items.isNotNull(), F.struct(good.alias("findings"), bad.alias("errors")))
+
+
 # Phrases that tell the outcomes of an attempt apart, in order of precedence.
 RUNTIME_STATUS = ("inference_error", "runtime_error")
 RUNTIME_TEXT = ("cuda", "out of memory", "traceback", "generation failed")

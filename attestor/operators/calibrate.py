@@ -62,12 +62,29 @@ def threshold_grid(scored: DataFrame, by: list[str], thresholds: list[float] = T
     return each.groupBy(*by, "threshold").agg(total(positive, F.col("p")).alias("tp"), total(positive, negatives).alias("fp"), total(~positive, F.col("p")).alias("fn"), total(~positive, negatives).alias("tn"))
 
 
+def primary_metric(task: str) -> str:
+    """The metric that a task is judged by: balanced accuracy where it is binary, else micro F1."""
+    return "balanced_accuracy" if task == "binary" else "micro_f1"
+
+
 def objective(name: str) -> Column:
-    """The value a threshold is chosen by, on columns tp, fp, fn, tn."""
+    """The value a threshold is chosen by, on columns tp, fp, fn, tn of all labels together."""
     if name == "micro_f1":
         return f1()
-    recall, specificity = safe_divide(F.col("tp"), F.col("tp") + F.col("fn")), safe_divide(F.col("tn"), F.col("tn") + F.col("fp"))
-    return (recall + specificity) / 2.0
+    if name == "balanced_accuracy":
+        recall, specificity = safe_divide(F.col("tp"), F.col("tp") + F.col("fn")), safe_divide(F.col("tn"), F.col("tn") + F.col("fp"))
+        return (recall + specificity) / 2.0
+    raise ValueError(f"no such objective: {name}")
+
+
+def objective_grid(scored: DataFrame, by: list[str], name: str, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """The objective of scored cells at each threshold, as column ``value``. ``macro_f1_supported`` is the mean F1 of the
+    labels that have positives; the other objectives are of all labels together."""
+    if name != "macro_f1_supported":
+        return threshold_grid(scored, by, thresholds).withColumn("value", objective(name))
+    per_label = threshold_grid(scored, [*by, "label"], thresholds)
+    supported = F.when(F.col("tp") + F.col("fn") > 0, f1())
+    return per_label.groupBy(*by, "threshold").agg(F.coalesce(F.round(F.avg(supported), 12), F.lit(0.0)).alias("value"))
 
 
 def select_threshold(grid: DataFrame, by: list[str], value: Column) -> DataFrame:
@@ -112,18 +129,23 @@ def dense(cell_counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return frame.select(*by, "label", "pattern", F.coalesce(hit["n"], F.lit(0)).alias("n"), F.coalesce(hit["p"], F.lit(0)).alias("p"))
 
 
-def crossfit(decisions: DataFrame, folds: int = 5, inner_folds: int = 3, shrinkage: float = 8.0, seed: int = 20260811, objective_name: str = "micro_f1", inner: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def crossfit(decisions: DataFrame, folds: int = 5, inner_folds: int = 3, shrinkage: float | list[float] = 8.0, seed: int = 20260811, objective_name: str = "micro_f1", inner: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(threshold by outer fold, counts by outer fold at its threshold), nested and without a loop over folds.
 
-    ``decisions`` has record_key, label, pattern, truth and fold; ``inner`` is that of ``inner_frames``.
+    ``decisions`` has record_key, label, pattern, truth and fold; ``inner`` is that of ``inner_frames``. With a list of
+    shrinkage values the whole protocol runs for each of them, and both tables have a column ``shrinkage``.
     """
+    several = isinstance(shrinkage, list)
+    each = ["shrinkage"] if several else []
+    values = shrinkage if several else [shrinkage]
     inner = dense(inner_frames(decisions, folds, inner_folds, seed, inner), {"outer_fold": folds, "fold": inner_folds})
-    scored = held_out_scores(inner, [shrinkage], by=["outer_fold"])
-    chosen = select_threshold(threshold_grid(scored, ["outer_fold"]), ["outer_fold"], objective(objective_name))
-    outer = held_out_scores(dense(cells(decisions, ["fold"]), {"fold": folds}), [shrinkage])
-    at = outer.join(F.broadcast(chosen.select(F.col("outer_fold").alias("fold"), "threshold")), "fold")
+    scored = held_out_scores(inner, values, by=["outer_fold"])
+    by = [*each, "outer_fold"]
+    chosen = select_threshold(objective_grid(scored, by, objective_name), by, F.col("value"))
+    outer = held_out_scores(dense(cells(decisions, ["fold"]), {"fold": folds}), values)
+    at = outer.join(F.broadcast(chosen.select(*each, F.col("outer_fold").alias("fold"), "threshold")), [*each, "fold"])  # a row a fold and value
     positive = F.col("score") >= F.col("threshold")
-    counts = at.groupBy("fold", "threshold").agg(
+    counts = at.groupBy(*each, "fold", "threshold").agg(
         F.sum(F.when(positive, F.col("p")).otherwise(0)).cast("long").alias("tp"),
         F.sum(F.when(positive, F.col("n") - F.col("p")).otherwise(0)).cast("long").alias("fp"),
         F.sum(F.when(~positive, F.col("p")).otherwise(0)).cast("long").alias("fn"),

@@ -84,3 +84,9 @@ def auc(scored: DataFrame, by: list[str]) -> DataFrame:
     g = ranked.groupBy(*by).agg(F.sum("twice").alias("twice"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
     area = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("twice") / (2.0 * F.col("pos") * F.col("neg")))
     return g.select(*by, F.round(area, 12).alias("auc"), F.col("pos").cast("long").alias("positives"), F.col("neg").cast("long").alias("negatives"))
+
+
+def discrimination(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Mean AUC over the groups that have both classes, how many those are, and how many there are: one row."""
+    areas = auc(scored, by)
+    return areas.agg(F.avg("auc").alias("mean_auc"), F.count("auc").alias("finite_labels"), F.count("*").alias("labels"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, scalar
@@ -29,11 +29,18 @@ def query(sql: str | None = None):
     return register
 
 
+def _registered() -> None:
+    """Other modules register their queries when they are imported."""
+    from . import run_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _registered()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_SQL)
 
 
@@ -91,6 +98,9 @@ isc AS (SELECT *, {score('8.0::DOUBLE')} AS score FROM itr),
 grid AS (SELECT outer_fold, k::DOUBLE / 20 AS threshold, sum(CASE WHEN score >= k::DOUBLE / 20 THEN p ELSE 0 END) AS tp, sum(CASE WHEN score >= k::DOUBLE / 20 THEN n - p ELSE 0 END) AS fp, sum(CASE WHEN score < k::DOUBLE / 20 THEN p ELSE 0 END) AS fn, sum(CASE WHEN score < k::DOUBLE / 20 THEN n - p ELSE 0 END) AS tn FROM isc, (SELECT unnest(range(1, 20)) AS k) GROUP BY 1, 2)"""
 
 
+INNER_CELLS = INNER[: INNER.index("isc AS")].rstrip().rstrip(",")
+
+
 def chosen(value: str) -> str:
     return f"""{INNER}, ranked AS (SELECT outer_fold, threshold, round({value}, 12) AS objective, row_number() OVER (PARTITION BY outer_fold ORDER BY round({value}, 12) DESC, threshold DESC) AS rn FROM grid),
 ch AS (SELECT outer_fold, threshold, objective FROM ranked WHERE rn = 1)"""
@@ -428,13 +438,25 @@ def crossfit_balanced(spark, sf_dir):
     return calibrate.crossfit(_folded(spark, sf_dir), seed=SEED, objective_name="balanced_accuracy")[1]
 
 
-@query(f"""WITH {FOLDS}, {DENSE_OUTER}, l AS (SELECT unnest([2.0, 4.0, 8.0, 16.0, 32.0])::DOUBLE AS shrinkage), g AS (SELECT shrinkage, sum(CASE WHEN {score('shrinkage')} >= 0.5::DOUBLE THEN p ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN {score('shrinkage')} >= 0.5::DOUBLE THEN n - p ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN {score('shrinkage')} < 0.5::DOUBLE THEN p ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN {score('shrinkage')} < 0.5::DOUBLE THEN n - p ELSE 0 END)::BIGINT AS tn FROM tr, l GROUP BY 1), v AS (SELECT *, {F1} AS f1 FROM g)
+@query(f"""WITH {INNER_CELLS}, lgrid AS (SELECT outer_fold, label, k::DOUBLE / 20 AS threshold, sum(CASE WHEN score >= k::DOUBLE / 20 THEN p ELSE 0 END) AS tp, sum(CASE WHEN score >= k::DOUBLE / 20 THEN n - p ELSE 0 END) AS fp, sum(CASE WHEN score < k::DOUBLE / 20 THEN p ELSE 0 END) AS fn FROM (SELECT *, {score('8.0::DOUBLE')} AS score FROM itr), (SELECT unnest(range(1, 20)) AS k) GROUP BY 1, 2, 3),
+mgrid AS (SELECT outer_fold, threshold, round(coalesce(round(avg(CASE WHEN tp + fn > 0 THEN {F1} END), 12), 0), 12) AS objective FROM lgrid GROUP BY 1, 2)
+SELECT outer_fold, threshold, objective FROM (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY objective DESC, threshold DESC) AS rn FROM mgrid) WHERE rn = 1""")
+def threshold_macro(spark, sf_dir):
+    return calibrate.crossfit(_folded(spark, sf_dir), seed=SEED, objective_name="macro_f1_supported")[0]
+
+
+@query(f"""WITH {INNER_CELLS}, lam AS (SELECT unnest([2.0, 4.0, 8.0, 16.0, 32.0])::DOUBLE AS shrinkage),
+lgrid AS (SELECT shrinkage, outer_fold, k::DOUBLE / 20 AS threshold, sum(CASE WHEN score >= k::DOUBLE / 20 THEN p ELSE 0 END) AS tp, sum(CASE WHEN score >= k::DOUBLE / 20 THEN n - p ELSE 0 END) AS fp, sum(CASE WHEN score < k::DOUBLE / 20 THEN p ELSE 0 END) AS fn FROM (SELECT itr.*, shrinkage, {score('shrinkage')} AS score FROM itr, lam), (SELECT unnest(range(1, 20)) AS k) GROUP BY 1, 2, 3),
+lch AS (SELECT shrinkage, outer_fold, threshold FROM (SELECT *, row_number() OVER (PARTITION BY shrinkage, outer_fold ORDER BY round({F1}, 12) DESC, threshold DESC) AS rn FROM lgrid) WHERE rn = 1),
+{DENSE_OUTER}, lsc AS (SELECT tr.*, lam.shrinkage, {score('lam.shrinkage')} AS score FROM tr, lam),
+g AS (SELECT l.shrinkage, sum(CASE WHEN score >= threshold THEN p ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN score >= threshold THEN n - p ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN score < threshold THEN p ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN score < threshold THEN n - p ELSE 0 END)::BIGINT AS tn FROM lsc l JOIN lch c ON c.shrinkage = l.shrinkage AND c.outer_fold = l.fold GROUP BY 1), v AS (SELECT *, {F1} AS f1 FROM g)
 SELECT *, f1 - (SELECT f1 FROM v WHERE shrinkage = 8) AS delta FROM v""")
 def shrinkage_sweep(spark, sf_dir):
-    grid = calibrate.threshold_grid(_scored(spark, sf_dir, (2.0, 4.0, 8.0, 16.0, 32.0)), ["shrinkage"], [0.5]).drop("threshold")
-    rows = metrics.with_metrics(grid, "f1")
-    base = rows.where("shrinkage = 8").select(F.col("f1").alias("base"))
-    return rows.crossJoin(F.broadcast(base)).select("shrinkage", "tp", "fp", "fn", "tn", "f1", (F.col("f1") - F.col("base")).alias("delta"))  # one row
+    """The whole nested protocol for each shrinkage: its own threshold in each outer fold."""
+    counts = calibrate.crossfit(_folded(spark, sf_dir), seed=SEED, shrinkage=[2.0, 4.0, 8.0, 16.0, 32.0])[1]
+    rows = metrics.with_metrics(counts.groupBy("shrinkage").agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "tn")]), "f1")
+    base = F.max(F.when(F.col("shrinkage") == 8, F.col("f1"))).over(Window.partitionBy(F.lit(0)))  # five rows
+    return rows.select("shrinkage", "tp", "fp", "fn", "tn", "f1", (F.col("f1") - base).alias("delta"))
 
 
 _BIN = "CASE " + " ".join(f"WHEN score >= {k}::DOUBLE / 10 THEN {k}" for k in range(9, 0, -1)) + " ELSE 0 END"

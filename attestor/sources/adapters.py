@@ -61,3 +61,38 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by language as datasets, with their toxicity label as truth (null where unlabelled)."""
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset"), F.col("doc_id").alias("record_key"), "text")
     return docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_key"), F.col("toxic").alias("truth")), "record_key", "left")
+
+
+def prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as prediction rows (``readers.PREDICTION`` with dataset and model): two assistant turns in order are
+    the attempts of a chunk, and numbers decide what they hold."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    ordered = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"]).alias("sizes"))
+    bodies = F.array(*[F.lit(b) for b in ('{"vulnerabilities": [{"category": "Reentrancy"}]}', '{"vulnerabilities": []}', '{"vulnerabilities": [{"category": "bad idea"}]}', "nothing")])
+
+    def attempt(n: Column) -> Column:
+        status = F.when(n % 2 == 0, "valid").when(n % 5 == 0, "valid_with_rejected_items").otherwise("parse_or_validation_error")
+        error = F.when(n % 7 == 0, "missing vulnerabilities").when(n % 11 == 0, "CUDA out of memory").when(n % 13 == 0, "category outside the taxonomy").when(n % 3 == 0, "Expecting value")
+        return F.struct(F.element_at(bodies, (n % 4 + 1).cast("int")).alias("raw_response"), status.alias("parse_status"), error.alias("error"), *[F.lit(None).cast("string").alias(c) for c in ("chat_protocol", "traceback")], F.lit(None).cast("array<string>").alias("validation_errors"))
+
+    def chunk(k: Column) -> Column:
+        statuses = F.array(*[F.lit(x) for x in ("valid", "valid_after_retry", "valid_after_structural_repair_v1", "valid_after_closed_choice_repair_v2", "failed")])
+        method = F.when((F.col("conv_id") + k) % 7 == 0, "progressive_closed_choice_reinference")
+        return F.struct(k.alias("chunk_index"), F.element_at(statuses, ((F.col("conv_id") + k) % 5 + 1).cast("int")).alias("parse_status"), F.transform(F.slice("sizes", k * 2 + 1, F.lit(2)), attempt).alias("attempts"), F.struct(method.alias("method")).alias("repair_details"))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("sizes") / 2).cast("int") - 1), chunk)
+    names = F.when(F.col("conv_id") % 3 == 1, F.array(F.lit("Reentrancy"))).when(F.col("conv_id") % 3 == 2, F.array(F.lit("arithmetic"), F.lit("Access Control"), F.lit("arithmetic"))).otherwise(F.array().cast("array<string>"))
+    actions = F.when(F.col("conv_id") % 5 != 0, F.create_map(F.lit("structural"), (F.col("conv_id") % 2).cast("int"), F.lit("inference"), (F.col("conv_id") % 4).cast("int"), F.lit("already_valid"), F.lit(1)))
+    return ordered.select(
+        F.concat(F.lit("set_"), (F.col("conv_id") % 2).cast("string")).alias("dataset"),
+        F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.col("conv_id") % 3 + 1).cast("int")).alias("model"),
+        F.col("conv_id").cast("int").alias("record_index"),
+        F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("record_id"),
+        F.col("conv_id").cast("string").alias("source_id"),
+        F.sha2(F.col("conv_id").cast("string"), 256).alias("source_sha256"),
+        F.lit(None).cast("int").alias("ground_truth_binary"),
+        F.when(F.col("conv_id") % 6 == 0, "partial").otherwise("ok").alias("status"),
+        F.transform(names, lambda c: F.struct(c.alias("category"), *[F.lit("").alias(x) for x in ("function", "severity", "description", "recommendation")])).alias("vulnerabilities"),
+        chunks.alias("chunks"),
+        F.struct(actions.alias("actions")).alias("repair_details"),
+    )

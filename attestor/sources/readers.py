@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,27 +24,59 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def json_lines(spark: SparkSession, path: str, schema: str = PREDICTION, strict: bool = True) -> DataFrame:
-    """JSON lines, blank ones skipped. Strict: an error names a bad line's file; else ``_corrupt`` holds it.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1) and value of text lines. Lines are counted by file split, so files need not be whole in a
+    task; the counts, one row a split, are broadcast."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_nr"))
+    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_nr").alias("_first"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "_block", "_first", earlier.alias("_earlier"))
+    return lines.join(F.broadcast(blocks), ["file", "_block"]).select("file", (F.col("_earlier") + F.col("_nr") - F.col("_first") + 1).alias("line_no"), "value")
+
 
-    A line is bad if it is no object or has text after one.
+def json_lines(spark: SparkSession, path: str, schema: str = PREDICTION, strict: bool = True) -> DataFrame:
+    """JSON lines with their file and line_no, blank ones skipped. Strict: a bad line is an error that names both; else
+    ``_corrupt`` holds it. A line is bad if it is no object or has text after one.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
     struct = T.StructType.fromDDL(schema).add("_corrupt_record", "string")
-    parsed = lines.select("value", "file", F.from_json("value", struct, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    parsed = lines.select("value", "file", "line_no", F.from_json("value", struct, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     bad = F.col("r._corrupt_record").isNotNull() | ~F.col("value").rlike(r"^\s*\{[\s\S]*\}\s*$")
     columns = [F.col(f"r.{c}").alias(c) for c in T.StructType.fromDDL(schema).fieldNames()]
     if strict:
-        checked = parsed.withColumn("r", F.when(bad, F.raise_error(F.concat(F.lit("bad JSON line in "), "file")).cast(struct)).otherwise(F.col("r")))
-        return checked.select(*columns, "file")
-    return parsed.select(*columns, "file", F.when(bad, F.col("value")).alias("_corrupt"))
+        place = F.concat(F.lit("bad JSON line at "), "file", F.lit(":"), F.col("line_no").cast("string"))
+        checked = parsed.withColumn("r", F.when(bad, F.raise_error(place).cast(struct)).otherwise(F.col("r")))
+        return checked.select(*columns, "file", "line_no")
+    return parsed.select(*columns, "file", "line_no", F.when(bad, F.col("value")).alias("_corrupt"))
 
 
 def tolerant_runs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(first row of each file and record index, counters of corrupt and duplicate rows by file)."""
     counters = lines.groupBy("file").agg(F.count_if(F.col("_corrupt").isNotNull()).alias("corrupt_rows"), (F.count_if(F.col("_corrupt").isNull()) - F.count_distinct(F.when(F.col("_corrupt").isNull(), F.col("record_index")))).alias("duplicate_rows"))
     good = lines.where("_corrupt is null").drop("_corrupt")
-    return good.dropDuplicates(["file", "record_index"]), counters
+    first = good.groupBy("file", "record_index").agg(F.min_by(F.struct(*good.columns), "line_no").alias("r"))
+    return first.select("r.*"), counters
+
+
+def completed_records(spark: SparkSession, path: str, schema: str = PREDICTION) -> DataFrame:
+    """The rows of a run that is to be resumed: strict JSON lines, each with an index that no other line has."""
+    from ..operators.validate import duplicate_keys, require_empty
+
+    rows = json_lines(spark, path, schema)
+    require_empty(rows.where("record_index is null").select("file", "line_no"), "lines without a record_index")
+    require_empty(duplicate_keys(rows, ["record_index"]), "record_index values twice")
+    return rows
+
+
+def run_files(spark: SparkSession, root: str, datasets: list[str], each: int = 3) -> DataFrame:
+    """The run files of the datasets (folders of the root), or an error if one does not have exactly ``each``."""
+    from ..operators.validate import require_empty
+
+    found = discover(spark, root).withColumn("dataset", F.regexp_extract("directory", r"([^/]+)$", 1)).where(F.col("dataset").isin(*datasets))
+    wanted = spark.createDataFrame([(d,) for d in datasets], "dataset string")
+    counts = wanted.join(found.groupBy("dataset").agg(F.count("*").alias("files")), "dataset", "left").select("dataset", F.coalesce("files", F.lit(0)).alias("files"))
+    require_empty(counts.where(F.col("files") != each), f"each dataset needs {each} run files")
+    return found
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -114,6 +146,24 @@ def import_folds(folds: DataFrame, records: DataFrame, n: int, keys: tuple[str,
     return folds.select(*keys, F.col("fold").cast("int").alias("fold"))
 
 
+def import_oof(scores: DataFrame, records: DataFrame, folds: DataFrame, labels: list[str]) -> DataFrame:
+    """An out-of-fold table made elsewhere, checked: every record and label once, nothing unknown, scores in [0, 1], and
+    the folds and truths that the records have."""
+    from ..operators.validate import duplicate_keys, key_set_difference, require_empty
+
+    keys = ["dataset", "record_key", "label"]
+    cells = records.select("dataset", "record_key", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"), *(["truth"] if "truth" in records.columns else []))
+    require_empty(duplicate_keys(scores, keys), "cells with several scores")
+    require_empty(key_set_difference(scores, cells, keys), "scored cells and records differ")
+    require_empty(scores.where(~F.coalesce(F.col("score").between(0, 1), F.lit(False))), "scores out of range")
+    other = scores.join(folds.select("dataset", "record_key", F.col("fold").alias("_fold")), ["dataset", "record_key"]).where(~F.col("fold").eqNullSafe(F.col("_fold")))
+    require_empty(other, "scores of another fold")
+    if "truth" in scores.columns and "truth" in cells.columns:
+        wrong = scores.join(cells.withColumnRenamed("truth", "_truth"), keys).where(F.col("truth") != F.array_contains("_truth", F.col("label")).cast("int"))
+        require_empty(wrong, "scores with another truth")
+    return scores.select(*keys, "fold", "score")
+
+
 def reference_rows(rows: DataFrame, system_types: list[str], keys: list[str], order: list[str]) -> DataFrame:
     """Published rows of the given kinds, the first of each key."""
     from ..operators.folds import dedupe_first
