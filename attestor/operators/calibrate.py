@@ -129,22 +129,29 @@ def dense(cell_counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return frame.select(*by, "label", "pattern", F.coalesce(hit["n"], F.lit(0)).alias("n"), F.coalesce(hit["p"], F.lit(0)).alias("p"))
 
 
-def crossfit(decisions: DataFrame, folds: int = 5, inner_folds: int = 3, shrinkage: float | list[float] = 8.0, seed: int = 20260811, objective_name: str = "micro_f1", inner: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(threshold by outer fold, counts by outer fold at its threshold), nested and without a loop over folds.
+def predicted_cells(decisions: DataFrame, folds: int = 5, inner_folds: int = 3, shrinkage: float | list[float] = 8.0, seed: int = 20260811, objective_name: str = "micro_f1", inner: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(threshold by outer fold, cells of the outer folds with score, threshold and prediction), nested and without a
+    loop over folds.
 
     ``decisions`` has record_key, label, pattern, truth and fold; ``inner`` is that of ``inner_frames``. With a list of
     shrinkage values the whole protocol runs for each of them, and both tables have a column ``shrinkage``.
     """
-    several = isinstance(shrinkage, list)
-    each = ["shrinkage"] if several else []
-    values = shrinkage if several else [shrinkage]
+    each = ["shrinkage"] if isinstance(shrinkage, list) else []
+    values = shrinkage if each else [shrinkage]
     inner = dense(inner_frames(decisions, folds, inner_folds, seed, inner), {"outer_fold": folds, "fold": inner_folds})
-    scored = held_out_scores(inner, values, by=["outer_fold"])
     by = [*each, "outer_fold"]
-    chosen = select_threshold(objective_grid(scored, by, objective_name), by, F.col("value"))
+    grid = objective_grid(held_out_scores(inner, values, by=["outer_fold"]), by, objective_name)
+    chosen = select_threshold(grid, by, F.col("value"))
     outer = held_out_scores(dense(cells(decisions, ["fold"]), {"fold": folds}), values)
     at = outer.join(F.broadcast(chosen.select(*each, F.col("outer_fold").alias("fold"), "threshold")), [*each, "fold"])  # a row a fold and value
-    positive = F.col("score") >= F.col("threshold")
+    return chosen, at.withColumn("predicted", (F.col("score") >= F.col("threshold")).cast("int"))
+
+
+def crossfit(decisions: DataFrame, folds: int = 5, inner_folds: int = 3, shrinkage: float | list[float] = 8.0, seed: int = 20260811, objective_name: str = "micro_f1", inner: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(threshold by outer fold, counts by outer fold at its threshold); the parameters are those of ``predicted_cells``."""
+    each = ["shrinkage"] if isinstance(shrinkage, list) else []
+    chosen, at = predicted_cells(decisions, folds, inner_folds, shrinkage, seed, objective_name, inner)
+    positive = F.col("predicted") == 1
     counts = at.groupBy(*each, "fold", "threshold").agg(
         F.sum(F.when(positive, F.col("p")).otherwise(0)).cast("long").alias("tp"),
         F.sum(F.when(positive, F.col("n") - F.col("p")).otherwise(0)).cast("long").alias("fp"),
@@ -152,3 +159,21 @@ def crossfit(decisions: DataFrame, folds: int = 5, inner_folds: int = 3, shrinka
         F.sum(F.when(~positive, F.col("n") - F.col("p")).otherwise(0)).cast("long").alias("tn"),
     )
     return chosen, counts
+
+
+def crossfit_predictions(decisions: DataFrame, name: str = "candidate", **parameters) -> DataFrame:
+    """``decisions`` with the cross-fitted prediction as a column. The cells are folds times labels times patterns, so
+    they are broadcast; records are neither shuffled nor scored one by one."""
+    _, at = predicted_cells(decisions, **parameters)
+    return decisions.join(F.broadcast(at.select("fold", "label", "pattern", F.col("predicted").alias(name))), ["fold", "label", "pattern"])
+
+
+def merge_scores(*tables: DataFrame, keys: tuple[str, ...] = ("record_key", "label")) -> DataFrame:
+    """The union of the scores of several folds; a cell that two of them score is an error."""
+    from .validate import duplicate_keys, require_empty
+
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    require_empty(duplicate_keys(out, list(keys)), "cells scored twice")
+    return out

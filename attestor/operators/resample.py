@@ -14,25 +14,43 @@ from pyspark.sql import functions as F
 from ..functions.scalar import hash32, safe_divide
 
 
-def contribution_histogram(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Records by joint contribution: tp, fp, fn of system a and of system b, with their number m."""
-    return pairs.groupBy(*by, "tp_a", "fp_a", "fn_a", "tp_b", "fp_b", "fn_b").agg(F.count("*").alias("m"))
+#: Counts that a metric is made of.
+COUNTS = {"micro_f1": ("tp", "fp", "fn"), "balanced_accuracy": ("tp", "fp", "fn", "tn"), "mcc": ("tp", "fp", "fn", "tn")}
 
 
-def _f1(c):
+def contribution_histogram(pairs: DataFrame, by: list[str], metric: str = "micro_f1") -> DataFrame:
+    """Records by joint contribution: the metric's counts of system a and of system b, with their number m."""
+    return pairs.groupBy(*by, *[f"{c}_{s}" for s in "ab" for c in COUNTS[metric]]).agg(F.count("*").alias("m"))
+
+
+def metric_of(metric: str):
+    """The metric as a function of arrays whose last axis holds its counts; 0 where it is not defined."""
     import numpy as np
 
-    below = 2 * c[..., 0] + c[..., 1] + c[..., 2]
-    return np.divide(2 * c[..., 0], below, out=np.zeros(below.shape), where=below > 0)
+    def ratio(a, b):
+        return np.divide(a, b, out=np.zeros(np.shape(b)), where=b > 0)
+
+    def value(c):
+        tp, fp, fn = c[..., 0], c[..., 1], c[..., 2]
+        if metric == "micro_f1":
+            return ratio(2 * tp, 2 * tp + fp + fn)
+        tn = c[..., 3]
+        if metric == "balanced_accuracy":
+            return (ratio(tp, tp + fn) + ratio(tn, tn + fp)) / 2
+        return ratio(tp * tn - fp * fn, np.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
+
+    return value
 
 
-def paired_tests(histogram: DataFrame, by: list[str], repetitions: int = 10_000, seed: int = 2026, batch: int = 256, slack: float = 0.0) -> DataFrame:
-    """Observed difference of micro F1, bootstrap interval, P(a > b) with half ties, and swap-permutation p.
+def paired_tests(histogram: DataFrame, by: list[str], repetitions: int = 10_000, seed: int = 2026, batch: int = 256, slack: float = 1e-15, metric: str = "micro_f1") -> DataFrame:
+    """Observed difference of the metric, bootstrap interval, P(a > b) with half ties, and swap-permutation p.
 
     Each comparison's histogram (distinct contributions only) is one pandas group; draws come in batches of bounded
-    memory from a seed that depends on the comparison alone.
+    memory from a seed that depends on the comparison alone. A permuted difference counts as extreme from the observed
+    one less ``slack`` on.
     """
     schema = ", ".join(f"{c} {t}" for c, t in histogram.select(*by).dtypes) + ", records long, observed_difference double, ci_low double, ci_high double, probability_a_greater double, permutation_p double"
+    columns = [[f"{c}_{s}" for c in COUNTS[metric]] for s in "ab"]
 
     def test(key, pdf):
         import hashlib
@@ -40,20 +58,21 @@ def paired_tests(histogram: DataFrame, by: list[str], repetitions: int = 10_000,
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values(["tp_a", "fp_a", "fn_a", "tp_b", "fp_b", "fn_b"])
-        a, b = pdf[["tp_a", "fp_a", "fn_a"]].to_numpy(float), pdf[["tp_b", "fp_b", "fn_b"]].to_numpy(float)
+        value = metric_of(metric)
+        pdf = pdf.sort_values([*columns[0], *columns[1]])
+        a, b = (pdf[c].to_numpy(float) for c in columns)
         m = pdf.m.to_numpy()
         n = int(m.sum())
         rng = np.random.default_rng((seed + int(hashlib.sha256("|".join(map(str, key)).encode()).hexdigest()[:8], 16)) % 2**32)
-        observed = float(_f1(m @ a) - _f1(m @ b))
+        observed = float(value(m @ a) - value(m @ b))
         draws, extreme = [], 0
         for start in range(0, repetitions, batch):
             size = min(batch, repetitions - start)
             w = rng.multinomial(n, m / n, size=size)
-            draws.append(_f1(w @ a) - _f1(w @ b))
+            draws.append(value(w @ a) - value(w @ b))
             swapped = rng.binomial(m, 0.5, size=(size, len(m)))
             moved = swapped @ (b - a)
-            d = _f1(m @ a + moved) - _f1(m @ b - moved)
+            d = value(m @ a + moved) - value(m @ b - moved)
             extreme += int((np.abs(d) >= abs(observed) - slack).sum())
         d = np.concatenate(draws)
         low, high = np.quantile(d, [0.025, 0.975])
@@ -62,6 +81,21 @@ def paired_tests(histogram: DataFrame, by: list[str], repetitions: int = 10_000,
     return histogram.groupBy(*by).applyInPandas(test, schema)
 
 
+def against_baselines(decisions: DataFrame, candidate: str, baselines: list[str], metric: str = "micro_f1", repetitions: int = 10_000, seed: int = 2026) -> DataFrame:
+    """Paired tests of a candidate's predictions against each baseline's; all are 0/1 columns beside record_key and truth.
+
+    Contributions of a record are sums over its labels; a record is one row whatever the number of systems.
+    """
+    t = F.col("truth") == 1
+    cases = {"tp": (t, 1), "fp": (~t, 1), "fn": (t, 0), "tn": (~t, 0)}
+    counts = COUNTS[metric]
+    sums = [F.sum((cases[c][0] & (F.col(s) == cases[c][1])).cast("int")).alias(f"{c}__{s}") for s in (candidate, *baselines) for c in counts]
+    records = decisions.groupBy("record_key").agg(*sums)
+    pairs = [F.struct(F.lit(b).alias("baseline"), *[F.col(f"{c}__{s}").alias(f"{c}_{x}") for s, x in ((candidate, "a"), (b, "b")) for c in counts]) for b in baselines]
+    long = records.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+    return paired_tests(contribution_histogram(long, ["baseline"], metric), ["baseline"], repetitions, seed, metric=metric)
+
+
 def hashed_bootstrap(records: DataFrame, by: list[str], repetitions: int, seed: int) -> DataFrame:
     """Bootstrap intervals of micro F1 from Poisson(1) record weights that are hashes, for engines to agree on.
 

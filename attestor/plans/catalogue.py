@@ -550,6 +550,26 @@ def paired_bootstrap(spark, sf_dir):
     return resample.holm(tests.withColumn("family", F.lit("micro_f1")), ["family"], "permutation_p", "model_a")
 
 
+def _systems(decisions: DataFrame) -> DataFrame:
+    votes = F.col("v1") + F.col("v2") + F.col("v3")
+    return decisions.select("*", *[F.col(v).alias(m) for v, m in zip(VOTES, MODELS, strict=True)], *[(votes >= k).cast("int").alias(name) for k, name in ((1, "or"), (2, "majority"), (3, "and"))])
+
+
+@query()
+def crossfit_against_baselines(spark, sf_dir):
+    """Cross-fitted predictions against the three models and the three ensembles, 10,000 draws each."""
+    decisions = calibrate.crossfit_predictions(_folded(spark, sf_dir), seed=SEED)
+    return resample.against_baselines(_systems(decisions), "candidate", [*MODELS, "or", "majority", "and"])
+
+
+@query()
+def paired_binary(spark, sf_dir):
+    """Models on the binary decisions of order lines: balanced accuracy and Matthews correlation, corrected by metric."""
+    decisions = _systems(adapters.lineitem_binary(spark, sf_dir))
+    tests = [resample.against_baselines(decisions, MODELS[0], [*MODELS[1:], "majority"], metric).withColumn("metric", F.lit(metric)) for metric in ("balanced_accuracy", "mcc")]
+    return resample.holm(tests[0].unionByName(tests[1]), ["metric"], "permutation_p", "baseline")
+
+
 def _first_model(spark, sf_dir) -> DataFrame:
     t = F.col("truth")
     return adapters.orders_multilabel(spark, sf_dir).groupBy("record_key").agg(F.sum(t * F.col("v1")).alias("tp"), F.sum((1 - t) * F.col("v1")).alias("fp"), F.sum(t * (1 - F.col("v1"))).alias("fn"))
