@@ -170,3 +170,61 @@ def merge_shards(shards: list[DataFrame], entries: DataFrame, n: int) -> DataFra
 def first_of_each(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row by window, where all columns with their nulls are wanted."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def run_paths(root: str, model: str, revision: str, dataset: str) -> tuple[str, str]:
+    """Data and metadata path of a run: a folder for each dataset, the pinned model in the name."""
+    stem = f"{root.rstrip('/')}/{dataset}/results_{re.sub('[^A-Za-z0-9._-]+', '_', model)}_{revision[:12]}_{dataset}"
+    return f"{stem}.jsonl", f"{stem}.metadata.json"
+
+
+def shard_paths(root: str, name: str, shard: int, shards: int) -> tuple[str, str]:
+    """Data and manifest path of a shard."""
+    if not 0 <= shard < shards:
+        raise ValueError(f"no shard {shard} of {shards}")
+    stem = f"{root.rstrip('/')}/shards/{name}_shard_{shard:02d}_of_{shards:02d}"
+    return f"{stem}.jsonl", f"{stem}.manifest.json"
+
+
+def portable_path(path: str, root: str) -> str:
+    """The path below the root with forward slashes, or its last part if it lies elsewhere."""
+    path, root = (p.replace("\\", "/").rstrip("/") for p in (path, root))
+    return path[len(root) + 1 :] if path.startswith(root + "/") else path.rsplit("/", 1)[-1]
+
+
+def near_misses(runs: DataFrame, model: str, revision: str, dataset: str, expected: int) -> DataFrame:
+    """Runs of the model, revision and dataset that have another number of records, for the message of a failed search."""
+    same = (F.col("model") == model) & (F.col("model_revision") == revision) & (F.col("dataset") == dataset)
+    return runs.where(same & (F.col("record_count") != expected)).select("path", "record_count", "records_sha256").orderBy("path")
+
+
+def require_parent(runs: DataFrame, model: str, revision: str, dataset: str, expected: int):
+    """The parent run as a row. None at all, or several with different manifests, is an error that describes them."""
+    found = find_parent(runs, model, revision, dataset, expected).first()
+    if found is None or found["path"] is None:
+        close = [r.asDict() for r in near_misses(runs, model, revision, dataset, expected).limit(20).collect()]
+        raise ValueError(f"no run of {model}@{revision} on {dataset} with {expected} records; of another size: {close}")
+    if found["versions"] > 1:
+        raise ValueError(f"runs of {model}@{revision} on {dataset} have {found['versions']} different manifests")
+    return found
+
+
+def matching_records(entries: DataFrame, digest: str, count: int) -> DataFrame:
+    """The input that a run was made from: all entries of the corpus, else its first ``count``, whichever has the run's
+    digest; an error if neither has."""
+    for records in (entries, entries.where(F.col("record_index") < count)):
+        if manifest_digest(records).first().records_sha256 == digest:
+            return records
+    raise ValueError("the corpus does not match the run's manifest")
+
+
+def completion_stamp(metadata: dict, rows: DataFrame, expected: int, at: str) -> dict:
+    """The metadata with what has been completed: time, records written and expected, and statuses."""
+    statuses = {str(r["status"]): r["n"] for r in rows.groupBy("status").agg(F.count("*").alias("n")).orderBy("status").collect()}
+    return {**metadata, "completion": {"completed_at_utc": at, "completed_records": sum(statuses.values()), "expected_records": expected, "status_counts": statuses}}
+
+
+def compact_runs(details: DataFrame, predicted: DataFrame) -> DataFrame:
+    """What analyses need of each record: key, truth, final and first-attempt predictions, exposure and actions."""
+    kept = details.select("record_key", "record_index", F.col("first_attempt_categories").alias("first_attempt_predicted"), "any_recovery_exposure", "first_attempt_native_valid", "format_retry_chunks", "actions", "final_record_status")
+    return predicted.select("record_key", "truth", "predicted").join(kept, "record_key")
