@@ -20,6 +20,10 @@ TABLE_BITS = 11
 LANES = 1024
 #: Pixels that are encoded at once, and the most that a picture may have.
 PIXELS, MOST = 1 << 19, 1 << 12
+#: The alpha code of opaque pictures: the one symbol 255.
+OPAQUE_CODE = 0b11111111101
+#: Share of pixels that a transform must make plain for its bits to be worked out.
+SHARE = 0.25
 CACHE_BITS = 8
 #: Pictures of up to so many colours get a palette.
 PALETTE_COLOURS = 16
@@ -29,6 +33,8 @@ TRANSFORMS = ({}, {"subtract_green": True}, {"cross": (32, 0, 0)}, {"predictor":
 #: Bits that a transform or a cache must save.
 GAIN = 100
 
+_RGBA = [2, 1, 0, 3]  # where the bytes of an ARGB integer are
+
 _U = np.uint64
 _GREEN = 256 + LENGTH_CODES
 
@@ -151,8 +157,14 @@ def _chosen(t: _Tiles, width: int) -> list[dict]:
     up[at < width] = left[at < width]
     left[starts] = up[starts] = 0
     red, green, blue = t.rgb.T
-    r, g, b, r_g, b_g, b_r = (_bits(x & 255, t.which, tiles, 256) for x in (red, green, blue, red - green, blue - green, blue - red))
-    bits = np.stack([r + g + b, r_g + g + b_g, r + g + b_r + GAIN, *(_likely(t.rgb - x & 255, t.which, tiles) + GAIN for x in (left, up))])
+    # A transform can only pay where it makes many samples equal: only such tiles are looked at closely.
+    plain = [np.bincount(t.which, weights=x, minlength=tiles) for x in (red == green, blue == green, red == blue, t.colour == left[:, 0] << 16 | left[:, 1] << 8 | left[:, 2], t.colour == up[:, 0] << 16 | up[:, 1] << 8 | up[:, 2])]
+    maybe = np.max(plain, 0) >= SHARE * t.sizes
+    some = np.flatnonzero(maybe[t.which])
+    which = t.which[some]
+    red, green, blue, left, up = (x[some] for x in (red, green, blue, left, up))
+    r, g, b, r_g, b_g, b_r = (_bits(x & 255, which, tiles, 256) for x in (red, green, blue, red - green, blue - green, blue - red))
+    bits = np.stack([r + g + b, r_g + g + b_g, r + g + b_r + GAIN, *(_likely(np.stack([red, green, blue], 1) - x & 255, which, tiles) + GAIN for x in (left, up))])
     best = np.where(bits.min(0) + GAIN < bits[0], bits.argmin(0), 0)
     return [{"palette": True} if k <= PALETTE_COLOURS else TRANSFORMS[b] for k, b in zip(kinds.tolist(), best.tolist(), strict=True)]
 
@@ -230,17 +242,18 @@ def _encode(images: list[bytes], width: int) -> list[bytes]:
     # The alphabet that is written: without a cache, its symbols are no part of it.
     sizes = np.where(cached, alphabet, _GREEN), np.full(tiles, 256), np.full(tiles, DISTANCE_CODES)
     tables, texts = zip(*(_codes(h, n) for h, n in zip(histograms, sizes, strict=True)), strict=True)
-    alpha = np.arange(tiles), np.full(tiles, 11 << 16 | 0b11111111101)  # the one symbol 255
+    alpha = np.arange(tiles), np.full(tiles, 11 << 16 | OPAQUE_CODE)
 
     # The fields of a token: its green code, then red and blue, or the copy's extra bits and distance.
-    fields = np.zeros((len(token), 4), np.int64)
+    fields = np.zeros((len(token), 4), np.int32)
     fields[:, 0] = tables[0][which, green]
     fields[literal, 1], fields[literal, 2] = tables[1][which[literal], red[literal]], tables[1][which[literal], blue[literal]]
     fields[copied, 1], fields[copied, 2], fields[copied, 3] = size_bits << 16 | size_extra, tables[2][which[copied], dist_code], dist_bits << 16 | dist_extra
     owner, fields = (np.concatenate(x) for x in zip(texts[0], texts[1], texts[1], alpha, texts[2], (np.repeat(which, 4), fields.ravel()), strict=True))
-    order = np.argsort(owner.astype(np.uint16), kind="stable")
-    order = order[fields[order] >= 1 << 16]
-    owner, fields = owner[order], fields[order]
+    used = np.flatnonzero(fields >= 1 << 16)
+    owner = owner[used].astype(np.uint16)
+    order = np.argsort(owner, kind="stable")
+    owner, fields = owner[order], fields[used[order]].astype(np.int64)
     n = fields >> 16
     bits_each = np.bincount(owner, weights=n, minlength=tiles).astype(np.int64)
     head_bits = np.array([w.n for w in heads])
@@ -395,6 +408,9 @@ class _Lane:
                 r.pos += known[0]
                 self.tables.append(self.tables[1])
                 continue
+            if c == 3 and r.peek_at(start, 11) == OPAQUE_CODE:
+                r.pos += 11
+                continue
             lengths = read_lengths(r, alphabet)
             if c == 1:
                 n = r.pos - start
@@ -426,8 +442,8 @@ def decode_tiles(streams: list[bytes]) -> list[np.ndarray]:
         lanes.sort(key=lambda x: -x[0].pixels)
         colours = _in_step([x for x, _ in lanes], [streams[k] for _, k in lanes]) if lanes else []
         for (lane, k), found in zip(lanes, colours, strict=True):
-            rgba = np.stack([found >> 16 & 255, found >> 8 & 255, found & 255, found >> 24], -1).astype(np.uint8).reshape(lane.height, lane.coded, 4)
-            out[k] = np.ascontiguousarray(invert(rgba, lane.transforms)[..., :3])
+            rgba = found.astype("<u4").view(np.uint8).reshape(lane.height, lane.coded, 4)[..., _RGBA]
+            out[k] = np.ascontiguousarray((invert(rgba, lane.transforms) if lane.transforms else rgba)[..., :3])
     return out
 
 
