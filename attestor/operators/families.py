@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def family_table(records: DataFrame, family: Column) -> DataFrame:
     """Records of each dataset and family, and how many different truths they have (unlabelled ones aside)."""
-    return records.groupBy("dataset", family.alias("family")).agg(F.count("*").alias("records"), F.count_distinct("truth").alias("truths"))
+    return records.groupBy("dataset", family.alias("family")).agg(F.count("*").alias("records"), F.size(F.collect_set("truth")).cast("long").alias("truths"))
 
 
 def family_audit(table: DataFrame) -> DataFrame:
@@ -26,10 +26,9 @@ def family_audit(table: DataFrame) -> DataFrame:
 def cross_overlap(table: DataFrame) -> DataFrame:
     """Families and records that two datasets share, each pair of datasets once.
 
-    A family meets itself once for each dataset pair: families are unique by dataset, so no group is squared.
+    A family has a row a dataset in ``table``, so what is gathered for it, and its pairs, follow the number of datasets.
     """
-    a, b = table.alias("a"), table.alias("b")
-    joined = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.dataset") < F.col("b.dataset")))
-    return joined.groupBy(F.col("a.dataset").alias("dataset_a"), F.col("b.dataset").alias("dataset_b")).agg(
-        F.count("*").alias("shared_families"), F.sum("a.records").cast("long").alias("records_a"), F.sum("b.records").cast("long").alias("records_b")
-    )
+    held = table.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("dataset", "records"))).alias("d")).where(F.size("d") > 1)
+    pairs = F.flatten(F.transform("d", lambda a, k: F.transform(F.slice("d", k + 2, F.size("d")), lambda b: F.struct(a["dataset"].alias("dataset_a"), b["dataset"].alias("dataset_b"), a["records"].alias("a"), b["records"].alias("b")))))
+    each = held.select(F.explode(pairs).alias("p")).select("p.*")
+    return each.groupBy("dataset_a", "dataset_b").agg(F.count("*").alias("shared_families"), F.sum("a").cast("long").alias("records_a"), F.sum("b").cast("long").alias("records_b"))

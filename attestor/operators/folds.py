@@ -75,31 +75,61 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def grouped_folds(groups: DataFrame, folds: int, seed: int) -> DataFrame:
-    """family -> fold, each family whole in one fold: largest first, to the fold with the least of its strata.
+    """family -> fold, each family whole in one fold and each stratum level over the folds.
 
-    ``groups`` has a row for each dataset, family and stratum with its count ``n`` — a summary, not the records. The
-    greedy deal is sequential, so each dataset's summary is one pandas group.
+    ``groups`` has a row for each dataset, family and stratum with its count ``n`` — a summary, not the records. Families
+    of several records are dealt one after the other, largest first, to the fold that holds least of their strata: that
+    is sequential, in one pandas group a dataset. Families of one record, the bulk, only fill what is then uneven: how
+    many of a stratum each fold is due follows from its counts, and they are dealt by their place in hash order.
     """
     import pandas as pd
 
+    whole = groups.groupBy("dataset", "family").agg(F.sum("n").alias("size"), F.min("stratum").alias("stratum"), F.collect_list(F.struct("stratum", "n")).alias("strata"))
+    singles = whole.where("size = 1").groupBy("dataset", "stratum").agg(F.count("*").alias("singles"))
+    several = whole.where("size > 1").select("dataset", "family", "size", "strata", F.lit(None).cast("string").alias("stratum"), F.lit(None).cast("long").alias("singles"))
+    due = singles.select("dataset", F.lit(None).cast("string").alias("family"), F.lit(None).cast("long").alias("size"), F.lit(None).cast(several.schema["strata"].dataType).alias("strata"), "stratum", "singles")
+
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         import hashlib
 
-        sizes = pdf.groupby("family").n.sum()
-        strata = {f: list(zip(g.stratum, g.n, strict=True)) for f, g in pdf.groupby("family")}
-        order = sorted(sizes.index, key=lambda f: (-sizes[f], hashlib.sha256(f"{seed}|{f}".encode()).hexdigest()))
         held = [dict() for _ in range(folds)]
         total = [0] * folds
         out = []
-        for f in order:
-            k = min(range(folds), key=lambda j: (sum(held[j].get(s, 0) * n for s, n in strata[f]), total[j], j))
-            for s, n in strata[f]:
-                held[k][s] = held[k].get(s, 0) + n
-            total[k] += int(sizes[f])
-            out.append((pdf.dataset.iloc[0], f, k))
-        return pd.DataFrame(out, columns=["dataset", "family", "fold"])
-
-    return groups.groupBy("dataset").applyInPandas(deal, "dataset string, family string, fold int")
+        name = pdf.dataset.iloc[0]
+        groups = pdf[pdf["size"].notna()]
+        rows = sorted(zip(groups.family, groups["size"], groups.strata), key=lambda r: (-r[1], hashlib.sha256(f"{seed}|{r[0]}".encode()).hexdigest()))
+        for family, size, strata in rows:
+            k = min(range(folds), key=lambda j: (sum(held[j].get(x["stratum"], 0) * x["n"] for x in strata), total[j], j))
+            for x in strata:
+                held[k][x["stratum"]] = held[k].get(x["stratum"], 0) + x["n"]
+            total[k] += int(size)
+            out.append((name, family, None, k, None, None))
+        for stratum, n in sorted(zip(pdf.stratum[pdf["size"].isna()], pdf.singles[pdf["size"].isna()])):
+            counts = [held[k].get(stratum, 0) for k in range(folds)]
+            level = sorted(range(folds), key=lambda k: (counts[k], total[k], k))
+            left, quota = int(n), [0] * folds
+            for filled in range(1, folds + 1):  # the lowest folds rise to the next one's count, then all alike
+                room = filled * (counts[level[filled]] - counts[level[filled - 1]]) if filled < folds else left
+                step = min(left, room)
+                for place, k in enumerate(level[:filled]):
+                    quota[k] += step // filled + (place < step % filled)
+                left -= step
+                if not left:
+                    break
+            start = 0
+            for k in range(folds):
+                out.append((name, None, stratum, k, start, start + quota[k]))
+                start += quota[k]
+                total[k] += quota[k]
+        return pd.DataFrame(out, columns=["dataset", "family", "stratum", "fold", "lo", "hi"])
+
+    kinds = dict(groups.dtypes)
+    dealt = several.unionByName(due).groupBy("dataset").applyInPandas(deal, f"dataset string, family {kinds['family']}, stratum {kinds['stratum']}, fold int, lo long, hi long")
+    ranked = hashed_rank(whole.where("size = 1").select("dataset", "family", "stratum"), ["dataset", "stratum"], F.concat_ws("|", F.lit(str(seed)), "family"))
+    # Quotas are a row for each dataset, stratum and fold: a bounded table.
+    quotas = F.broadcast(dealt.where("family is null and hi > lo").select(F.col("dataset").alias("_d"), F.col("stratum").alias("_s"), "fold", "lo", "hi"))
+    alone = ranked.join(quotas, (F.col("dataset") == F.col("_d")) & F.col("stratum").eqNullSafe(F.col("_s")) & (F.col("rank") > F.col("lo")) & (F.col("rank") <= F.col("hi")))
+    return dealt.where("family is not null").select("dataset", "family", "fold").unionByName(alone.select("dataset", "family", "fold"))
 
 
 def inner_grouped_folds(groups: DataFrame, dealt: DataFrame, folds: int, inner_folds: int, seed: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import parse, scalar
 from ..operators import audit, calibrate, families, folds, metrics, predictors, resample, selective, stacking, validate
 from ..sources import adapters
-from ..sources.adapters import FLAGS, MODELS, NOISE, table
+from ..sources.adapters import FLAGS, MODELS, table
 
 FLAGSHIP = "system_summary"
 SEED = 20260811
@@ -55,8 +55,12 @@ def ratio(a: str, b: str) -> str:
     return f"CASE WHEN ({b}) = 0 THEN 0.0::DOUBLE ELSE ({a})::DOUBLE / ({b}) END"
 
 
+#: How often a vote is flipped, of 2**32: a tenth, a bit over a third and a quarter.
+_FLIPS = {"qwen": 429496729, "codellama": 1503238553, "mistral": 1073741824}
+
+
 def _votes_sql(key: str) -> str:
-    return ", ".join(f"(CASE WHEN {h(f'concat_ws($${chr(124)}$$, $${m}$$, {key}, label)')} < {NOISE[m]} THEN 1 - truth ELSE truth END)::INTEGER AS v{k + 1}" for k, m in enumerate(MODELS))
+    return ", ".join(f"(CASE WHEN {h(f'concat_ws($${chr(124)}$$, $${m}$$, {key}, label)')} < {_FLIPS[m]} THEN 1 - truth ELSE truth END)::INTEGER AS v{k + 1}" for k, m in enumerate(MODELS))
 
 
 DEC = f"""flags AS (SELECT l_orderkey AS k, {", ".join(f"max(CASE WHEN l_returnflag = '{f}' THEN 1 ELSE 0 END) AS f_{f}" for f in FLAGS)} FROM lineitem GROUP BY 1),
@@ -123,13 +127,14 @@ def _phrases(spark, sf_dir):
     return events.select("event_id", F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("event_id") % len(_PHRASES) + 1).cast("int")).alias("category"))
 
 
-def _canonical_sql(ruleset: str) -> str:
-    text = "trim(regexp_replace(lower(category), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
-    cases = []
-    for name, exact, phrases in scalar.RULESETS[ruleset]:
-        tests = [f"t = '{e}'" for e in exact] + [f"contains(t, '{p}')" for p in phrases]
-        cases.append(f"WHEN {' OR '.join(tests)} THEN '{name}'")
-    return f"SELECT event_id, category, CASE {' '.join(cases)} END AS canonical FROM (SELECT *, {text} AS t FROM (SELECT event_id, {_PHRASES_SQL} AS category FROM events))"
+# What each of the phrases above must become, in their order.
+_CANONICAL_A = ("reentrancy", None, "arithmetic", "tx_origin", "denial_of_service", None, None, None, None, "arithmetic", None, "other", "transaction_ordering", "unchecked_low_level_calls", "short_addresses", "bad_randomness", "locked_ether")
+_CANONICAL_B = ("reentrancy", None, "arithmetic", "tx_origin", "denial_of_service", None, "time_manipulation", "transaction_ordering", "access_control", "arithmetic", None, "other", "transaction_ordering", "unchecked_low_level_calls", "short_addresses", "bad_randomness", "locked_ether")
+
+
+def _canonical_sql(names: tuple) -> str:
+    listed = ", ".join("NULL" if n is None else f"'{n}'" for n in names)
+    return f"SELECT event_id, {_PHRASES_SQL} AS category, [{listed}][(event_id % {len(names)})::INTEGER + 1] AS canonical FROM events"
 
 
 @query(f"SELECT c_custkey, {ratio('c_acctbal', 'c_nationkey')} AS ratio FROM customer")
@@ -142,12 +147,12 @@ def code_digest(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scalar.code_digest(F.col("text")).alias("digest"))
 
 
-@query(_canonical_sql("A"))
+@query(_canonical_sql(_CANONICAL_A))
 def canonical_category_a(spark, sf_dir):
     return _phrases(spark, sf_dir).withColumn("canonical", scalar.canonical_category(F.col("category"), "A"))
 
 
-@query(_canonical_sql("B"))
+@query(_canonical_sql(_CANONICAL_B))
 def canonical_category_b(spark, sf_dir):
     return _phrases(spark, sf_dir).withColumn("canonical", scalar.canonical_category(F.col("category"), "B"))
 
@@ -184,9 +189,9 @@ def stable_seed(spark, sf_dir):
 
 _EXACT_SQL = r"sha256(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^[\s\v]+|[\s\v]+$', '', 'g'), '[ \t\v\f\r]+\n', chr(10), 'g'))"
 _LEXICAL_SQL = "replace(text, chr(13) || chr(10), chr(10))"
-for _p, _by in scalar.LEXICAL_STEPS:
+for _p, _by in ((r"(?s)/\*.*?\*/", " "), (r"//[^\n]*", " "), (r'"(\\.|[^"\\])*"', " <string> "), (r"'(\\.|[^'\\])*'", " <string> "), (r"\b0x[0-9a-fA-F]+\b", " <hex> "), (r"\b[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\b", " <number> ")):
     _LEXICAL_SQL = f"regexp_replace({_LEXICAL_SQL}, $${_p}$$, '{_by}', 'g')"
-_LEXICAL_SQL = f"sha256(array_to_string(regexp_extract_all(lower({_LEXICAL_SQL}), $${scalar.LEXICAL_TOKENS}$$), ' '))".replace("[A-Za-z_$][A-Za-z0-9_$]*", r"[A-Za-z_\x24][A-Za-z0-9_\x24]*")
+_LEXICAL_SQL = f"sha256(array_to_string(regexp_extract_all(lower({_LEXICAL_SQL}), $${r'[A-Za-z_\x24][A-Za-z0-9_\x24]*|==|!=|<=|>=|=>|&&|\|\||\+\+|--|\S'}$$), ' '))"
 
 
 @query(f"SELECT doc_id, {_EXACT_SQL} AS family FROM documents")
@@ -204,14 +209,13 @@ def agreement_pattern(spark, sf_dir):
     return adapters.orders_multilabel(spark, sf_dir).groupBy("label", "pattern").agg(F.count("*").alias("decisions"), F.sum("truth").cast("long").alias("positives"))
 
 
-def _records(decisions: DataFrame) -> DataFrame:
-    labels = F.collect_set(F.when(F.col("truth") == 1, F.col("label")))
-    return decisions.groupBy("record_key").agg(scalar.record_stratum(labels).alias("stratum"))
+def _records(spark, sf_dir) -> DataFrame:
+    return adapters.orders_records(spark, sf_dir).withColumn("stratum", scalar.record_stratum(F.col("labels")))
 
 
 @query(f"WITH {FOLDS} SELECT stratum, count(*) AS records FROM rec GROUP BY 1")
 def stratum(spark, sf_dir):
-    return _records(adapters.orders_multilabel(spark, sf_dir)).groupBy("stratum").agg(F.count("*").alias("records"))
+    return _records(spark, sf_dir).groupBy("stratum").agg(F.count("*").alias("records"))
 
 
 @query("""SELECT event_id, CASE WHEN d > 0 THEN d || 'd ' || lpad(hh::VARCHAR, 2, '0') || 'h ' || lpad(mm::VARCHAR, 2, '0') || 'm' WHEN hh > 0 THEN hh || 'h ' || lpad(mm::VARCHAR, 2, '0') || 'm ' || lpad(ss::VARCHAR, 2, '0') || 's' WHEN mm > 0 THEN mm || 'm ' || lpad(ss::VARCHAR, 2, '0') || 's' ELSE ss || 's' END AS duration
@@ -400,13 +404,13 @@ def sensitivity_ranking(spark, sf_dir):
 
 
 def _folded(spark, sf_dir) -> DataFrame:
-    decisions = adapters.orders_multilabel(spark, sf_dir)
-    return decisions.join(folds.stratified_folds(_records(decisions), 5, SEED), "record_key")
+    """Records are dealt to folds first; their decisions follow in the same task."""
+    return adapters.decisions_of(folds.stratified_folds(_records(spark, sf_dir), 5, SEED), ["stratum", "fold"])
 
 
 @query(f"WITH {FOLDS} SELECT record_key, stratum, fold FROM fo")
 def fold_assignment(spark, sf_dir):
-    return folds.stratified_folds(_records(adapters.orders_multilabel(spark, sf_dir)), 5, SEED).select("record_key", "stratum", "fold")
+    return folds.stratified_folds(_records(spark, sf_dir), 5, SEED).select("record_key", "stratum", "fold")
 
 
 @query(f"WITH {DEC}, c AS (SELECT label, pattern, count(*) AS n, sum(truth)::BIGINT AS p FROM dec GROUP BY 1, 2) SELECT *, (sum(p) OVER (PARTITION BY label) + 1)::DOUBLE / (sum(n) OVER (PARTITION BY label) + 2)::DOUBLE AS prior FROM c")
@@ -575,7 +579,7 @@ def _first_model(spark, sf_dir) -> DataFrame:
     return adapters.orders_multilabel(spark, sf_dir).groupBy("record_key").agg(F.sum(t * F.col("v1")).alias("tp"), F.sum((1 - t) * F.col("v1")).alias("fp"), F.sum(t * (1 - F.col("v1"))).alias("fn"))
 
 
-_STEPS = resample.poisson_steps()
+_STEPS = (1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276)  # the Poisson distribution of mean 1 in 2**32nds
 _POISSON = " + ".join(f"(CASE WHEN hv >= {s} THEN 1 ELSE 0 END)" for s in _STEPS)
 
 

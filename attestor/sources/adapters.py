@@ -25,21 +25,30 @@ def noisy_vote(model: str, key: Column, label: Column, truth: Column) -> Column:
     return F.when(flip, 1 - truth).otherwise(truth).cast("int")
 
 
-def with_votes(decisions: DataFrame) -> DataFrame:
-    """dataset, record_key, label, truth, v1..v3 and the agreement pattern."""
+def with_votes(decisions: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """dataset, record_key, label, truth, v1..v3 and the agreement pattern, and the columns ``keep``."""
     votes = [noisy_vote(m, F.col("record_key"), F.col("label"), F.col("truth")).alias(f"v{k + 1}") for k, m in enumerate(MODELS)]
-    out = decisions.select("dataset", "record_key", "label", "truth", *votes)
+    out = decisions.select("dataset", "record_key", "label", "truth", *votes, *keep)
     return out.withColumn("pattern", agreement_pattern(F.col("v1"), F.col("v2"), F.col("v3")))
 
 
-def orders_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as records, the return flags of their lines as labels."""
+def orders_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records: record_key and labels, the return flags of their lines."""
     flags = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record_key")).agg(*[F.max((F.col("l_returnflag") == f).cast("int")).alias(f) for f in FLAGS])
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_key"))
-    wide = keys.join(flags, "record_key", "left")
-    per_label = F.explode(F.array(*[F.struct(F.lit(f).alias("label"), F.coalesce(F.col(f), F.lit(0)).alias("truth")) for f in FLAGS]))
-    long = wide.select(F.lit("orders").alias("dataset"), "record_key", per_label.alias("d")).select("dataset", "record_key", "d.label", "d.truth")
-    return with_votes(long)
+    return keys.join(flags, "record_key", "left").select("record_key", F.array_compact(F.array(*[F.when(F.col(f) == 1, F.lit(f)) for f in FLAGS])).alias("labels"))
+
+
+def decisions_of(records: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """The decisions of records of ``orders_records``: one row a label; nothing is shuffled."""
+    each = F.explode(F.array(*[F.lit(f) for f in FLAGS])).alias("label")
+    long = records.select(F.lit("orders").alias("dataset"), "record_key", "labels", *keep, each)
+    return with_votes(long.withColumn("truth", F.array_contains("labels", F.col("label")).cast("int")), keep)
+
+
+def orders_multilabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records, the return flags of their lines as labels."""
+    return decisions_of(orders_records(spark, sf_dir))
 
 
 def lineitem_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,18 @@ def test_folds_partition_and_balance(spark):
         assert len(n) == 5 and max(n) - min(n) <= 1
 
 
+def test_single_records_level_the_strata(spark):
+    """Families of one record fill what the large ones leave uneven, without a task that holds them all."""
+    rows = [("d", "big", "x", 40), ("d", "mixed", "x", 2), ("d", "mixed", "y", 3)] + [("d", f"s{k}", "xy"[k % 2], 1) for k in range(400)] + [("e", f"t{k}", "z", 1) for k in range(7)]
+    found = folds.grouped_folds(spark.createDataFrame(rows, "dataset string, family string, stratum string, n long"), 5, 3)
+    held = {(r.dataset, r.family): r.fold for r in found.collect()}
+    assert len(held) == found.count() == 409
+    sizes = {}
+    for d, f, s, n in rows:
+        sizes.setdefault((d, s), [0] * 5)[held[d, f]] += n
+    assert all(max(v) - min(v) <= 1 for v in sizes.values()), sizes
+
+
 def test_targets():
     assert folds.balanced_targets(10, 10, 5) == {1: 3, 0: 2}
     assert folds.balanced_targets(2, 1, 5, secure=1) == {1: 2, 0: 1}
