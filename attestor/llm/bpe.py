@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import map_columns, text_rows
 
 #: Bytes above which a piece is contracted with a heap.
-LONG_PIECE = 200
+LONG_PIECE = 1000
 #: Bytes of new pieces in one recursive query.
 QUERY_BYTES = 100_000
 #: Pieces remembered in a task; beyond this the memory starts anew.
@@ -35,7 +35,7 @@ DECODE_IDS = 150_000
 SLICE_ROWS = 256
 
 # A position is counted over all pieces of a query, with a gap after each piece, so that stop = next pos holds only
-# inside a piece. A pair is one integer: rank (17 bits), position (22), bytes of its left and right token (8 each).
+# inside a piece. A pair is one integer: rank (20 bits), position (22), bytes of its left and right token (8 each).
 _ENCODE = """
 WITH RECURSIVE step(piece, pos, id, stop, live) AS (
     SELECT piece, pos, id, pos + 1, true FROM start
@@ -43,7 +43,7 @@ WITH RECURSIVE step(piece, pos, id, stop, live) AS (
     SELECT piece, pos, id, stop, live FROM (
         WITH pair AS (
             SELECT s.piece, ((m.id::BIGINT * 4194304 + s.pos) * 256 + (s.stop - s.pos)) * 256 + (n.stop - n.pos) AS packed
-            FROM step s JOIN step n ON n.pos = s.stop JOIN merges m ON m.ab = s.id * 65536::BIGINT + n.id
+            FROM step s JOIN step n ON n.pos = s.stop JOIN merges m ON m.ab = s.id * 1048576::BIGINT + n.id
             WHERE s.live AND n.live
         ), best AS (
             SELECT piece, packed // 274877906944 AS id, (packed // 65536) % 4194304 AS pos,
@@ -103,6 +103,8 @@ class Codec:
         import pyarrow as pa
         import regex
 
+        if max(i for _, i in ranks) >= 1 << 20 or max(len(w) for w, _ in ranks) > 255:
+            raise ValueError("the queries hold ids below 2**20 and entries of up to 255 bytes")
         self.ranks = dict(ranks)
         self.split = regex.compile(pattern).findall
         self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
@@ -111,7 +113,7 @@ class Codec:
         self.pa = pa
         triples = [(self.ranks[w[:k]], self.ranks[w[k:]], i) for w, i in ranks for k in range(1, len(w)) if w[:k] in self.ranks and w[k:] in self.ranks]
         words = pa.table({"id": pa.array([i for _, i in ranks], pa.int32()), "text": [w.decode("latin-1") for w, _ in ranks]})
-        for name, table in (("merges", pa.table({"ab": pa.array([a * 65536 + b for a, b, _ in triples], pa.int64()), "id": pa.array([i for _, _, i in triples], pa.int32())})), ("vocabulary", words)):
+        for name, table in (("merges", pa.table({"ab": pa.array([a << 20 | b for a, b, _ in triples], pa.int64()), "id": pa.array([i for _, _, i in triples], pa.int32())})), ("vocabulary", words)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")

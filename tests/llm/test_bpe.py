@@ -59,3 +59,14 @@ def test_frame(spark):
     assert by[None].ids == [31373, 23748] and by[3].n_tokens == 50_001
     assert by[3].decoded_sha256 == hashlib.sha256(b"word " * 50_000).hexdigest()
     assert B.bpe(df.where("false"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_wide_vocabularies():
+    """Ids beyond 16 bits merge like others; those that the queries cannot hold are refused."""
+    base = [(bytes([b]), 300_000 + b) for b in range(256)]
+    codec = B.Codec([*base, (b"ab", 65_536 * 3 + 1), (b"abc", 900_000), (b"bc", 900_001)], r"\w+|\W+")
+    ids = codec.encode(["abcabx bc"])
+    assert list(memoryview(ids[0]).cast("I")) == [900_000, 65_536 * 3 + 1, 300_000 + ord("x"), 300_000 + 32, 900_001]
+    assert codec.decode(ids) == [b"abcabx bc"]
+    with pytest.raises(ValueError):
+        B.Codec([*base, (b"ab", 1 << 20)], r"\w+")
