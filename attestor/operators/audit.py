@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_divide
+from .calibrate import objective
 
 OUTCOMES = ("valid", "runtime_failure", "taxonomy_violation", "schema_violation", "json_syntax_or_missing_result", "other_validation_failure", "other_failure")
 FLAGS = ("native", "exposed", "touched")
@@ -35,15 +36,16 @@ def exposure_summary(paths: DataFrame) -> DataFrame:
     )
 
 
-def sensitivity(decisions: DataFrame, models: list[str]) -> DataFrame:
-    """Micro F1 of each model under six policies, its difference from final_all, and the models' ranking.
+def sensitivity(decisions: DataFrame, models: list[str], metric: str = "micro_f1") -> DataFrame:
+    """The primary metric of each model under six policies, its difference from final_all, and the models' ranking.
 
     ``decisions`` has record_key, label, truth, a final vote column a model, and for each model three booleans of the
     record: ``{model}_native`` (first attempt valid), ``{model}_exposed`` (any recovery) and ``{model}_touched``
-    (selective repair). A policy keeps predictions, counts some as empty, or keeps only records that all models share.
-    Rows collapse to distinct cells before policies multiply them.
+    (selective repair); ``{model}_first``, if there, is the vote of the first attempt, else that is the final one. A
+    policy keeps predictions, counts some as empty, or keeps only records that all models share. The metric is micro_f1,
+    or balanced_accuracy for binary data. Rows collapse to distinct cells before policies multiply them.
     """
-    flags = [f"{m}_{f}" for m in models for f in FLAGS]
+    flags = [f"{m}_{f}" for m in models for f in (*FLAGS, "first") if f"{m}_{f}" in decisions.columns]
     cells = decisions.groupBy("truth", *models, *flags).agg(F.count("*").alias("m"))
 
     def every(flag: str, value: bool):
@@ -57,7 +59,7 @@ def sensitivity(decisions: DataFrame, models: list[str]) -> DataFrame:
         final = F.col(m)
         policies = (
             ("final_all", final, F.lit(True)),
-            ("first_attempt_strict_all", F.when(F.col(f"{m}_native"), final).otherwise(0), F.lit(True)),
+            ("first_attempt_strict_all", F.when(F.col(f"{m}_native"), F.col(f"{m}_first") if f"{m}_first" in flags else final).otherwise(0), F.lit(True)),
             ("all_recovery_as_empty", F.when(~F.col(f"{m}_exposed"), final).otherwise(0), F.lit(True)),
             ("common_native_valid", final, every("native", True)),
             ("selective_repair_as_empty_legacy", F.when(~F.col(f"{m}_touched"), final).otherwise(0), F.lit(True)),
@@ -71,8 +73,8 @@ def sensitivity(decisions: DataFrame, models: list[str]) -> DataFrame:
         return F.sum(F.when(condition, F.col("m")).otherwise(0)).cast("long")
 
     t, p = F.col("truth") == 1, F.col("pred") == 1
-    g = long.groupBy("model", "model_order", "policy").agg(F.sum("m").cast("long").alias("n"), total(t & p).alias("tp"), total(~t & p).alias("fp"), total(t & ~p).alias("fn"))
-    g = g.withColumn("primary_value", safe_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+    g = long.groupBy("model", "model_order", "policy").agg(F.sum("m").cast("long").alias("n"), total(t & p).alias("tp"), total(~t & p).alias("fp"), total(t & ~p).alias("fn"), total(~t & ~p).alias("tn"))
+    g = g.withColumn("primary_value", objective(metric))
     final = F.max(F.when(F.col("policy") == "final_all", F.col("primary_value"))).over(Window.partitionBy("model"))
     rank = F.row_number().over(Window.partitionBy("policy").orderBy(F.desc("primary_value"), "model_order"))  # a row a model
     return g.select("model", "policy", "n", "tp", "fp", "fn", "primary_value", (F.col("primary_value") - final).alias("delta_primary_vs_final_all"), rank.alias("ranking"))
@@ -113,3 +115,9 @@ def mechanism(decisions: DataFrame, systems: list[str], reference: str) -> tuple
         *[total(F.col(reference) != F.col(s)).alias(f"disagreement_{s}") for s in systems if s != reference],
     )
     return diagnostics, summary
+
+
+def zero_support(report: DataFrame, by: list[str]) -> DataFrame:
+    """The classes without support of each system, and what they were predicted for, from ``metrics.support_report``."""
+    none = ~F.col("metric_defined")
+    return report.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(F.when(none, F.col("label")))), ";").alias("zero_support_classes"), F.sum("zero_support_false_positives").cast("long").alias("zero_support_false_positives"))

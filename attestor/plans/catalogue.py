@@ -360,12 +360,16 @@ def repair_exposure(spark, sf_dir):
 _FLAG_BOUNDS = {"native": lambda k: f"< {8 - k}", "exposed": lambda k: f">= {7 - k}", "touched": lambda k: f">= {9 - k}"}
 
 
-def _sensitive(spark, sf_dir) -> DataFrame:
+def _flagged(decisions: DataFrame) -> DataFrame:
     flags = []
     for k in (1, 2, 3):
         draw = scalar.hash32(F.concat_ws("|", F.lit(f"native{k}"), F.col("record_key").cast("string"))) % 10
         flags += [(draw < 8 - k).alias(f"v{k}_native"), (draw >= 7 - k).alias(f"v{k}_exposed"), (draw >= 9 - k).alias(f"v{k}_touched")]
-    return adapters.orders_multilabel(spark, sf_dir).select("*", *flags)
+    return decisions.select("*", *flags)
+
+
+def _sensitive(spark, sf_dir) -> DataFrame:
+    return _flagged(adapters.orders_multilabel(spark, sf_dir))
 
 
 _DRAW = {k: h(f"concat_ws('|', 'native{k}', record_key)") + " % 10" for k in (1, 2, 3)}
@@ -400,6 +404,21 @@ def sensitivity_ranking(spark, sf_dir):
     return audit.sensitivity_assessment(audit.sensitivity(_sensitive(spark, sf_dir), VOTES))
 
 
+_SENSITIVE_LINES = f"""{_LINES}, nat AS (SELECT *, {_NATIVE} FROM dec), pol AS ({" UNION ALL ".join(f"SELECT 'v{k}' AS model, {k} AS ord, '{p}' AS policy, truth, {e} AS pred FROM nat WHERE {w}" for k in (1, 2, 3) for p, e, w in _policies_sql(k))}),
+pc AS (SELECT model, ord, policy, {COUNTS} FROM pol GROUP BY 1, 2, 3), pv AS (SELECT *, {BALANCED} AS primary_value FROM pc)"""
+
+
+@query(f"WITH {_SENSITIVE_LINES} SELECT model, policy, n, tp, fp, fn, primary_value, primary_value - max(CASE WHEN policy = 'final_all' THEN primary_value END) OVER (PARTITION BY model) AS delta_primary_vs_final_all, (row_number() OVER (PARTITION BY policy ORDER BY primary_value DESC, ord))::INTEGER AS ranking FROM pv")
+def sensitivity_binary(spark, sf_dir):
+    """Order lines are binary: balanced accuracy is their primary metric."""
+    return audit.sensitivity(_flagged(adapters.lineitem_binary(spark, sf_dir)), VOTES, calibrate.primary_metric("binary"))
+
+
+@query(f"WITH {SYS}, c AS (SELECT system, label, {COUNTS} FROM sys WHERE NOT (label = 'R' AND truth = 1) GROUP BY 1, 2) SELECT system, coalesce(string_agg(label, ';' ORDER BY label) FILTER (WHERE support = 0), '') AS zero_support_classes, sum(CASE WHEN support = 0 THEN fp ELSE 0 END)::BIGINT AS zero_support_false_positives FROM c GROUP BY 1")
+def zero_support(spark, sf_dir):
+    return audit.zero_support(support_aware(spark, sf_dir), ["system"])
+
+
 # ---- folds and calibration
 
 
