@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -75,7 +76,8 @@ def test_quality(spark, tables):
     docs, labels = tables
     found = quality.quality_posteriors(docs, *quality.fit_quality(docs, labels)).join(labels, "doc_id").collect()
     assert len(found) == 1500
-    assert np.mean([r.keep == bool(r.quality) for r in found]) > 0.97
+    held = {r.doc_id for r in labels.where(quality.held_out()).collect()}
+    assert len(held) > 200 and np.mean([r.keep == bool(r.quality) for r in found if r.doc_id in held]) > 0.97
     hosts = {round(r.host_posterior, 9) for r in found}
     assert len(hosts) == 2
 
@@ -96,3 +98,78 @@ def test_logistic_fit():
     x = rng.normal(size=(4000, 2))
     y = (rng.random(4000) < linear.sigmoid(0.5 + 2 * x[:, 0] - x[:, 1])).astype(float)
     assert linear.fit_logistic(x, y) == pytest.approx([0.5, 2, -1], abs=0.2)
+
+
+def test_labels_of_held_out_rows_do_not_shape_quality(tables):
+    docs, labels = tables
+    flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(doc_id AS STRING)) % 5 = 0 THEN 1 - quality ELSE quality END AS quality", "toxic")
+    (a, x), (b, y) = quality.fit_quality(docs, labels), quality.fit_quality(docs, flipped)
+    assert np.allclose(a, b) and x == y
+
+
+def test_posteriors_by_plain_loops(spark, tables):
+    """Group sums, moments, shrinkage and Bayes' rule over all documents, one after the other."""
+    docs, labels = tables
+    weights, prior = quality.fit_quality(docs, labels)
+    rows = docs.collect()
+    logit = {r.doc_id: weights[0] + float(np.dot(weights[1:], quality.features(r.text))) for r in rows}
+    p = {k: 1 / (1 + np.exp(-v)) for k, v in logit.items()}
+    hosts, paths = {}, {}
+    for r in rows:
+        for groups, key in ((hosts, r.source), (paths, (r.source, r.lang))):
+            n, s = groups.get(key, (0, 0.0))
+            groups[key] = (n + 1, s + p[r.doc_id])
+    n_all = sum(n for n, _ in hosts.values())
+    mean = sum(s for _, s in hosts.values()) / n_all
+
+    def strength(groups, towards):
+        between = (sum(n * (s / n - towards(k)) ** 2 for k, (n, s) in groups.items()) - mean * (1 - mean) * len(groups)) / n_all
+        return min(1e6, max(1.0, mean * (1 - mean) / between - 1)) if between > 1e-12 else 1e6
+
+    k_host = strength(hosts, lambda k: mean)
+    host = {k: (s + k_host * mean) / (n + k_host) for k, (n, s) in hosts.items()}
+    k_path = strength(paths, lambda k: host[k[0]])
+    path = {k: (s + k_path * host[k[0]]) / (n + k_path) for k, (n, s) in paths.items()}
+    for r in quality.quality_posteriors(docs, weights, prior).join(docs.select("doc_id", "source", "lang"), "doc_id").collect():
+        q = path[r.source, r.lang]
+        full = logit[r.doc_id] - np.log(prior / (1 - prior)) + np.log(q / (1 - q))
+        assert r.host_posterior == pytest.approx(host[r.source]) and r.path_posterior == pytest.approx(q)
+        assert r.posterior == pytest.approx(1 / (1 + np.exp(-full)), abs=1e-9) and r.keep == (r.posterior >= 0.5)
+
+
+def test_scores_by_plain_loops(tables):
+    docs, labels = tables
+    model = toxicity.fit_toxicity(docs, labels)
+    weight = dict(zip(model.voters, model.weights, strict=True))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.toxicity_scores(docs, model).collect():
+        words = {w for t in texts[r.doc_id].lower().split() for w in re.findall(r"\w+", t)}
+        fired = {v for v in weight if any(w == v[1:] if v[0] == "=" else w.startswith(v[1:]) for w in words)}
+        total = model.intercept + sum(weight[v] for v in fired) + float(np.dot(model.pattern_weights, toxicity.writing(texts[r.doc_id])))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
+
+
+def test_label_model_by_plain_loops():
+    """Expectation maximisation over single rows, for voters that do not correlate."""
+    rng = np.random.default_rng(5)
+    truth = rng.random(300) < 0.3
+    fires = np.array([[float(rng.random() < (a if t else b)) for a, b in ((0.8, 0.02), (0.6, 0.05), (0.5, 0.01))] for t in truth])
+    gold = np.array([float(t ^ (rng.random() < 0.05)) for t in truth])
+    posterior, share = toxicity.label_model(fires, gold)
+    assert share.tolist() == [1.0, 1.0, 1.0]
+    q = [0.95 if g else 0.05 for g in gold]
+    for _ in range(8):
+        on, off = sum(q), len(q) - sum(q)
+        rate = [((sum(x * f[j] for x, f in zip(q, fires)) + 0.5) / (on + 1), (sum((1 - x) * f[j] for x, f in zip(q, fires)) + 0.5) / (off + 1)) for j in range(3)]
+        right1, right0 = (sum(x * g for x, g in zip(q, gold)) + 19) / (on + 20), (sum((1 - x) * (1 - g) for x, g in zip(q, gold)) + 19) / (off + 20)
+        prior = (on + 1) / (len(q) + 2)
+        new = []
+        for f, g in zip(fires, gold):
+            a, b = prior, 1 - prior
+            for j, (r1, r0) in enumerate(rate):
+                a, b = a * (r1 if f[j] else 1 - r1), b * (r0 if f[j] else 1 - r0)
+            a, b = (a * right1, b * (1 - right0)) if g else (a * (1 - right1), b * right0)
+            new.append(a / (a + b))
+        q = new
+    assert posterior == pytest.approx(q, abs=1e-6)
+    assert np.mean((posterior > 0.5) == truth) > 0.95
