@@ -81,6 +81,31 @@ def paired_tests(histogram: DataFrame, by: list[str], repetitions: int = 10_000,
     return histogram.groupBy(*by).applyInPandas(test, schema)
 
 
+def bootstrap_intervals(contributions: DataFrame, by: list[str], repetitions: int = 1000, seed: int = 2026, batch: int = 256, metric: str = "micro_f1") -> DataFrame:
+    """Value and percentile interval of a metric by group, from records with their counts; a draw is a multinomial over
+    the distinct contributions, so that records are read once whatever the repetitions."""
+    columns = list(COUNTS[metric])
+    histogram = contributions.groupBy(*by, *columns).agg(F.count("*").alias("m"))
+    schema = ", ".join([f"{c} {t}" for c, t in histogram.select(*by).dtypes] + ["records long", "value double", "ci_low double", "ci_high double", "repetitions long"])
+
+    def draw(key, pdf):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        value = metric_of(metric)
+        pdf = pdf.sort_values(columns)
+        c, m = pdf[columns].to_numpy(float), pdf.m.to_numpy()
+        n = int(m.sum())
+        rng = np.random.default_rng((seed + int(hashlib.sha256("|".join(map(str, key)).encode()).hexdigest()[:8], 16)) % 2**32)
+        draws = [value(rng.multinomial(n, m / n, size=min(batch, repetitions - k)) @ c) for k in range(0, repetitions, batch)]
+        low, high = np.quantile(np.concatenate(draws), [0.025, 0.975])
+        return pd.DataFrame([(*key, n, float(value(m @ c)), low, high, repetitions)])
+
+    return histogram.groupBy(*by).applyInPandas(draw, schema)
+
+
 def against_baselines(decisions: DataFrame, candidate: str, baselines: list[str], metric: str = "micro_f1", repetitions: int = 10_000, seed: int = 2026) -> DataFrame:
     """Paired tests of a candidate's predictions against each baseline's; all are 0/1 columns beside record_key and truth.
 

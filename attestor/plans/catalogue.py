@@ -610,8 +610,8 @@ def bootstrap_ci_hash(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    """The interval of ``bootstrap_ci_hash`` from 1000 draws; its SQL would hash each record 1000 times."""
-    return resample.hashed_bootstrap(_first_model(spark, sf_dir), [], 1000, 2026)
+    """The interval from 1000 draws of all records."""
+    return resample.bootstrap_intervals(_first_model(spark, sf_dir), [])
 
 
 @query(f"""WITH t AS (SELECT s_nationkey AS family, s_suppkey AS test, ({h("s_name")} % 1000)::DOUBLE / 10000 AS p_value FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p_value, test) AS k, count(*) OVER (PARTITION BY family) AS m FROM t), a AS (SELECT family, test, p_value, max(least(1.0::DOUBLE, (m - k + 1) * p_value)) OVER (PARTITION BY family ORDER BY k) AS holm_p FROM r) SELECT *, holm_p < 0.05::DOUBLE AS significant FROM a""")

@@ -19,8 +19,8 @@ def append_new(stream: DataFrame, target: str, checkpoint: str, keys: list[str])
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        columns = batch.columns
-        new = batch.groupBy(*keys).agg(F.min(F.struct(F.xxhash64(*columns).alias("hash"), F.struct(*columns).alias("row"))).alias("m")).select("m.row.*") if not any("map<" in t for _, t in batch.dtypes) else batch.dropDuplicates(keys)
+        row = F.struct(*batch.columns)  # of the rows of one key the same one stays in any order
+        new = batch.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
         try:
             held = spark.read.parquet(target).select(*keys)
             new = new.join(held, keys, "left_anti")

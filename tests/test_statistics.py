@@ -85,3 +85,18 @@ def test_scores_merge_once(spark):
     with pytest.raises(ValueError):
         calibrate.merge_scores(a, a)
     assert validate.duplicate_keys(a, ["record_key"]).isEmpty()
+
+
+def test_interval_of_plain_draws(spark):
+    rng = random.Random(6)
+    rows = [("g", rng.randrange(3), rng.randrange(2), rng.randrange(3)) for _ in range(60)] + [("h", 1, 0, 0)] * 5
+    found = {r.g: r for r in resample.bootstrap_intervals(spark.createDataFrame(rows, "g string, tp long, fp long, fn long"), ["g"]).collect()}
+    mine = [r[1:] for r in rows if r[0] == "g"]
+    draws = []
+    for _ in range(2000):
+        tp, fp, fn = (sum(x) for x in zip(*(rng.choice(mine) for _ in mine), strict=True))
+        draws.append(value("micro_f1", tp, fp, fn, 0))
+    low, high = np.quantile(draws, [0.025, 0.975])
+    assert found["g"].ci_low == pytest.approx(low, abs=0.03) and found["g"].ci_high == pytest.approx(high, abs=0.03)
+    assert found["g"].value == pytest.approx(value("micro_f1", *(sum(x) for x in zip(*mine, strict=True)), 0)) and found["g"].repetitions == 1000
+    assert (found["h"].ci_low, found["h"].ci_high, found["h"].records) == (1.0, 1.0, 5)
