@@ -38,7 +38,28 @@ def release_memory() -> None:
         trim(0)
 
 
-def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str | T.StructType, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def slices(batch: pa.RecordBatch, rows: int, most_bytes: int | None) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows, and of no more than so many bytes of text unless it is one row."""
+    if most_bytes is None:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+        return
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str | T.StructType, slice_rows: int = SLICE_ROWS, slice_bytes: int | None = None) -> DataFrame:
     """Apply a batch function to Arrow slices of ``df``.
 
     ``make()`` runs once in each task and returns ``fn(*columns)``; the columns are Python lists in the order of
@@ -52,8 +73,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]
         out_schema = arrow_schema(struct)
         fn = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            for part in slices(batch, slice_rows, slice_bytes):
                 found = iter(fn(*(c.to_pylist() for c in part.columns)))
                 while rows := list(itertools.islice(found, OUT_ROWS)):
                     cols = list(zip(*rows, strict=True))

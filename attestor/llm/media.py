@@ -25,7 +25,8 @@ from .webp_tiles import decode_tiles, encode_tiles
 
 WIDTH, TILE_ROWS = 64, 64
 ROW_BYTES = 3 * WIDTH
-SLICE_ROWS = 1024
+#: Rows and bytes of text that are coded together: many streams of like length keep step.
+SLICE_ROWS, SLICE_BYTES = 4096, 16_000_000
 
 
 def payload(text: str) -> bytes:
@@ -54,7 +55,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return fn
 
-    return map_columns(text_rows(docs, id_col, text_col), make, "doc_id long, n_bytes long, media binary", SLICE_ROWS)
+    return map_columns(text_rows(docs, id_col, text_col), make, "doc_id long, n_bytes long, media binary", SLICE_ROWS, SLICE_BYTES)
 
 
 def _decoded(media: list[bytes | None]):
@@ -76,7 +77,7 @@ def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
         return fn
 
-    return map_columns(media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")), make, "doc_id long, width int, height int, samples binary", SLICE_ROWS)
+    return map_columns(media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")), make, "doc_id long, width int, height int, samples binary", SLICE_ROWS, SLICE_BYTES)
 
 
 def media_digests(media: DataFrame) -> DataFrame:
@@ -90,4 +91,4 @@ def media_digests(media: DataFrame) -> DataFrame:
 
         return fn
 
-    return map_columns(media.select("doc_id", "n_bytes", "media"), make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", SLICE_ROWS)
+    return map_columns(media.select("doc_id", "n_bytes", "media"), make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", SLICE_ROWS, SLICE_BYTES)

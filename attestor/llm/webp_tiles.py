@@ -372,59 +372,120 @@ def _codes(counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, tuple[np.
     return table, (owner[order], field[order])
 
 
-def _table(lengths: list[int]) -> np.ndarray | None:
-    """Symbol and, above it, code length by the next bits; None if a code is too long."""
-    lengths = np.array(lengths)
-    symbols = np.flatnonzero(lengths)
-    if not len(symbols) or lengths.max() > TABLE_BITS:
-        return None
-    if len(symbols) == 1:
-        return np.full(1 << TABLE_BITS, symbols[0], np.int32)
-    symbols = symbols[np.argsort(lengths[symbols], kind="stable")]
-    n = lengths[symbols]
-    entries = np.repeat(n << 16 | symbols, 1 << (TABLE_BITS - n))
-    if len(entries) != 1 << TABLE_BITS:
-        raise ValueError("prefix code is not complete")
-    table = np.zeros(1 << TABLE_BITS, np.int32)
-    table[_reversal(TABLE_BITS)] = entries
-    return table
-
-
 class _Lane:
-    """A stream that can be decoded in step with others: codes, cache size and transforms, read up to its pixels."""
+    """A stream that can be decoded in step with others: its cache and transforms, read up to its prefix codes."""
 
-    def __init__(self, stream: bytes):
-        r = Reader(stream)
+    def __init__(self, number: int, stream: bytes):
+        self.number, self.reader = number, Reader(stream)
+        r = self.reader
         self.width, self.height, self.coded, self.transforms = read_head(r)
         self.pixels = self.coded * self.height
         self.cache_bits = r.read(4) if r.read(1) else 0
         self.ready = not r.read(1)  # else groups
-        if not self.ready:
-            return
-        self.tables, known = [], None
-        for c, alphabet in enumerate((_GREEN + (1 << self.cache_bits if self.cache_bits else 0), 256, 256, 256, DISTANCE_CODES)):
-            start = r.pos
-            if c == 2 and (r.peek_at(start, known[0]) == known[1]):  # blue's code may be written as red's
-                r.pos += known[0]
-                self.tables.append(self.tables[1])
-                continue
-            if c == 3 and r.peek_at(start, 11) == OPAQUE_CODE:
-                r.pos += 11
-                continue
-            lengths = read_lengths(r, alphabet)
-            if c == 1:
-                n = r.pos - start
-                known = n, r.peek_at(start, n)
-                # Without a count of symbols the end of the lengths is the alphabet's, the same for both.
+        self.alphabet = _GREEN + (1 << self.cache_bits if self.cache_bits else 0)
+        self.pos = r.pos
+
+    def read_codes(self) -> np.ndarray | None:
+        """The tables of the green, red, blue and distance codes; None where a code is too long or alpha is not plain."""
+        r, tables = self.reader, []
+        r.pos = self.pos
+        for c, alphabet in enumerate((self.alphabet, 256, 256, 256, DISTANCE_CODES)):
+            lengths = np.array(read_lengths(r, alphabet))
             if c == 3:
-                self.ready = lengths.count(0) == 255 and lengths[255] > 0
-            elif (table := _table(lengths)) is None:
-                self.ready = False
+                if np.count_nonzero(lengths) != 1 or not lengths[255]:
+                    return None
+            elif lengths.max() > TABLE_BITS or not lengths.any():
+                return None
             else:
-                self.tables.append(table)
-            if not self.ready:
-                return
+                tables.append(_tables(lengths[None])[0])
         self.pos = r.pos
+        return np.stack(tables)
+
+
+def _tables(lengths: np.ndarray) -> np.ndarray:
+    """Symbol and, above it, code length by the next bits, for each row of code lengths."""
+    row, symbol = np.nonzero(lengths)
+    n = lengths[row, symbol]
+    alone = np.bincount(row, minlength=len(lengths))[row] == 1  # takes no bits
+    n = np.where(alone, 0, n)
+    order = np.lexsort((symbol, n, row))
+    row, symbol, n = row[order], symbol[order], n[order]
+    share = (1 << TABLE_BITS) >> n
+    if (np.bincount(row, weights=share, minlength=len(lengths)) != 1 << TABLE_BITS).any():
+        raise ValueError("prefix code is not complete")
+    entries = np.repeat((n << 16 | symbol).astype(np.int32), share).reshape(len(lengths), -1)
+    return np.take(entries, _reversal(TABLE_BITS), axis=1)  # reversing bits twice changes nothing
+
+
+_META_BITS = sum(int(f) >> 16 for f in _META_HEAD)
+_META_VALUE = sum((int(f) & 0xFFFF) << 16 * k for k, f in enumerate(_META_HEAD))
+_META_TABLE = np.zeros(16, np.int64)
+for _s, (_b, _n) in _META_CODES.items():
+    for _rest in range(0, 16, 1 << _n):
+        _META_TABLE[_rest | _b] = _n << 8 | _s
+
+
+def _read_lengths(windows: np.ndarray, pos: np.ndarray, alphabets: np.ndarray, only: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code lengths by lane, places after them, which lanes could be read) of the lanes ``only``: codes as ``_codes``
+    writes them, normal ones by the fixed code of lengths or simple ones of one symbol, read in all lanes together."""
+    seven = np.int64(7)
+    lengths = np.zeros((len(pos), int(alphabets.max())), np.int64)
+    pos = pos.copy()
+    ahead = windows[pos >> 3] >> (pos & seven).view(np.uint64)
+    normal = only & ((ahead & _U((1 << _META_BITS) - 1)) == _U(_META_VALUE))
+    simple = only & ((ahead & _U(7)) == _U(0b101))
+    at = np.flatnonzero(simple)
+    symbol = (ahead[at] >> _U(3) & _U(255)).view(np.int64)
+    if (symbol >= alphabets[at]).any():
+        raise ValueError("a symbol is beyond its alphabet")
+    lengths[at, symbol] = 1
+    pos[at] += 11
+    live = np.flatnonzero(normal)
+    pos[live] += _META_BITS
+    done = np.zeros(len(pos), np.int64)
+    while len(live):
+        p = pos[live]
+        ahead = (windows[p >> 3] >> (p & seven).view(np.uint64)).view(np.int64)
+        entry = _META_TABLE[ahead & 15]
+        s, n = entry & 255, entry >> 8
+        run = s >= 16
+        extra = np.where(run, np.where(s == 17, 3, 7), 0)
+        size = np.where(run, (ahead >> n & ((1 << extra) - 1)) + np.where(s == 17, 3, 11), 1)
+        one = live[~run]
+        lengths[one, done[one]] = s[~run]
+        done[live] += size
+        pos[live] += n + extra
+        if (done[live] > alphabets[live]).any():
+            raise ValueError("code lengths run over the alphabet")
+        live = live[done[live] < alphabets[live]]
+    return lengths, pos, normal | simple
+
+
+def _read_codes(lanes: list[_Lane], windows: np.ndarray, starts: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tables of the four codes by lane, places of the pixels, which lanes can be decoded in step)."""
+    count = len(lanes)
+    begin = starts * 8 + np.array([x.pos for x in lanes])
+    green, red_at, good = _read_lengths(windows, begin, np.array([x.alphabet for x in lanes]), np.ones(count, bool))
+    red, blue_at, more = _read_lengths(windows, red_at, np.full(count, 256), good)
+    good &= more
+    size = blue_at - red_at
+    for k in np.flatnonzero(good).tolist():  # blue's code must be written as red's
+        a, b, n = int(red_at[k]), int(blue_at[k]), int(size[k])
+        x, y = (int.from_bytes(data[p >> 3 : (p + n + 7) >> 3], "little") >> (p & 7) & ((1 << n) - 1) for p in (a, b))
+        good[k] = x == y
+    alpha_at = np.where(good, blue_at + size, begin)
+    good &= (windows[alpha_at >> 3] >> (alpha_at & np.int64(7)).view(np.uint64) & _U(0x7FF)) == _U(OPAQUE_CODE)
+    distance, pos, more = _read_lengths(windows, np.where(good, alpha_at + 11, begin), np.full(count, DISTANCE_CODES), good)
+    good &= more
+    tables = np.zeros((count, 4, 1 << TABLE_BITS), np.int32)
+    at = np.flatnonzero(good)
+    if len(at):
+        tables[at, 0], tables[at, 1], tables[at, 3] = _tables(green[at]), _tables(red[at]), _tables(distance[at])
+        tables[at, 2] = tables[at, 1]
+    for k in np.flatnonzero(~good).tolist():
+        if (found := lanes[k].read_codes()) is not None:
+            tables[k], pos[k], good[k] = found, starts[k] * 8 + lanes[k].pos, True
+    return tables, pos, good
 
 
 def decode_tiles(streams: list[bytes]) -> list[np.ndarray]:
@@ -434,31 +495,45 @@ def decode_tiles(streams: list[bytes]) -> list[np.ndarray]:
     for at in range(0, len(order), LANES):
         lanes = []
         for k in order[at : at + LANES]:
-            lane = _Lane(streams[k])
+            lane = _Lane(k, streams[k])
             if lane.ready:
-                lanes.append((lane, k))
+                lanes.append(lane)
             else:
                 out[k] = decode(streams[k])[..., :3]
-        lanes.sort(key=lambda x: -x[0].pixels)
-        colours = _in_step([x for x, _ in lanes], [streams[k] for _, k in lanes]) if lanes else []
-        for (lane, k), found in zip(lanes, colours, strict=True):
-            rgba = found.astype("<u4").view(np.uint8).reshape(lane.height, lane.coded, 4)[..., _RGBA]
-            out[k] = np.ascontiguousarray((invert(rgba, lane.transforms) if lane.transforms else rgba)[..., :3])
+        lanes.sort(key=lambda x: -x.pixels)
+        if not lanes:
+            continue
+        try:
+            for k, samples in _decoded(lanes, streams):
+                out[k] = samples
+        except IndexError:
+            raise ValueError("a stream ends too early") from None
     return out
 
 
-def _in_step(lanes: list[_Lane], streams: list[bytes]) -> list[np.ndarray]:
+def _decoded(lanes: list[_Lane], streams: list[bytes]):
+    """(number, RGB samples) of the lanes' streams."""
+    data = b"".join(streams[x.number] + b"\0" * 16 for x in lanes)
+    starts = np.cumsum([0, *(len(streams[x.number]) + 16 for x in lanes[:-1])])
+    windows = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    tables, pos, good = _read_codes(lanes, windows, starts, data)
+    for k in np.flatnonzero(~good).tolist():
+        yield lanes[k].number, decode(streams[lanes[k].number])[..., :3]
+    kept = np.flatnonzero(good)
+    lanes = [lanes[k] for k in kept]
+    if lanes:
+        stop = starts[kept] * 8 + np.array([len(streams[x.number]) * 8 for x in lanes])
+        for lane, found in zip(lanes, _in_step(lanes, windows, tables[kept].ravel(), pos[kept], stop), strict=True):
+            rgba = found.astype("<u4").view(np.uint8).reshape(lane.height, lane.coded, 4)[..., _RGBA]
+            yield lane.number, np.ascontiguousarray((invert(rgba, lane.transforms) if lane.transforms else rgba)[..., :3])
+
+
+def _in_step(lanes: list[_Lane], windows: np.ndarray, table: np.ndarray, pos: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
     """ARGB pixels of each stream; lanes are in descending order of their pixels."""
     count, steps = len(lanes), lanes[0].pixels
     pixels = np.array([x.pixels for x in lanes])
-    data = b"".join(s + b"\0" * 8 for s in streams)
-    starts = np.cumsum([0, *(len(s) + 8 for s in streams[:-1])])
-    stop = starts * 8 + np.array([len(s) * 8 for s in streams])
-    windows = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
     size = 1 << TABLE_BITS
-    table = np.concatenate([t for x in lanes for t in x.tables])
     base = np.arange(count) * (4 * size)
-    pos = starts * 8 + np.array([x.pos for x in lanes])
     near = np.stack([_near(x.coded) for x in lanes])
     # A lane without a cache has one slot that nothing reads.
     cache_size = np.array([1 << x.cache_bits for x in lanes])

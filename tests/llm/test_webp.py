@@ -90,9 +90,9 @@ def test_query_streams_use_every_tool(spark):
         assert b"".join(x.tobytes() for x in found) == P.payload(list(texts.values())[r.doc_id])
         assert all((W.decode(s)[..., :3] == x).all() for s, x in zip(streams, found, strict=True))
         for s in streams:
-            lane = B._Lane(s)
+            lane = B._Lane(0, s)
             assert lane.ready
-            tools = {t[0] for t in lane.transforms} | ({"cache"} if lane.cache_bits else set()) | ({"copies"} if len(set(lane.tables[3] & 0xFFFF)) > 1 else set())
+            tools = {t[0] for t in lane.transforms} | ({"cache"} if lane.cache_bits else set()) | ({"copies"} if len(set(lane.read_codes()[3] & 0xFFFF)) > 1 else set())
             used.setdefault(list(texts)[r.doc_id], set()).update(tools)
     assert W.PREDICTOR in used["predictor"] and W.CROSS_COLOUR in used["cross"] and W.SUBTRACT_GREEN in used["green"]
     assert W.PALETTE in used["palette"] and "cache" in used["cache"]
@@ -106,3 +106,14 @@ def test_prose_takes_fewer_bytes():
     tiles = [P.payload(text)[k : k + 12288] for k in range(0, len(text), 12288)]
     plain = [W.encode(np.dstack([np.frombuffer(t, np.uint8).reshape(-1, 64, 3), np.full((len(t) // 192, 64), 255, np.uint8)]), back_references=False) for t in tiles]
     assert sum(map(len, B.encode_tiles(tiles, 64))) < 0.95 * sum(map(len, plain))
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from attestor.llm.common import slices
+
+    texts = ["a" * n for n in (5, 5, 50, 1, 1, 1, 1)] + [None]
+    batch = pa.record_batch({"id": pa.array(range(8)), "text": pa.array(texts)})
+    assert [p.column(1).to_pylist() for p in slices(batch, 3, 10)] == [texts[:2], texts[2:3], texts[3:6], texts[6:]]
+    assert [p.num_rows for p in slices(batch, 3, None)] == [3, 3, 2] and list(slices(batch.slice(0, 0), 3, 10)) == []
