@@ -86,3 +86,10 @@ def test_registered():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 11)}
     assert "pipeline" in names
+
+
+def test_secrets_stage_needs_no_count_of_characters(spark):
+    df = spark.createDataFrame([(1, "password=abcdef1 and more", "x"), (2, None, None)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in corpus_pipeline.secrets(spark, df, "").collect()}
+    assert found[1].text == "[SECRET] and more" and found[2].text is None
+    assert corpus_pipeline.secrets(spark, df, "").columns == df.columns
