@@ -27,20 +27,40 @@ def run_problems(rows: DataFrame, manifest: DataFrame, record_count: int | None,
     wrong = length.where(F.lit(True) if record_count is None else F.col("n") != record_count)
     out = found(wrong, "record_count", F.col("n"))
     out = out.unionByName(found(manifest.where(index.isNull()), "manifest_without_index", F.col("record_id")))
-    out = out.unionByName(found(duplicate_keys(manifest.where(index.isNotNull()), ["record_index"]), "manifest_duplicate_index", index))
     out = out.unionByName(found(rows.where(index.isNull()), "row_without_index", F.col("record_id")))
-    out = out.unionByName(found(duplicate_keys(rows.where(index.isNotNull()), ["record_index"]), "duplicate_index", index))
-    out = out.unionByName(found(missing(rows.where(index.isNotNull()), manifest, ["record_index"]), "unknown_index", index))
-    entries = manifest.select("record_index", *[F.col(f).alias(f"_{f}") for f in FIELDS])
-    same = F.lit(True)
-    for f in FIELDS:
-        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
-    out = out.unionByName(found(rows.join(entries, "record_index").where(~same), "manifest_mismatch", index))
+    out = out.unionByName(_index_problems(rows.where(index.isNotNull()), manifest.where(index.isNotNull())))
     key = F.col("source_sha256" if curated else "source_id")
     out = out.unionByName(found(rows.where(F.coalesce(key, F.lit("")) == ""), "row_without_identity", index))
     return out.unionByName(found(duplicate_keys(rows.where(F.coalesce(key, F.lit("")) != "").select(key.alias("k")), ["k"]), "duplicate_identity", F.col("k")))
 
 
+def _index_problems(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Indices that occur twice, rows of unknown ones, and each row and entry of an index whose fields differ.
+
+    Rows and entries meet by index with a digest of their fields (128 bits of SHA-256) in one shuffle; the fields
+    themselves are neither shuffled nor sorted, and an index counts all of its pairs without forming them.
+    """
+
+    def sided(df: DataFrame, rows: int) -> DataFrame:
+        fields = []
+        for f in FIELDS:
+            text = F.col(f).cast("string")
+            fields.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+        digest = F.unhex(F.substring(F.sha2(F.concat(*fields), 256), 1, 32))
+        return df.select("record_index", digest.alias("digest"), F.lit(rows).alias("r"), F.lit(1 - rows).alias("e"))
+
+    both = sided(rows, 1).unionByName(sided(manifest, 0)).repartition("record_index")
+    alike = both.groupBy("record_index", "digest").agg(F.sum("r").alias("r"), F.sum("e").alias("e"))
+    seen = alike.groupBy("record_index").agg(F.sum("r").alias("r"), F.sum("e").alias("e"), F.sum(F.col("r") * F.col("e")).alias("same"))
+    r, e = F.col("r"), F.col("e")
+    counted = (("manifest_duplicate_index", (e > 1).cast("long")), ("duplicate_index", (r > 1).cast("long")), ("unknown_index", ((r > 0) & (e == 0)).cast("long")), ("manifest_mismatch", r * e - F.col("same")))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("problem"), n.alias("n")) for name, n in counted])).alias("p")
+    found = seen.select("record_index", each).select("p.problem", F.col("record_index").cast("string").alias("item"), "p.n").where("n > 0")
+    most = 1 << 16  # items made at once
+    parts = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / most))).alias("part"))
+    return parts.select("problem", F.explode(F.array_repeat("item", F.least(F.lit(most), F.col("n") - F.col("part") * most).cast("int"))).alias("item"))
+
+
 def load_run(rows: DataFrame, manifest: DataFrame, record_count: int | None, curated: bool) -> DataFrame:
     """The rows with their record_key, or an error with the first problems."""
     require_empty(run_problems(rows, manifest, record_count, curated), "the run does not fit its manifest")
