@@ -23,52 +23,79 @@ def extract_result(text: Column, key: str = "vulnerabilities") -> Column:
     object, so text after it does no harm.
     """
 
-    def starts(candidate: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(candidate), F.lit(1))), lambda k: F.substr(candidate, k, F.lit(1)) == "{")
-        return F.transform(places, lambda k: F.substr(candidate, k))
+    def first(candidate: Column) -> Column:
+        """The first object with the key from one of the candidate's braces on; the rest is not read."""
+        braces = F.length(candidate) - F.length(F.replace(candidate, F.lit("{"), F.lit("")))
+        later = F.when(braces > 0, F.sequence(-braces, F.lit(-1))).otherwise(F.array().cast("array<int>"))
 
-    tries = F.flatten(F.transform(json_candidates(text), starts))
-    good = F.filter(tries, lambda t: F.get_json_object(t, f"$.{key}").isNotNull())
-    return F.try_element_at(good, F.lit(1))
+        def step(found: Column, k: Column) -> Column:
+            tail = F.concat(F.lit("{"), F.call_function("substring_index", candidate, F.lit("{"), k))
+            return F.when(found.isNotNull(), found).when(F.get_json_object(tail, f"$.{key}").isNotNull(), tail)
+
+        return F.aggregate(later, F.lit(None).cast("string"), step)
+
+    def either(found: Column, candidate: Column) -> Column:
+        return F.when(found.isNotNull(), found).otherwise(first(candidate))
+
+    return F.aggregate(json_candidates(text), F.lit(None).cast("string"), either)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` where ``value`` is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _categories(body: Column, allowed: list[str]) -> Column:
+    def checked(found: Column) -> Column:
+        return F.when(F.forall(found, lambda x: F.coalesce(x.isin(*allowed), F.lit(False))), F.array_sort(F.array_distinct(found)))
+
+    names = F.from_json(body, "array<struct<category:string>>")
+    return _once(F.transform(names, lambda x: normalize_category(x["category"])), checked)
 
 
 def result_categories(text: Column, allowed: list[str]) -> Column:
     """Distinct category names of the first result object; null unless all of them are in the taxonomy."""
-    names = F.from_json(F.get_json_object(extract_result(text), "$.vulnerabilities"), "array<struct<category:string>>")
-    found = F.transform(names, lambda x: normalize_category(x["category"]))
-    return F.when(F.forall(found, lambda x: F.coalesce(x.isin(*allowed), F.lit(False))), F.array_sort(F.array_distinct(found)))
+    return _categories(F.get_json_object(extract_result(text), "$.vulnerabilities"), allowed)
 
 
 def response_outcome(text: Column, allowed: list[str]) -> Column:
     """valid, missing_result, schema_violation or taxonomy_violation of a raw response."""
-    body = F.get_json_object(extract_result(text), "$.vulnerabilities")
-    good = result_categories(text, allowed)
-    return F.when(body.isNull(), "missing_result").when(~F.startswith(F.trim(body), F.lit("[")), "schema_violation").when(good.isNull(), "taxonomy_violation").otherwise("valid")
+
+    def outcome(body: Column) -> Column:
+        return F.when(body.isNull(), "missing_result").when(~F.startswith(F.trim(body), F.lit("[")), "schema_violation").when(_categories(body, allowed).isNull(), "taxonomy_violation").otherwise("valid")
+
+    return _once(F.get_json_object(extract_result(text), "$.vulnerabilities"), outcome)
 
 
 def validated_findings(text: Column, allowed: list[str], key: str = "vulnerabilities") -> Column:
     """struct(findings, errors) of a response: its findings with five fields each, and an error text by index for each
     item that is no object or has a category outside the taxonomy. Null where the field is no list."""
-    body = F.get_json_object(extract_result(text, key), f"$.{key}")
-    items = F.when(F.startswith(F.trim(body), F.lit("[")), F.from_json(body, "array<string>"))
 
     def field(item: Column, name: str) -> Column:
         return F.trim(F.coalesce(F.get_json_object(item, f"$.{name}"), F.lit("")))
 
     def read(item: Column, k: Column) -> Column:
-        given = F.get_json_object(item, "$.category")
-        category = normalize_category(F.coalesce(given, F.lit("none")))
-        at = F.concat(F.lit("finding["), k.cast("string"), F.lit("]"))
-        error = F.when(~F.coalesce(F.startswith(F.trim(item), F.lit("{")), F.lit(False)), F.concat(at, F.lit(" is not an object"))).when(
-            ~category.isin(*allowed), F.concat(at, F.lit(" category "), F.coalesce(F.concat(F.lit("'"), given, F.lit("'")), F.lit("None")), F.lit(" is outside the allowed taxonomy"))
-        )
-        finding = F.struct(category.alias("category"), field(item, "function").alias("function"), F.lower(field(item, "severity")).alias("severity"), field(item, "description").alias("description"), field(item, "recommendation").alias("recommendation"))
-        return F.struct(error.alias("error"), finding.alias("finding"))
+        def told(given: Column) -> Column:
+            category = normalize_category(F.coalesce(given, F.lit("none")))
+            at = F.concat(F.lit("finding["), k.cast("string"), F.lit("]"))
+            error = F.when(~F.coalesce(F.startswith(F.trim(item), F.lit("{")), F.lit(False)), F.concat(at, F.lit(" is not an object"))).when(
+                ~category.isin(*allowed), F.concat(at, F.lit(" category "), F.coalesce(F.concat(F.lit("'"), given, F.lit("'")), F.lit("None")), F.lit(" is outside the allowed taxonomy"))
+            )
+            finding = F.struct(category.alias("category"), field(item, "function").alias("function"), F.lower(field(item, "severity")).alias("severity"), field(item, "description").alias("description"), field(item, "recommendation").alias("recommendation"))
+            return F.struct(error.alias("error"), F.when(error.isNull(), finding).alias("finding"))
+
+        return _once(F.get_json_object(item, "$.category"), told)
 
-    found = F.transform(items, read)
-    good = F.transform(F.filter(found, lambda x: x["error"].isNull()), lambda x: x["finding"])
-    bad = F.transform(F.filter(found, lambda x: x["error"].isNotNull()), lambda x: x["error"])
-    return F.when(items.isNotNull(), F.struct(good.alias("findings"), bad.alias("errors")))
+    def split(found: Column) -> Column:
+        good = F.transform(F.filter(found, lambda x: x["error"].isNull()), lambda x: x["finding"])
+        bad = F.transform(F.filter(found, lambda x: x["error"].isNotNull()), lambda x: x["error"])
+        return F.when(found.isNotNull(), F.struct(good.alias("findings"), bad.alias("errors")))
+
+    def listed(body: Column) -> Column:
+        return F.when(F.startswith(F.trim(body), F.lit("[")), F.from_json(body, "array<string>"))
+
+    body = F.get_json_object(extract_result(text, key), f"$.{key}")
+    return _once(_once(body, lambda b: F.transform(listed(b), read)), split)
 
 
 # Phrases that tell the outcomes of an attempt apart, in order of precedence.
@@ -154,7 +181,7 @@ def structural_repair(responses: Column, allowed: list[str]) -> Column:
 
     def one(text):
         names = F.from_json(F.get_json_object(extract_result(text), "$.vulnerabilities"), "array<string>")
-        return F.when(F.forall(names, lambda n: F.coalesce(n.isin(*allowed), F.lit(False))), F.array_distinct(names))
+        return _once(names, lambda x: F.when(F.forall(x, lambda n: F.coalesce(n.isin(*allowed), F.lit(False))), F.array_distinct(x)))
 
     return F.try_element_at(F.filter(F.transform(F.reverse(responses), one), lambda x: x.isNotNull()), F.lit(1))
 

@@ -1,5 +1,8 @@
 """What must not grow faster than the tables: texts read once, rows that a task holds, rows that are shuffled."""
 
+from pyspark.sql import functions as F
+
+from attestor.functions import parse
 from attestor.operators import evaluate, metrics
 from attestor.plans import catalogue
 from attestor.sources import adapters
@@ -59,3 +62,16 @@ def test_run_problems_join_no_wide_rows(spark):
     expected += [("manifest_mismatch", str(r[0])) for r in rows for e in entries if r[0] is not None and r[0] == e[0] and r != e]
     assert sorted(map(tuple, df.collect())) == sorted(expected)
     assert "Join" not in _plan(df)
+
+
+def test_responses_are_read_once(spark):
+    """The result's list is looked up once to find its object and once to read it, however many parts the answer has."""
+    assert _plan(catalogue.queries()["validate_response"](spark, SF)).count("$.vulnerabilities") <= 2
+
+
+def test_first_object_of_odd_responses(spark):
+    texts = [None, "", "{", "{{{", '{"x": {"vulnerabilities": [1]}} {"vulnerabilities": [2]}', 'a{b {"vulnerabilities": null} {"vulnerabilities": []} z', 'é{"a": "{"} ```json\n{"vulnerabilities": {}}\n```', '{"vulnerabilities": ["é{"]} t']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", parse.extract_result(F.col("t")).alias("r")).orderBy("i")
+    # An object's text runs to the end of its candidate.
+    expected = [None, None, None, None, '{"vulnerabilities": [1]}} {"vulnerabilities": [2]}', '{"vulnerabilities": []} z', '{"vulnerabilities": {}}\n```', '{"vulnerabilities": ["é{"]} t']
+    assert [r.r for r in df.collect()] == expected
