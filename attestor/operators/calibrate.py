@@ -15,9 +15,10 @@ from .metrics import f1
 THRESHOLDS = [k / 20 for k in range(1, 20)]
 
 
-def cells(decisions: DataFrame, by: list[str]) -> DataFrame:
-    """n decisions and p positives by group, label and pattern."""
-    return decisions.groupBy(*by, "label", "pattern").agg(F.count("*").alias("n"), F.sum("truth").cast("long").alias("p"))
+def cells(decisions: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """n decisions and p positives by group, label and pattern; a row counts once, or as often as ``weight`` says."""
+    n = F.col(weight) if weight else F.lit(1)
+    return decisions.groupBy(*by, "label", "pattern").agg(F.sum(n).cast("long").alias("n"), F.sum(F.col("truth") * n).cast("long").alias("p"))
 
 
 def calibration_table(cell_counts: DataFrame, by: list[str]) -> DataFrame:

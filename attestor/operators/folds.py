@@ -11,36 +11,46 @@ def hashed_rank(df: DataFrame, by: list[str], key: Column, out: str = "rank") ->
     """The 1-based position of each row in its group by the SHA-256 of ``key``.
 
     A group is cut into buckets by the first three hex digits of the hash; small sums over bucket counts give each
-    bucket's offset, and only rows of one bucket are sorted together. No group is ever in one task.
+    bucket's offset, and only rows of one bucket are sorted together. No group is ever in one task. Rows are shuffled
+    once, by group and bucket and without their hash, which is worked out again where they arrive; the offsets meet
+    them there.
     """
-    hashed = df.withColumn("_h", F.sha2(key, 256)).withColumn("_b", F.substring("_h", 1, 3))
-    counts = hashed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    renamed = [F.col(c).alias(f"_o{k}") for k, c in enumerate([*by, "_b"])]
-    offsets = counts.select(*renamed, F.coalesce(before, F.lit(0)).alias("_offset"))
-    condition = F.lit(True)
-    for k, c in enumerate([*by, "_b"]):
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_o{k}"))
-    joined = hashed.join(offsets, condition).drop(*[f"_o{k}" for k in range(len(by) + 1)])
-    within = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h"))
-    return joined.withColumn(out, (within + F.col("_offset")).cast("long")).drop("_h", "_b", "_offset")
+    at = F.struct(*by, F.substring(F.sha2(key, 256), 1, 3).alias("_b")).alias("_g")  # equal with nulls, never null
+    rest = [c for c in df.columns if c not in by]
+    counts = df.groupBy(at).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*[f"_g.{c}" for c in by]).orderBy("_g._b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_g", F.coalesce(before, F.lit(0)).alias("_offset"))
+    groups = [F.col(f"_g.{c}").alias(c) for c in by]
+    hashed = df.select(*rest, at).repartition("_g").select(*rest, *groups, "_g").withColumn("_h", F.sha2(key, 256))
+    within = F.row_number().over(Window.partitionBy("_g").orderBy("_h"))
+    ranked = hashed.withColumn("_w", within).drop("_h").join(offsets, "_g")
+    return ranked.select(*df.columns, (F.col("_w") + F.col("_offset")).cast("long").alias(out))
+
+
+def _salted(seed: int, text: Column) -> Column:
+    return F.concat_ws("|", F.lit(str(seed)), text.cast("string"))
+
+
+def _dealt(ranked: DataFrame, folds: int, seed: int, stratum: Column) -> DataFrame:
+    """``fold`` by dealing ranks in turn, each stratum from a start of its own."""
+    start = F.conv(F.substring(F.sha2(_salted(seed, stratum), 256), 1, 8), 16, 10).cast("long")
+    return ranked.withColumn("fold", F.pmod(F.col("rank") - 1 + start, F.lit(folds)).cast("int")).drop("rank")
 
 
 def stratified_folds(records: DataFrame, folds: int, seed: int, stratum: str = "stratum", key: str = "record_key") -> DataFrame:
     """``fold`` by dealing each stratum's records in hash order, each stratum from a start of its own."""
-    salted = F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))
-    start = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(stratum)), 256), 1, 8), 16, 10).cast("long")
-    return hashed_rank(records, [stratum], salted).withColumn("fold", F.pmod(F.col("rank") - 1 + start, F.lit(folds)).cast("int")).drop("rank")
+    return _dealt(hashed_rank(records, [stratum], _salted(seed, F.col(key))), folds, seed, F.col(stratum))
 
 
-def inner_stratified_folds(records: DataFrame, folds: int, inner_folds: int, seed: int, stratum: str = "stratum", key: str = "record_key") -> DataFrame:
-    """``outer_fold`` and ``inner_fold`` of each record for each outer fold it trains in (all but its own ``fold``):
-    the training records of an outer fold are dealt by stratum as in ``stratified_folds``, from a hash of their own."""
+def inner_stratified_folds(records: DataFrame, folds: int, inner_folds: int, seed: int, stratum: str = "stratum", key: str = "record_key", keep: list[str] = ()) -> DataFrame:
+    """``outer_fold`` and ``inner_fold`` of each record for each outer fold it trains in (all but its own ``fold``), and
+    the columns ``keep``: the training records of an outer fold are dealt by stratum as in ``stratified_folds``, from a
+    hash of their own."""
     outer = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("outer_fold")
-    training = records.select(key, stratum, "fold", outer).where("outer_fold <> fold").drop("fold")
-    prefixed = [F.concat_ws("|", F.col("outer_fold").cast("string"), F.col(c).cast("string")).alias(f"_{c}") for c in (stratum, key)]
-    dealt = stratified_folds(training.select(key, "outer_fold", *prefixed), inner_folds, seed, f"_{stratum}", f"_{key}")
-    return dealt.select(key, "outer_fold", F.col("fold").alias("inner_fold"))
+    training = records.select(key, stratum, "fold", *keep, outer).where("outer_fold <> fold").drop("fold")
+    prefixed = [F.concat_ws("|", F.col("outer_fold").cast("string"), F.col(c).cast("string")) for c in (stratum, key)]
+    dealt = _dealt(hashed_rank(training, ["outer_fold", stratum], _salted(seed, prefixed[1])), inner_folds, seed, prefixed[0])
+    return dealt.select(key, "outer_fold", F.col("fold").alias("inner_fold"), *keep)
 
 
 def balanced_sample(records: DataFrame, label: str, per_class: dict[int, int], seed: int, key: str = "record_key") -> DataFrame:

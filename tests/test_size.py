@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from attestor.functions import parse
-from attestor.operators import evaluate, metrics
+from attestor.operators import evaluate, folds, metrics
 from attestor.plans import catalogue
 from attestor.sources import adapters
 
@@ -75,3 +75,34 @@ def test_first_object_of_odd_responses(spark):
     # An object's text runs to the end of its candidate.
     expected = [None, None, None, None, '{"vulnerabilities": [1]}} {"vulnerabilities": [2]}', '{"vulnerabilities": []} z', '{"vulnerabilities": {}}\n```', '{"vulnerabilities": ["é{"]} t']
     assert [r.r for r in df.collect()] == expected
+
+
+def _folds_shuffle_narrow_rows(spark, name):
+    """What folds are dealt by crosses shuffles without its hash, and decisions come from counts by profile: no join and
+    no shuffle has a row a decision."""
+    plan = _plan(catalogue.queries()[name](spark, SF))
+    assert "Aggregate [outer_fold" in plan and "profile" in plan
+    decisions = [line for line in plan.split("\n") if "Generate explode(array(struct(label" in line]
+    assert decisions and all("profile" in line or "four" in line for line in decisions)
+    assert not [line for line in plan.split("\n") if "RepartitionByExpression" in line and "_h#" in line]
+
+
+def test_prevalence_crossfit_shuffles_narrow_rows(spark):
+    _folds_shuffle_narrow_rows(spark, "prevalence_crossfit")
+
+
+def test_rank_is_the_order_of_hashes(spark):
+    """With groups that are null, of two columns or of none, and rows that are equal but for a column beside them."""
+    import hashlib
+
+    rows = [(k, [None, "a", "a|b", ""][k % 4], k % 3 if k % 5 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "k long, g string, h int")
+    for by in ([], ["g"], ["g", "h"]):
+        found = folds.hashed_rank(df, by, F.col("k").cast("string")).collect()
+        groups = {}
+        for r in found:
+            groups.setdefault(tuple(r[c] for c in by), []).append((r["rank"], hashlib.sha256(str(r.k).encode()).hexdigest()))
+        assert sum(map(len, groups.values())) == 400
+        for members in groups.values():
+            assert [n for n, _ in sorted(members)] == list(range(1, len(members) + 1))
+            assert [x for _, x in sorted(members)] == sorted(x for _, x in members)
