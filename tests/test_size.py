@@ -106,3 +106,7 @@ def test_rank_is_the_order_of_hashes(spark):
         for members in groups.values():
             assert [n for n, _ in sorted(members)] == list(range(1, len(members) + 1))
             assert [x for _, x in sorted(members)] == sorted(x for _, x in members)
+
+
+def test_logistic_stacker_shuffles_narrow_rows(spark):
+    _folds_shuffle_narrow_rows(spark, "logistic_stacker")
